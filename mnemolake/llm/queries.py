@@ -5,7 +5,9 @@ from __future__ import annotations
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .mixing import op4_mixing
+from .quality import op9_quality
 from .secret_scan import OP2_SQL, op2_secret_scan
+from .token_counts import op7_token_counts
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -13,6 +15,8 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
+    "op7_token_counts": op7_token_counts,
+    "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_decontaminate": OP3_SQL, "op10_chat_format": OP10_SQL}
