@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
 from .near_dedup import op8_near_dedup
 from .quality import op9_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
