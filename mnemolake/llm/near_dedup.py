@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import cut, free_name, table
 from ._components import components
 from ._words import U, Words, mix, slices, utf8
 
@@ -258,5 +258,20 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     return out.unionByName(empty)
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One document of each class: the one with the least id, and of rows that repeat that id one. Rows without words all stay."""
+    name = free_name(docs, "_digest")
+    rows = cut(sketch_rows(docs, doc_id, text))
+    linked = find_links(docs, rows, text, least)
+    r = rows.where(F.col("words") > 0).select("doc_id", "digest").join(linked, "digest", "left").select("doc_id", "digest", F.coalesce("component", "digest").alias("component"))
+    heads = r.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("h")).select(F.col("h.doc_id").alias("_id"), F.col("h.digest").alias("_head"))
+    d = digest_rows(docs, text, name)
+    kept = d.where(F.col(name).isNotNull()).join(heads, (F.col(name) == F.col("_head")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+    if not rows.where(F.col("words") > 0).groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        # Rows alike in id and words: one of them, whichever.
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(name, doc_id).orderBy(F.lit(0)))).where(F.col("_n") == 1)
+    return kept.select(*docs.columns).unionByName(d.where(F.col(name).isNull()).select(*docs.columns))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .line_dedup import op5_line_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ann": op6_ann,
     "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
