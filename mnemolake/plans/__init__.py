@@ -1 +1,6 @@
+"""The registered queries: importing this package fills the registry."""
 
+import importlib
+
+for _name in ("memory_queries",):
+    importlib.import_module(f"{__name__}.{_name}")
