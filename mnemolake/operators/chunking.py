@@ -68,7 +68,7 @@ def heading_sections(text: str, most: int = WINDOW) -> list[tuple[str, str | Non
     """(content, heading) of a markdown text's sections; a text before the first heading has none."""
     found = list(re.finditer(HEADING, text, re.M))
     cuts = [(None, text[: found[0].start()] if found else text)]
-    cuts += [(m.group(2), text[m.end() : n.start() if n else len(text)]) for m, n in zip(found, [*found[1:], None], strict=True)]
+    cuts += [(m.group(2), text[m.end() : n.start() if n else len(text)]) for m, n in zip(found, [*found[1:], None], strict=False)]
     return _fit([(body.strip(), heading) for heading, body in cuts if body.strip()], most)
 
 
