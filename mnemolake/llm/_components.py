@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    heads = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads)

@@ -3,17 +3,22 @@
 A text's five-word shingles are labelled with their occurrence number. Each of
 ``SKETCHES`` hash functions picks the three least labelled shingles, and the
 sketch keeps them in text order, so that equal sketches tell of like words in
-like order. Texts with an equal sketch are candidates; a candidate pair is
-verified by banded alignment of its words (furthest-reaching diagonals within
-the band that the bound allows) and by the exact Jaccard similarity of its
-shingle sets, both at least ``SIMILARITY``. Classes are the connected
-components of the verified links.
+like order. Texts with an equal sketch are candidates. A candidate pair is
+verified by banded alignment of its words, furthest-reaching diagonals first: so
+few edits that they can't bring the Jaccard similarity of the shingle sets under
+``SIMILARITY`` make a link, and what the band leaves open is decided by the sets
+themselves. Classes are the connected components of the links.
 
 Texts of equal words are one node, so copies never meet. Within a bucket of
-equal sketches no pairs are listed at first: members are compared with one
-centre, then, as long as this joins components, with another; only members that
-are still in different components after that are compared pair by pair, which
-loses no link between candidates.
+equal sketches no pairs are listed: members are compared with the bucket's
+centre, the one that shares most sketches with others. Only where that leaves
+several components, members are compared by what sets them apart from the
+centre. With D(x) the shingles that x and the centre don't share, two texts are
+similar only if D(x) and D(y) have at least u(x) + u(y) shingles in common,
+u(x) = (|D(x)| - r |x|) / 2 and r = (1 - SIMILARITY) / (1 + SIMILARITY). With the
+rarest shingles first, it is then enough to join prefixes of D(x) and D(y). That
+is exact, so it loses no link between members of a bucket, and pairs that can't
+be links don't arise.
 
 Defined cases: null and empty texts, and those of white space, are classes of
 their own, one for each row; a text of one to four words is one shingle; rows
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import cut, free_name, table
@@ -40,8 +45,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 PICKED = 3
-#: Rounds in which buckets are compared with one centre each.
-CENTRE_ROUNDS = 3
+#: Classes of excess, by powers of two, for which prefixes of their own are joined.
+CLASSES = 8
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -129,12 +134,14 @@ def align(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, least: float) -> bool:
+    """Jaccard similarity of the shingle sets of at least ``least``; word sequences ``a`` and ``b``, sorted sets ``sa`` and ``sb``."""
+    apart = (1 - least) / (1 + least) * (len(sa) + len(sb))
+    # An edit of a word changes up to SHINGLE shingles on either side.
+    band = int(apart / (2 * SHINGLE))
+    if min(len(a), len(b)) >= SHINGLE and align(a, b, band) <= band:
+        return True
     both = len(np.intersect1d(sa, sb, assume_unique=True))
-    if both < least * (len(sa) + len(sb) - both):
-        return False
-    longest = max(len(a), len(b))
-    most = int((1 - least) * longest + 1e-9)
-    return align(a, b, most) <= most
+    return both >= least * (len(sa) + len(sb) - both)
 
 
 def _parts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,22 +156,73 @@ def _parts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _small(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes."""
+    step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+    for s in range(0, batch.num_rows, step):
+        yield batch.slice(s, step)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are similar."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, 500 if batch.num_rows == 0 else int(batch.num_rows * 8_000_000 / max(1, batch.nbytes)))
-            for s in range(0, batch.num_rows, step):
-                part = batch.slice(s, step)
+            for part in _small(batch):
                 a, b = _parts(part.column(2)), _parts(part.column(3))
                 good = [similar(x[0], y[0], x[1], y[1], least) for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    return _with_texts(pairs, texts).mapInArrow(check, "a binary, b binary")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     t = texts.select("digest", "text")
-    with_a = pairs.join(t.withColumnsRenamed({"digest": "a", "text": "ta"}), "a")
-    with_b = with_a.join(t.withColumnsRenamed({"digest": "b", "text": "tb"}), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
+    with_a = pairs.select("a", "b").join(t.withColumnsRenamed({"digest": "a", "text": "ta"}), "a")
+    return with_a.join(t.withColumnsRenamed({"digest": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+
+
+def _apart(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(centre, member, u, tokens) of pairs (a: centre, b: member): the shingles not shared, and how many a partner must have too."""
+    r = (1 - least) / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _small(batch):
+                a, b = _parts(part.column(2)), _parts(part.column(3))
+                d = [np.setxor1d(x[1], y[1], assume_unique=True) for x, y in zip(a, b, strict=True)]
+                u = [(len(t) - r * len(y[1])) / 2 for t, y in zip(d, b, strict=True)]
+                low = [-r * len(x[1]) / 2 for x in a]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(u, pa.float64()), pa.array(low, pa.float64()), pa.array([t.view(np.int64) for t in d], pa.list_(pa.int64()))], ["a", "b", "u", "low", "tokens"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a binary, b binary, u double, low double, tokens array<long>")
+
+
+def _left_apart(groups: DataFrame, known: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs (a, b) of members of one centre's group (a: centre, b: member) that are in different components."""
+    d = cut(_apart(groups, texts, least))
+    count = d.select("a", F.explode("tokens").alias("token")).groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1")
+    each = d.select("a", "b", F.explode("tokens").alias("token")).join(count, ["a", "token"])
+    # Tokens of one member only come first in the order and meet nobody: their number is all that counts.
+    shared = each.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    m = d.select("a", "b", "u", "low", F.size("tokens").alias("size")).join(shared, ["a", "b"])
+    label = known.withColumnsRenamed({"node": "b", "component": "cb"})
+    centre = known.withColumnsRenamed({"node": "a", "component": "ca"})
+    m = m.join(label, "b", "left").join(centre, "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
+    m = m.withColumn("alone", F.col("size") - F.size("shared"))
+
+    def prefix(need: Column) -> Column:
+        """The shared tokens among the first size - need + 1, rarest first."""
+        n = F.least(F.size("shared"), F.greatest(F.lit(0), F.col("size") - F.greatest(F.lit(1), F.ceil(need).cast("int")) + 1 - F.col("alone")))
+        return F.slice("shared", F.lit(1), n.cast("int"))
+
+    excess = F.col("u") + F.col("low")
+    kind = F.when(excess < 1, 0).otherwise(F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(excess, F.lit(1.0)))) + 1)).cast("int")
+    # A rounding error must not shorten a prefix.
+    x = m.where(F.col("cb") != F.col("ca")).select("a", F.col("b").alias("x"), F.col("cb").alias("cx"), kind.alias("kind"), F.explode(prefix(excess - 1e-6)).alias("t")).select("a", "x", "cx", "kind", "t.token")
+    kinds = [F.struct(F.lit(k).alias("kind"), prefix(F.col("u") - F.col("low") + (0.0 if k == 0 else 2.0 ** (k - 1)) - 1e-6).alias("p")) for k in range(CLASSES)]
+    y = m.select("a", F.col("b").alias("y"), F.col("cb").alias("cy"), F.explode(F.array(*kinds)).alias("k")).select("a", "y", "cy", F.col("k.kind").alias("kind"), F.explode("k.p").alias("t")).select("a", "y", "cy", "kind", "t.token")
+    return x.join(y, ["a", "kind", "token"]).where(F.col("cx") != F.col("cy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def sketch_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -213,38 +271,22 @@ def find_links(docs: DataFrame, rows: DataFrame, text: str, least: float = SIMIL
     held = digest_rows(docs.select(F.col(text).cast("string").alias("text")), "text", "digest")
     texts = cut(held.join(needed, "digest").groupBy("digest").agg(F.first("text").alias("text")))
 
-    links = known = tried = None
-    for turn in range(CENTRE_ROUNDS + 1):
-        m = members
-        if known is None:
-            m = m.withColumn("component", F.col("digest"))
-        else:
-            m = m.join(known, F.col("digest") == F.col("node"), "left").select("digest", "bucket", F.coalesce("component", "digest").alias("component"))
-            # Only buckets that still hold two components matter.
-            open_ = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-            m = cut(m.join(open_, "bucket"))
-        if turn < CENTRE_ROUNDS:
-            order = F.col("digest") if turn == 0 else F.xxhash64("bucket", "digest", F.lit(turn))
-            centre = m.groupBy("bucket").agg(F.min_by(F.struct("digest", "component"), order).alias("c"))
-            pairs = m.join(centre, "bucket").where(F.col("component") != F.col("c.component")).select(F.col("c.digest").alias("a"), F.col("digest").alias("b"))
-        else:
-            # What is left: pairs of one bucket in different components, which no centre has joined.
-            o = m.withColumnsRenamed({"digest": "b", "component": "other"})
-            pairs = m.join(o, "bucket").where((F.col("component") != F.col("other")) & (F.col("digest") < F.col("b"))).select(F.col("digest").alias("a"), "b")
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if pairs.isEmpty():
-            if m.isEmpty():
-                break
-            continue
-        found = cut(_verify(pairs, texts, least))
-        links = found if links is None else links.unionByName(found)
-        known = cut(components(links))
-    if known is None:
-        return rows.sparkSession.createDataFrame([], "digest binary, component binary")
-    return known.select(F.col("node").alias("digest"), "component")
+    # The centre of a bucket: the member whose buckets are largest together.
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    fame = members.join(crowd, "bucket").groupBy("digest").agg(F.sum("n").alias("fame"))
+    centred = members.join(fame, "digest")
+    centre = centred.groupBy("bucket").agg(F.max_by("digest", F.struct("fame", "digest")).alias("a"))
+    grouped = cut(members.join(centre, "bucket").select("bucket", "a", F.col("digest").alias("b")))
+    pairs = grouped.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    links = cut(_verify(pairs, texts, least))
+    known = components(links)
+
+    at = grouped.join(known, F.col("b") == F.col("node"), "left").select("bucket", "a", "b", F.coalesce("component", "b").alias("component"))
+    opened = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
+    groups = cut(grouped.join(opened, "bucket").where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    rest = cut(_left_apart(groups, known, texts, least))
+    more = _verify(rest, texts, least)
+    return components(links.unionByName(more)).select(F.col("node").alias("digest"), "component")
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
