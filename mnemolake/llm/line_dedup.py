@@ -12,12 +12,14 @@ equals it or is within the bound of it.
 So as not to emit variants of every line, lines are first matched by halves:
 one edit leaves the first or the second half of the shorter line untouched, so
 lines that share neither with another line can't be within the bound of any.
-This loses nothing.
+This loses nothing. Where few rows of a large table will find a partner, a bit
+sieve of fixed size (``SIEVE_WORDS`` words) lets through those that may, and the
+join that follows is exact.
 
 Defined cases: null texts stay null and empty ones empty; lines whose form has
 under ``LEAST_CHARS`` characters are never removed, since short lines repeat by
 chance; repeated lines within a document count too; rows that repeat a doc_id
-are told apart by their text, and of two rows alike in both one loses its lines;
+are told apart by their text, and rows alike in both count as one;
 a null doc_id is the earliest; a document all of whose lines go is dropped by
 ``dedup_lines``; empty tables give no rows; other columns pass through.
 """
@@ -36,21 +38,55 @@ from ._words import U, mix
 
 LEAST_CHARS = 20
 EDITS = 1
+#: 64 bits each; 16 bytes a row, so 2 MB to each executor at most.
+SIEVE_WORDS = 1 << 17
 
 
 def plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789\t\r\x0b\x0c", "000000000    "), "  +", " "))
+    low = F.lower(line)
+    odd = F.trim(F.regexp_replace(F.regexp_replace(low, "[1-9]", "0"), "[ \\t\\r\\x0B\\x0C]+", " "))
+    # Most lines need no replacing, and to see that is cheaper than to replace.
+    return F.when(low.rlike("[1-9\\t\\r\\x0B\\x0C]|  "), odd).otherwise(F.trim(low))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, nth, line no, plain form) of the long enough lines; ``nth`` tells rows of one doc_id apart."""
+    """(doc, nth, no, form) of the long enough lines; ``nth`` tells rows of one doc_id apart."""
     t = or_empty(F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(t).alias("nth"), F.posexplode(F.split(t, "\n", -1)).alias("no", "line"))
     return rows.select("doc", "nth", "no", plain(F.col("line")).alias("form")).where(F.length("form") >= LEAST_CHARS)
 
 
-def _key(form: Column) -> list[Column]:
-    return [F.xxhash64(form).alias("h1"), F.xxhash64(F.lit("line"), form).alias("h2")]
+def _keys(lines: DataFrame) -> DataFrame:
+    """Hashes of each form: two of the whole, and of its halves.
+
+    First halves by their length, second halves by theirs, of the line as the
+    shorter of two and as the longer by one; equal keys once.
+    """
+    n, form = F.length("form"), F.col("form")
+    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    p1 = F.xxhash64(F.lit("p"), half, F.left(form, half))
+    p2 = F.when(half != less, F.xxhash64(F.lit("p"), less, F.left(form, less)))
+    s1 = F.xxhash64(F.lit("s"), n - half, F.right(form, n - half))
+    s2 = F.when(n - half != n - 1 - less, F.xxhash64(F.lit("s"), n - 1 - less, F.right(form, n - 1 - less)))
+    return lines.select("doc", "nth", "no", F.xxhash64(form).alias("h1"), F.xxhash64(F.lit("line"), form).alias("h2"), p1.alias("p1"), p2.alias("p2"), s1.alias("s1"), s2.alias("s2"))
+
+
+_WORD = f"pmod(k, {SIEVE_WORDS})"
+_BIT = f"shiftleft(1L, CAST(pmod(shiftright(k, {SIEVE_WORDS.bit_length() - 1}), 64) AS INT))"
+
+
+def _sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits): at most ``SIEVE_WORDS`` rows, whatever the number of keys."""
+    k = keys.select(F.col(key).alias("k"))
+    return k.groupBy(F.expr(_WORD).alias("_word")).agg(F.bit_or(F.expr(_BIT)).alias("_bits"))
+
+
+def _sift(rows: DataFrame, key: Column, sieve: DataFrame) -> DataFrame:
+    """The rows whose key may be in the sieve: all that are, and a few others."""
+    x = rows.withColumn("k", key)
+    x = x.withColumn("_w", F.expr(_WORD)).withColumn("_b", F.expr(_BIT))
+    x = x.join(F.broadcast(sieve), F.col("_w") == F.col("_word")).where(F.col("_b").bitwiseAND(F.col("_bits")) != 0)
+    return x.select(*rows.columns)
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,45 +114,49 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size, hashes, places, rows = 0, [], [], []
 
 
-def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h1, h2, at, near) of the distinct lines: where each stands first, and where the earliest line within one edit of it does, if that is earlier."""
-    lines = _lines(docs, doc_id, text)
-    place = F.struct("doc", "nth", "no")
-    distinct = cut(lines.groupBy(*_key(F.col("form")), "form").agg(F.min(place).alias("at")))
-    n = F.length("form")
-    # First halves by their length, second halves by theirs; as the shorter of two lines, or as the longer by one.
-    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    halves = F.array_distinct(F.array(F.xxhash64(F.lit("p"), half, F.left("form", half)), F.xxhash64(F.lit("p"), less, F.left("form", less)), F.xxhash64(F.lit("s"), n - half, F.right("form", n - half)), F.xxhash64(F.lit("s"), n - 1 - less, F.right("form", n - 1 - less))))
-    parts = distinct.select("h1", "h2", F.explode(halves).alias("half"))
-    shared = parts.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where(F.col("lo") != F.col("hi")).select("half")
-    near = parts.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    close = distinct.join(near, ["h1", "h2"], "left_semi")
-    place_type = distinct.schema["at"].dataType.simpleString()
+def near_lines(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(h1, h2, near) of the distinct lines (h1, h2, at, p1, p2, s1, s2) that have an earlier line within one edit, with where the earliest of those stands first."""
+    halves = F.explode(F.filter(F.array("p1", "p2", "s1", "s2"), lambda h: h.isNotNull()))
+    shared = distinct.select("h1", halves.alias("half")).groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    shared = cut(shared.where(F.col("lo") != F.col("hi")).select("half"))
+    parts = _sift(distinct.select("h1", "h2", "at", halves.alias("half")), F.col("half"), _sieve(shared, "half"))
+    near = cut(parts.join(shared, "half").select("h1", "h2", "at.doc", "at.nth", "at.no").distinct())
+
+    # Their forms, from the documents where they stand first.
+    spot = F.xxhash64(F.col("doc"), F.col("nth"))
+    sieve = _sieve(near.select(spot.alias("spot")), "spot")
+    held = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(or_empty(F.col(text))).alias("nth"), F.col(text).alias("text"))
+    read = _lines(_sift(held, spot, sieve).select("doc", "text"), "doc", "text").withColumnsRenamed({"doc": "d", "nth": "t", "no": "o"})
+    close = near.join(read, F.col("doc").eqNullSafe(F.col("d")) & (F.col("nth") == F.col("t")) & (F.col("no") == F.col("o")))
+    close = cut(close.select("h1", "h2", F.struct("doc", "nth", "no").alias("at"), "form").dropDuplicates(["h1", "h2"]))
+
+    place_type = close.schema["at"].dataType.simpleString()
     keys = close.select(F.struct("h1", "h2").alias("id"), "at", "form").mapInArrow(_variants, f"key long, place long, id struct<h1:long,h2:long>, at {place_type}")
     # Lines of one key and place differ in one character, so these groups are no larger than an alphabet.
     by_key, by_place = Window.partitionBy("key"), Window.partitionBy("key", "place")
     whole = F.min(F.when(F.col("place") == -1, F.struct("at", "id"))).over(by_key)
-    cut_ = F.min(F.when(F.col("place") >= 0, F.struct("at", "id"))).over(by_key)
+    shorter = F.min(F.when(F.col("place") >= 0, F.struct("at", "id"))).over(by_key)
     swap = F.min(F.struct("at", "id")).over(by_place)
-    best = F.when(F.col("place") >= 0, F.least(whole, swap)).otherwise(cut_)
+    best = F.when(F.col("place") >= 0, F.least(whole, swap)).otherwise(shorter)
     keys = keys.withColumn("best", best).where(F.col("best.at") < F.col("at"))
-    found = keys.groupBy("id", "at").agg(F.collect_set("best").alias("others")).select("id", "at", F.explode("others").alias("o"))
+    found = keys.select("id", "best").distinct()
     forms = close.select(F.struct("h1", "h2").alias("i"), "form")
-    found = found.join(forms.withColumnsRenamed({"i": "id", "form": "mine"}), "id").join(forms.select(F.col("i"), F.col("form").alias("other")), F.col("o.id") == F.col("i"))
+    found = found.join(forms.withColumnsRenamed({"i": "id", "form": "mine"}), "id").join(forms.withColumnRenamed("form", "other"), F.col("best.id") == F.col("i"))
     found = found.where(F.levenshtein("mine", "other", EDITS) != -1)
-    found = found.groupBy("id").agg(F.min("o.at").alias("near")).select(F.col("id.h1").alias("h1"), F.col("id.h2").alias("h2"), "near")
-    return distinct.select("h1", "h2", "at").join(found, ["h1", "h2"], "left")
+    return found.groupBy("id").agg(F.min("best.at").alias("near")).select(F.col("id.h1").alias("h1"), F.col("id.h2").alias("h2"), "near")
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, nth, no, kept) of every line that goes, with the place of the earlier line that it repeats."""
-    lines = _lines(docs, doc_id, text).select("doc", "nth", "no", *_key(F.col("form")))
-    seen = near_lines(docs, doc_id, text)
-    lines = lines.join(seen, ["h1", "h2"])
+    lines = cut(_keys(_lines(docs, doc_id, text)))
+    distinct = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "nth", "no")).alias("at"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("p1", "p2", "s1", "s2")]))
+    near = near_lines(docs, distinct, doc_id, text)
+    again = distinct.where(F.col("n") > 1).select("h1", "h2", "at")
+    known = cut(again.join(near, ["h1", "h2"], "full_outer"))
+    rows = _sift(lines.select("doc", "nth", "no", "h1", "h2"), F.col("h1"), _sieve(known, "h1")).join(known, ["h1", "h2"])
     here = F.struct("doc", "nth", "no")
-    # A place that stands in the table twice (equal rows) loses its lines once: see dedup_lines.
-    gone = (F.col("at") != here) | F.col("near").isNotNull()
-    return lines.where(gone).select("doc", "nth", "no", F.coalesce("near", "at").alias("kept"))
+    kept = F.coalesce("near", F.when(F.col("at") != here, F.col("at")))
+    return rows.select("doc", "nth", "no", kept.alias("kept")).where(F.col("kept").isNotNull())
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
