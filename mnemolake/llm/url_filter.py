@@ -6,8 +6,9 @@ whose siblings are many and each rare is variable and becomes ``*``; the other
 segments keep their word only where their labelled share differs from that of
 the whole branch by a two-proportion test, else they are merged into ``*``
 too. Each template's purity, its smoothed share of blocked labels, then decides:
-the prior is the host's own smoothed share, the prior of that the share of all.
-A template at or over the threshold is rejected.
+the prior is the host's own smoothed share, the prior of that the share of blocked
+labels among all urls, so that a host nobody labelled isn't rejected. A template
+at or over the threshold is.
 
 Labels come from the explicit rules and, where no rule speaks, from seed words
 in host names. A rule, where one fits, always has the last word.
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import or_empty, table
+from ._common import cut, or_empty, table
 
 DEPTH = 8
 #: A branch of at least this many words, each on at most this share of its urls on average, is variable.
@@ -87,7 +88,7 @@ def _segments(path: Column) -> Column:
 
 def learn_templates(urls: DataFrame) -> DataFrame:
     """(host, typed, n, blocked, labelled), counted, -> the template and purity of each (host, typed) path."""
-    typed = urls.groupBy("host", "typed").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    typed = cut(urls.groupBy("host", "typed").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
     steps = typed.select("host", "typed", "n", "blocked", "labelled", F.posexplode("typed").alias("at", "word"))
     steps = steps.withColumn("branch", F.slice("typed", 1, F.col("at")))
     nodes = steps.groupBy("host", "branch", "word").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
@@ -105,11 +106,11 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     kept = nodes.select("host", "branch", "word", F.when(~word | differs | (alone & ~variable), F.col("word")).otherwise("*").alias("step"))
     paths = steps.select("host", "typed", "at", "branch", "word").join(kept, ["host", "branch", "word"])
     paths = paths.groupBy("host", "typed").agg(F.concat(F.lit("/"), F.array_join(F.array_sort(F.collect_list(F.struct("at", "step")))["step"], "/")).alias("template"))
-    paths = paths.join(typed, ["host", "typed"])
+    paths = cut(paths.join(typed, ["host", "typed"]))
     templates = paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
-    hosts = templates.groupBy("host").agg(F.sum("blocked").alias("h_blocked"), F.sum("labelled").alias("h_labelled"))
-    whole = hosts.agg(F.sum("h_blocked").alias("a_blocked"), F.sum("h_labelled").alias("a_labelled"))  # one row
-    prior = F.coalesce(F.try_divide("a_blocked", "a_labelled"), F.lit(0.0))
+    hosts = templates.groupBy("host").agg(F.sum("blocked").alias("h_blocked"), F.sum("labelled").alias("h_labelled"), F.sum("n").alias("h_n"))
+    whole = hosts.agg(F.sum("h_blocked").alias("a_blocked"), F.sum("h_n").alias("a_n"))  # one row
+    prior = F.coalesce(F.try_divide("a_blocked", "a_n"), F.lit(0.0))
     hosts = hosts.crossJoin(F.broadcast(whole)).select("host", ((F.col("h_blocked") + PRIOR_WEIGHT * prior) / (F.col("h_labelled") + PRIOR_WEIGHT)).alias("prior"))
     templates = templates.join(hosts, "host").select("host", "template", ((F.col("blocked") + PRIOR_WEIGHT * F.col("prior")) / (F.col("labelled") + PRIOR_WEIGHT)).alias("purity"))
     return paths.select("host", "typed", "template").join(templates, ["host", "template"])
@@ -154,8 +155,8 @@ n2 AS (SELECT *, CASE WHEN labelled > 0 AND bl > labelled AND bb > 0 AND bb < bl
         abs(blocked / labelled - (bb - blocked) / (bl - labelled)) / sqrt((bb / bl) * (1 - bb / bl) * (1.0::DOUBLE / labelled + 1.0::DOUBLE / (bl - labelled))) > {DIFFERS} ELSE false END AS differs FROM n1),
 kept AS (SELECT host, branch, word, CASE WHEN NOT is_word OR differs OR (words <= 1 AND NOT (words >= {LEAST_WORDS} AND 1.0 / words <= {MEAN_SHARE})) THEN word ELSE '*' END AS step FROM n2),
 p AS (SELECT s.host, s.typed, s.n, s.blocked, s.labelled, '/' || string_agg(step, '/' ORDER BY k) AS template FROM s JOIN kept USING (host, branch, word) GROUP BY ALL),
-tp AS (SELECT host, template, sum(blocked) AS blocked, sum(labelled) AS labelled FROM p GROUP BY ALL),
-h AS (SELECT host, (sum(blocked) + {PRIOR_WEIGHT} * coalesce((SELECT sum(blocked) / nullif(sum(labelled), 0) FROM tp), 0)) / (sum(labelled) + {PRIOR_WEIGHT}) AS prior FROM tp GROUP BY host),
+tp AS (SELECT host, template, sum(n) AS n, sum(blocked) AS blocked, sum(labelled) AS labelled FROM p GROUP BY ALL),
+h AS (SELECT host, (sum(blocked) + {PRIOR_WEIGHT} * coalesce((SELECT sum(blocked) / nullif(sum(n), 0) FROM tp), 0)) / (sum(labelled) + {PRIOR_WEIGHT}) AS prior FROM tp GROUP BY host),
 pu AS (SELECT host, template, (blocked + {PRIOR_WEIGHT} * prior) / (labelled + {PRIOR_WEIGHT}) AS purity FROM tp JOIN h USING (host))
 SELECT page_id, u.host, path, rule, coalesce(said, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, p.template, round(purity, 9) AS purity
 FROM u JOIN p USING (host, typed) JOIN pu ON pu.host = u.host AND pu.template = p.template
