@@ -118,3 +118,25 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# Targets in closed form: sources in the order of how soon they are full; those before the first that isn't are full.
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+k AS (SELECT *, CAST('0x' || substr(sha256(concat_ws(':', '{SEED}', doc_id, size)), 1, 8) AS BIGINT) AS key FROM d),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, ([{", ".join(map(str, WEIGHTS))}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight FROM d GROUP BY source),
+t AS (SELECT sum(source_size)::BIGINT AS total, sum(weight) FILTER (source_size > 0) AS w, least(greatest({SEATS}, {SEATS_PER_SOURCE} * count(*)), sum(source_size)) AS seats FROM s0),
+s1 AS (SELECT *, coalesce(sum({MOST_REPEATS} * source_size) OVER b, 0) AS full_before, coalesce(sum(weight) OVER b, 0) AS w_before FROM s0 WHERE source_size > 0 WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s2 AS (SELECT *, (total - full_before)::DOUBLE * weight / (w - w_before) <= {MOST_REPEATS}.0 * source_size AS free FROM s1, t),
+cut AS (SELECT full_before, w_before FROM s2 WHERE free ORDER BY w_before LIMIT 1),
+s3 AS (SELECT s0.source, s0.source_size, t.total, t.seats, CASE WHEN s0.source_size = 0 THEN 0.0 WHEN s2.w_before < cut.w_before THEN s0.source_size * {MOST_REPEATS}.0 ELSE (t.total - cut.full_before)::DOUBLE * s0.weight / (t.w - cut.w_before) END AS target,
+  t.total::DOUBLE / t.seats AS block FROM s0 CROSS JOIN t CROSS JOIN cut LEFT JOIN s2 ON s0.source IS NOT DISTINCT FROM s2.source),
+s4 AS (SELECT *, ceil(source_size / block)::BIGINT AS blocks FROM s3),
+q AS (SELECT source, target, unnest(range(0, least(blocks * {MOST_REPEATS}, floor(2 * target / block)::BIGINT + 3))) AS k, seats FROM s4 WHERE target > 0),
+won AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS n FROM q) WHERE n <= seats GROUP BY source),
+b0 AS (SELECT s4.source, s4.block, blocks, quota, unnest(range(0, blocks)) AS b FROM s4 JOIN won ON s4.source IS NOT DISTINCT FROM won.source),
+b1 AS (SELECT *, quota // blocks + (row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws(':', '{SEED}', coalesce(source, ''), b)), b) <= quota % blocks)::BIGINT AS times FROM b0),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER () AS n FROM k),
+h AS (SELECT p.n, sum((least(p.start + p.size, ceil((b + 1) * block)::BIGINT) - greatest(p.start, ceil(b * block)::BIGINT)) * times)::BIGINT AS taken FROM p JOIN b1 ON p.source IS NOT DISTINCT FROM b1.source AND b1.b >= floor(p.start / block) AND b1.b <= floor((p.start + p.size - 1) / block) WHERE p.size > 0 AND times > 0 GROUP BY p.n)
+SELECT p.doc_id, p.size, s4.source_size, s4.target, coalesce(h.taken, 0)::BIGINT AS taken FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source LEFT JOIN h ON h.n = p.n
+"""
