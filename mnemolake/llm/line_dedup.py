@@ -173,3 +173,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = repeated_lines(table(spark, sf_dir, "documents"))
     return gone.select(F.col("doc").alias("doc_id"), F.col("no").cast("long").alias("line_no"), F.col("kept.doc").alias("kept_doc_id"), F.col("kept.no").cast("long").alias("kept_line_no"))
+
+
+OP5_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(range(len(s))) AS no, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+f AS (SELECT doc_id, no, trim(CASE WHEN regexp_matches(lower(line), '[1-9\t\r\x0B\x0C]|  ') THEN regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '[ \t\r\x0B\x0C]+', ' ', 'g') ELSE lower(line) END, ' ') AS form FROM l),
+g AS (SELECT * FROM f WHERE length(form) >= {LEAST_CHARS}),
+d AS (SELECT form, min((doc_id, no)) AS pos FROM g GROUP BY form),
+v AS (SELECT form, pos, i, hash(substr(form, 1, i - 1) || substr(form, i + 1)) AS h FROM (SELECT form, pos, unnest(range(1, length(form) + 1)) AS i FROM d)),
+w AS (SELECT form, pos, hash(form) AS h FROM d),
+c AS (SELECT v.form, s.pos FROM v JOIN (SELECT i, h, min(pos) AS pos FROM v GROUP BY i, h) s ON s.i = v.i AND s.h = v.h
+  UNION ALL SELECT v.form, w.pos FROM v JOIN w ON w.h = v.h
+  UNION ALL SELECT w.form, v.pos FROM w JOIN v ON w.h = v.h),
+n AS (SELECT d.form, min(c.pos) AS near FROM d JOIN c ON c.form = d.form WHERE c.pos < d.pos GROUP BY d.form),
+r AS (SELECT g.doc_id, g.no, coalesce(n.near, CASE WHEN d.pos <> (g.doc_id, g.no) THEN d.pos END) AS kept FROM g JOIN d ON d.form = g.form LEFT JOIN n ON n.form = g.form)
+SELECT doc_id, no AS line_no, kept[1] AS kept_doc_id, kept[2] AS kept_line_no FROM r WHERE kept IS NOT NULL
+"""

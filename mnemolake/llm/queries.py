@@ -5,7 +5,7 @@ from __future__ import annotations
 from .ann import op6_ann
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
-from .line_dedup import op5_line_dedup
+from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .near_dedup import op8_near_dedup
 from .quality import op9_quality
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
 }
-SQL = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_mixing": OP4_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}
