@@ -158,6 +158,28 @@ def edit1(a, b):
     return a[i:] == b[i + 1 :] or len(a) == len(b) and a[i + 1 :] == b[i + 1 :]
 
 
+def gone_lines(rows):
+    """(doc, line) of the lines that go: those that equal an earlier one, or whose form first stands near an even earlier one."""
+    def form(s):
+        return re.sub("[ \t\r\x0b\x0c]+", " ", re.sub("[1-9]", "0", s.lower())).strip(" ")
+
+    lines = [((i, n), form(x)) for i, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if len(x[1]) >= line_dedup.LEAST_CHARS]
+    first, by_length = {}, defaultdict(list)
+    for p, f in sorted(lines):
+        if f not in first:
+            first[f] = p
+            by_length[len(f)].append(f)
+    near = {f for f in first if any(first[g] < first[f] and edit1(f, g) for n in (-1, 0, 1) for g in by_length[len(f) + n] if g != f)}
+    return {p for p, f in lines if p != first[f] or f in near}
+
+
+def without(text, doc, gone):
+    """What is left of a document; None if all of it went."""
+    rest = "\n".join(x for n, x in enumerate(text.split("\n")) if (doc, n) not in gone)
+    return rest if rest.strip() or not any(d == doc for d, _ in gone) else None
+
+
 def test_lines_against_brute_force(spark):
     r = random.Random(5)
     base = ["".join(r.choices("abcd ", k=r.randint(18, 40))) for _ in range(12)]
@@ -168,21 +190,11 @@ def test_lines_against_brute_force(spark):
 
     rows = [(i, "\n".join(change(r.choice(base)) for _ in range(r.randint(0, 8)))) for i in range(60)] + [(60, None), (61, ""), (61, "é" * 30 + "\n" + "é" * 31)]
     d = docs(spark, rows)
-    form = lambda s: re.sub("[ \t\r\x0b\x0c]+", " ", re.sub("[1-9]", "0", s.lower())).strip(" ")
-    lines = [((i, n), form(x)) for i, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[1]) >= line_dedup.LEAST_CHARS]
-    want = {p for p, f in lines if any(q < p and (f == g or edit1(f, g)) for q, g in lines)}
-    # A line that equals an earlier one, or whose first appearance is near an even earlier one, goes.
-    first = {}
-    for p, f in sorted(lines):
-        first.setdefault(f, p)
-    want = {p for p, f in lines if p != first[f] or any(first[g] < p and edit1(f, g) for g in first if g != f)}
+    want = gone_lines(rows)
     out = line_dedup.repeated_lines(d.withColumn("form", F.lit(1)))
     assert {(x["doc"], x["no"]) for x in out.collect()} == want
     kept = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(d.where("doc_id < 60")).collect()}
-    for i, t in rows[:60]:
-        rest = "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want)
-        assert kept.get(i) == (rest if rest.strip() or not any((i, n) in want for n in range(9)) else None)
+    assert all(kept.get(i) == without(t, i, want) for i, t in rows[:60])
 
 
 def test_lines_odd(spark):
@@ -253,6 +265,31 @@ def shingles(t):
     return frozenset(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
 
 
+def class_of(rows):
+    """{(doc, text): least doc of its class}."""
+    sets = {(k, t): shingles(t) for k, t in rows}
+    parent, holders = {x: x for x in sets}, defaultdict(list)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, s in sets.items():
+        shared = defaultdict(int)
+        for g in s:
+            for y in holders[g]:
+                shared[y] += 1
+            holders[g].append(x)
+        for y, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[y]) - n):
+                parent[root(y)] = root(x)
+    least = {}
+    for x in sets:
+        least[root(x)] = min(least.get(root(x), x[0]), x[0])
+    return {x: least[root(x)] for x in sets}
+
+
 def test_near_dedup_against_brute_force(spark):
     r = random.Random(2)
     rows, base = [], [words(120, i) for i in range(6)]
@@ -265,25 +302,11 @@ def test_near_dedup_against_brute_force(spark):
     rows += [(10, " ".join(half)), (11, "just a few"), (12, "just  a few"), (13, ""), (14, None), (15, " "), (13, ""), (16, " ".join(words(3000, 77))), (17, " ".join(words(3000, 77)[:2990]))]
     d = docs(spark, rows)
     out = near_dedup.classify(d.withColumn("class_id", F.lit("clash")))
-    sets = {(k, t): shingles(t) for k, t in rows}
-    parent = {x: x for x in sets}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in itertools.combinations(sets, 2):
-        x, y = sets[a], sets[b]
-        if x and y and len(x & y) >= 0.8 * len(x | y):
-            parent[root(a)] = root(b)
-    least = defaultdict(lambda: 10**9)
-    for x in sets:
-        least[root(x)] = min(least[root(x)], x[0])
-    want = sorted((k, least[root((k, t))]) for k, t in rows)
+    least = class_of(rows)
+    want = sorted((k, least[k, t]) for k, t in rows)
     assert got(out, "doc_id", "class_id") == want
     kept = sorted(x["doc_id"] for x in near_dedup.keep_one(d).collect())
-    assert kept == sorted(k for k, t in rows if not shingles(t) or k == least[root((k, t))])
+    assert kept == sorted(k for k, t in rows if not shingles(t) or k == least[k, t])
     assert near_dedup.classify(d.limit(0)).count() == 0
 
 
@@ -393,16 +416,51 @@ def test_probe_conversation(spark):
     assert x["turns_sha256"] == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
 
 
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    read = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    at = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = read(at)
+    good = {r["doc_id"] for r in P.quality(spark, at, sf).collect()}
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert np.mean([(i in good) == bool(label[i]) for i in texts if i in label]) > 0.9
+    at = at.where(F.col("doc_id").isin(*good))
+
+    rows = sorted(read(at).items())
+    gone = gone_lines(rows)
+    at = P.line_dedup(spark, at, sf).cache()
+    left = {i: without(t, i, gone) for i, t in rows}
+    assert read(at) == {i: t for i, t in left.items() if t is not None}
+    assert at.where("n_chars != length(text)").isEmpty()
+
+    rows = sorted(read(at).items())
+    least = class_of(rows)
+    at = P.near_dedup(spark, at, sf).cache()
+    assert read(at) == {i: t for i, t in rows if not shingles(t) or least[i, t] == i}
+
+    rows = sorted(read(at).items())
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    at = P.decontaminate(spark, at, sf).cache()
+    kept = read(at)
+    flat = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    for i, t in rows:
+        share = max(np.mean([" ".join(w[n : n + 8]) in flat(t) for n in range(len(w) - 7)]) for x in items if len(w := flat(x).split()) >= 8)
+        assert (i in kept) == (share < 0.5)
+
+    out = {r["doc_id"]: r for r in P.mixture(spark, at, sf).collect()}
+    assert set(out) <= set(kept) and all(0 < r["taken"] <= 3 * r["size"] for r in out.values())
+    total = sum(len(re.findall(r"[^\x20\x09-\x0d]+", t)) for t in kept.values())
+    assert sum(r["taken"] for r in out.values()) == pytest.approx(total, rel=0.02)
+
+
+def test_pipeline_runs(spark):
     import corpus_pipeline as P
 
     sf = "/root/testdata/sf0.001"
     raw = spark.read.parquet(f"{sf}/documents.parquet")
-    ids = {r["doc_id"] for r in raw.collect()}
     for name, stage in P.STAGES[:-1]:
-        raw2 = stage(spark, raw, sf)
-        assert raw2.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        kept = {r["doc_id"] for r in raw2.select("doc_id").collect()}
-        assert kept <= ids and len(kept) > len(ids) * 0.5
+        assert stage(spark, raw, sf).columns == raw.columns, name
     out = P.run(spark, sf)
     assert out.where("taken <= 0 OR taken > 3 * size").isEmpty() and out.count() > 50
