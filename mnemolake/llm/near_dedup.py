@@ -16,7 +16,8 @@ several components, members are compared by what sets them apart from the
 centre. With D(x) the shingles that x and the centre don't share, two texts are
 similar only if D(x) and D(y) have at least u(x) + u(y) shingles in common,
 u(x) = (|D(x)| - r |x|) / 2 and r = (1 - SIMILARITY) / (1 + SIMILARITY). With the
-rarest shingles first, it is then enough to join prefixes of D(x) and D(y). That
+rarest shingles first, it is then enough to join prefixes of D(x) and D(y), and
+none need be longer than the shingles that two similar texts may differ by. That
 is exact, so it loses no link between members of a bucket, and pairs that can't
 be links don't arise.
 
@@ -211,9 +212,13 @@ def _left_apart(groups: DataFrame, known: DataFrame, texts: DataFrame, least: fl
     m = m.join(label, "b", "left").join(centre, "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
     m = m.withColumn("alone", F.col("size") - F.size("shared"))
 
+    # A partner's set differs from this one by no more than the texts do: at most r |x| (1 + 1 / least) shingles.
+    own = F.col("size") - (F.col("size") - 2 * F.col("u")) * (1 + 1 / least) - 1e-6
+
     def prefix(need: Column) -> Column:
         """The shared tokens among the first size - need + 1, rarest first."""
-        n = F.least(F.size("shared"), F.greatest(F.lit(0), F.col("size") - F.greatest(F.lit(1), F.ceil(need).cast("int")) + 1 - F.col("alone")))
+        need = F.greatest(F.lit(1), F.ceil(need).cast("int"), F.ceil(own).cast("int"))
+        n = F.least(F.size("shared"), F.greatest(F.lit(0), F.col("size") - need + 1 - F.col("alone")))
         return F.slice("shared", F.lit(1), n.cast("int"))
 
     excess = F.col("u") + F.col("low")
