@@ -24,7 +24,6 @@ are not read.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -127,41 +126,37 @@ def boxes_of(tree, m: int, n: int) -> np.ndarray:
 
 
 class KdTree:
-    """Leaves of about ``LEAF`` points with their bounding boxes, visited in order of distance."""
+    """Leaves of about ``LEAF`` points with their bounding boxes, visited in order of distance, twice as many at each step."""
 
     def __init__(self, p: np.ndarray):
-        self.p, self.leaves = p, []
+        boxes, self.leaves = [], []
 
-        def grow(at: np.ndarray):
+        def grow(at: np.ndarray) -> None:
             q = p[at]
             lo, hi = q.min(0), q.max(0)
             axis = int(np.argmax(hi - lo))
             if len(at) <= LEAF or hi[axis] == lo[axis]:
-                return lo, hi, at
+                boxes.append((lo, hi))
+                self.leaves.append(at)
+                return
             half = len(at) // 2
             order = np.argpartition(q[:, axis], half)
-            return lo, hi, [grow(at[order[:half]]), grow(at[order[half:]])]
+            grow(at[order[:half]])
+            grow(at[order[half:]])
 
-        self.root = grow(np.arange(len(p)))
+        grow(np.arange(len(p)))
+        self.lo, self.hi = (np.stack(x) for x in zip(*boxes, strict=True))
 
     def near(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(squared projected distance of its box, points) of the leaves, nearest first."""
-        n = 0
-
-        def entry(node):
-            nonlocal n
-            n += 1
-            gap = np.maximum(0, np.maximum(node[0] - q, q - node[1]))
-            return float(gap @ gap), n, node
-
-        heap = [entry(self.root)]
-        while heap:
-            d, _, node = heapq.heappop(heap)
-            if isinstance(node[2], list):
-                for x in node[2]:
-                    heapq.heappush(heap, entry(x))
-            else:
-                yield d, node[2]
+        """(squared projected distance of the nearest box, points) of the leaves, nearest first."""
+        gap = np.maximum(0, np.maximum(self.lo - q, q - self.hi))
+        d = np.einsum("ij,ij->i", gap, gap)
+        order = np.argsort(d, kind="stable")
+        a, step = 0, 1
+        while a < len(order):
+            part = order[a : a + step]
+            yield float(d[part[0]]), np.concatenate([self.leaves[i] for i in part])
+            a, step = a + step, 2 * step
 
 
 def search_cell(points: np.ndarray, projected: np.ndarray, queries: np.ndarray, q_projected: np.ndarray, bound: np.ndarray, k: int, ratio: float, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
