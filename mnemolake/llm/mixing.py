@@ -7,6 +7,10 @@ Seats, one a block's worth of words, go to the sources by highest quotients
 quota of q over n blocks takes every block ``q div n`` times, and the
 ``q mod n`` blocks that come first in seeded order once more.
 
+A source whose target is under ``LEAST_TARGET`` of these blocks would miss it by
+much, or win no seat at all. It is given blocks of its own, ``OWN_BLOCKS`` to its
+target or one a word, and the seats are dealt to the others without it.
+
 Running positions within a source are sums over hash ranges first and within a
 range second, so that a source with a third of all rows is spread over many
 tasks.
@@ -29,6 +33,9 @@ MOST_REPEATS = 3
 #: Blocks in all: this many, or SEATS_PER_SOURCE for each source if that is more.
 SEATS = 10_000
 SEATS_PER_SOURCE = 200
+#: Sources whose target is under so many blocks get blocks of their own, this many to the target.
+LEAST_TARGET = 50
+OWN_BLOCKS = 200
 #: Documents that a hash range holds on average.
 RANGE_ROWS = 2_000
 #: Sources up to this many (about 60 bytes each) are sent to all executors; beyond, the join shuffles.
@@ -73,6 +80,19 @@ def apportion(sources: DataFrame, seats: int, block: float, most: int = MOST_REP
     return s.join(won, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("quota", F.coalesce("quota", F.lit(0))).drop("_s")
 
 
+def quotas_of(sources: DataFrame, seats: int, block: float, most: int = MOST_REPEATS) -> DataFrame:
+    """(source, source_size, target, ...) -> with block, blocks and quota: blocks of one length by ``apportion``, small targets by blocks of their own."""
+    t = F.col("target")
+    small = t < F.lit(LEAST_TARGET * block)
+    held = sources.where(small).agg(F.sum(t)).first()[0] or 0.0
+    large = apportion(sources.where(~small), seats - round(held / block), block, most).withColumn("block", F.lit(block))
+    own = sources.where(small).withColumn("block", F.greatest(F.lit(1.0), t / F.lit(float(OWN_BLOCKS))))
+    own = own.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    # A target of all repeats takes every block so often; the last block may be shorter than the others.
+    quota = F.when(t >= F.col("source_size") * float(most), F.col("blocks") * most).otherwise(F.least(F.col("blocks") * most, F.round(t / F.col("block")).cast("long")))
+    return large.unionByName(own.withColumn("quota", quota))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document, with its source and the order it has in the mix."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
@@ -82,7 +102,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     total, n_sources, n = all_of["size"] or 0, all_of["sources"], all_of["n"] or 0
     seats = max(1, min(max(SEATS, SEATS_PER_SOURCE * n_sources), total))
     block = max(total / seats, 1.0)
-    quotas = cut(apportion(targets(sums.select("source", "source_size"), weights), seats, block))
+    quotas = cut(quotas_of(targets(sums.select("source", "source_size"), weights), seats, block))
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda x: x
 
     ranges = max(1, n // RANGE_ROWS)
@@ -95,20 +115,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.join(held, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn("start", F.col("start") + F.col("base")).drop("s", "r", "base")
 
-    # The extra blocks of a source: those first by a seeded key. Blocks in all are about as many as seats.
+    # The extra blocks of a source: those first by a seeded key. Blocks taken are no more than seats and OWN_BLOCKS a small source.
     each = quotas.where(F.col("quota") > 0).select("source", "quota", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     draw = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("")), F.col("b").cast("string")), 256)
     rank = F.row_number().over(Window.partitionBy("source").orderBy(draw, "b"))
     times = each.withColumn("times", F.floor(F.col("quota") / F.col("blocks")) + (rank <= F.col("quota") % F.col("blocks")).cast("long")).where(F.col("times") > 0)
 
-    q = quotas.select(F.col("source").alias("s"), "source_size", "target")
+    q = quotas.select(F.col("source").alias("s"), "source_size", "target", "block")
     rows = rows.join(small(q), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    first = F.floor(F.col("start") / F.lit(block)).cast("long")
-    last = F.floor((F.col("start") + F.col("size") - 1) / F.lit(block)).cast("long")
+    first = F.floor(F.col("start") / F.col("block")).cast("long")
+    last = F.floor((F.col("start") + F.col("size") - 1) / F.col("block")).cast("long")
     # A word belongs to the block that its position falls in: block b holds the words from ceil(b * block) on.
     touched = rows.withColumn("b", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    lo = F.ceil(F.col("b") * F.lit(block)).cast("long")
-    hi = F.ceil((F.col("b") + 1) * F.lit(block)).cast("long")
+    lo = F.ceil(F.col("b") * F.col("block")).cast("long")
+    hi = F.ceil((F.col("b") + 1) * F.col("block")).cast("long")
     words = F.least(F.col("start") + F.col("size"), hi) - F.greatest(F.col("start"), lo)
     t = times.select(F.col("source").alias("s"), F.col("b").alias("tb"), "times")
     took = touched.join(small(t) if seats <= 20 * BROADCAST_SOURCES else t, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("tb")), "left")

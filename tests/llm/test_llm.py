@@ -133,6 +133,26 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_small_sources_beside_a_huge_one(spark):
+    rows = [(i, "w " * 20_000, "en", "huge", 0) for i in range(100)] + [(1000 + i, "w " * n, "en", s, 0) for i, (s, n) in enumerate([("few", 5), ("few", 2), ("one", 1), ("some", 700), ("some", 801)])]
+    taken, target = defaultdict(int), {}
+    for x in mixing.mix(docs(spark, rows)).collect():
+        taken[x["source"]] += x["taken"]
+        target[x["source"]] = x["target"]
+    assert (taken["few"], taken["one"], taken["some"]) == (21, 3, 4503)
+    assert all(taken[s] == pytest.approx(t, rel=0.001) for s, t in target.items())
+
+
+def test_own_blocks_of_small_targets(spark):
+    # Weights of one to many leave a large source a small target, which is no multiple of its size.
+    rows = [(i, "w " * 5_000, "en", s, 0) for i, s in enumerate(["a", "b"] * 20)]
+    taken, target = defaultdict(int), {}
+    for x in mixing.mix(docs(spark, rows), weights=(100_000, 3)).collect():
+        taken[x["source"]] += x["taken"]
+        target[x["source"]] = x["target"]
+    assert target["b"] < 10 and all(taken[s] == pytest.approx(t, rel=0.02) for s, t in target.items())
+
+
 def test_word_count(spark):
     texts = ["", " ", "a", " a b\n", "a\x0bb\x0cc", "a\xa0b", None, "\ta  b"]
     x = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(F.col("t"))).collect()
