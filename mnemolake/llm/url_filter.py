@@ -1,11 +1,12 @@
 r"""URL filters by a path-template tree (native).
 
 Paths are cut at ``/`` into segments; numbers and hexadecimal ids get typed
-wildcards at once. Per host a tree of typed prefixes is counted. A word segment
-whose siblings are many and each rare is variable and becomes ``*``; the other
-segments keep their word only where their labelled share differs from that of
-the whole branch by a two-proportion test, else they are merged into ``*``
-too. Each template's purity, its smoothed share of blocked labels, then decides:
+wildcards at once. Per host a tree of prefixes is built level by level, each
+level below the generalised steps of those above, so that what lies under
+merged segments is counted together. A word that is rare among many siblings is
+variable and becomes ``*``; the other segments keep their word only where they
+have no sibling or where their labelled share differs from that of the rest of
+the branch by a two-proportion test, else they are merged into ``*`` too. Each template's purity, its smoothed share of blocked labels, then decides:
 the prior is the host's own smoothed share, the prior of that the share of blocked
 labels among all urls, so that a host nobody labelled isn't rejected. A template
 at or over the threshold is.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import cut, or_empty, table
 
 DEPTH = 8
-#: A branch of at least this many words, each on at most this share of its urls on average, is variable.
+#: In a branch of at least this many words, those on at most this share of its urls are variable.
 LEAST_WORDS = 8
 MEAN_SHARE = 0.125
 #: Two-sided 5 % point of the normal distribution.
@@ -86,16 +87,14 @@ def _segments(path: Column) -> Column:
     return F.transform(parts, lambda p: F.when(p.rlike(number), F.regexp_replace(p, r"^[0-9]+", "<n>")).when((F.length(p) >= 8) & p.rlike(hexed), "<h>").otherwise(p))
 
 
-def learn_templates(urls: DataFrame) -> DataFrame:
-    """(host, typed, n, blocked, labelled), counted, -> the template and purity of each (host, typed) path."""
-    typed = cut(urls.groupBy("host", "typed").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
-    steps = typed.select("host", "typed", "n", "blocked", "labelled", F.posexplode("typed").alias("at", "word"))
-    steps = steps.withColumn("branch", F.slice("typed", 1, F.col("at")))
-    nodes = steps.groupBy("host", "branch", "word").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
+def _step(paths: DataFrame, at: int) -> DataFrame:
+    """``paths`` with segment ``at`` (from 0), as it is or as ``*``, at the end of ``template``: the branch is the template so far."""
+    steps = paths.withColumn("word", F.get("typed", F.lit(at)))
+    nodes = steps.where(F.col("word").isNotNull()).groupBy("host", "template", "word").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
     word = ~F.col("word").startswith("<") & (F.col("word") != "") & (F.col("word") != "**")
-    branches = nodes.groupBy("host", "branch").agg(F.sum(word.cast("long")).alias("words"), F.sum("blocked").alias("b_blocked"), F.sum("labelled").alias("b_labelled"))
-    nodes = nodes.join(branches, ["host", "branch"])
-    variable = (F.col("words") >= LEAST_WORDS) & (F.try_divide(F.lit(1.0), F.col("words")) <= MEAN_SHARE)
+    branches = nodes.groupBy("host", "template").agg(F.sum(word.cast("long")).alias("words"), F.sum("n").alias("b_n"), F.sum("blocked").alias("b_blocked"), F.sum("labelled").alias("b_labelled"))
+    nodes = nodes.join(branches, ["host", "template"])
+    variable = (F.col("words") >= LEAST_WORDS) & (F.col("n") / F.col("b_n") <= MEAN_SHARE)
     rest_n, rest_b = F.col("b_labelled") - F.col("labelled"), F.col("b_blocked") - F.col("blocked")
     pool = F.try_divide("b_blocked", "b_labelled")
     error = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_n)))
@@ -103,10 +102,18 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     tested = (F.col("labelled") > 0) & (rest_n > 0) & (pool > 0) & (pool < 1)
     differs = F.when(tested, z > DIFFERS).otherwise(F.lit(False))
     alone = F.col("words") <= 1
-    kept = nodes.select("host", "branch", "word", F.when(~word | differs | (alone & ~variable), F.col("word")).otherwise("*").alias("step"))
-    paths = steps.select("host", "typed", "at", "branch", "word").join(kept, ["host", "branch", "word"])
-    paths = paths.groupBy("host", "typed").agg(F.concat(F.lit("/"), F.array_join(F.array_sort(F.collect_list(F.struct("at", "step")))["step"], "/")).alias("template"))
-    paths = cut(paths.join(typed, ["host", "typed"]))
+    kept = nodes.select("host", "template", "word", F.when(word & (variable | ~(differs | alone)), "*").otherwise(F.col("word")).alias("step"))
+    out = steps.join(kept, ["host", "template", "word"], "left")
+    return out.select(*[c for c in paths.columns if c != "template"], F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step")).alias("template"))
+
+
+def learn_templates(urls: DataFrame) -> DataFrame:
+    """(host, typed, n, blocked, labelled), counted, -> the template and purity of each (host, typed) path."""
+    typed = cut(urls.groupBy("host", "typed").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
+    depth = typed.agg(F.max(F.size("typed"))).first()[0] or 0
+    paths = typed.withColumn("template", F.lit(""))
+    for at in range(depth):
+        paths = cut(_step(paths, at))
     templates = paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
     hosts = templates.groupBy("host").agg(F.sum("blocked").alias("h_blocked"), F.sum("labelled").alias("h_labelled"), F.sum("n").alias("h_n"))
     whole = hosts.agg(F.sum("h_blocked").alias("a_blocked"), F.sum("h_n").alias("a_n"))  # one row

@@ -51,6 +51,25 @@ def test_templates_generalise_and_reject(spark):
     assert set(t) == {"/u/*", "/ok/<n>"} and t["/u/*"] > 0.5 > t["/ok/<n>"]
 
 
+def counted(spark, rows):
+    """Rows (host, path, label) as ``learn_templates`` takes them."""
+    df = spark.createDataFrame(rows, "host string, path string, label string").withColumn("typed", url_filter._segments(F.col("path")))
+    return df.select("host", "typed", F.lit(1).alias("n"), F.coalesce((F.col("label") == "block").cast("int"), F.lit(0)).alias("blocked"), F.col("label").isNotNull().cast("int").alias("labelled"))
+
+
+def test_templates_of_two_variable_levels(spark):
+    rows = [("h", f"/u/name{i}x/slug{i}y", None) for i in range(30)] + [("h", "/u/name0x/slug0y/edit", None)]
+    out = url_filter.learn_templates(counted(spark, rows))
+    assert {r["template"] for r in out.collect()} == {"/u/*/*", "/u/*/*/edit"}
+
+
+def test_rare_words_are_variable_common_ones_are_tested(spark):
+    # Of ten words each rare one is merged, whatever its labels; the common one is told from the rest by its labels.
+    rows = [("h", f"/w{i}x", "block") for i in range(9) for _ in range(5)] + [("h", "/wide", "allow")] * 60
+    out = url_filter.learn_templates(counted(spark, rows + [("g", *r[1:]) for r in rows[:40]] + [("g", "/w8x", "allow")] * 5))
+    assert {(r["host"], r["template"]) for r in out.collect()} == {("h", "/*"), ("h", "/wide"), ("g", "/*")}
+
+
 # 2
 
 def spans(text):
