@@ -9,7 +9,9 @@ have no sibling or where their labelled share differs from that of the rest of
 the branch by a two-proportion test, else they are merged into ``*`` too. Each template's purity, its smoothed share of blocked labels, then decides:
 the prior is the host's own smoothed share, the prior of that the share of blocked
 labels among all urls, so that a host nobody labelled isn't rejected. A template
-at or over the threshold is.
+at or over the threshold is, if it has a label of its own. Rules and seed words
+that speak for a whole host label all its urls, so where a template has none, the
+host's labels come from path rules on other branches and say nothing about it.
 
 Labels come from the explicit rules and, where no rule speaks, from seed words
 in host names. A rule, where one fits, always has the last word.
@@ -108,7 +110,7 @@ def _step(paths: DataFrame, at: int) -> DataFrame:
 
 
 def learn_templates(urls: DataFrame) -> DataFrame:
-    """(host, typed, n, blocked, labelled), counted, -> the template and purity of each (host, typed) path."""
+    """(host, typed, n, blocked, labelled), counted, -> the template, its purity and number of labels (``own``) of each (host, typed) path."""
     typed = cut(urls.groupBy("host", "typed").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
     depth = typed.agg(F.max(F.size("typed"))).first()[0] or 0
     paths = typed.withColumn("template", F.lit(""))
@@ -119,7 +121,7 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     whole = hosts.agg(F.sum("h_blocked").alias("a_blocked"), F.sum("h_n").alias("a_n"))  # one row
     prior = F.coalesce(F.try_divide("a_blocked", "a_n"), F.lit(0.0))
     hosts = hosts.crossJoin(F.broadcast(whole)).select("host", ((F.col("h_blocked") + PRIOR_WEIGHT * prior) / (F.col("h_labelled") + PRIOR_WEIGHT)).alias("prior"))
-    templates = templates.join(hosts, "host").select("host", "template", ((F.col("blocked") + PRIOR_WEIGHT * F.col("prior")) / (F.col("labelled") + PRIOR_WEIGHT)).alias("purity"))
+    templates = templates.join(hosts, "host").select("host", "template", ((F.col("blocked") + PRIOR_WEIGHT * F.col("prior")) / (F.col("labelled") + PRIOR_WEIGHT)).alias("purity"), F.col("labelled").alias("own"))
     return paths.select("host", "typed", "template").join(templates, ["host", "template"])
 
 
@@ -134,7 +136,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     counted = counted.select("host", "typed", "n", F.when(F.col("label") == "block", F.col("n")).otherwise(0).alias("blocked"), F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("labelled"))
     learned = learn_templates(counted)
     out = u.join(learned, ["host", "typed"], "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when((F.col("own") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,14 @@ def test_rare_words_are_variable_common_ones_are_tested(spark):
     assert {(r["host"], r["template"]) for r in out.collect()} == {("h", "/*"), ("h", "/wide"), ("g", "/*")}
 
 
+def test_path_rules_do_not_judge_other_branches(spark):
+    paths = [f"de/{i}" for i in range(40)] + [f"fr/{i}" for i in range(12)] + [f"en/{i}" for i in range(30)] + [f"es/{i}" for i in range(30)]
+    urls = [f"http://clean.com/{p}" for p in paths] + [f"http://my-casino.com/en/{i}" for i in range(5)] + ["http://my-casino.com/fr/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {(r["host"], r["path"].split("/")[1], r["verdict"]) for r in url_filter.judge(df).collect()}
+    assert out == {("clean.com", "de", "block"), ("clean.com", "fr", "allow"), ("clean.com", "en", "allow"), ("clean.com", "es", "allow"), ("my-casino.com", "en", "block"), ("my-casino.com", "fr", "allow")}
+
+
 # 2
 
 def spans(text):
