@@ -88,6 +88,12 @@ def read_back(formatted: Column) -> Column:
     return F.zip_with(roles, texts, lambda r, t: F.struct(unescape(r).alias("role"), unescape(t).alias("text")))
 
 
+def masked(formatted: Column, loss_spans: Column) -> Column:
+    """The texts of the loss spans, unescaped, one after the other."""
+    text = lambda s: F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(text(s))), "")
+
+
 def as_events(rows: DataFrame) -> DataFrame:
     """Finished chat rows (conv_id, turn, role, text) as a log of ``message`` events, one message a row."""
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), or_empty(F.col("role")), or_empty(F.col("text"))))
@@ -103,9 +109,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -7L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role FROM range(2)").withColumn("text", F.lit(probe))
     out = format_chats(as_events(rows.unionByName(extra.select("conv_id", "turn", "role", "text"))))
-    turns = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    turns = turns.withColumn("said", said)
+    return summary(out)
+
+
+def summary(out: DataFrame) -> DataFrame:
+    """Counts and hashes of rendered conversations: turns as they are read back, loss as the spans have it."""
+    turns = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss_spans")).alias("said"))
     return turns.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -453,6 +453,16 @@ def test_round_trip(spark):
         assert list(map(plain, said)) == [t for role, t in want if role == "assistant"]
 
 
+def test_summary_follows_the_spans(spark):
+    rows = [("c", 1, "user", "hi"), ("c", 2, "assistant", "é😀 <\\b>"), ("c", 3, "assistant", ""), ("c", 4, "assistant", "end"), ("d", 1, "user", "alone")]
+    out = chat_format.format_chats(chat_format.as_events(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")))
+    loss = lambda df: {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat_format.summary(df).collect()}
+    says = lambda t: (len(t), hashlib.sha256(t.encode()).hexdigest())
+    assert loss(out) == {"c": says("é😀 <\\b>end"), "d": says("")}
+    wrong = out.withColumn("loss_spans", F.slice("loss_spans", 2, 9))
+    assert loss(wrong)["c"] == says("end")
+
+
 # queries and pipeline
 
 def test_probe_conversation(spark):
