@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +23,11 @@ SECRETS = {
 }
 
 # Words that tell nothing, for keyword extraction.
-STOP_WORDS = "the and or but not in on at to for of is was are be been being have has had do does did will would should could may might can must a an as with from by this that these those i you he she it we they what which who when where why how".split()
+STOP_WORDS = (
+    "the", "and", "or", "but", "not", "in", "on", "at", "to", "for", "of", "is", "was", "are", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "should", "could", "may", "might", "can", "must", "a", "an", "as", "with", "from", "by", "this", "that", "these", "those",
+    "i", "you", "he", "she", "it", "we", "they", "what", "which", "who", "when", "where", "why", "how",
+)
 
 # What a query is cleaned of.
 XML_TAG = r"</?[a-zA-Z_][a-zA-Z0-9_:.-]*(?:\s[^>]*)?>"
@@ -111,31 +116,17 @@ def dedupe_hash(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 12)
 
 
-def _camel(s: str) -> bool:
-    return re.search(r"[A-Z][a-z]+[A-Z]", s) is not None
-
-
-def _snake(s: str) -> bool:
-    return re.search(r"[a-z]_[a-z]", s) is not None
-
-
 def code_terms(query: str, most: int = 8) -> list[str]:
-    """Names of code in a query: parts of paths, and words in camel or snake case."""
-    out: list[str] = []
-
-    def add(word: str, plain: bool) -> None:
-        w = word.strip("".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "_"))
-        if w and len(w) <= 64 and (plain or _camel(w) or _snake(w)) and w not in out and len(out) < most:
-            out.append(w)
-
-    for fragment in query.split():
-        parts = [p for p in re.split(r"[/:]", fragment.strip("()[]{}<>,;!?'\"`")) if p]
-        for p in parts:
-            stem, dot, ext = p.rpartition(".")
-            if stem and ext:
-                add(stem, True)
-            add(p, len(parts) > 1)
-    return out
+    """Names of code in a query: any part of what has a slash or colon, and words in camel or snake case; file endings are left off."""
+    found = []
+    for word in query.split():
+        path = "/" in word or ":" in word
+        for piece in re.findall(r"[^/:]+", word):
+            bare = piece.strip(string.punctuation.replace("_", ""))
+            stem = re.sub(r"\.[A-Za-z0-9]+$", "", bare)
+            cased = re.search(r"[A-Z][a-z]+[A-Z]|[a-z]_[a-z]", bare)
+            found += [stem] * (stem != bare) + [bare] * bool(path or cased)
+    return [x for x in dict.fromkeys(found) if 0 < len(x) <= 64][:most]
 
 
 def fragments(name: str, most: int = 5) -> list[str]:
@@ -150,6 +141,11 @@ def fragments(name: str, most: int = 5) -> list[str]:
     return out[:most]
 
 
+def answer_passes(answer: Column, keywords: list[str], least: int) -> Column:
+    """Whether an answer holds at least so many of the expected keywords."""
+    return answer_score(answer, keywords) >= least
+
+
 def answer_score(answer: Column, keywords: list[str]) -> Column:
     """How many of the expected keywords an answer holds, case aside."""
     return sum((F.contains(F.lower(answer), F.lit(k.lower())).cast("int") for k in keywords), F.lit(0))

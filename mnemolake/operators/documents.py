@@ -67,7 +67,7 @@ def command_output(spark, command: str, output: str, as_of: str, ttl_hours: int
     doc = spark.createDataFrame([(f"cmd://{command}", output)], "source_path string, content string").withColumn("id", F.sha2("source_path", 256)).withColumn("project", F.lit(project).cast("string"))
     chunks = output_chunks(doc)
     until = at(as_of) + F.make_dt_interval(F.lit(0), F.lit(ttl))
-    memory = chunks.agg(F.count("*").alias("n")).select(F.sha2(F.lit(f"cmd://{command}"), 256).alias("id"), F.lit("command-output").alias("topic"), F.concat(F.lit(f"{command}: {output_type(output)}, "), F.col("n").cast("string"), F.lit(" chunks")).alias("summary"), F.lit("ephemeral").alias("importance"), F.lit(0.5).alias("weight"), at(as_of).alias("created_at"), until.alias("expires_at"), F.lit(project).cast("string").alias("project"))
+    memory = chunks.agg(F.count("*").alias("n")).select(F.sha2(F.lit(f"cmd://{command}"), 256).alias("id"), F.lit("command-output").alias("topic"), F.concat(F.lit(f"{command}: "), output_type(F.lit(output)), F.lit(", "), F.col("n").cast("string"), F.lit(" chunks")).alias("summary"), F.lit("ephemeral").alias("importance"), F.lit(0.5).alias("weight"), at(as_of).alias("created_at"), until.alias("expires_at"), F.lit(project).cast("string").alias("project"))
     return doc.drop("content").withColumn("created_at", at(as_of)), chunks, memory
 
 

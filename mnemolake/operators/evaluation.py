@@ -5,46 +5,84 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .memory import active, at, days_before, in_project
 
 # How far apart two records of one thing may be, in seconds, and the band that counts as stable.
 SESSION_TOLERANCE, CORRECTION_TOLERANCE, STABLE = 300, 30, 2.0
+#: Tolerances that a slot of time holds.
+SLOT = 64
 METRICS = {"error_rate": True, "correction_rate": True, "resolution_rate": False, "test_fix_rate": False, "memory_utilization": False}
 
 
+def _same(keys: list[str], *more: str) -> Column:
+    """Equality of the keys with their copies, named with a bar before, nulls alike."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, *more)])
+
+
+def _copy(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_{k}") for k in keys], *more)
+
+
+def islands(rows: DataFrame, keys: list[str], pause: int) -> DataFrame:
+    """``rows`` with ``island``, the number of the run within its key: runs end at pauses of more than ``pause`` seconds.
+
+    Time is cut into slots. Rows are put in order within their key and slot only;
+    what goes on across slots is told by the last moment of the slot before,
+    from a table with a row a key and slot.
+    """
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    x = rows.withColumn("_t", micros).withColumn("slot", F.floor(micros / (SLOT * pause * 1_000_000)).cast("long"))
+    edges = x.groupBy(*keys, "slot").agg(F.max("_t").alias("hi"))
+    slots = Window.partitionBy(*keys).orderBy("slot")
+    edges = _copy(edges.withColumn("_last", F.lag("hi").over(slots)), keys, F.col("slot").alias("_slot"), "_last")
+    inside = Window.partitionBy(*keys, "slot").orderBy("_t", "old", "id")
+    x = x.withColumn("_before", F.lag("_t").over(inside)).join(edges, _same(keys, "slot")).drop(*[f"_{k}" for k in keys], "_slot")
+    x = x.withColumn("_cut", F.coalesce(F.col("_t") - F.coalesce("_before", "_last") > pause * 1_000_000, F.lit(False)).cast("int"))
+    x = x.withColumn("_own", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    held = x.groupBy(*keys, "slot").agg(F.sum("_cut").alias("cuts"))
+    held = _copy(held.withColumn("_base", F.coalesce(F.sum("cuts").over(slots.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), keys, F.col("slot").alias("_slot"), "_base")
+    return x.join(held, _same(keys, "slot")).select(*rows.columns, (F.col("_base") + F.col("_own")).alias("island"))
+
+
 def unmatched(legacy: DataFrame, structured: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
-    """Legacy rows (keys, at, id) that no structured row (keys, at) within the tolerance stands for, one for one.
+    """Legacy rows (keys, at, id) that no structured row (keys, at) within the tolerance, in whole seconds, stands for, one for one.
 
     Greedy in the order of time: each legacy row takes the earliest unused
-    structured row. Only keys that both sides have are worked on, and a key's
-    rows are split at pauses longer than the tolerance, across which nothing can
-    match, so no task holds more than one such run.
+    structured row. A key's rows are cut into islands at pauses longer than the
+    tolerance, across which nothing can match, and only islands with rows of both
+    kinds are walked through, both kinds once.
     """
     both = legacy.select(*keys, "at", "id", F.lit(1).alias("old")).unionByName(structured.select(*keys, "at", F.lit("").alias("id"), F.lit(0).alias("old")))
-    run = Window.partitionBy(*keys).orderBy("at", "old", "id")
-    gap = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(run).cast("timestamp"))
-    both = both.withColumn("island", F.sum(F.when(gap > tolerance * 1_000_000, 1).otherwise(0)).over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    both = islands(both, keys, tolerance + 1)
 
     def match(g: pd.DataFrame) -> pd.DataFrame:
-        olds, news = g[g.old == 1].sort_values(["at", "id"]), sorted(g[g.old == 0]["at"])
-        left, span = [], pd.Timedelta(seconds=tolerance)
+        span, left, j = pd.Timedelta(seconds=tolerance + 1), [], 0
+        olds, news = g[g.old == 1].sort_values(["at", "id"]), g[g.old == 0]["at"].sort_values().tolist()
         for t, i in zip(olds["at"], olds["id"], strict=True):
-            k = next((j for j, n in enumerate(news) if abs(n - t) <= span), None)
-            if k is None:
-                left.append(i)
+            while j < len(news) and t - news[j] >= span:
+                j += 1
+            if j < len(news) and news[j] - t < span:
+                j += 1
             else:
-                news.pop(k)
+                left.append(i)
         return pd.DataFrame({"id": pd.Series(left, dtype=object)})
 
-    mixed = both.groupBy(*keys, "island").agg(F.min("old").alias("lo"), F.max("old").alias("hi"))
-    alone = both.join(mixed.where((F.col("lo") == 1) & (F.col("hi") == 1)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("island").alias("_i")), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) & (F.col("island") == F.col("_i")), "left_semi").select("id")
-    met = both.join(mixed.where((F.col("lo") == 0) & (F.col("hi") == 1)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("island").alias("_i")), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) & (F.col("island") == F.col("_i")), "left_semi")
+    kinds = both.groupBy(*keys, "island").agg(F.min("old").alias("lo"), F.max("old").alias("hi"))
+    kinds = _copy(kinds, keys, F.col("island").alias("_island"), "lo", "hi")
+    x = both.join(kinds, _same(keys, "island"))
+    alone = x.where((F.col("lo") == 1) & (F.col("hi") == 1)).select("id")
+    met = x.where((F.col("lo") == 0) & (F.col("hi") == 1)).select(*keys, "island", "at", "id", "old")
     return alone.unionByName(met.groupBy(*keys, "island").applyInPandas(match, "id string"))
 
 
+def session_record(task: Column, summary: Column) -> Column:
+    """What a session's end was once stored as: the summary of a memory."""
+    return F.when(task.isNotNull(), F.concat(F.lit("Session completed: "), task, F.lit(". "), summary)).otherwise(F.concat(F.lit("Session completed. "), summary))
+
+
 def window(memories: DataFrame, sessions: DataFrame, recalls: DataFrame, signals: DataFrame, as_of: str, newest: float, oldest: float, project: str | None = None) -> DataFrame:
     """The counters of one window, in one row; both bounds belong to it."""
     lo, hi = days_before(as_of, oldest), days_before(as_of, newest)
@@ -55,18 +93,18 @@ def window(memories: DataFrame, sessions: DataFrame, recalls: DataFrame, signals
     g = signals.where(F.col("occurred_at").between(lo, hi) & in_project(project))
     r = recalls.where(F.col("recalled_at").between(lo, hi) & in_project(project))
     sig = g.agg(*[F.count_if(F.col("signal_type") == t).alias(n) for t, n in (("tool_error", "se"), ("correction", "sc"), ("error_resolved", "sr"), ("test_passed", "st"))])
-    ses = s.agg(F.count("*").alias("s_n"))
+    ses = s.agg(F.count("*").alias("s_n"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "task", "summary"))), F.lit(0)).alias("s_len"))
     rec = r.agg(F.coalesce(F.sum(F.size("memory_ids")), F.lit(0)).alias("r_n"))
     old_s = made.where(F.col("topic").startswith("session/")).select(F.coalesce("project", "topic").alias("project"), "summary", F.col("created_at").alias("at"), "id")
-    new_s = s.where(F.col("summary").isNotNull()).select("project", "summary", F.coalesce("ended_at", "started_at").alias("at"))
-    xs = unmatched(old_s, new_s, ["project", "summary"], SESSION_TOLERANCE).agg(F.count("*").alias("s_x"))
+    new_s = s.where(F.col("summary").isNotNull()).select("project", session_record(F.col("task"), F.col("summary")).alias("summary"), F.coalesce("ended_at", "started_at").alias("at"))
+    xs = old_s.join(unmatched(old_s, new_s, ["project", "summary"], SESSION_TOLERANCE), "id", "left_semi").agg(F.count("*").alias("s_x"), F.coalesce(F.sum(F.octet_length("summary")), F.lit(0)).alias("s_more"))
     old_c = made.where(F.col("topic") == "corrections").select("project", F.col("created_at").alias("at"), "id")
     xc = unmatched(old_c, g.where(F.col("signal_type") == "correction").select("project", F.col("occurred_at").alias("at")), ["project"], CORRECTION_TOLERANCE).agg(F.count("*").alias("c_x"))
     old_r = m.where((F.col("access_count") > 0) & F.col("last_accessed").between(lo, hi)).select(F.col("id").alias("memory"), F.col("last_accessed").alias("at"), "id")
     new_r = r.select(F.explode("memory_ids").alias("memory"), F.col("recalled_at").alias("at"))
     xr = unmatched(old_r, new_r, ["memory"], SESSION_TOLERANCE).agg(F.count("*").alias("r_x"))
     one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [counted, sig, ses, rec, xs, xc, xr])  # one row each
-    return one.select((F.col("se") + F.col("le")).alias("error_count"), (F.col("sc") + F.col("c_x")).alias("correction_count"), (F.col("sr") + F.col("lr")).alias("resolved_count"), "failed_test_count", (F.col("st") + F.col("lt")).alias("resolved_test_count"), (F.col("s_n") + F.col("s_x")).alias("session_count"), (F.col("r_n") + F.col("r_x")).alias("recalled_memory_count"))
+    return one.select((F.col("se") + F.col("le")).alias("error_count"), (F.col("sc") + F.col("c_x")).alias("correction_count"), (F.col("sr") + F.col("lr")).alias("resolved_count"), "failed_test_count", (F.col("st") + F.col("lt")).alias("resolved_test_count"), (F.col("s_n") + F.col("s_x")).alias("session_count"), (F.col("s_len") + F.col("s_more")).alias("total_session_length"), (F.col("r_n") + F.col("r_x")).alias("recalled_memory_count"))
 
 
 def metrics(w: DataFrame) -> DataFrame:
@@ -101,10 +139,13 @@ def report(recent: DataFrame, previous: DataFrame, stable_band: bool = True) ->
     return x.select("metric", "previous", "recent", trend.alias("trend"))
 
 
+# The sentences of the verdict.
+VERDICTS = ("Needs attention: Most metrics declining or stable", "Mixed: Limited improvement", "Fair: Some improvement", "Good: Most metrics improving", "Excellent: All metrics improving")
+
+
 def assessment(rows: DataFrame) -> DataFrame:
     good = F.count_if(F.col("trend").isin("better", "improving") & (F.col("metric") != "memory_utilization"))
-    words = ["Needs attention: Most metrics declining or stable", "Mixed: Limited improvement", "Fair: Some improvement", "Good: Most metrics improving", "Excellent: All metrics improving"]
-    return rows.agg(good.alias("n")).select(F.element_at(F.array(*[F.lit(w) for w in words]), F.col("n").cast("int") + 1).alias("assessment"))
+    return rows.agg(good.alias("n")).select(F.element_at(F.array(*[F.lit(w) for w in VERDICTS]), F.col("n").cast("int") + 1).alias("assessment"))
 
 
 def effectiveness_window(recalls: DataFrame, effects: DataFrame, as_of: str, newest: float, oldest: float, project: str | None = None) -> DataFrame:
@@ -118,3 +159,9 @@ def top_recalled(recalls: DataFrame, effects: DataFrame, as_of: str, newest: flo
     r = recalls.where(F.col("recalled_at").between(days_before(as_of, oldest), days_before(as_of, newest))).select(F.col("id").alias("recall_event_id"), F.explode("memory_ids").alias("memory_id"))
     x = r.join(effects.select("recall_event_id", "memory_id", "effectiveness"), ["recall_event_id", "memory_id"])
     return x.groupBy("memory_id").agg(F.avg("effectiveness").alias("effectiveness")).orderBy(F.desc(F.round("effectiveness", 9)), "memory_id").limit(n)
+
+
+def with_labels(top: DataFrame, memories: DataFrame) -> DataFrame:
+    """Recalled memories (memory_id, ...) with topic and the start of the summary; ``?`` for those that are gone."""
+    m = memories.select(F.col("id").alias("memory_id"), "topic", F.substring("summary", 1, 60).alias("label"))
+    return top.join(m, "memory_id", "left").withColumns({c: F.coalesce(c, F.lit("?")) for c in ("topic", "label")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import SESSION_TOLERANCE, unmatched
+from .evaluation import SESSION_TOLERANCE, session_record, unmatched
 from .memory import active, in_project
 
 
@@ -16,8 +16,7 @@ def examples(memories: DataFrame, sessions: DataFrame, project: str | None = Non
     cols = ["topic", "summary", "weight", "access_count", F.col("id").alias("source_id")]
     out = m.where(told).select(*cols)
     s = sessions.where(F.col("summary").isNotNull() & in_project(project))
-    text = F.when(F.col("task").isNotNull(), F.concat(F.lit("Session completed: "), "task", F.lit(". "), "summary")).otherwise(F.concat(F.lit("Session completed. "), "summary"))
-    s = s.select(F.concat(F.lit("session/"), "project").alias("topic"), text.alias("summary"), F.coalesce("ended_at", "started_at").alias("at"))
+    s = s.select(F.concat(F.lit("session/"), "project").alias("topic"), session_record(F.col("task"), F.col("summary")).alias("summary"), F.coalesce("ended_at", "started_at").alias("at"))
     legacy = m.where(F.col("topic").startswith("session/"))
     left = unmatched(legacy.select("topic", "summary", F.col("created_at").alias("at"), "id"), s, ["topic", "summary"], SESSION_TOLERANCE)
     out = out.unionByName(s.select("topic", "summary", F.lit(1.0).alias("weight"), F.lit(None).cast("long").alias("access_count"), F.lit(None).cast("string").alias("source_id")))

@@ -74,14 +74,19 @@ def with_names(links: DataFrame, concepts: DataFrame) -> DataFrame:
     return x.withColumns({c: F.coalesce(c, F.lit("?")) for c in ("source", "target")})
 
 
+def label_texts(labels: Column) -> Column:
+    """``namespace:value`` of each label."""
+    return F.transform(labels, lambda x: F.concat_ws(":", x["namespace"], x["value"]))
+
+
 def with_label(concepts: DataFrame, memoir: str, label: str, limit: int = 20) -> DataFrame:
-    return concepts.where((F.col("memoir_id") == memoir) & F.array_contains("labels", label)).orderBy(F.desc("confidence"), "id").limit(limit)
+    return concepts.where((F.col("memoir_id") == memoir) & F.array_contains(label_texts(F.col("labels")), label)).orderBy(F.desc("confidence"), "id").limit(limit)
 
 
 def with_labels(concepts: DataFrame, memoir: str, labels: list[str]) -> DataFrame:
     """Concepts that have all the labels."""
     want = F.array(*[F.lit(x) for x in labels])
-    return concepts.where((F.col("memoir_id") == memoir) & (F.size(F.array_intersect("labels", want)) == len(set(labels))))
+    return concepts.where((F.col("memoir_id") == memoir) & (F.size(F.array_intersect(label_texts(F.col("labels")), want)) == len(set(labels))))
 
 
 def callers(links: DataFrame, id: str, kinds: tuple[str, ...] = CALLS) -> DataFrame:
@@ -103,11 +108,15 @@ def memoir_stats(concepts: DataFrame, links: DataFrame, memoir: str) -> DataFram
 
 
 def label_counts(concepts: DataFrame, memoir: str) -> DataFrame:
-    return concepts.where(F.col("memoir_id") == memoir).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+    return concepts.where(F.col("memoir_id") == memoir).select(F.explode(label_texts(F.col("labels"))).alias("label")).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
 
 
-def refine(concepts: DataFrame, id: str, definition: str) -> DataFrame:
+def refine(concepts: DataFrame, id: str, definition: str, memory_ids: tuple[str, ...] = ()) -> DataFrame:
+    """A new definition, a tenth more confidence, a revision more, and the memories it comes from merged in."""
     this = F.col("id") == id
+    if memory_ids and "source_memory_ids" in concepts.columns:
+        more = F.array_union(F.coalesce("source_memory_ids", F.array().cast("array<string>")), F.array(*[F.lit(m) for m in memory_ids]))
+        concepts = concepts.withColumn("source_memory_ids", F.when(this, more).otherwise(F.col("source_memory_ids")))
     return concepts.withColumns({"definition": F.when(this, definition).otherwise(F.col("definition")), "confidence": F.when(this, F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence")), "revision": F.when(this, F.col("revision") + 1).otherwise(F.col("revision"))})
 
 
@@ -143,9 +152,76 @@ def resolve_edges(edges: DataFrame, concepts: DataFrame, memoir: str) -> tuple[D
 
 def prune_concepts(concepts: DataFrame, links: DataFrame, memoir: str, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Concepts of the memoir whose name ``keep`` (name) lacks go, with their links."""
-    gone = concepts.where(F.col("memoir_id") == memoir).join(keep.select("name"), "name", "left_anti").select("id")
-    left = links.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
-    return concepts.join(gone, "id", "left_anti"), left.select(*links.columns)
+    return delete_concepts(concepts, links, concepts.where(F.col("memoir_id") == memoir).join(keep.select("name"), "name", "left_anti"))
+
+
+def named(table: DataFrame, name: str, memoir: str | None = None) -> DataFrame:
+    """Memoirs, or with ``memoir`` its concepts, of a name."""
+    return table.where((F.col("name") == name) & (F.lit(True) if memoir is None else F.col("memoir_id") == memoir))
+
+
+def listed(table: DataFrame, memoir: str | None = None) -> DataFrame:
+    """Memoirs, or the concepts of one, by name."""
+    return table.where(F.lit(True) if memoir is None else F.col("memoir_id") == memoir).orderBy("name", "id")
+
+
+def search_labelled(concepts: DataFrame, found: DataFrame, label: str, limit: int = 20) -> DataFrame:
+    """Concepts found by full text (id, rank) that have the label, best first."""
+    have = concepts.where(F.array_contains(label_texts(F.col("labels")), label)).select("id", "name")
+    return found.select("id", "rank").join(have, "id").orderBy("rank", "name", "id").limit(limit)
+
+
+def with_memoir_names(concepts: DataFrame, memoirs: DataFrame) -> DataFrame:
+    return concepts.join(memoirs.select(F.col("id").alias("memoir_id"), F.col("name").alias("memoir")), "memoir_id", "left")
+
+
+def add_memoirs(memoirs: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds memoirs whose name isn't taken."""
+    return memoirs.unionByName(new.dropDuplicates(["name"]).join(memoirs.select("name"), "name", "left_anti"), allowMissingColumns=True)
+
+
+def update_memoir(memoirs: DataFrame, id: str, as_of: str, name: str | None = None, description: str | None = None) -> DataFrame:
+    this = F.col("id") == id
+    change = {k: F.lit(v) for k, v in (("name", name), ("description", description)) if v is not None}
+    if "updated_at" in memoirs.columns:
+        change["updated_at"] = F.lit(as_of).cast("timestamp_ntz")
+    return memoirs.withColumns({c: F.when(this, v).otherwise(F.col(c)) for c, v in change.items()})
+
+
+def add_concepts(concepts: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds concepts whose memoir has none of their name, at half confidence unless told, in their first revision."""
+    fresh = new.dropDuplicates(["memoir_id", "name"]).join(concepts.select("memoir_id", "name"), ["memoir_id", "name"], "left_anti")
+    held = {"confidence": F.lit(0.5), "revision": F.lit(1)}
+    fresh = fresh.withColumns({c: F.coalesce(c, v) if c in fresh.columns else v for c, v in held.items()})
+    return concepts.unionByName(fresh, allowMissingColumns=True)
+
+
+def update_concept(concepts: DataFrame, id: str, definition: str | None = None, confidence: float | None = None) -> DataFrame:
+    this = F.col("id") == id
+    change = {k: F.lit(v) for k, v in (("definition", definition), ("confidence", confidence)) if v is not None}
+    return concepts.withColumns({c: F.when(this, v).otherwise(F.col(c)) for c, v in change.items()})
+
+
+def delete_concepts(concepts: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The concepts in ``gone`` (id) go, with their links."""
+    left = links.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("id").alias("target_id")), "target_id", "left_anti")
+    return concepts.join(gone.select("id"), "id", "left_anti"), left.select(*links.columns)
+
+
+def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds links (source_id, target_id, relation, weight) under their canonical relation; a link that is there stays."""
+    key = ["source_id", "target_id", "relation"]
+    fresh = new.where(F.col("source_id") != F.col("target_id")).withColumn("relation", relation(F.col("relation"))).groupBy(*key).agg(F.max("weight").alias("weight"))
+    return links.unionByName(fresh.join(links.select(*key), key, "left_anti"), allowMissingColumns=True)
+
+
+def delete_links(links: DataFrame, gone: DataFrame) -> DataFrame:
+    key = ["source_id", "target_id", "relation"]
+    return links.join(gone.withColumn("relation", relation(F.col("relation"))).select(*key), key, "left_anti").select(*links.columns)
+
+
+def links_of(links: DataFrame, id: str, outgoing: bool = True) -> DataFrame:
+    return links.where(F.col("source_id" if outgoing else "target_id") == id)
 
 
 def delete_memoir(memoirs: DataFrame, concepts: DataFrame, links: DataFrame, memoir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from mnemolake.functions.text import extract_keywords
 
 from .memory import active, at, by_topic, days_before, in_project
 
+# Topics of lessons with what their groups are called; the sentences of lessons below are fixed too.
 LESSON_TOPICS = {"corrections": ("corrections", "correction"), "errors/resolved": ("errors", "error"), "tests/resolved": ("tests", "test")}
 
 
@@ -88,7 +89,7 @@ def changelog(memories: DataFrame, sessions: DataFrame, since: str, project: str
     """Counts since a cutoff: sessions, memories by topic, resolved errors, corrections."""
     m = memories.where(active() & in_project(project) & (F.col("created_at") >= at(since)))
     by = m.groupBy("topic").agg(F.count("*").alias("n")).select(F.concat(F.lit("topic "), "topic").alias("entry"), "n")
-    s = sessions.where(F.coalesce(F.col("ended_at"), F.col("started_at")) >= at(since)).agg(F.count("*").alias("n")).select(F.lit("sessions").alias("entry"), "n")
+    s = sessions.where(in_project(project) & (F.coalesce(F.col("ended_at"), F.col("started_at")) >= at(since))).agg(F.count("*").alias("n")).select(F.lit("sessions").alias("entry"), "n")
     return by.unionByName(s)
 
 

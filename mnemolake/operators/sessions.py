@@ -36,6 +36,20 @@ def active_session(sessions: DataFrame, project: str, scope: str | None = None)
     return sessions.where((F.col("project") == project) & (F.col("status") == "active") & F.col("scope").eqNullSafe(F.lit(scope))).orderBy(F.desc("started_at"), "id").limit(1)
 
 
+def get(sessions: DataFrame, id: str) -> DataFrame:
+    return sessions.where(F.col("id") == id)
+
+
+def status(sessions: DataFrame, id: str) -> DataFrame:
+    """(found, status) in one row, whether or not there is such a session."""
+    return get(sessions, id).agg((F.count("*") > 0).alias("found"), F.max("status").alias("status"))
+
+
+def import_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds the sessions whose id isn't known; the others stay as they are."""
+    return sessions.unionByName(new.dropDuplicates(["id"]).join(sessions.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
 def start(sessions: DataFrame, new: DataFrame) -> DataFrame:
     """Adds sessions (like the table) whose project and scope have no active one."""
     busy = sessions.where(F.col("status") == "active").select(F.col("project").alias("p"), F.col("scope").alias("s"))
@@ -53,13 +67,19 @@ def end(sessions: DataFrame, id: str, as_of: str, summary: str | None, errors: i
 
 
 def timeline(sessions: DataFrame, recalls: DataFrame, signals: DataFrame, limit: int | None = None) -> DataFrame:
-    """Per session its event counts, last activity and events, newest first; one grouping over the union of the logs."""
+    """Per session its event counts, last activity and events, newest first. Events are gathered for the sessions within the limit only."""
     r = recalls.select("session_id", F.col("recalled_at").alias("at"), F.lit("recall").alias("kind"), F.col("query").alias("detail"))
     s = signals.select("session_id", F.col("occurred_at").alias("at"), F.lit("outcome").alias("kind"), F.col("signal_type").alias("detail"))
-    e = r.unionByName(s).groupBy(F.col("session_id").alias("id")).agg(F.count_if(F.col("kind") == "recall").alias("recall_count"), F.count_if(F.col("kind") == "outcome").alias("outcome_count"), F.max("at").alias("last"), F.sort_array(F.collect_list(F.struct("at", "kind", "detail")), False).alias("events"))
-    x = sessions.join(e, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("recall_count", "outcome_count")})
+    e = r.unionByName(s).withColumnRenamed("session_id", "id")
+    n = e.groupBy("id").agg(F.count_if(F.col("kind") == "recall").alias("recall_count"), F.count_if(F.col("kind") == "outcome").alias("outcome_count"), F.max("at").alias("last"))
+    x = sessions.join(n, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("recall_count", "outcome_count")})
     x = x.withColumn("last_activity", F.greatest("started_at", "ended_at", "last")).drop("last")
-    return x.orderBy(F.desc("last_activity"), "id").limit(limit) if limit is not None else x
+    if limit is not None:
+        x = x.orderBy(F.desc("last_activity"), "id").limit(limit)
+        e = e.join(x.select("id"), "id", "left_semi")
+    events = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "detail")), False).alias("events"))
+    out = x.join(events, "id", "left")
+    return out.orderBy(F.desc("last_activity"), "id") if limit is not None else out
 
 
 def context_query(files: list[str], errors: list[str], branch: str | None) -> str:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import active, at, in_project
@@ -91,26 +90,37 @@ def expire(memories: DataFrame, as_of: str) -> DataFrame:
 
 
 def consolidated(memories: DataFrame, topic: str, project: str | None = None) -> DataFrame:
-    """One memory that stands for the topic's active ones."""
+    """One memory that stands for the topic's active ones.
+
+    Summaries come from the first eight; keywords are put in the order of their
+    first use by one aggregate each, so that only the result's own lists are gathered.
+    """
     m = memories.where((F.col("topic") == topic) & active() & in_project(project))
     rank = F.lit(0)
     for name, r in RANK.items():
         rank = F.when(F.col("importance") == name, r).otherwise(rank)
     cut = F.when(F.length("summary") <= 120, F.col("summary")).otherwise(F.concat(F.substring("summary", 1, 120), F.lit("…")))
     order = F.struct("created_at", "id")
-    # Only the first eight summaries are needed, so no others are gathered.
-    nth = F.row_number().over(Window.partitionBy("topic").orderBy("created_at", "id"))
-    g = m.withColumn("rank", rank).withColumn("nth", nth).groupBy("topic").agg(
+    g = m.withColumn("rank", rank).groupBy("topic").agg(
         F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("nth") <= 8, F.struct("nth", cut.alias("s"))))).alias("first"),
         F.min_by("summary", order).alias("only"),
         F.max_by("importance", "rank").alias("importance"),
-        F.array_sort(F.collect_list(F.struct("nth", "keywords"))).alias("k"),
-        F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("i"),
+        F.transform(F.array_sort(F.collect_list(order)), lambda x: x["id"]).alias("related_ids"),
         *[F.max_by(c, order).alias(c) for c in ("project", "branch", "worktree")],
     )
-    text = F.when(F.col("n") == 1, F.col("only")).otherwise(F.concat(F.lit("Consolidated "), F.col("n").cast("string"), F.lit(f" memories for topic '{topic}': "), F.array_join(F.col("first.s"), " | ")))
-    return g.select(F.concat(F.lit("consolidated:"), "topic").alias("id"), "topic", text.alias("summary"), "importance", F.array_distinct(F.flatten(F.col("k.keywords"))).alias("keywords"), F.col("i.id").alias("related_ids"), F.lit(1.0).alias("weight"), "project", "branch", "worktree")
+    first = m.orderBy("created_at", "id").limit(8).select("created_at", "id", cut.alias("s")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "s"))), lambda x: x["s"]), " | ").alias("said"))
+    used = m.select("created_at", "id", F.posexplode("keywords").alias("i", "k")).groupBy("k").agg(F.min(F.struct("created_at", "id", "i")).alias("at"))
+    words = used.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "k"))), lambda x: x["k"]).alias("keywords"))
+    text = F.when(F.col("n") == 1, F.col("only")).otherwise(F.concat(F.lit("Consolidated "), F.col("n").cast("string"), F.lit(f" memories for topic '{topic}': "), "said"))
+    g = g.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(words))  # one row each
+    return g.select(F.concat(F.lit("consolidated:"), "topic").alias("id"), "topic", text.alias("summary"), "importance", "keywords", "related_ids", F.lit(1.0).alias("weight"), "project", "branch", "worktree")
+
+
+def consolidate_as(memories: DataFrame, topic: str, id: str, summary: str, as_of: str, project: str | None = None) -> DataFrame:
+    """The topic's active memories give way to one with a given summary, of high importance."""
+    gone = (F.col("topic") == topic) & active() & in_project(project)
+    new = memories.sparkSession.range(1).select(F.lit(id).alias("id"), F.lit(topic).alias("topic"), F.lit(summary).alias("summary"), F.lit("high").alias("importance"), F.lit(1.0).alias("weight"), at(as_of).alias("created_at"), at(as_of).alias("updated_at"), F.lit(project).cast("string").alias("project"))
+    return memories.where(~gone).unionByName(new, allowMissingColumns=True)
 
 
 def consolidate(memories: DataFrame, topic: str, project: str | None = None) -> DataFrame:
@@ -180,20 +190,19 @@ def audit(log: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def fnv1a(text: Column) -> Column:
-    """64-bit FNV-1a of the UTF-8 bytes, as 16 hexadecimal digits."""
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            h = 0xCBF29CE484222325
-            for b in t.encode():
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            return f"{h:016x}"
+    """64-bit FNV-1a of the UTF-8 bytes, as 16 hexadecimal digits; the product is worked out on 32-bit halves."""
+    low = 0xFFFFFFFF
+    codes = F.filter(F.split(F.hex(F.encode(text, "UTF-8")), r"(?<=\G..)"), lambda x: x != "")
 
-        return s.map(one)
+    def step(h: Column, code: Column) -> Column:
+        # The prime is 2^40 + 435.
+        lo = h["lo"].bitwiseXOR(F.conv(code, 16, 10).cast("long"))
+        product = lo * 435
+        hi = (h["hi"] * 435 + F.shiftright(product, 32) + lo * 256).bitwiseAND(F.lit(low))
+        return F.struct(hi.alias("hi"), product.bitwiseAND(F.lit(low)).alias("lo"))
 
-    return run(text)
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    return F.aggregate(codes, start, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))))
 
 
 def audit_list(log: DataFrame, since: str | None = None, operation: str | None = None, limit: int = 20) -> DataFrame:
@@ -205,6 +214,10 @@ def audit_list(log: DataFrame, since: str | None = None, operation: str | None =
     return log.where(keep).orderBy(F.desc("timestamp"), "id").limit(limit)
 
 
+def audit_get(log: DataFrame, id: str) -> DataFrame:
+    return log.where(F.col("id") == id)
+
+
 def rollback(memories: DataFrame, log: DataFrame, entry_id: str) -> DataFrame:
     """Undoes a store (unless the memory was updated later) or an invalidation."""
     entry = log.where(F.col("id") == entry_id).select("memory_id", "operation", F.col("timestamp").alias("at"))

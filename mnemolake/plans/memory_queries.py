@@ -190,6 +190,11 @@ def _(t):
     return I.changelog(t.memories, t.sessions, "2024-01-20 00:00:00")
 
 
+@query("changelog_project", "SELECT 'topic ' || topic AS entry, count(*) AS n FROM memories WHERE invalidated_at IS NULL AND project = 'en' AND created_at >= TIMESTAMP '2024-01-20' GROUP BY topic UNION ALL SELECT 'sessions', count(*) FROM sessions WHERE project = 'en' AND coalesce(ended_at, started_at) >= TIMESTAMP '2024-01-20'")
+def _(t):
+    return I.changelog(t.memories, t.sessions, "2024-01-20 00:00:00", "en")
+
+
 @query("compact_summaries", "SELECT id, summary FROM (SELECT * FROM sessions WHERE project = 'p1' ORDER BY started_at DESC, id LIMIT 20) WHERE summary IS NOT NULL")
 def _(t):
     return I.compact_summaries(t.sessions, "p1", 20).select("id", "summary")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemolake.sources.adapters import view, with_views
+from mnemolake.sources.snapshot import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +27,19 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+    def stored(self, name: str, write: Callable[[str], None]) -> str:
+        """The folder of something derived from the tables, written once a session: what a store keeps beside its rows."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            at = f"{shared_folder(self.spark)}/derived-{hashlib.sha256('|'.join(key).encode()).hexdigest()[:16]}"
+            write(at)
+            _STORED[key] = at
+        return _STORED[key]
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 def query(name: str, sql: str | None = None):
     """Registers ``f(tables)`` as a query; ``sql`` may name views of the adapters."""
 

@@ -11,6 +11,10 @@ from mnemolake.sources.adapters import AS_OF
 
 from .registry import Tables, query
 
+def memory_index(t: Tables) -> S.TextIndex:
+    return S.TextIndex.open(t.spark, t.stored("memory_index", lambda at: S.TextIndex.write(t.memories, "id", S.memory_text(), at)))
+
+
 QUERY, PHRASE = "and thing", "thing/the"
 TEXT = "concat_ws(' ', id, topic, summary, array_to_string(keywords, ' '))"
 QUERY_VECTOR = 3
@@ -49,55 +53,55 @@ def _ranked(df):
 
 @query("fts_match_weight", _fts("invalidated_at IS NULL AND project = 'en'"))
 def _(t):
-    return _ranked(S.fts(t.memories, QUERY, "en", ranked=False))
+    return _ranked(S.fts(t.memories, QUERY, "en", ranked=False, index=memory_index(t)))
 
 
 @query("fts_bm25", _fts("invalidated_at IS NULL", "rank, weight DESC, created_at DESC, id", 20, 5))
 def _(t):
-    return _ranked(S.fts(t.memories, QUERY, None, 20, 5))
+    return _ranked(S.fts(t.memories, QUERY, None, 20, 5, index=memory_index(t)))
 
 
 @query("fts_in_topic", _fts("invalidated_at IS NULL AND topic = 'notes'"))
 def _(t):
-    return _ranked(S.fts(t.memories, QUERY, topic="notes", ranked=False))
+    return _ranked(S.fts(t.memories, QUERY, topic="notes", ranked=False, index=memory_index(t)))
 
 
 @query("fts_scoped", _fts("invalidated_at IS NULL AND worktree = 'beta'", "rank, weight DESC, created_at DESC, id"))
 def _(t):
-    return _ranked(S.fts(t.memories, QUERY, worktree="beta"))
+    return _ranked(S.fts(t.memories, QUERY, worktree="beta", index=memory_index(t)))
 
 
 @query("fts_all", _fts("true", "rank, weight DESC, created_at DESC, id", 1_000_000))
 def _(t):
-    return _ranked(S.fts(t.memories, QUERY, limit=1_000_000, include_invalidated=True))
+    return _ranked(S.fts(t.memories, QUERY, limit=1_000_000, include_invalidated=True, index=memory_index(t)))
 
 
 @query("fts_projects", _fts("invalidated_at IS NULL AND project IN ('en', '_shared')"))
 def _(t):
-    return _ranked(S.fts(t.memories, QUERY, projects=["en", "_shared"], ranked=False))
+    return _ranked(S.fts(t.memories, QUERY, projects=["en", "_shared"], ranked=False, index=memory_index(t)))
 
 
 @query("fts_count", f"WITH {_HITS} SELECT count(*) AS n FROM h WHERE invalidated_at IS NULL")
 def _(t):
-    return S.bm25(t.memories, S.memory_text(), fts_phrases(QUERY)).where("invalidated_at IS NULL").agg(F.count("*").alias("n"))
+    return S.bm25(t.memories, S.memory_text(), fts_phrases(QUERY), index=memory_index(t)).where("invalidated_at IS NULL").agg(F.count("*").alias("n"))
 
 
 @query("fts_phrase", _fts("invalidated_at IS NULL", "rank, weight DESC, created_at DESC, id", hits=_bm25("h", " memories", TEXT, fts_phrases(PHRASE))))
 def _(t):
-    return _ranked(S.fts(t.memories, PHRASE))
+    return _ranked(S.fts(t.memories, PHRASE, index=memory_index(t)))
 
 
 @query("fts_keyword_fallback", "SELECT id, weight FROM memories WHERE contains(lower(summary), 'zzqx') OR contains(lower(topic), 'zzqx') OR contains(lower(array_to_string(keywords, '\",\"')), 'zzqx') OR contains(lower(summary), 'tion') OR contains(lower(topic), 'tion') OR contains(lower(array_to_string(keywords, '\",\"')), 'tion') QUALIFY invalidated_at IS NULL ORDER BY weight DESC, id LIMIT 10".replace("WHERE ", "WHERE invalidated_at IS NULL AND (").replace(" QUALIFY invalidated_at IS NULL", ")"))
 def _(t):
-    return S.fts_or_keywords(t.memories, "zzqx tion", None, 10).select("id", "weight")
+    return S.fts_or_keywords(t.memories, "zzqx tion", None, 10, memory_index(t)).select("id", "weight")
 
 
 @query("postings", f"WITH p AS (SELECT id, unnest(regexp_extract_all(lower({TEXT}), '{TOKEN}')) AS token, len(regexp_extract_all(lower({TEXT}), '{TOKEN}')) AS dl FROM memories) SELECT token, id, dl, count(*) AS tf FROM p GROUP BY ALL")
 def _(t):
-    return S.postings(t.memories, "id", S.memory_text())
+    return memory_index(t).postings.select("token", "id", "dl", F.size("places").cast("long").alias("tf"))
 
 
-_CONCEPT = "concat_ws(' ', id, name, definition, array_to_string(labels, ' '))"
+_CONCEPT = "concat_ws(' ', id, name, definition, array_to_string(list_transform(labels, lambda y: y.namespace || ':' || y.value), ' '))"
 
 
 @query("concept_fts", f"WITH {_bm25('h', ' concepts', _CONCEPT, [['supplier'], ['nation']])} SELECT id, round(rank, 6) AS rank FROM h WHERE memoir_id = 'mem_geo' ORDER BY rank, name, id LIMIT 10")
@@ -113,6 +117,15 @@ chunks AS (SELECT ch.*, e.embedding FROM ch LEFT JOIN main.embeddings e ON ch.ch
 
 
 def chunks(t: Tables):
+    """The stored chunks."""
+    return t.spark.read.parquet(t.stored("chunks", lambda at: _chunk(t).write.mode("overwrite").parquet(at)))
+
+
+def chunk_index(t: Tables) -> S.TextIndex:
+    return S.TextIndex.open(t.spark, t.stored("chunk_index", lambda at: S.TextIndex.write(chunks(t), "id", S.chunk_text(), at)))
+
+
+def _chunk(t: Tables):
     """Window chunks of the documents; the first of each has the document's vector."""
     c = window_chunks(t.rag_documents, 500, 50).withColumn("heading", F.lit(None).cast("string"))
     e = t.raw("embeddings").select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
@@ -124,7 +137,7 @@ _CHITS = _bm25("c", "chunks", "concat_ws(' ', content, heading)", fts_phrases(QU
 
 @query("chunk_fts", f"WITH {CHUNKS_SQL}, {_CHITS} SELECT id, round(1 / (1 + abs(rank)), 6) AS score FROM c WHERE project = 'en' ORDER BY rank, id LIMIT 20")
 def _(t):
-    return S.chunk_fts(chunks(t), QUERY, "en").select("id", F.round("score", 6).alias("score"))
+    return S.chunk_fts(chunks(t), QUERY, "en", index=chunk_index(t)).select("id", F.round("score", 6).alias("score"))
 
 
 _SIM = "list_dot_product(embedding::DOUBLE[], {v}::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({v}::DOUBLE[], {v}::DOUBLE[])))".format(v=VEC)
@@ -154,12 +167,12 @@ def _(t):
     return S.knn(chunks(t), _vector(t), 10, F.col("project") == "en").select("id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("knn_many", f"""WITH q AS (SELECT vec_id, embedding AS v FROM main.embeddings WHERE vec_id < 20),
+@query("knn_many", f"""WITH q AS (SELECT vec_id, embedding AS v FROM main.embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT q.vec_id AS query_id, id, list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS s FROM memories, q WHERE embedding IS NOT NULL)
 SELECT query_id, id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p QUALIFY rank <= 5""")
 def _(t):
-    q = t.raw("embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return S.evaluate_all_pairs(q, t.memories, 5).withColumn("similarity", F.round("similarity", 6))
+    q = t.raw("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return S.nearest_of_many(q, t.memories, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 EFFECTS_SQL = "fx AS (SELECT mid AS memory_id, id AS recall_event_id, (len(id) % 5 - 2) / 2.0::DOUBLE AS effectiveness, recalled_at AS computed_at FROM (SELECT *, unnest(memory_ids) AS mid FROM recall_events))"
@@ -188,18 +201,18 @@ SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT {limi
 
 @query("hybrid_memory", _hybrid_sql("invalidated_at IS NULL AND project = 'en'", 15, 10))
 def hybrid_memory(t):
-    return S.hybrid(t.memories, QUERY, _vector(t), 10, 0, "en", effects(t), AS_OF).withColumn("score", F.round("score", 6))
+    return S.hybrid(t.memories, QUERY, _vector(t), 10, 0, "en", effects(t), AS_OF, index=memory_index(t)).withColumn("score", F.round("score", 6))
 
 
 @query("hybrid_memory_scoped", _hybrid_sql("invalidated_at IS NULL AND worktree = 'alpha'", 12, 10, 2))
 def _(t):
-    return S.hybrid(t.memories, QUERY, _vector(t), 10, 2, None, effects(t), AS_OF, worktree="alpha").withColumn("score", F.round("score", 6))
+    return S.hybrid(t.memories, QUERY, _vector(t), 10, 2, None, effects(t), AS_OF, worktree="alpha", index=memory_index(t)).withColumn("score", F.round("score", 6))
 
 
 @query("hybrid_chunk", f"""WITH {CHUNKS_SQL}, {_CHITS}, f AS (SELECT id, 1 / (1 + abs(rank)) AS fts FROM c WHERE project = 'en' ORDER BY rank, id LIMIT 15), {_knn('k', 'chunks', "project = 'en'", 15)}
 SELECT coalesce(f.id, k.id) AS id, round(0.3 * coalesce(fts, 0) + 0.7 * coalesce(similarity, 0), 6) AS score FROM f FULL OUTER JOIN k ON f.id = k.id ORDER BY 0.3 * coalesce(fts, 0) + 0.7 * coalesce(similarity, 0) DESC, 1 LIMIT 10""")
 def _(t):
-    return S.hybrid_chunks(chunks(t), QUERY, _vector(t), 10, "en").withColumn("score", F.round("score", 6))
+    return S.hybrid_chunks(chunks(t), QUERY, _vector(t), 10, "en", chunk_index(t)).withColumn("score", F.round("score", 6))
 
 
 _RRF = """WITH {chunks}, {hits}, {chits}, m AS ({m}), mr AS (SELECT 'memory' AS kind, id, 1.0 / (60 + row_number() OVER (ORDER BY leg, weight DESC, created_at DESC, id) - 1) AS s FROM m),
@@ -209,18 +222,18 @@ SELECT kind, id, round(sum(s), 9) AS score FROM (SELECT * FROM mr UNION ALL SELE
 
 @query("rrf_all", _RRF.format(chunks=CHUNKS_SQL, hits=_HITS, chits=_CHITS, pool=12, limit=10, offset=2, cw="project = 'en'", m="SELECT *, 0 AS leg FROM h WHERE invalidated_at IS NULL AND project = 'en' ORDER BY weight DESC, created_at DESC, id LIMIT 12"))
 def _(t):
-    return S.search_all(t.memories, chunks(t), QUERY, 10, 2, "en").withColumn("score", F.round("score", 9))
+    return S.search_all(t.memories, chunks(t), QUERY, 10, 2, "en", index=memory_index(t), chunk_index=chunk_index(t)).withColumn("score", F.round("score", 9))
 
 
 @query("rrf_scoped_shared", _RRF.format(chunks=CHUNKS_SQL, hits=_HITS, chits=_CHITS, pool=10, limit=10, offset=0, cw="project = 'en'", m="SELECT * FROM ((SELECT *, 0 AS leg FROM h WHERE invalidated_at IS NULL AND project = 'en' AND worktree = 'alpha' ORDER BY weight DESC, created_at DESC, id LIMIT 10) UNION ALL (SELECT *, 1 AS leg FROM h WHERE invalidated_at IS NULL AND project = '_shared' ORDER BY weight DESC, created_at DESC, id LIMIT 10)) ORDER BY leg, weight DESC, created_at DESC, id LIMIT 10"))
 def _(t):
-    return S.search_all(t.memories, chunks(t), QUERY, 10, 0, "en", "alpha", "_shared").withColumn("score", F.round("score", 9))
+    return S.search_all(t.memories, chunks(t), QUERY, 10, 0, "en", "alpha", "_shared", memory_index(t), chunk_index(t)).withColumn("score", F.round("score", 9))
 
 
 @query("shared_merge", "WITH o AS (" + _hybrid_sql("invalidated_at IS NULL AND project = 'en'", 15, 10, 0, False).replace("round(score, 6) AS score", "score") + "), sh AS (" + _hybrid_sql("invalidated_at IS NULL AND project = '_shared'", 15, 10, 0, False).replace("round(score, 6) AS score", "score") + ") SELECT id, round(score, 6) AS score FROM (SELECT id, score FROM o UNION ALL SELECT id, score * 0.7 FROM sh) x ORDER BY x.score DESC, id LIMIT 10")
 def _(t):
     v = _vector(t)
-    own, shared = (S.hybrid(t.memories, QUERY, v, 10, 0, p) for p in ("en", "_shared"))
+    own, shared = (S.hybrid(t.memories, QUERY, v, 10, 0, p, index=memory_index(t)) for p in ("en", "_shared"))
     return S.shared_merge(own, shared, 10).withColumn("score", F.round("score", 6))
 
 
@@ -236,38 +249,76 @@ SELECT id, p[1] AS branch, p[2] AS place FROM m ORDER BY 2, 3 LIMIT 8"""
 
 @query("context_recall", _CTX)
 def _(t):
-    return S.context_recall(t.memories, QUERY, 8, "en", ["ered", "ntst"], True)
+    return S.context_recall(t.memories, QUERY, 8, "en", ["ered", "ntst"], True, memory_index(t))
 
 
-_GATHER = """WITH s AS (SELECT * FROM (SELECT 0 AS section_no, 'memories' AS section, id, substr(summary, 1, 400) AS text, row_number() OVER (ORDER BY weight DESC, id) AS place FROM memories WHERE invalidated_at IS NULL AND project = 'en') WHERE place <= 6
- UNION ALL SELECT * FROM (SELECT 1, 'errors', id, substr(summary, 1, 400), row_number() OVER (ORDER BY created_at DESC, id) AS place FROM memories WHERE invalidated_at IS NULL AND project = 'en' AND topic LIKE 'errors/%') WHERE place <= 6
+_GATHER = """WITH s AS (SELECT * FROM (SELECT 0 AS section_no, 'memories' AS section, id, summary AS text, row_number() OVER (ORDER BY weight DESC, id) AS place FROM memories WHERE invalidated_at IS NULL AND project = 'en') WHERE place <= 6
+ UNION ALL SELECT * FROM (SELECT 1, 'errors', id, summary, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM memories WHERE invalidated_at IS NULL AND project = 'en' AND topic LIKE 'errors/%') WHERE place <= 6
  UNION ALL SELECT * FROM (SELECT 2, 'sessions', id, coalesce(summary, ''), row_number() OVER (ORDER BY started_at DESC, id) AS place FROM sessions WHERE project = 'p1') WHERE place <= 6),
 r AS (SELECT *, greatest(0.1, 0.95 - 0.1 * (place - 1))::DOUBLE AS relevance FROM s),
 o AS (SELECT *, row_number() OVER w AS n, sum(strlen(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM r WINDOW w AS (ORDER BY relevance DESC, section_no, id)),
-b AS (SELECT *, bool_or(used > 500 * 4 AND n > 1) OVER (ORDER BY n) AS broken FROM o)
+b AS (SELECT *, bool_or(used > 2000 * 4 AND n > 1) OVER (ORDER BY n) AS broken FROM o)
 SELECT section, id, relevance, n FROM b WHERE NOT broken"""
 
 
 @query("gather_context", _GATHER)
 def _(t):
-    m = t.memories.where("invalidated_at IS NULL AND project = 'en'").withColumn("text", F.substring("summary", 1, 400))
+    m = t.memories.where("invalidated_at IS NULL AND project = 'en'").withColumn("text", F.col("summary"))
     s = t.sessions.where("project = 'p1'").withColumn("text", F.coalesce("summary", F.lit("")))
-    return S.gather_context([("memories", m, [F.desc("weight"), "id"]), ("errors", m.where(F.col("topic").startswith("errors/")), [F.desc("created_at"), "id"]), ("sessions", s, [F.desc("started_at"), "id"])], 500, 6)
+    return S.gather_context([("memories", m, [F.desc("weight"), "id"]), ("errors", m.where(F.col("topic").startswith("errors/")), [F.desc("created_at"), "id"]), ("sessions", s, [F.desc("started_at"), "id"])], 2000, 6)
 
 
-@query("code_expand", """WITH c AS (SELECT name, CASE WHEN name = 'part_12' THEN -1 ELSE least(CASE WHEN lower(name) = 'part' THEN 0 WHEN starts_with(lower(name), 'part') THEN 1000 WHEN contains(lower(name), 'part') THEN 2000 END, CASE WHEN lower(name) = '12' THEN 1 WHEN starts_with(lower(name), '12') THEN 1001 WHEN contains(lower(name), '12') THEN 2001 END) END AS match FROM concepts WHERE memoir_id = 'mem_code')
+@query("code_expand", """WITH c AS (SELECT name, CASE WHEN name = 'part_12' THEN -1000000 ELSE least(CASE WHEN lower(name) = 'part' THEN 0 WHEN starts_with(lower(name), 'part') THEN 1000 WHEN contains(lower(name), 'part') THEN 2000 END, CASE WHEN lower(name) = '12' THEN 1 WHEN starts_with(lower(name), '12') THEN 1001 WHEN contains(lower(name), '12') THEN 2001 END) END AS match FROM concepts WHERE memoir_id = 'mem_code')
 SELECT name, min(match)::INT AS match FROM c WHERE match IS NOT NULL GROUP BY name ORDER BY match, name LIMIT 5""")
 def _(t):
     names = code_terms("where is src/part_12.py")
     return S.expand_code(t.concepts.where("memoir_id = 'mem_code'"), names, [f for n in names for f in ("part", "12") if n == "part_12"] or fragments(names[0]))
 
 
-@query("store_dedup_decision", f"""WITH n AS (SELECT 'n' || vec_id AS new_id, vec_id, CASE vec_id % 2 WHEN 0 THEN 'notes' ELSE 'preferences' END AS topic, embedding AS v FROM main.embeddings WHERE vec_id < 30),
+@query("store_dedup_decision", f"""WITH n AS (SELECT 'n' || vec_id AS new_id, vec_id, CASE vec_id % 4 WHEN 0 THEN 'notes' ELSE 'errors/active' END AS topic, embedding AS v FROM main.embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT new_id, n.topic, m.id, m.topic AS found, list_dot_product(m.embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_dot_product(m.embedding::DOUBLE[], m.embedding::DOUBLE[])) * sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS s FROM n, memories m WHERE m.embedding IS NOT NULL),
 b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY s DESC, id) = 1)
 SELECT new_id, CASE WHEN s > 0.85 AND found = topic THEN 'update' ELSE 'insert' END AS action, CASE WHEN s > 0.85 AND found = topic THEN id END AS target FROM b""")
 def _(t):
-    new = t.raw("embeddings").where("vec_id < 30").select(F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("new_id"), F.when(F.col("vec_id") % 2 == 0, "notes").otherwise("preferences").alias("topic"), F.col("embedding").alias("vector"))
-    best = S.evaluate_all_pairs(new.withColumnRenamed("new_id", "query_id").drop("topic"), t.memories, 1).withColumnsRenamed({"query_id": "new_id", "similarity": "score"})
+    new = t.raw("embeddings").where("vec_id % 50 = 0").select(F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("new_id"), F.when(F.col("vec_id") % 4 == 0, "notes").otherwise("errors/active").alias("topic"), F.col("embedding").alias("vector"))
+    best = S.nearest_of_many(new.withColumnRenamed("new_id", "query_id").drop("topic"), t.memories, 1).withColumnsRenamed({"query_id": "new_id", "similarity": "score"})
     best = best.join(t.memories.select("id", "topic"), "id").select("new_id", "id", "topic", "score")
     return S.store_decision(new.select("new_id", "topic"), best)
+
+
+_TOP = _hybrid_sql("invalidated_at IS NULL AND project = 'en'", 2, 1, 0, False).replace("round(score, 6) AS score", "score")
+_STORED = f"""WITH top AS ({_TOP}), x AS (SELECT top.id FROM top JOIN memories m ON m.id = top.id WHERE score > 0.85 AND m.topic = @topic)
+SELECT m.id, CASE WHEN x.id IS NULL THEN m.weight ELSE 1.0 END AS weight, x.id IS NOT NULL AS changed FROM memories m LEFT JOIN x ON x.id = m.id UNION ALL SELECT 'new', 1.0, true WHERE NOT EXISTS (SELECT * FROM x)"""
+
+
+def _store(t, topic: str):
+    m = S.store_dedup(t.memories, "new", topic, QUERY, _vector(t), AS_OF, "en", index=memory_index(t))
+    return m.select("id", "weight", (F.col("summary") == QUERY).alias("changed"))
+
+
+@query("store_dedup_insert", _STORED.replace("@topic", "'no such topic'"))
+def _(t):
+    return _store(t, "no such topic")
+
+
+@query("store_dedup_update", _STORED.replace("@topic", "(SELECT m.topic FROM top JOIN memories m ON m.id = top.id)"))
+def _(t):
+    first = S.hybrid(t.memories, QUERY, _vector(t), 1, 0, "en", index=memory_index(t)).join(t.memories.select("id", "topic"), "id").first()
+    return _store(t, first["topic"])
+
+
+@query("search_page", f"WITH {_HITS}, a AS (SELECT * FROM h WHERE invalidated_at IS NULL) SELECT id, round(rank, 6) AS rank, (SELECT count(*) FROM a) AS total FROM a ORDER BY a.rank, weight DESC, created_at DESC, id LIMIT 10 OFFSET 5")
+def _(t):
+    hits = S.bm25(t.memories, S.memory_text(), fts_phrases(QUERY), index=memory_index(t)).where("invalidated_at IS NULL")
+    return S.search_page(hits, 10, 5).select("id", F.round("rank", 6).alias("rank"), "total")
+
+
+@query("rrf_expanded", "WITH base AS (" + _RRF.format(chunks=CHUNKS_SQL, hits=_HITS, chits=_CHITS, pool=6, limit=6, offset=0, cw="project = 'en'", m="SELECT *, 0 AS leg FROM h WHERE invalidated_at IS NULL AND project = 'en' ORDER BY weight DESC, created_at DESC, id LIMIT 6").replace("round(sum(s), 9) AS score", "sum(s) AS score") + f"), {_bm25('x', ' memories', TEXT, [['ered'], ['ntst']], True)}, e AS (SELECT * FROM x WHERE invalidated_at IS NULL AND project = 'en' AND id NOT IN (SELECT id FROM base WHERE kind = 'memory') ORDER BY {_BY} LIMIT 6), y AS (SELECT 'memory' AS kind, id, 0.5 / (60 + row_number() OVER (ORDER BY {_BY}) - 1) AS score FROM e) SELECT kind, id, round(score, 9) AS score FROM (SELECT * FROM base UNION ALL SELECT * FROM y) z ORDER BY z.score DESC, kind, id LIMIT 6")
+def _(t):
+    base = S.search_all(t.memories, chunks(t), QUERY, 6, 0, "en", index=memory_index(t), chunk_index=chunk_index(t))
+    return S.search_expanded(t.memories, base, ["ered", "ntst"], 6, "en", memory_index(t)).withColumn("score", F.round("score", 9))
+
+
+@query("session_overlap", "SELECT id, len(list_filter(list_distinct(regexp_extract_all(lower(coalesce(summary, '')), '[\\p{L}\\p{N}]+')), lambda x: x IN ('summary', '3'))) AS overlap FROM sessions")
+def _(t):
+    return t.sessions.select("id", S.term_overlap(F.coalesce("summary", F.lit("")), "Summary 3").alias("overlap"))

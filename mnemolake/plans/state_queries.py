@@ -22,6 +22,7 @@ from .registry import query
 from .search_queries import EFFECTS_SQL, effects
 
 NOW = f"TIMESTAMP '{AS_OF}'"
+LABELS = "list_transform(labels, lambda x: x.namespace || ':' || x.value)"
 KEEP = "id, topic, round(weight, 9) AS weight"
 
 
@@ -62,9 +63,9 @@ def _(t):
     return T.update(t.memories, "00000009", AS_OF, "new", "low").select("id", "summary", "weight", "importance", "updated_at")
 
 
-@query("forget_state", "SELECT count(*) AS n FROM memories WHERE id NOT IN ('00000001', '00000002')")
+@query("forget_state", "SELECT id, topic FROM memories WHERE id NOT IN ('00000001', '00000002')")
 def _(t):
-    return T.forget(t.memories, ["00000001", "00000002"]).agg(F.count("*").alias("n"))
+    return T.forget(t.memories, ["00000001", "00000002"]).select("id", "topic")
 
 
 @query("touch_state", f"SELECT id, CASE WHEN hit THEN {NOW} ELSE last_accessed END AS last_accessed, access_count + hit::INT AS access_count FROM (SELECT *, id IN (SELECT unnest(memory_ids) FROM recall_events WHERE id LIKE '%7') AS hit FROM memories)")
@@ -95,6 +96,11 @@ def _(t):
     return T.consolidate(t.memories, "notes", "en").select("id")
 
 
+@query("consolidate_given_state", f"SELECT id, topic, importance, round(weight, 9) AS weight FROM memories WHERE NOT (topic = 'notes' AND invalidated_at IS NULL) UNION ALL SELECT 'summed', 'notes', 'high', 1.0")
+def _(t):
+    return T.consolidate_as(t.memories, "notes", "summed", "all notes in short", AS_OF).select("id", "topic", "importance", F.round("weight", 9).alias("weight"))
+
+
 @query("promote_shared", f"SELECT id, project, {KEEP.partition(', ')[2]} FROM memories UNION ALL SELECT 'copy', '_shared', topic, 1.0 FROM memories WHERE id = '00000010'")
 def _(t):
     return T.promote(t.memories, "00000010", "copy").select("id", "project", "topic", F.round("weight", 9).alias("weight"))
@@ -118,16 +124,28 @@ def _(t):
     return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(k).alias("kind"), "id") for k, df in kept.items()])
 
 
-@query("archive_merge", """WITH o AS (SELECT id, weight, created_at, keywords FROM memories WHERE id < '00000200'), n AS (SELECT id, least(weight + 0.2, 1.0) AS weight, created_at - INTERVAL 1 DAY AS created_at, ['extra'] AS keywords FROM memories WHERE id >= '00000100' AND id < '00000300')
+@query("archive_merge", """WITH o AS (SELECT id, weight, created_at, keywords FROM memories WHERE topic <> 'notes'), n AS (SELECT id, least(weight + 0.2, 1.0) AS weight, created_at - INTERVAL 1 DAY AS created_at, ['extra'] AS keywords FROM memories WHERE topic LIKE '%e%')
 SELECT coalesce(o.id, n.id) AS id, round(CASE WHEN o.id IS NULL THEN n.weight WHEN n.id IS NULL THEN o.weight ELSE greatest(o.weight, n.weight) END, 9) AS weight, CASE WHEN o.id IS NULL THEN n.created_at WHEN n.id IS NULL THEN o.created_at ELSE least(o.created_at, n.created_at) END AS created_at,
  array_to_string(CASE WHEN o.id IS NULL THEN n.keywords WHEN n.id IS NULL THEN o.keywords ELSE list_sort(list_distinct(list_concat(o.keywords, n.keywords))) END, '|') AS keywords FROM o FULL OUTER JOIN n ON o.id = n.id""")
 def _(t):
-    m = t.memories.select("id", "weight", "created_at", "keywords")
-    new = m.where("id >= '00000100' AND id < '00000300'").select("id", F.least(F.col("weight") + 0.2, F.lit(1.0)).alias("weight"), (F.col("created_at") - F.make_dt_interval(F.lit(1))).alias("created_at"), F.array(F.lit("extra")).alias("keywords"))
-    out = T.archive_merge(m.where("id < '00000200'"), new)
+    m = t.memories.select("id", "topic", "weight", "created_at", "keywords")
+    new = m.where("topic LIKE '%e%'").select("id", F.least(F.col("weight") + 0.2, F.lit(1.0)).alias("weight"), (F.col("created_at") - F.make_dt_interval(F.lit(1))).alias("created_at"), F.array(F.lit("extra")).alias("keywords"))
+    out = T.archive_merge(m.where("topic <> 'notes'").drop("topic"), new)
     return out.select("id", F.round("weight", 9).alias("weight"), "created_at", F.array_join("keywords", "|").alias("keywords"))
 
 
+@query("archive_skip", "SELECT id, weight FROM memories")
+def _(t):
+    m = t.memories.select("id", "weight")
+    return T.archive_merge(m.where("id LIKE '%1'"), m.withColumn("weight", F.when(F.col("id").endswith("1"), 9.0).otherwise(F.col("weight"))), "skip")
+
+
+@query("archive_overwrite", "SELECT id, CASE WHEN id LIKE '%1' THEN 9.0 ELSE weight END AS weight FROM memories")
+def _(t):
+    m = t.memories.select("id", "weight")
+    return T.archive_merge(m.where("id LIKE '%1'"), m.withColumn("weight", F.when(F.col("id").endswith("1"), 9.0).otherwise(F.col("weight"))), "overwrite")
+
+
 @query("reingest_state", "SELECT id, source_type FROM (SELECT id, source_type FROM rag_documents WHERE id NOT LIKE '%3' UNION ALL SELECT id || 'b', 'text' FROM rag_documents WHERE id LIKE '%3')")
 def _(t):
     docs = t.rag_documents.select("id", "source_path", "source_type")
@@ -146,10 +164,18 @@ def _(t):
     return T.rollback(t.memories, t.audit_log, "aud_34").select("id", "invalidated_at")
 
 
-@query("audit_append")
+_FNV = "lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(strlen(summary)), lambda i: ('0x' || substr(hex(encode(summary)), 2 * i + 1, 2))::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT), 16, '0'))"
+
+
+@query("audit_append", f"SELECT id, timestamp, operation, memory_id, topic, CAST(NULL AS VARCHAR) AS content_hash FROM audit_log UNION ALL SELECT 'aud_new_' || id, updated_at, 'update', id, topic, {_FNV} FROM memories")
 def _(t):
     e = t.memories.select(F.concat(F.lit("aud_new_"), "id").alias("id"), F.col("updated_at").alias("timestamp"), F.lit("update").alias("operation"), F.col("id").alias("memory_id"), "topic", "summary")
-    return T.audit(t.audit_log, e)
+    return T.audit(t.audit_log, e).select("id", "timestamp", "operation", "memory_id", "topic", "content_hash")
+
+
+@query("audit_get", "SELECT id, operation, memory_id FROM audit_log WHERE id = 'aud_34'")
+def _(t):
+    return T.audit_get(t.audit_log, "aud_34").select("id", "operation", "memory_id")
 
 
 @query("graph_neighbors", "SELECT DISTINCT id FROM (SELECT target_id AS id FROM concept_links WHERE source_id = 'n:3' UNION ALL SELECT source_id FROM concept_links WHERE target_id = 'n:3')")
@@ -172,12 +198,12 @@ def _(t):
     return G.with_names(G.bfs_links(links, G.bfs(links, "r:1", 2), 2), t.concepts).select("source_id", "target_id", "relation", "source", "target")
 
 
-@query("graph_label", "SELECT id, confidence FROM concepts WHERE memoir_id = 'mem_geo' AND list_contains(labels, 'kind:nation') ORDER BY confidence DESC, id LIMIT 10")
+@query("graph_label", f"SELECT id, confidence FROM concepts WHERE memoir_id = 'mem_geo' AND list_contains({LABELS}, 'kind:nation') ORDER BY confidence DESC, id LIMIT 10")
 def _(t):
     return G.with_label(t.concepts, "mem_geo", "kind:nation", 10).select("id", "confidence")
 
 
-@query("graph_labels_intersect", "SELECT id FROM concepts WHERE memoir_id = 'mem_geo' AND list_contains(labels, 'kind:supplier') AND list_contains(labels, 'region:2')")
+@query("graph_labels_intersect", f"SELECT id FROM concepts WHERE memoir_id = 'mem_geo' AND list_contains({LABELS}, 'kind:supplier') AND list_contains({LABELS}, 'region:2')")
 def _(t):
     return G.with_labels(t.concepts, "mem_geo", ["kind:supplier", "region:2"]).select("id")
 
@@ -202,7 +228,7 @@ def _(t):
     return G.memoir_stats(t.concepts, t.concept_links, "mem_geo")
 
 
-@query("label_counts", "WITH l AS (SELECT unnest(labels) AS label FROM concepts WHERE memoir_id = 'mem_geo') SELECT label, count(*) AS n FROM l GROUP BY label")
+@query("label_counts", f"WITH l AS (SELECT unnest({LABELS}) AS label FROM concepts WHERE memoir_id = 'mem_geo') SELECT label, count(*) AS n FROM l GROUP BY label")
 def _(t):
     return G.label_counts(t.concepts, "mem_geo")
 
@@ -212,7 +238,7 @@ def _(t):
     return G.refine(t.concepts, "n:5", "new").select("id", "definition", "confidence", "revision")
 
 
-_NEW = "SELECT id, memoir_id, name, CASE WHEN revision = 2 AND confidence > 0.35 THEN definition || '!' ELSE definition END AS definition, labels FROM concepts WHERE memoir_id = 'mem_geo' AND NOT starts_with(id, 'r:') UNION ALL SELECT 'x:1', 'mem_geo', 'NEW', 'new one', ['kind:new']"
+_NEW = "SELECT id, memoir_id, name, CASE WHEN revision = 2 AND confidence > 0.35 THEN definition || '!' ELSE definition END AS definition, labels FROM concepts WHERE memoir_id = 'mem_geo' AND NOT starts_with(id, 'r:') UNION ALL SELECT 'x:1', 'mem_geo', 'NEW', 'new one', [struct_pack(namespace := 'kind', value := 'new')]"
 
 
 @query("graph_upsert_report", f"""WITH n AS ({_NEW}) SELECT CASE WHEN n.id IS NULL THEN 'kept' WHEN o.id IS NULL THEN 'created' WHEN o.definition = n.definition THEN 'unchanged' ELSE 'updated' END AS action, count(*) AS n, sum(CASE WHEN n.id IS NOT NULL AND o.id IS NOT NULL AND o.definition <> n.definition THEN o.revision + 1 ELSE coalesce(o.revision, 1) END)::BIGINT AS revisions
@@ -220,7 +246,7 @@ FROM concepts o FULL OUTER JOIN n ON o.memoir_id = n.memoir_id AND o.name = n.na
 def _(t):
     c = t.concepts
     new = c.where("memoir_id = 'mem_geo' AND NOT startswith(id, 'r:')").select("id", "memoir_id", "name", F.when((F.col("revision") == 2) & (F.col("confidence") > 0.35), F.concat("definition", F.lit("!"))).otherwise(F.col("definition")).alias("definition"), "labels")
-    new = new.unionByName(t.spark.sql("SELECT 'x:1' AS id, 'mem_geo' AS memoir_id, 'NEW' AS name, 'new one' AS definition, array('kind:new') AS labels"))
+    new = new.unionByName(t.spark.sql("SELECT 'x:1' AS id, 'mem_geo' AS memoir_id, 'NEW' AS name, 'new one' AS definition, array(named_struct('namespace', 'kind', 'value', 'new')) AS labels"))
     return G.upsert_concepts(c, new).groupBy("action").agg(F.count("*").alias("n"), F.sum("revision").alias("revisions"))
 
 
@@ -234,10 +260,104 @@ def _(t):
     return G.upsert_links(links, new)
 
 
-@query("graph_resolve_errors", "SELECT 'EUROPE' AS source, 'NOWHERE' AS target, 'has' AS relation")
+_EDGES = "SELECT c.name AS source, CASE WHEN c.id LIKE '%3' THEN c.name || '?' ELSE d.name END AS target, 'has' AS relation, 1.0::DOUBLE AS weight FROM concepts c JOIN concepts d ON c.memoir_id = 'mem_geo' AND d.memoir_id = 'mem_geo' AND d.id LIKE 'r:%' AND c.id LIKE 'n:%'"
+
+
+def _edges(t):
+    c = t.concepts.where("memoir_id = 'mem_geo'")
+    r = c.where("startswith(id, 'r:')").select(F.col("name").alias("d"), F.lit(1).alias("k"))
+    n = c.where("startswith(id, 'n:')").select("id", F.col("name").alias("source"), F.lit(1).alias("k"))
+    return n.join(r, "k").select("source", F.when(F.col("id").endswith("3"), F.concat("source", F.lit("?"))).otherwise(F.col("d")).alias("target"), F.lit("has").alias("relation"), F.lit(1.0).alias("weight"))
+
+
+@query("graph_resolve_errors", f"SELECT source, target, relation FROM ({_EDGES}) WHERE target LIKE '%?'")
+def _(t):
+    return G.resolve_edges(_edges(t), t.concepts, "mem_geo")[1]
+
+
+@query("graph_resolve_links", f"SELECT s.id AS source_id, d.id AS target_id, e.relation FROM ({_EDGES}) e JOIN concepts s ON s.name = e.source AND s.memoir_id = 'mem_geo' JOIN concepts d ON d.name = e.target AND d.memoir_id = 'mem_geo'")
+def _(t):
+    return G.resolve_edges(_edges(t), t.concepts, "mem_geo")[0].drop("weight")
+
+
+@query("concept_named", "SELECT id, confidence FROM concepts WHERE memoir_id = 'mem_code' AND name = 'part_17'")
+def _(t):
+    return G.named(t.concepts, "part_17", "mem_code").select("id", "confidence")
+
+
+@query("memoir_list", "SELECT id, name, (SELECT count(*) FROM concepts c WHERE c.memoir_id = m.id) AS concepts FROM memoirs m")
+def _(t):
+    n = t.concepts.groupBy(F.col("memoir_id").alias("id")).agg(F.count("*").alias("concepts"))
+    return G.listed(t.memoirs).select("id", "name").join(n, "id", "left").fillna(0, ["concepts"])
+
+
+@query("concept_list", "SELECT id, name FROM concepts WHERE memoir_id = 'mem_geo'")
+def _(t):
+    return G.listed(t.concepts, "mem_geo").select("id", "name")
+
+
+@query("concept_memoir_names", "SELECT c.id, m.name AS memoir FROM concepts c LEFT JOIN memoirs m ON m.id = c.memoir_id")
+def _(t):
+    return G.with_memoir_names(t.concepts, t.memoirs).select("id", "memoir")
+
+
+@query("links_from", "SELECT target_id, relation FROM concept_links WHERE source_id = 'n:3'")
+def _(t):
+    return G.links_of(t.concept_links, "n:3").select("target_id", "relation")
+
+
+@query("links_to", "SELECT source_id, relation FROM concept_links WHERE target_id = 'n:3'")
+def _(t):
+    return G.links_of(t.concept_links, "n:3", False).select("source_id", "relation")
+
+
+@query("memoir_add_state", "SELECT id, name, description FROM memoirs UNION ALL SELECT 'mem_new', 'notes', 'new'")
+def _(t):
+    new = t.spark.sql("SELECT * FROM VALUES ('mem_new', 'notes', 'new'), ('mem_other', 'geo', 'taken') AS v(id, name, description)")
+    return G.add_memoirs(t.memoirs, new).select("id", "name", "description")
+
+
+@query("memoir_update_state", "SELECT id, name, CASE id WHEN 'mem_geo' THEN 'places' ELSE description END AS description FROM memoirs")
+def _(t):
+    return G.update_memoir(t.memoirs, "mem_geo", AS_OF, description="places").select("id", "name", "description")
+
+
+@query("memoir_delete_state", "SELECT 'memoir' AS kind, id FROM memoirs WHERE id <> 'mem_code' UNION ALL SELECT 'concept', id FROM concepts WHERE memoir_id <> 'mem_code' UNION ALL SELECT 'link', source_id || '>' || target_id FROM concept_links WHERE source_id NOT LIKE 'p:%' AND target_id NOT LIKE 'p:%'")
+def _(t):
+    m, c, k = G.delete_memoir(t.memoirs, t.concepts, t.concept_links, "mem_code")
+    rows = [m.select(F.lit("memoir").alias("kind"), "id"), c.select(F.lit("concept").alias("kind"), "id"), k.select(F.lit("link").alias("kind"), F.concat_ws(">", "source_id", "target_id").alias("id"))]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query("concept_add_state", "SELECT id, name, confidence, revision FROM concepts UNION ALL SELECT 'x:' || n_nationkey, n_name || ' NEW', 0.5::DOUBLE, 1 FROM nation")
+def _(t):
+    n = t.raw("nation").select(F.concat(F.lit("x:"), "n_nationkey").alias("id"), F.lit("mem_geo").alias("memoir_id"), F.explode(F.array(F.concat("n_name", F.lit(" NEW")), F.col("n_name"))).alias("name"), F.lit("d").alias("definition"))
+    return G.add_concepts(t.concepts, n).select("id", "name", "confidence", "revision")
+
+
+@query("concept_update_state", "SELECT id, CASE id WHEN 'n:4' THEN 'told anew' ELSE definition END AS definition, CASE id WHEN 'n:4' THEN 0.25 ELSE confidence END AS confidence FROM concepts")
 def _(t):
-    edges = t.spark.sql("SELECT * FROM VALUES ('EUROPE', 'NOWHERE', 'has', 1.0D), ('EUROPE', 'ASIA', 'has', 1.0D) AS v(source, target, relation, weight)")
-    return G.resolve_edges(edges, t.concepts, "mem_geo")[1]
+    return G.update_concept(t.concepts, "n:4", "told anew", 0.25).select("id", "definition", "confidence")
+
+
+@query("concept_delete_state", "SELECT 'concept' AS kind, id FROM concepts WHERE NOT (id LIKE 's:%7') UNION ALL SELECT 'link', source_id || '>' || target_id FROM concept_links WHERE NOT (source_id LIKE 's:%7' OR target_id LIKE 's:%7')")
+def _(t):
+    c, k = G.delete_concepts(t.concepts, t.concept_links, t.concepts.where("id LIKE 's:%7'").select("id"))
+    return c.select(F.lit("concept").alias("kind"), "id").unionByName(k.select(F.lit("link").alias("kind"), F.concat_ws(">", "source_id", "target_id").alias("id")))
+
+
+@query("link_add_state", "SELECT source_id, target_id, relation, weight FROM concept_links UNION ALL SELECT target_id, source_id, 'depends_on', 0.25::DOUBLE FROM concept_links WHERE relation = 'part_of' AND source_id LIKE 'n:%'")
+def _(t):
+    links = t.concept_links
+    new = links.where("relation = 'part_of' AND source_id LIKE 'n:%'")
+    back = new.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("Imports").alias("relation"), F.lit(0.25).alias("weight"))
+    return G.add_links(links, back.unionByName(new.withColumn("relation", F.lit("contains")))).select("source_id", "target_id", "relation", "weight")
+
+
+@query("link_delete_state", "SELECT source_id, target_id, relation FROM concept_links WHERE NOT (relation = 'part_of' AND source_id LIKE 'n:%')")
+def _(t):
+    gone = t.concept_links.where("source_id LIKE 'n:%'").withColumn("relation", F.lit("Contains"))
+    return G.delete_links(t.concept_links, gone).select("source_id", "target_id", "relation")
 
 
 @query("graph_prune", "SELECT id FROM concepts WHERE NOT (memoir_id = 'mem_geo' AND NOT starts_with(id, 'r:'))")
@@ -277,16 +397,40 @@ def _(t):
     return SE.active_session(t.sessions, "p1").select("id")
 
 
-@query("session_start_state", "SELECT count(*) AS n FROM sessions")
+@query("session_start_state", "SELECT id, project, status FROM sessions UNION ALL SELECT 'new_' || id, project || '_other', 'active' FROM sessions WHERE status = 'active' AND id LIKE '%7'")
+def _(t):
+    # Half of the new sessions belong to projects and scopes that are busy, half to projects that nobody works on.
+    x = t.sessions.where("status = 'active' AND id LIKE '%7'").withColumn("id", F.concat(F.lit("new_"), "id"))
+    return SE.start(t.sessions, x.unionByName(x.withColumn("project", F.concat("project", F.lit("_other"))))).select("id", "project", "status")
+
+
+@query("session_end_state", f"SELECT 'session' AS kind, id, CASE WHEN id = (SELECT min(id) FROM sessions WHERE status = 'active') THEN 'completed' ELSE status END AS status, CAST(NULL AS BIGINT) AS value FROM sessions UNION ALL SELECT 'signal', 'sig_end_' || min(id), 'session_failure', -2 FROM sessions WHERE status = 'active'")
 def _(t):
-    busy = SE.active_session(t.sessions, "p1").withColumn("id", F.lit("ses_new"))
-    return SE.start(t.sessions, busy).agg(F.count("*").alias("n"))
+    first = t.sessions.where("status = 'active'").agg(F.min("id")).first()[0]
+    done, signal = SE.end(t.sessions, first, AS_OF, "ended", 3)
+    return done.select(F.lit("session").alias("kind"), "id", "status", F.lit(None).cast("long").alias("value")).unionByName(signal.select(F.lit("signal").alias("kind"), "id", F.col("signal_type").alias("status"), F.col("signal_value").alias("value")))
 
 
-@query("session_timeline", """WITH e AS (SELECT session_id, recalled_at AS ts, 'recall' AS kind FROM recall_events UNION ALL SELECT session_id, occurred_at, 'outcome' FROM outcome_signals), g AS (SELECT session_id, count(*) FILTER (kind = 'recall') AS recall_count, count(*) FILTER (kind = 'outcome') AS outcome_count, max(ts) AS lst FROM e GROUP BY 1)
-SELECT id, coalesce(recall_count, 0) AS recall_count, coalesce(outcome_count, 0) AS outcome_count, greatest(started_at, ended_at, lst) AS last_activity FROM sessions LEFT JOIN g ON g.session_id = id ORDER BY last_activity DESC, id LIMIT 50""")
+@query("session_status", "SELECT count(*) > 0 AS found, max(status) AS status FROM sessions WHERE id = 'ses_7_3'")
 def _(t):
-    return SE.timeline(t.sessions, t.recall_events, t.outcome_signals, 50).select("id", "recall_count", "outcome_count", "last_activity")
+    return SE.status(t.sessions, "ses_7_3")
+
+
+@query("session_import_state", "SELECT id, project FROM sessions UNION ALL SELECT 'imported_' || id, project FROM sessions WHERE id LIKE '%5'")
+def _(t):
+    s = t.sessions.where("id LIKE '%5'")
+    return SE.import_sessions(t.sessions, s.withColumn("id", F.concat(F.lit("imported_"), "id")).unionByName(s.withColumn("project", F.lit("never")))).select("id", "project")
+
+
+_TIMELINE = """WITH e AS (SELECT session_id, recalled_at AS ts, 'recall' AS kind, query AS detail FROM recall_events UNION ALL SELECT session_id, occurred_at, 'outcome', signal_type FROM outcome_signals), g AS (SELECT session_id, count(*) FILTER (kind = 'recall') AS recall_count, count(*) FILTER (kind = 'outcome') AS outcome_count, max(ts) AS lst, string_agg(kind || ' ' || detail, ',' ORDER BY ts DESC, kind DESC, detail DESC) AS events FROM e GROUP BY 1)
+SELECT id, coalesce(recall_count, 0) AS recall_count, coalesce(outcome_count, 0) AS outcome_count, greatest(started_at, ended_at, lst) AS last_activity, coalesce(events, '') AS events FROM sessions LEFT JOIN g ON g.session_id = id ORDER BY last_activity DESC, id LIMIT 50"""
+
+
+@query("session_timeline", _TIMELINE)
+def _(t):
+    x = SE.timeline(t.sessions, t.recall_events, t.outcome_signals, 50)
+    said = F.array_join(F.transform("events", lambda e: F.concat_ws(" ", e["kind"], e["detail"])), ",")
+    return x.select("id", "recall_count", "outcome_count", "last_activity", F.coalesce(said, F.lit("")).alias("events"))
 
 
 @query("attribute_signals", """SELECT s.id, s.session_id, r.id AS recall_event_id FROM outcome_signals s JOIN sessions x ON x.id = s.session_id LEFT JOIN LATERAL (SELECT id, recalled_at FROM recall_events q WHERE q.session_id = s.session_id AND q.recalled_at <= s.occurred_at AND q.recalled_at >= s.occurred_at - INTERVAL 60 MINUTE AND (x.ended_at IS NULL OR s.occurred_at <= x.ended_at) ORDER BY recalled_at DESC, id LIMIT 1) r ON true""")
@@ -310,26 +454,93 @@ def _(t):
     return FB.counts(t.outcome_signals, "2024-01-05 00:00:00", "2024-01-20 00:00:00", "correction", "p3")
 
 
+def _greedy(name: str, legacy: str, structured: str, seconds: int) -> str:
+    """CTEs that end in ``name``: the ids of ``legacy`` (key, tm, id) that nothing of ``structured`` (key, tm) stands for, by a walk through both lists of a key."""
+    early, late = f"epoch_us(l[i]) - epoch_us(s[j]) >= {seconds + 1}000000", f"epoch_us(s[j]) - epoch_us(l[i]) < {seconds + 1}000000"
+    return f"""{name}_l AS (SELECT key, list(tm ORDER BY tm, id) AS l, list(id ORDER BY tm, id) AS ids FROM ({legacy}) GROUP BY key), {name}_s AS (SELECT key, list(tm ORDER BY tm) AS s FROM ({structured}) GROUP BY key),
+{name}_w AS (SELECT a.key, l, ids, s, 1 AS i, 1 AS j, CAST(NULL AS VARCHAR) AS id FROM {name}_l a LEFT JOIN {name}_s b ON a.key IS NOT DISTINCT FROM b.key
+ UNION ALL SELECT key, l, ids, s, CASE WHEN s IS NULL OR j > len(s) THEN i + 1 WHEN {early} THEN i ELSE i + 1 END, CASE WHEN s IS NULL OR j > len(s) THEN j WHEN {early} OR {late} THEN j + 1 ELSE j END,
+  CASE WHEN s IS NULL OR j > len(s) THEN ids[i] WHEN {early} OR {late} THEN NULL ELSE ids[i] END FROM {name}_w WHERE i <= len(l)),
+{name} AS (SELECT id FROM {name}_w WHERE id IS NOT NULL)"""
+
+
+@query("unmatched_records", "WITH RECURSIVE " + _greedy("u", "SELECT session_id AS key, occurred_at AS tm, id FROM outcome_signals", "SELECT session_id AS key, recalled_at AS tm FROM recall_events", 1800) + " SELECT id FROM u")
+def _(t):
+    legacy = t.outcome_signals.select("session_id", F.col("occurred_at").alias("at"), "id")
+    return E.unmatched(legacy, t.recall_events.select("session_id", F.col("recalled_at").alias("at")), ["session_id"], 1800)
+
+
+def _window_sql(name: str, newest: int, oldest: int) -> str:
+    lo, hi = f"{NOW} - INTERVAL {oldest} DAY", f"{NOW} - INTERVAL {newest} DAY"
+    made, ses = f"invalidated_at IS NULL AND created_at BETWEEN {lo} AND {hi}", f"coalesce(ended_at, started_at) BETWEEN {lo} AND {hi}"
+    record = "CASE WHEN task IS NOT NULL THEN 'Session completed: ' || task || '. ' || summary ELSE 'Session completed. ' || summary END"
+    sig = f"SELECT * FROM outcome_signals WHERE occurred_at BETWEEN {lo} AND {hi}"
+    parts = (
+        _greedy(f"{name}x", f"SELECT (coalesce(project, topic), summary) AS key, created_at AS tm, id FROM memories WHERE {made} AND topic LIKE 'session/%'", f"SELECT (project, {record}) AS key, coalesce(ended_at, started_at) AS tm FROM sessions WHERE {ses} AND summary IS NOT NULL", 300),
+        _greedy(f"{name}y", f"SELECT project AS key, created_at AS tm, id FROM memories WHERE {made} AND topic = 'corrections'", f"SELECT project AS key, occurred_at AS tm FROM ({sig}) WHERE signal_type = 'correction'", 30),
+        _greedy(f"{name}z", f"SELECT id AS key, last_accessed AS tm, id FROM memories WHERE invalidated_at IS NULL AND access_count > 0 AND last_accessed BETWEEN {lo} AND {hi}", f"SELECT unnest(memory_ids) AS key, recalled_at AS tm FROM recall_events WHERE recalled_at BETWEEN {lo} AND {hi}", 300),
+    )
+    n = lambda kind, topic: f"(SELECT count(*) FROM ({sig}) WHERE signal_type = '{kind}') + (SELECT count(*) FROM memories WHERE {made} AND topic = '{topic}')"
+    return ", ".join(parts) + f""", {name} AS (SELECT {n("tool_error", "errors/active")} AS error_count, (SELECT count(*) FROM ({sig}) WHERE signal_type = 'correction') + (SELECT count(*) FROM {name}y) AS correction_count,
+ {n("error_resolved", "errors/resolved")} AS resolved_count, (SELECT count(*) FROM memories WHERE {made} AND topic = 'tests/failed') AS failed_test_count, {n("test_passed", "tests/resolved")} AS resolved_test_count,
+ (SELECT count(*) FROM sessions WHERE {ses}) + (SELECT count(*) FROM {name}x) AS session_count,
+ ((SELECT coalesce(sum(strlen(concat_ws(' ', task, summary))), 0) FROM sessions WHERE {ses}) + (SELECT coalesce(sum(strlen(summary)), 0) FROM memories WHERE id IN (SELECT id FROM {name}x)))::BIGINT AS total_session_length,
+ ((SELECT coalesce(sum(len(memory_ids)), 0) FROM recall_events WHERE recalled_at BETWEEN {lo} AND {hi}) + (SELECT count(*) FROM {name}z))::BIGINT AS recalled_memory_count)"""
+
+
+_TWO = "WITH RECURSIVE " + _window_sql("wr", 0, 15) + ", " + _window_sql("wp", 15, 30)
+_METRICS = ", ".join(f"""{w}m AS (SELECT coalesce(error_count / nullif(session_count, 0)::DOUBLE, 0) AS error_rate, coalesce(correction_count / nullif(session_count, 0)::DOUBLE, 0) AS correction_rate, coalesce(resolved_count / nullif(error_count + resolved_count, 0)::DOUBLE, 0) AS resolution_rate,
+ coalesce(resolved_test_count / nullif(failed_test_count + resolved_test_count, 0)::DOUBLE, 0) AS test_fix_rate, CASE WHEN session_count = 0 THEN 0 ELSE recalled_memory_count / (recalled_memory_count + 5)::DOUBLE * 100 END AS memory_utilization FROM {w})""" for w in ("wr", "wp"))
+_PAIRS = " UNION ALL ".join(f"SELECT '{m}' AS metric, {str(low).lower()} AS low, p.{m} AS previous, r.{m} AS recent FROM wpm p, wrm r" for m, low in E.METRICS.items())
+_BETTER = "CASE WHEN low THEN recent < previous ELSE recent > previous END"
+
+
 def _windows(t):
     args = (t.memories, t.sessions, t.recall_events, t.outcome_signals, AS_OF)
     return E.window(*args, 0, 15), E.window(*args, 15, 30)
 
 
-@query("eval_window")
+@query("eval_window", "WITH RECURSIVE " + _window_sql("wr", 0, 15) + " SELECT * FROM wr")
 def _(t):
     return _windows(t)[0]
 
 
-@query("eval_report")
+@query("eval_report", f"{_TWO}, {_METRICS}, t AS ({_PAIRS}) SELECT metric, round(previous, 9) AS previous, round(recent, 9) AS recent, CASE WHEN abs(coalesce((recent - previous) / nullif(previous, 0) * 100, CASE WHEN recent > 0 THEN 100 ELSE 0 END)) <= 2 THEN 'stable' WHEN {_BETTER} THEN 'better' ELSE 'worse' END AS trend FROM t")
 def _(t):
-    return E.report(*_windows(t))
+    return E.report(*_windows(t)).withColumns({c: F.round(c, 9) for c in ("previous", "recent")})
 
 
-@query("eval_report_unbanded")
+@query("eval_report_unbanded", f"{_TWO}, {_METRICS}, t AS ({_PAIRS}), n AS (SELECT count(*) FILTER (metric <> 'memory_utilization' AND previous <> 0 AND {_BETTER}) AS n FROM t) SELECT ([{', '.join(repr(v) for v in E.VERDICTS)}])[n + 1] AS assessment FROM n")
 def _(t):
     return E.assessment(E.report(*_windows(t), stable_band=False))
 
 
+@query("feedback_log", "SELECT 'kept' AS kind, id, project FROM outcome_signals UNION ALL SELECT 'kept', 'again_' || g.id, s.project FROM outcome_signals g JOIN sessions s ON s.id = g.session_id WHERE g.id LIKE '%7' AND g.signal_type = 'test_passed' UNION ALL SELECT 'refused', 'other_' || id, 'elsewhere' FROM outcome_signals WHERE id LIKE '%7' UNION ALL SELECT 'refused', 'odd_' || id, NULL FROM outcome_signals WHERE id LIKE '%7'")
+def _(t):
+    s = t.outcome_signals
+    x = s.where("id LIKE '%7'")
+    new = x.where("signal_type = 'test_passed'").withColumns({"id": F.concat(F.lit("again_"), "id"), "signal_type": F.lit("test_pass"), "project": F.lit(None).cast("string")})
+    other = x.withColumns({"id": F.concat(F.lit("other_"), "id"), "project": F.lit("elsewhere")})
+    odd = x.withColumns({"id": F.concat(F.lit("odd_"), "id"), "signal_type": F.lit("sneeze"), "project": F.lit(None).cast("string")})
+    kept, refused = FB.log(s, new.unionByName(other).unionByName(odd), t.sessions)
+    return kept.select(F.lit("kept").alias("kind"), "id", "project").unionByName(refused.select(F.lit("refused").alias("kind"), "id", F.when(F.col("id").startswith("odd"), None).otherwise(F.col("project")).alias("project")))
+
+
+@query("signals_between", "SELECT id, occurred_at FROM outcome_signals WHERE project = 'p3' AND occurred_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09'")
+def _(t):
+    return FB.between(t.outcome_signals, "occurred_at", "2024-01-05 00:00:00", "2024-01-09 00:00:00", "p3").select("id", "occurred_at")
+
+
+@query("recalls_between", "SELECT id, query FROM recall_events WHERE project = 'p1' AND recalled_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09'")
+def _(t):
+    return FB.between(t.recall_events, "recalled_at", "2024-01-05 00:00:00", "2024-01-09 00:00:00", "p1").select("id", "query")
+
+
+@query("top_recalled_labels", f"WITH {EFFECTS_SQL}, r AS (SELECT id, unnest(memory_ids) AS m FROM recall_events WHERE recalled_at BETWEEN {NOW} - INTERVAL 20 DAY AND {NOW}), p AS (SELECT m AS memory_id, round(avg(effectiveness), 9) AS effectiveness FROM r JOIN fx ON fx.recall_event_id = r.id AND fx.memory_id = r.m GROUP BY m ORDER BY 2 DESC, m LIMIT 5) SELECT memory_id, coalesce(topic, '?') AS topic, coalesce(substr(summary, 1, 60), '?') AS label FROM p LEFT JOIN memories ON id = memory_id")
+def _(t):
+    return E.with_labels(E.top_recalled(t.recall_events, effects(t), AS_OF, 0, 20), t.memories).select("memory_id", "topic", "label")
+
+
 @query("effectiveness_window", f"WITH {EFFECTS_SQL}, r AS (SELECT id, unnest(memory_ids) AS m FROM recall_events WHERE recalled_at BETWEEN {NOW} - INTERVAL 20 DAY AND {NOW}) SELECT count(*) AS recalled, count(effectiveness) AS scored, count(*) FILTER (abs(effectiveness) > 1.2e-7) AS non_zero, round(coalesce(sum(effectiveness), 0), 6) AS total FROM r LEFT JOIN fx ON fx.recall_event_id = r.id AND fx.memory_id = r.m")
 def _(t):
     return E.effectiveness_window(t.recall_events, effects(t), AS_OF, 0, 20).withColumn("total", F.round("total", 6))
@@ -383,22 +594,58 @@ def _(t):
     return C.strategy(t.rag_documents).select("id", "chunk_strategy")
 
 
-@query("chunk_heading")
+_FIT = """f AS (SELECT *, regexp_split_to_array(trim(regexp_replace(content, '\\s+', ' ', 'g')), ' ') AS w FROM cut WHERE regexp_matches(content, '\\S')),
+p AS (SELECT document_id, sec, heading, unnest(range(CASE WHEN len(w) <= 50 THEN 1 ELSE (len(w) - 50 + 44) // 45 + 1 END)) AS k, content, w FROM f),
+c AS (SELECT document_id, sec, k, heading, CASE WHEN len(w) <= 50 THEN content ELSE array_to_string(w[k * 45 + 1:k * 45 + 50], ' ') END AS content FROM p)
+SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY sec, k) - 1)::INT AS chunk_index, content, heading, '{name}' AS chunk_strategy FROM c"""
+_LINE = "SELECT id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT id, regexp_split_to_array(regexp_replace({content}, '\\n$', ''), '\\n') AS l FROM rag_documents)"
+
+
+@query("chunk_heading", f"""WITH l AS ({_LINE.format(content="regexp_replace(content, '([^\\n]+)\\n', '## ' || '\\1' || chr(10) || '\\1 and more' || chr(10), 'g')")}),
+m AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AS h FROM l), n AS (SELECT *, sum(h::INT) OVER (PARTITION BY id ORDER BY i) AS sec FROM m),
+cut AS (SELECT id AS document_id, sec, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT h), ''), '^\\s+|\\s+$', '', 'g') AS content, max(CASE WHEN h THEN regexp_extract(line, '^#{{1,6}}\\s+(.+)$', 1) END) AS heading FROM n GROUP BY id, sec),
+{_FIT.format(name="by_heading")}""")
 def _(t):
-    d = t.rag_documents.withColumn("content", F.regexp_replace("content", r"\n", "\n## "))
+    d = t.rag_documents.withColumn("content", F.regexp_replace("content", r"([^\n]+)\n", "## $1\n$1 and more\n"))
     return C.heading_chunks(d, 50)
 
 
-@query("chunk_symbols")
+@query("chunk_symbols", """WITH d AS (SELECT id AS document_id, regexp_split_to_array(regexp_replace(content, '\\n$', ''), '\\n') AS l FROM rag_documents WHERE source_type = 'code'),
+s AS (SELECT *, len(l) AS n, CASE WHEN len(l) >= 2 THEN 2 ELSE 1 END AS e1, CASE WHEN len(l) >= 5 THEN 1 ELSE 0 END AS two FROM d),
+r AS (SELECT document_id, l, 1 AS k, 1 AS a, e1 AS b, 'function main' AS heading, 1 AS x, 2 AS y FROM s UNION ALL SELECT document_id, l, 3, 4, 5, 'struct Pair', 4, 5 FROM s WHERE two = 1 UNION ALL SELECT document_id, l, 2, 3, 3, NULL, 3, 3 FROM s WHERE two = 1
+ UNION ALL SELECT document_id, l, 4, CASE WHEN two = 1 THEN 6 ELSE e1 + 1 END, n, NULL, CASE WHEN two = 1 THEN 6 ELSE e1 + 1 END, n FROM s),
+c AS (SELECT document_id, k, regexp_replace(array_to_string(l[a:b], chr(10)), '^\\s+|\\s+$', '', 'g') AS content, heading, x, y FROM r WHERE a <= b)
+SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY k) - 1)::INT AS chunk_index, content, heading, x::INT AS line_start, y::INT AS line_end, 'by_ast' AS chunk_strategy FROM c WHERE content <> ''""")
 def _(t):
-    s = t.rag_documents.where("source_type = 'code'").select("id", F.lit("function").alias("kind"), F.lit("main").alias("name"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
-    return C.symbol_chunks(t.rag_documents.where("source_type = 'code'"), s)
+    d = t.rag_documents.where("source_type = 'code'").withColumn("content", F.regexp_replace("content", r"\n[ \t]*(?=\n)", "\n-"))
+    long = F.size(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")) >= 5
+    one = F.struct(F.lit("function").alias("kind"), F.lit("main").alias("name"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    two = F.struct(F.lit("struct").alias("kind"), F.lit("Pair").alias("name"), F.lit(4).alias("line_start"), F.lit(5).alias("line_end"))
+    s = d.select("id", F.explode(F.when(long, F.array(two, one)).otherwise(F.array(one))).alias("s")).select("id", "s.*")
+    return C.symbol_chunks(d, s)
 
 
-@query("chunk_output")
+_MARK = {0: "error: ", 1: "error[E01] here ", 2: "diff --git a/q b/", 3: "FAIL ", 4: "2024-01-02 03:04:05 ", 5: "test case "}
+
+
+@query("chunk_output", f"""WITH q AS (SELECT id, project, source_path, source_type, created_at, regexp_replace(content, '\\n', chr(10) || (CASE length(content) % 7 WHEN 4 THEN chr(10) ELSE '' END) || (CASE length(content) % 7 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _MARK.items())} ELSE '' END), 'g') AS content FROM rag_documents),
+l0 AS ({_LINE.format(content="content").replace("FROM rag_documents", "FROM q")}), l AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM l0),
+ty AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*(error\\[E|error:)') THEN 'build_error' WHEN regexp_matches(line, '^\\s*diff --git') THEN 'diff' WHEN regexp_matches(line, '^\\s*(test result:|FAIL|---- .* ----$)') THEN 'test_result' WHEN regexp_matches(line, '^\\s*[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN 'log' END AS told FROM l),
+k AS (SELECT id AS kid, coalesce(arg_min(told, i) FILTER (told IS NOT NULL AND i <= 50), 'generic') AS kind FROM ty GROUP BY id),
+m AS (SELECT l.*, kind, CASE kind WHEN 'diff' THEN regexp_matches(line, '^diff --git') WHEN 'build_error' THEN regexp_matches(line, '^(error\\[|warning\\[|error:)') WHEN 'test_result' THEN regexp_matches(line, '^(---- .+ ----|FAIL|test .+\\.\\.\\.)')
+  WHEN 'log' THEN s <> '' AND coalesce(lag(s) OVER (PARTITION BY id ORDER BY i), '') = '' ELSE false END AS h FROM l JOIN k ON kid = id),
+n AS (SELECT *, sum(h::INT) OVER (PARTITION BY id ORDER BY i) AS sec FROM m),
+o AS (SELECT *, CASE WHEN kind = 'log' THEN nullif(regexp_extract(line, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}'), '') WHEN NOT h THEN NULL
+  WHEN kind = 'diff' THEN coalesce(nullif(regexp_extract(s, '^diff --git \\S+ (?:b/)?(\\S+)', 1), ''), s) WHEN kind = 'build_error' THEN coalesce(nullif(regexp_extract(s, '^[^\\]]*\\]'), ''), left(s, 80)) ELSE nullif(regexp_extract(s, '^(FAIL.*)$', 1), '') END AS head FROM n),
+cut AS (SELECT id AS document_id, sec, string_agg(line, chr(10) ORDER BY i) FILTER (kind <> 'log' OR s <> '') AS content, arg_min(head, i) FILTER (head IS NOT NULL) AS heading FROM o WHERE kind <> 'generic' GROUP BY id, sec
+  UNION ALL SELECT id, 0, string_agg(line, chr(10) ORDER BY i), NULL FROM o WHERE kind = 'generic' GROUP BY id),
+{_FIT.format(name="structured_output").replace("ELSE array_to_string", "ELSE array_to_string").replace("THEN content ELSE", "AND NOT (heading IS NULL AND document_id IN (SELECT kid FROM k WHERE kind = 'generic')) THEN content ELSE")}""")
 def _(t):
-    d = t.rag_documents.withColumn("content", F.regexp_replace("content", r"\n", "\nerror: "))
-    return C.output_chunks(d, 50)
+    size = F.length("content") % 7
+    mark = F.lit("")
+    for k, v in _MARK.items():
+        mark = F.when(size == k, v).otherwise(mark)
+    return C.output_chunks(t.rag_documents.withColumn("content", F.replace("content", F.lit("\n"), F.concat(F.lit("\n"), F.when(size == 4, "\n").otherwise(""), mark))), 50)
 
 
 _SENT = "WITH p AS (SELECT id, regexp_extract_all(content, '[^.\\n]*[.\\n]|[^.\\n]+$') AS ss FROM rag_documents), s AS (SELECT id, i::INT AS n, regexp_replace(ss[i + 1], '^\\s+|\\s+$', '', 'g') AS sentence FROM (SELECT *, unnest(range(len(ss))) AS i FROM p)), f AS (SELECT * FROM s WHERE strlen(sentence) BETWEEN 20 AND 500)"
@@ -411,9 +658,18 @@ def _(t):
     return FX.scored(FX.sentences(t.rag_documents)).select("id", "n", "score")
 
 
-@query("extract_facts")
+_FACTS = f"""{_SENT.replace("WITH ", "WITH RECURSIVE ", 1)}, g AS (SELECT id, n, sentence, {_SCORE} AS score FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, n) AS rank, list_distinct(regexp_split_to_array(sentence, '\\s+')) AS w FROM g WHERE score >= 3),
+r AS (SELECT * FROM b WHERE rank <= 30), walk AS (
+  SELECT id, rank, [w] AS kept, true AS keep FROM r WHERE rank = 1
+  UNION ALL SELECT r.id, r.rank, CASE WHEN ok THEN list_append(kept, r.w) ELSE kept END, ok FROM (SELECT r.*, kept, len(list_filter(kept, lambda k: len(list_intersect(k, r.w)) > 0.6 * len(list_distinct(list_concat(k, r.w))))) = 0 AS ok FROM walk JOIN r ON r.id = walk.id AND r.rank = walk.rank + 1) r),
+x AS (SELECT r.id, r.rank, r.sentence, r.score, row_number() OVER (PARTITION BY r.id ORDER BY r.rank) AS nth FROM walk JOIN r ON r.id = walk.id AND r.rank = walk.rank WHERE keep)
+SELECT id, rank, sentence, score FROM x WHERE nth <= 20"""
+
+
+@query("extract_facts", _FACTS)
 def _(t):
-    return FX.facts(t.rag_documents)
+    return FX.facts(t.rag_documents).select("id", "rank", "sentence", "score")
 
 
 @query("transcript_summary", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS nth FROM turns) SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user_messages, coalesce(string_agg(CASE WHEN length(text) > 160 THEN substr(text, 1, 160) || '...' ELSE text END, ' | ' ORDER BY turn) FILTER (role = 'user' AND nth <= 5), '') AS highlights, 'Session with ' || count(*) || ' messages, ' || count(*) FILTER (role = 'user') || ' by the user' AS summary FROM n GROUP BY conv_id""")
@@ -421,7 +677,14 @@ def _(t):
     return TR.summarise(t.turns)
 
 
-@query("lifecycle_state")
+_LIFE = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'tool' WHEN 'click' THEN 'approval_request' WHEN 'purchase' THEN 'approval_response' ELSE 'error' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+w AS (SELECT id, 0::BIGINT AS k, 'new' AS phase, 0::BIGINT AS pending FROM e WHERE k = 1
+ UNION ALL SELECT e.id, e.k, CASE e.kind WHEN 'start' THEN 'active' WHEN 'approval_request' THEN 'waiting' WHEN 'approval_response' THEN CASE WHEN pending > 1 THEN 'waiting' ELSE 'active' END ELSE phase END, CASE e.kind WHEN 'approval_request' THEN pending + 1 WHEN 'approval_response' THEN greatest(0, pending - 1) ELSE pending END FROM w JOIN e ON e.id = w.id AND e.k = w.k + 1),
+c AS (SELECT id, count(*) FILTER (kind = 'tool') AS tools, count(*) FILTER (kind = 'error') AS errors FROM e GROUP BY id)
+SELECT c.id, arg_max(phase, k) AS phase, tools, arg_max(pending, k) AS pending, errors FROM w JOIN c ON c.id = w.id GROUP BY c.id, tools, errors"""
+
+
+@query("lifecycle_state", _LIFE)
 def _(t):
     kinds = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "tool").when(F.col("event_type") == "click", "approval_request").when(F.col("event_type") == "purchase", "approval_response").otherwise("error")
     e = t.raw("events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), kinds.alias("kind"))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from mnemolake.sources.snapshot import shared_folder
 from mnemolake.streaming import pipelines as P
 
 from .registry import Tables, query
 
 
 def _shared(t: Tables) -> str:
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemolake-")
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(t: Tables):
@@ -35,10 +34,10 @@ def _(t):
     return _run(t, P.dedup_events(e, "event_id", "ts", "40 days").select("event_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", "WITH x AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT start::TIMESTAMP AS start, event_type, n FROM x WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def _(t):
     e = _events(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _run(t, P.tumbling(e, "ts", "1 day", "1 hour", "event_type").select(F.col("window.start").alias("start"), "event_type", "n"))
+    return _run(t, P.tumbling(e, "ts", "1 day", "1 hour", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"))
 
 
 @query("stream_ingest", "SELECT count(*) AS n FROM conversations")

@@ -39,10 +39,10 @@ FROM {t_events} WHERE event_type <> 'view'""",
     "rag_documents": """SELECT {cat}('doc_', doc_id) AS id, {cat}('/', source, '/', doc_id, CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.txt' ELSE '' END) AS source_path,
   CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'code' ELSE 'text' END AS source_type, {day0} + {minutes}((doc_id % 1000) * 37) AS created_at, lang AS project, coalesce(text, '') AS content FROM {t_documents}""",
     "memoirs": """SELECT 'mem_geo' AS id, 'geo' AS name, 'regions to suppliers' AS description UNION ALL SELECT 'mem_code', 'code:p1', 'parts'""",
-    "concepts": """SELECT {cat}('r:', r_regionkey) AS id, 'mem_geo' AS memoir_id, r_name AS name, {cat}('region ', lower(r_name)) AS definition, {array}({cat}('kind:', 'region')) AS labels, CAST(0.9 AS DOUBLE) AS confidence, 1 AS revision FROM {t_region}
-UNION ALL SELECT {cat}('n:', n_nationkey), 'mem_geo', n_name, {cat}('nation of region ', n_regionkey), {array}('kind:nation', {cat}('region:', n_regionkey)), CAST(0.5 AS DOUBLE) + CAST(0.01 AS DOUBLE) * n_nationkey, 1 FROM {t_nation}
-UNION ALL SELECT {cat}('s:', s_suppkey), 'mem_geo', s_name, {cat}('supplier in nation ', s_nationkey), {array}('kind:supplier', {cat}('region:', s_nationkey % 5)), CAST(0.3 AS DOUBLE) + CAST(0.001 AS DOUBLE) * (s_suppkey % 500), 2 FROM {t_supplier}
-UNION ALL SELECT {cat}('p:', p_partkey), 'mem_code', {cat}('part_', p_partkey), p_name, {array}('kind:function', {cat}('brand:', p_brand)), CAST(0.7 AS DOUBLE), 1 FROM {t_part}""",
+    "concepts": """SELECT {cat}('r:', r_regionkey) AS id, 'mem_geo' AS memoir_id, r_name AS name, {cat}('region ', lower(r_name)) AS definition, {array}({label}('kind', 'region')) AS labels, CAST(0.9 AS DOUBLE) AS confidence, 1 AS revision FROM {t_region}
+UNION ALL SELECT {cat}('n:', n_nationkey), 'mem_geo', n_name, {cat}('nation of region ', n_regionkey), {array}({label}('kind', 'nation'), {label}('region', n_regionkey)), CAST(0.5 AS DOUBLE) + CAST(0.01 AS DOUBLE) * n_nationkey, 1 FROM {t_nation}
+UNION ALL SELECT {cat}('s:', s_suppkey), 'mem_geo', s_name, {cat}('supplier in nation ', s_nationkey), {array}({label}('kind', 'supplier'), {label}('region', s_nationkey % 5)), CAST(0.3 AS DOUBLE) + CAST(0.001 AS DOUBLE) * (s_suppkey % 500), 2 FROM {t_supplier}
+UNION ALL SELECT {cat}('p:', p_partkey), 'mem_code', {cat}('part_', p_partkey), p_name, {array}({label}('kind', 'function'), {label}('brand', p_brand)), CAST(0.7 AS DOUBLE), 1 FROM {t_part}""",
     "concept_links": """SELECT {cat}('n:', n_nationkey) AS source_id, {cat}('r:', n_regionkey) AS target_id, 'part_of' AS relation, CAST(1.0 AS DOUBLE) AS weight FROM {t_nation}
 UNION ALL SELECT {cat}('s:', s_suppkey), {cat}('n:', s_nationkey), 'part_of', CAST(1.0 AS DOUBLE) FROM {t_supplier}
 UNION ALL SELECT {cat}('p:', p_partkey), {cat}('p:', p_partkey * 7 % 97 + 1), CASE p_partkey % 4 WHEN 0 THEN 'related_to' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'instance_of' ELSE 'refines' END, CAST(0.5 AS DOUBLE) + CAST(0.1 AS DOUBLE) * (p_partkey % 5) FROM {t_part} WHERE p_partkey <> p_partkey * 7 % 97 + 1""",
@@ -55,6 +55,11 @@ _SPARK = {"day0": "TIMESTAMP_NTZ'2024-01-01 00:00:00'", "array": "array", "cat":
 _DUCK = {"day0": "TIMESTAMP '2024-01-01 00:00:00'", "array": "list_value", "cat": "concat"}
 
 
+def _pair(text: str) -> tuple[str, str]:
+    a, b = text.split(", ", 1)
+    return a, b
+
+
 def _expand(text: str, calls: dict) -> str:
     """Fills in ``{name}(...)`` calls, whose arguments are balanced."""
     for name, f in calls.items():
@@ -69,8 +74,8 @@ def _expand(text: str, calls: dict) -> str:
     return text
 
 
-_SPARK_CALLS = {"minutes": lambda x: f"make_dt_interval(0, 0, CAST({x} AS INT), 0)", "id8": lambda x: f"lpad(CAST({x} AS STRING), 8, '0')", "epoch_day": lambda x: f"datediff(DATE({x}), DATE'2024-01-01')"}
-_DUCK_CALLS = {"minutes": lambda x: f"to_minutes(CAST({x} AS BIGINT))", "id8": lambda x: f"lpad(CAST({x} AS VARCHAR), 8, '0')", "epoch_day": lambda x: f"datediff('day', DATE '2024-01-01', CAST({x} AS DATE))"}
+_SPARK_CALLS = {"label": lambda x: "named_struct('namespace', {}, 'value', CAST({} AS STRING))".format(*_pair(x)), "minutes": lambda x: f"make_dt_interval(0, 0, CAST({x} AS INT), 0)", "id8": lambda x: f"lpad(CAST({x} AS STRING), 8, '0')", "epoch_day": lambda x: f"datediff(DATE({x}), DATE'2024-01-01')"}
+_DUCK_CALLS = {"label": lambda x: "struct_pack(namespace := {}, value := CAST({} AS VARCHAR))".format(*_pair(x)), "minutes": lambda x: f"to_minutes(CAST({x} AS BIGINT))", "id8": lambda x: f"lpad(CAST({x} AS VARCHAR), 8, '0')", "epoch_day": lambda x: f"datediff('day', DATE '2024-01-01', CAST({x} AS DATE))"}
 _TABLES = ("documents", "embeddings", "events", "region", "nation", "supplier", "part", "conversations")
 
 

@@ -71,6 +71,7 @@ def test_sanitizer(spark):
 
 def test_code_terms():
     assert X.code_terms("see src/auth/verify_token.rs and HttpServer now") == ["src", "auth", "verify_token", "verify_token.rs", "HttpServer"]
+    assert X.code_terms("look at /foo and src/ or bar: please") == ["foo", "src", "bar"]
     assert X.fragments("HttpServerHandler") == ["http", "server"]
 
 
@@ -122,30 +123,58 @@ def test_unmatched_takes_each_once(spark):
     assert {r[0] for r in values(E.unmatched(old, new, ["k"], 300), "id")} == {"i1", "i2"}
 
 
-def test_headings_and_windows():
-    got = C.heading_sections("intro\n# One\nbody\n## Empty\n## Two\nlast", 50)
-    assert got == [("intro", None), ("body", "One"), ("last", "Two")]
-    assert [len(w.split()) for w, _ in C.heading_sections("w " * 120, 50)] == [50, 50, 30]
+def cut(spark, chunker, text, *args, cols=("content", "heading")):
+    return values(chunker(spark.createDataFrame([("d", text)], "id string, content string"), *args).orderBy("chunk_index"), *cols)
 
 
-def test_outputs():
-    assert C.output_type("error[E0308]: x") == "build_error"
-    assert C.output_sections("error[E1]: a\n x\nerror: b\n y") == [("error[E1]: a\n x", "error[E1]"), ("error: b\n y", "error: b")]
-    assert C.output_sections("diff --git a/f b/f\n+1\ndiff --git a/g b/g\n-2")[1][1] == "g"
-    assert [h for _, h in C.output_sections("2024-01-01 00:00:00 a\nb\n\n2024-01-01 00:00:05 c")] == ["2024-01-01 00:00:00", "2024-01-01 00:00:05"]
-    assert [h for _, h in C.output_sections("---- t::a ----\nx\nFAIL b")] == ["t::a", "FAIL b"]
+def test_headings_and_windows(spark):
+    assert cut(spark, C.heading_chunks, "intro\n# One\nbody\n## Empty\n## Two\nlast", 50) == [("intro", None), ("body", "One"), ("last", "Two")]
+    assert [len(w.split()) for w, _ in cut(spark, C.heading_chunks, "w " * 120, 50)] == [50, 50, 30]
+    assert cut(spark, C.heading_chunks, None) == [] and cut(spark, C.window_chunks, " \n ", cols=("content",)) == []
+    assert cut(spark, C.window_chunks, "a b c d e", 2, 1, cols=("content",)) == [("a b",), ("b c",), ("c d",), ("d e",)]
+
+
+def test_outputs(spark):
+    kind = lambda t: spark.range(1).select(C.output_type(F.lit(t))).first()[0]
+    assert [kind(t) for t in ("error[E0308]: x", "plain", "\n" * 60 + "FAIL", "x\n  FAIL y")] == ["build_error", "generic", "generic", "test_result"]
+    out = lambda t: cut(spark, C.output_chunks, t)
+    assert out("error[E1]: a\n x\nerror: b\n y") == [("error[E1]: a\n x", "error[E1]"), ("error: b\n y", "error: b")]
+    assert out("diff --git a/f b/f\n+1\ndiff --git a/g b/g\n-2")[1][1] == "g"
+    assert out("2024-01-01 00:00:00 a\nb\n\n2024-01-01 00:00:05 c") == [("2024-01-01 00:00:00 a\nb", "2024-01-01 00:00:00"), ("2024-01-01 00:00:05 c", "2024-01-01 00:00:05")]
+    assert [h for _, h in out("---- t::a ----\nx\nFAIL b")] == ["t::a", "FAIL b"]
 
 
 def test_symbols(spark):
-    got = C.symbol_sections("use x\n\nfn a() {\n}\n\nfn b() {}\ntail", [{"kind": "function", "name": "a", "line_start": 3, "line_end": 4}, {"kind": "function", "name": "b", "line_start": 6, "line_end": 6}])
-    assert [(h, a, b) for _, h, a, b in got] == [(None, 1, 2), ("function a", 3, 4), ("function b", 6, 6), (None, 7, 7)]
+    d = spark.createDataFrame([("d", "use x\n\nfn a() {\n}\n\nfn b() {}\ntail"), ("e", "one\n\ntwo")], "id string, content string")
+    sym = spark.createDataFrame([("d", "function", "b", 6, 6), ("d", "function", "a", 3, 4), ("d", "function", "far", 90, 99)], "id string, kind string, name string, line_start int, line_end int")
+    got = C.symbol_chunks(d, sym).orderBy("document_id", "chunk_index")
+    assert values(got.where("document_id = 'd'"), "heading", "line_start", "line_end") == [(None, 1, 2), ("function a", 3, 4), ("function b", 6, 6), (None, 7, 7)]
+    assert values(got.where("document_id = 'e'"), "content", "line_start") == [("one", None), ("two", None)]
     lines = spark.createDataFrame([("function main [1:0-9:1]",), ("  method x [2:0-3:1]",)], "line string")
     assert values(C.parse_symbols(lines), "kind", "name", "line_start", "line_end") == [("function", "main", 1, 9)]
 
 
 def test_fnv(spark):
-    x = spark.createDataFrame([("",), ("a",), (None,)], "s string")
-    assert [r[0] for r in x.select(T.fnv1a(F.col("s"))).collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", None]
+    x = spark.createDataFrame([("",), ("a",), (None,), ("foobar",)], "s string")
+    assert [r[0] for r in x.select(T.fnv1a(F.col("s"))).collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", None, "85944171f73967e8"]
+
+
+def test_islands_go_on_across_slots(spark):
+    at = [0, 5, 500, 630, 640, 1290, 1300, 9000, 9004]
+    rows = spark.createDataFrame([("k", n, f"i{i}", 1) for i, n in enumerate(at)] + [(None, 3, "x", 0)], "k string, s long, id string, old int").withColumn("at", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    got = {r["id"]: r["island"] for r in E.islands(rows.drop("s"), ["k"], 10).collect()}
+    assert got == {"i0": 0, "i1": 0, "i2": 1, "i3": 2, "i4": 2, "i5": 3, "i6": 3, "i7": 4, "i8": 4, "x": 0}
+
+
+def test_index_and_scan_agree(spark, tmp_path):
+    m = memories(spark, [{"id": str(i), "summary": t} for i, t in enumerate(["red fish blue fish", "fish red", "a blue-red thing", "blue red", "", "fish"])])
+    S.TextIndex.write(m, "id", S.memory_text(), str(tmp_path))
+    index = S.TextIndex.open(spark, str(tmp_path))
+    for phrases, any_of in (([["fish"]], False), ([["red"], ["fish"]], False), ([["blue", "red"]], False), ([["fish"], ["blue"]], True), ([["none"]], False), ([["fish"], ["red", "fish"]], False)):
+        a, b = (sorted((r["id"], round(r["rank"], 9)) for r in S.bm25(m, S.memory_text(), phrases, any_of, i).collect()) for i in (None, index))
+        assert a == b, phrases
+    plan = S.bm25(m.select("id", "weight"), S.memory_text(), [["fish"]], index=index)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "fish" in plan
 
 
 def test_pending_never_negative():
@@ -155,6 +184,17 @@ def test_pending_never_negative():
     assert s == {"phase": "ended", "tools": 0, "pending": 0, "errors": 0}
 
 
+def test_labels_are_structs(spark):
+    from mnemolake.operators import graph as G
+    from mnemolake.schema import CONCEPTS
+
+    c = spark.createDataFrame([("1", "m", "parse", "reads text", [("kind", "function"), ("lang", "py")], 0.5, 1, None, None, ["a"]), ("2", "m", "draw", "paints", [("kind", "class")], 0.9, 1, None, None, None)], CONCEPTS)
+    assert values(G.with_label(c, "m", "kind:function"), "id") == [("1",)]
+    assert values(G.with_labels(c, "m", ["kind:function", "lang:py"]), "id") == [("1",)]
+    assert values(S.concept_fts(c, "function"), "id") == [("1",)]
+    assert [r["source_memory_ids"] for r in G.refine(c, "1", "new", ("b", "a")).orderBy("id").collect()] == [["a", "b"], None]
+
+
 def test_purge_is_a_partition(spark):
     m = memories(spark, [{"id": "a", "project": "x"}, {"id": "b", "project": "y"}, {"id": "c"}])
     kept = T.purge_project({"m": m}, "x")["m"]
