@@ -8,13 +8,12 @@ the last returns the documents that the mix takes words of, with how many.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm._common import table
+from mnemolake.llm._common import shared_folder, table
 from mnemolake.llm.decontaminate import drop_leaks
 from mnemolake.llm.line_dedup import dedup_lines
 from mnemolake.llm.mixing import mix
@@ -54,12 +53,19 @@ STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("MinHash
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of whatever file system Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage; each stage before it is written to the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemolake-")
-    at = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """The result of the last stage. Each stage before it is written to the shared folder, and goes once the next one is written."""
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:
+            _delete(spark, f"{at}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,7 +1,9 @@
 r"""Chat formatting by event-sourced reconstruction (native).
 
 A log of events is partitioned by conversation, sorted by sequence and folded
-into final messages, which a template then renders.
+into final messages, which a template then renders. Messages are folded each in its own
+group, and only the finished ones of a conversation meet, in the row that the
+output demands.
 
 Event types: ``message`` starts a message, ``delta`` appends a streamed piece,
 ``edit`` replaces what the message says, ``regenerate`` throws the answer away
@@ -14,17 +16,18 @@ exact for any text, and no text can forge a turn mark.
 
 Defined cases: a null text or role counts as empty; a null conversation id is a
 conversation of its own; equal sequence numbers are ordered by type, role and
-text, so reruns agree; repeated rows are repeated events; an unknown event type
-is treated as ``message``; an empty log gives no rows; other columns are
-ignored.
+text, so reruns agree; null ones come first; messages stand in the order of their
+first events, those of equal ones by role and text; repeated rows are repeated
+events; an unknown event type is treated as ``message``; an empty log gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import or_empty, table
+from ._common import or_empty, running_sums, table
 
 RESETS = ("message", "edit", "regenerate")
 
@@ -41,27 +44,17 @@ def unescape(c: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """(conv_id, message, seq, type, role, text) -> (conv_id, ord, role, text), one row a surviving message.
+    """(conv_id, message, seq, type, role, text) -> (conv_id, ord, message, role, text), one row a surviving message.
 
     ``message`` identifies the message an event is about within its
-    conversation; messages stand in the order of their first event.
+    conversation; ``ord`` is the sequence number of its first event.
     """
     kind = F.when(F.col("type").isin("delta", "delete", *RESETS), F.col("type")).otherwise("message")
-    e = events.select("conv_id", "message", "seq", kind.alias("type"), or_empty(F.col("role")).alias("role"), or_empty(F.col("text")).alias("text"))
-    order = [F.col("seq").asc_nulls_first(), "type", "role", "text"]
-    one = Window.partitionBy("conv_id", "message").orderBy(*order)
-    e = e.withColumn("_at", F.row_number().over(one))
-    whole = Window.partitionBy("conv_id", "message")
-    e = e.withColumn("_reset", F.max(F.when(F.col("type").isin(*RESETS), F.col("_at"))).over(whole))
-    e = e.withColumn("_dead", F.max(F.when(F.col("type") == "delete", F.col("_at"))).over(whole))
-    live = F.col("_at") >= F.coalesce("_reset", F.lit(1))
-    messages = e.groupBy("conv_id", "message").agg(
-        F.min("seq").alias("ord"),
-        F.min_by("role", "_at").alias("role"),
-        F.array_sort(F.collect_list(F.when(live & (F.col("type") != "delete"), F.struct("_at", F.when(F.col("type") == "regenerate", "").otherwise(F.col("text")).alias("text"))))).alias("_parts"),
-        F.max("_dead").alias("_dead"),
-    )
-    return messages.where(F.col("_dead").isNull()).select("conv_id", "ord", "message", "role", F.array_join(F.col("_parts.text"), "").alias("text"))
+    e = events.select("conv_id", "message", F.struct("seq", kind.alias("type"), or_empty(F.col("role")).alias("role"), or_empty(F.col("text")).alias("text")).alias("e"))
+    m = e.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list("e")).alias("log")).where(~F.exists("log", lambda x: x["type"] == "delete"))
+    last = F.coalesce(F.array_max(F.transform("log", lambda x, i: F.when(x["type"].isin(*RESETS), i))), F.lit(0))
+    live = F.transform(F.slice("log", last + 1, F.size("log")), lambda x: F.when(x["type"] == "regenerate", "").otherwise(x["text"]))
+    return m.select("conv_id", F.col("log")[0]["seq"].alias("ord"), "message", F.col("log")[0]["role"].alias("role"), F.array_join(live, "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -70,15 +63,13 @@ def render(messages: DataFrame) -> DataFrame:
     ``loss_spans`` are the code-point spans of the assistant's texts within
     ``formatted``, end exclusive.
     """
-    m = messages.select("conv_id", "ord", "message", "role", "text", F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n")).alias("_head"), escape(F.col("text")).alias("_body"))
-    m = m.withColumn("_piece", F.concat("_head", "_body", F.lit("</turn>\n")))
-    order = Window.partitionBy("conv_id").orderBy(F.col("ord").asc_nulls_first(), "message")
-    m = m.withColumn("_n", F.row_number().over(order))
-    m = m.withColumn("_to", F.sum(F.length("_piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("_to") - F.length("_piece") + F.length("_head")
-    span = F.when(F.col("role") == "assistant", F.struct(start.alias("start"), (start + F.length("_body")).alias("end")))
-    parts = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_piece", span.alias("span")))).alias("p"))
-    return parts.select("conv_id", F.array_join(F.col("p._piece"), "").alias("formatted"), F.filter(F.col("p.span"), lambda s: s.isNotNull()).alias("loss_spans"))
+    whole = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("ord", "role", "text", "message"))).alias("m"))
+    parts = F.transform("m", lambda x: F.struct((x["role"] == "assistant").alias("own"), F.concat(F.lit("<turn "), escape(x["role"]), F.lit(">\n")).alias("head"), escape(x["text"]).alias("body")))
+    out = whole.select("conv_id", parts.alias("p"))
+    size = lambda x: F.length(x["head"]) + F.length(x["body"]) + len("</turn>\n")
+    ends = running_sums(F.transform("p", lambda x: size(x).cast("long")))
+    spans = F.zip_with("p", ends, lambda x, to: F.when(x["own"], F.struct((to - len("</turn>\n") - F.length(x["body"])).alias("start"), (to - len("</turn>\n")).alias("end"))))
+    return out.select("conv_id", F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit("</turn>\n"))), "").alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -95,9 +86,25 @@ def masked(formatted: Column, loss_spans: Column) -> Column:
 
 
 def as_events(rows: DataFrame) -> DataFrame:
-    """Finished chat rows (conv_id, turn, role, text) as a log of ``message`` events, one message a row."""
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), or_empty(F.col("role")), or_empty(F.col("text"))))
-    return rows.select("conv_id", n.alias("message"), n.alias("seq"), F.lit("message").alias("type"), "role", "text")
+    """Finished chat rows (conv_id, turn, role, text) as the log that an interactive session would leave, one message a row.
+
+    An assistant's answer is streamed, thrown away half-way, and streamed anew; what
+    others say comes in two pieces, or as a draft that an edit then replaces.
+    """
+    own = ["conv_id", "turn", "role", "text"]
+    rows = rows.groupBy(*own).agg(F.count("*").cast("int").alias("n")).select(*own, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    text = or_empty(F.col("text"))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.left(text, half), F.substr(text, half + 1)
+    event = lambda kind, said: F.struct(F.lit(kind).alias("type"), said.alias("text"))
+    none = F.lit(None).cast("string")
+    answer = F.array(event("message", none), event("delta", rest), event("regenerate", none), event("delta", first), event("delta", rest))
+    streamed = F.array(event("message", first), event("delta", rest))
+    edited = F.array(event("message", F.concat(rest, F.lit("draft"))), event("delta", F.lit(" not sent")), event("edit", text))
+    log = F.when(F.col("role") == "assistant", answer).when(F.length(text) % 2 == 0, streamed).otherwise(edited)
+    e = rows.select(*own, "copy", F.posexplode(log).alias("step", "e"))
+    message = F.struct("turn", "role", F.sha2("text", 256).alias("digest"), "copy")
+    return e.select("conv_id", message.alias("message"), F.struct("turn", "step").alias("seq"), "e.type", "role", "e.text")
 
 
 def format_chats(events: DataFrame) -> DataFrame:

@@ -1,26 +1,31 @@
 r"""Line dedup by a deletion-neighbourhood join.
 
-Lines are compared in a plain form (lower case, digits as 0, white space
-squeezed). Equal lines are one. A line whose form is long enough emits hashes of
-itself and of all its variants with one character deleted: two lines are within
-one edit exactly if they have an equal variant with the same place deleted
-(substitution) or one equals a variant of the other (insertion, deletion). Equal
-keys are joined, the edit distance is verified, and of lines that are alike the
-earliest (by doc_id, then line number) is kept: a line goes if any earlier line
-equals it or is within the bound of it.
+Lines are compared in a plain form (lower case, white space squeezed). Equal lines
+are one, whatever their length. A line whose form has at least ``LEAST_CHARS``
+characters emits hashes of itself and of all its variants with one character
+deleted: two lines are within one edit exactly if they have an equal variant with
+the same place deleted (substitution) or one equals a variant of the other
+(insertion, deletion). Equal keys are joined, the edit distance is verified, and of
+lines that are alike the earliest (by doc_id, then line number) is kept: a line
+goes if any earlier line equals it or is within one edit of it. Where the earlier
+one itself goes, the two belong to a chain, and what stands for both is the
+chain's first line, which stays.
+
+The bound is one edit. Halves and single deletions are made for it, so it isn't a
+parameter. Shorter lines aren't compared by edits: one edit changes a word of
+theirs into another.
 
 So as not to emit variants of every line, lines are first matched by halves:
 one edit leaves the first or the second half of the shorter line untouched, so
 lines that share neither with another line can't be within the bound of any.
 This loses nothing. Where few rows of a large table will find a partner, a bit
-sieve of fixed size (``SIEVE_WORDS`` words) lets through those that may, and the
-join that follows is exact.
-
-Defined cases: null texts stay null and empty ones empty; lines whose form has
-under ``LEAST_CHARS`` characters are never removed, since short lines repeat by
-chance; repeated lines within a document count too; rows that repeat a doc_id
-are told apart by their text, and rows alike in both count as one;
-a null doc_id is the earliest; a document all of whose lines go is dropped by
+sieve of fixed size lets through those that may, and the join that follows is
+exact.
+
+Defined cases: null texts stay null and empty ones empty; blank lines are never
+removed; repeated lines within a document count too; rows that repeat a doc_id
+are told apart by their text, and of rows alike in both all but one repeat every
+line; a null doc_id is the earliest; a document all of whose lines go is dropped by
 ``dedup_lines``; empty tables give no rows; other columns pass through.
 """
 
@@ -33,31 +38,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, or_empty, table
+from ._common import cut, free_name, or_empty, sieve, sift, table
+from ._components import components
 from ._words import U, mix
 
+#: Lines of fewer characters are removed only where they are equal.
 LEAST_CHARS = 20
-EDITS = 1
-#: 64 bits each; 16 bytes a row, so 2 MB to each executor at most.
-SIEVE_WORDS = 1 << 17
 
 
 def plain(line: Column) -> Column:
     low = F.lower(line)
-    odd = F.trim(F.regexp_replace(F.regexp_replace(low, "[1-9]", "0"), "[ \\t\\r\\x0B\\x0C]+", " "))
+    odd = F.trim(F.regexp_replace(low, "[ \\t\\r\\x0B\\x0C]+", " "))
     # Most lines need no replacing, and to see that is cheaper than to replace.
-    return F.when(low.rlike("[1-9\\t\\r\\x0B\\x0C]|  "), odd).otherwise(F.trim(low))
+    return F.when(low.rlike("[\\t\\r\\x0B\\x0C]|  "), odd).otherwise(F.trim(low))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, nth, no, form) of the long enough lines; ``nth`` tells rows of one doc_id apart."""
+    """(doc, nth, no, form) of the lines that aren't blank; ``nth`` tells rows of one doc_id apart."""
     t = or_empty(F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(t).alias("nth"), F.posexplode(F.split(t, "\n", -1)).alias("no", "line"))
-    return rows.select("doc", "nth", "no", plain(F.col("line")).alias("form")).where(F.length("form") >= LEAST_CHARS)
+    return rows.select("doc", "nth", "no", plain(F.col("line")).alias("form")).where(F.col("form") != "")
 
 
 def _keys(lines: DataFrame) -> DataFrame:
-    """Hashes of each form: two of the whole, and of its halves.
+    """Hashes of each form: two of the whole, and of its halves if it is long enough.
 
     First halves by their length, second halves by theirs, of the line as the
     shorter of two and as the longer by one; equal keys once.
@@ -68,25 +72,8 @@ def _keys(lines: DataFrame) -> DataFrame:
     p2 = F.when(half != less, F.xxhash64(F.lit("p"), less, F.left(form, less)))
     s1 = F.xxhash64(F.lit("s"), n - half, F.right(form, n - half))
     s2 = F.when(n - half != n - 1 - less, F.xxhash64(F.lit("s"), n - 1 - less, F.right(form, n - 1 - less)))
-    return lines.select("doc", "nth", "no", F.xxhash64(form).alias("h1"), F.xxhash64(F.lit("line"), form).alias("h2"), p1.alias("p1"), p2.alias("p2"), s1.alias("s1"), s2.alias("s2"))
-
-
-_WORD = f"pmod(k, {SIEVE_WORDS})"
-_BIT = f"shiftleft(1L, CAST(pmod(shiftright(k, {SIEVE_WORDS.bit_length() - 1}), 64) AS INT))"
-
-
-def _sieve(keys: DataFrame, key: str) -> DataFrame:
-    """(word, bits): at most ``SIEVE_WORDS`` rows, whatever the number of keys."""
-    k = keys.select(F.col(key).alias("k"))
-    return k.groupBy(F.expr(_WORD).alias("_word")).agg(F.bit_or(F.expr(_BIT)).alias("_bits"))
-
-
-def _sift(rows: DataFrame, key: Column, sieve: DataFrame) -> DataFrame:
-    """The rows whose key may be in the sieve: all that are, and a few others."""
-    x = rows.withColumn("k", key)
-    x = x.withColumn("_w", F.expr(_WORD)).withColumn("_b", F.expr(_BIT))
-    x = x.join(F.broadcast(sieve), F.col("_w") == F.col("_word")).where(F.col("_b").bitwiseAND(F.col("_bits")) != 0)
-    return x.select(*rows.columns)
+    halves = [F.when(n >= LEAST_CHARS, h).alias(c) for c, h in (("p1", p1), ("p2", p2), ("s1", s1), ("s2", s2))]
+    return lines.select("doc", "nth", "no", F.xxhash64(form).alias("h1"), F.xxhash64(F.lit("line"), form).alias("h2"), *halves)
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,18 +102,18 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(h1, h2, near) of the distinct lines (h1, h2, at, p1, p2, s1, s2) that have an earlier line within one edit, with where the earliest of those stands first."""
+    """(h1, h2, near) of the distinct lines (h1, h2, at, p1, p2, s1, s2) that have an earlier line within one edit, with where the first line of their chain stands."""
     halves = F.explode(F.filter(F.array("p1", "p2", "s1", "s2"), lambda h: h.isNotNull()))
     shared = distinct.select("h1", halves.alias("half")).groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
     shared = cut(shared.where(F.col("lo") != F.col("hi")).select("half"))
-    parts = _sift(distinct.select("h1", "h2", "at", halves.alias("half")), F.col("half"), _sieve(shared, "half"))
+    parts = sift(distinct.select("h1", "h2", "at", halves.alias("half")), F.col("half"), sieve(shared, "half"))
     near = cut(parts.join(shared, "half").select("h1", "h2", "at.doc", "at.nth", "at.no").distinct())
 
     # Their forms, from the documents where they stand first.
     spot = F.xxhash64(F.col("doc"), F.col("nth"))
-    sieve = _sieve(near.select(spot.alias("spot")), "spot")
+    spots = sieve(near.select(spot.alias("spot")), "spot")
     held = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(or_empty(F.col(text))).alias("nth"), F.col(text).alias("text"))
-    read = _lines(_sift(held, spot, sieve).select("doc", "text"), "doc", "text").withColumnsRenamed({"doc": "d", "nth": "t", "no": "o"})
+    read = _lines(sift(held, spot, spots).select("doc", "text"), "doc", "text").withColumnsRenamed({"doc": "d", "nth": "t", "no": "o"})
     close = near.join(read, F.col("doc").eqNullSafe(F.col("d")) & (F.col("nth") == F.col("t")) & (F.col("no") == F.col("o")))
     close = cut(close.select("h1", "h2", F.struct("doc", "nth", "no").alias("at"), "form").dropDuplicates(["h1", "h2"]))
 
@@ -142,32 +129,47 @@ def near_lines(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str) ->
     found = keys.select("id", "best").distinct()
     forms = close.select(F.struct("h1", "h2").alias("i"), "form")
     found = found.join(forms.withColumnsRenamed({"i": "id", "form": "mine"}), "id").join(forms.withColumnRenamed("form", "other"), F.col("best.id") == F.col("i"))
-    found = found.where(F.levenshtein("mine", "other", EDITS) != -1)
-    return found.groupBy("id").agg(F.min("best.at").alias("near")).select(F.col("id.h1").alias("h1"), F.col("id.h2").alias("h2"), "near")
+    found = found.where(F.levenshtein("mine", "other", 1) != -1)
+    # Each line's earliest partner: a forest, whose roots have no earlier partner and stay.
+    partner = cut(found.groupBy("id").agg(F.min(F.struct("best.at", "best.id")).alias("b")).select(F.col("id").alias("a"), F.col("b.id").alias("b"), F.col("b.at").alias("at")))
+    chains = components(partner.select("a", "b"))
+    root = partner.join(chains, F.col("a") == F.col("node")).groupBy("component").agg(F.min("at").alias("near"))
+    out = partner.join(chains, F.col("a") == F.col("node")).join(root, "component")
+    return out.select(F.col("a.h1").alias("h1"), F.col("a.h2").alias("h2"), "near")
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, nth, no, kept) of every line that goes, with the place of the earlier line that it repeats."""
+    """(doc, nth, no, kept, copy) of every line that goes, with the place of the line that stays for it; ``copy`` tells lines that go because their whole row is there before."""
     lines = cut(_keys(_lines(docs, doc_id, text)))
     distinct = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "nth", "no")).alias("at"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("p1", "p2", "s1", "s2")]))
     near = near_lines(docs, distinct, doc_id, text)
     again = distinct.where(F.col("n") > 1).select("h1", "h2", "at")
     known = cut(again.join(near, ["h1", "h2"], "full_outer"))
-    rows = _sift(lines.select("doc", "nth", "no", "h1", "h2"), F.col("h1"), _sieve(known, "h1")).join(known, ["h1", "h2"])
+    rows = sift(lines.select("doc", "nth", "no", "h1", "h2"), F.col("h1"), sieve(known, "h1")).join(known, ["h1", "h2"])
     here = F.struct("doc", "nth", "no")
-    kept = F.coalesce("near", F.when(F.col("at") != here, F.col("at")))
-    return rows.select("doc", "nth", "no", kept.alias("kept")).where(F.col("kept").isNotNull())
+    rows = cut(rows.select("doc", "nth", "no", F.coalesce("near", "at").alias("kept"), (F.col("near").isNull() & (F.col("at") == here)).alias("first")))
+    gone = rows.where(~F.col("first")).select("doc", "nth", "no", "kept", F.lit(False).alias("copy"))
+    times = rows.where("first").groupBy("doc", "nth", "no").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1)
+    copies = times.select("doc", "nth", "no", "kept", F.explode(F.array_repeat(F.lit(True), (F.col("n") - 1).cast("int"))).alias("copy"))
+    return gone.unionByName(copies)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without repeated lines, and without the documents that had nothing else."""
-    gone = repeated_lines(docs, doc_id, text).groupBy("doc", "nth").agg(F.collect_set("no").alias("gone")).withColumnsRenamed({"doc": "_doc", "nth": "_nth", "gone": "_gone"})
-    d = docs.withColumn("_key", F.xxhash64(or_empty(F.col(text))))
-    d = d.join(gone, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_nth")), "left")
+    key, doc, nth, gone = (free_name(docs, x) for x in ("_key", "_doc", "_nth", "_gone"))
+    found = cut(repeated_lines(docs, doc_id, text))
+    sets = found.where(~F.col("copy")).groupBy("doc", "nth").agg(F.collect_set("no").alias(gone)).withColumnsRenamed({"doc": doc, "nth": nth})
+    d = docs.withColumn(key, F.xxhash64(or_empty(F.col(text))))
+    twice = found.where("copy").select(F.col("doc").alias(doc), F.col("nth").alias(nth)).distinct()
+    if not twice.isEmpty():
+        # Rows alike in id and text: all but one have no line of their own.
+        same = F.col(doc_id).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(nth))
+        d = d.join(twice, same, "left_anti").unionByName(d.join(twice, same, "left_semi").dropDuplicates([doc_id, key]))
+    d = d.join(sets, F.col(doc_id).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(nth)), "left")
     lines = F.split(F.col(text), "\n", -1)
-    rest = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("_gone"), i), x)), lambda x: x.isNotNull())
-    kept = d.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n")))
-    return kept.where(F.col("_gone").isNull() | (F.trim(F.col(text)) != "")).select(*docs.columns)
+    rest = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col(gone), i), x)), lambda x: x.isNotNull())
+    kept = d.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n")))
+    return kept.where(F.col(gone).isNull() | (F.trim(F.col(text)) != "")).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,16 +178,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = rf"""
-WITH l AS (SELECT doc_id, unnest(range(len(s))) AS no, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
-f AS (SELECT doc_id, no, trim(CASE WHEN regexp_matches(lower(line), '[1-9\t\r\x0B\x0C]|  ') THEN regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '[ \t\r\x0B\x0C]+', ' ', 'g') ELSE lower(line) END, ' ') AS form FROM l),
-g AS (SELECT * FROM f WHERE length(form) >= {LEAST_CHARS}),
+WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(s))) AS no, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+f AS (SELECT doc_id, no, trim(CASE WHEN regexp_matches(lower(line), '[\t\r\x0B\x0C]|  ') THEN regexp_replace(lower(line), '[ \t\r\x0B\x0C]+', ' ', 'g') ELSE lower(line) END, ' ') AS form FROM l),
+g AS (SELECT * FROM f WHERE form <> ''),
 d AS (SELECT form, min((doc_id, no)) AS pos FROM g GROUP BY form),
-v AS (SELECT form, pos, i, hash(substr(form, 1, i - 1) || substr(form, i + 1)) AS h FROM (SELECT form, pos, unnest(range(1, length(form) + 1)) AS i FROM d)),
-w AS (SELECT form, pos, hash(form) AS h FROM d),
+e AS (SELECT * FROM d WHERE length(form) >= {LEAST_CHARS}),
+v AS (SELECT form, pos, i, hash(substr(form, 1, i - 1) || substr(form, i + 1)) AS h FROM (SELECT form, pos, unnest(range(1, length(form) + 1)) AS i FROM e)),
+w AS (SELECT form, pos, hash(form) AS h FROM e),
 c AS (SELECT v.form, s.pos FROM v JOIN (SELECT i, h, min(pos) AS pos FROM v GROUP BY i, h) s ON s.i = v.i AND s.h = v.h
   UNION ALL SELECT v.form, w.pos FROM v JOIN w ON w.h = v.h
   UNION ALL SELECT w.form, v.pos FROM w JOIN v ON w.h = v.h),
-n AS (SELECT d.form, min(c.pos) AS near FROM d JOIN c ON c.form = d.form WHERE c.pos < d.pos GROUP BY d.form),
-r AS (SELECT g.doc_id, g.no, coalesce(n.near, CASE WHEN d.pos <> (g.doc_id, g.no) THEN d.pos END) AS kept FROM g JOIN d ON d.form = g.form LEFT JOIN n ON n.form = g.form)
+n AS (SELECT e.form, any_value(e.pos) AS pos, min(c.pos) AS near FROM e JOIN c ON c.form = e.form WHERE c.pos < e.pos GROUP BY e.form),
+up AS (SELECT form, near AS root FROM n UNION ALL SELECT up.form, n.near FROM up JOIN n ON n.pos = up.root),
+roots AS (SELECT form, min(root) AS root FROM up GROUP BY form),
+r AS (SELECT g.doc_id, g.no, coalesce(roots.root, CASE WHEN d.pos <> (g.doc_id, g.no) THEN d.pos END) AS kept FROM g JOIN d ON d.form = g.form LEFT JOIN roots ON roots.form = g.form)
 SELECT doc_id, no AS line_no, kept[1] AS kept_doc_id, kept[2] AS kept_line_no FROM r WHERE kept IS NOT NULL
 """

@@ -1,36 +1,42 @@
 """MinHash near-dedup by Order MinHash.
 
 A text's five-word shingles are labelled with their occurrence number. Each of
-``SKETCHES`` hash functions picks the three least labelled shingles, and the
-sketch keeps them in text order, so that equal sketches tell of like words in
-like order. Texts with an equal sketch are candidates. A candidate pair is
-verified by banded alignment of its words, furthest-reaching diagonals first: so
-few edits that they can't bring the Jaccard similarity of the shingle sets under
-``SIMILARITY`` make a link, and what the band leaves open is decided by the sets
-themselves. Classes are the connected components of the links.
-
-Texts of equal words are one node, so copies never meet. Within a bucket of
-equal sketches no pairs are listed: members are compared with the bucket's
-centre, the one that shares most sketches with others. Only where that leaves
-several components, members are compared by what sets them apart from the
-centre. With D(x) the shingles that x and the centre don't share, two texts are
-similar only if D(x) and D(y) have at least u(x) + u(y) shingles in common,
-u(x) = (|D(x)| - r |x|) / 2 and r = (1 - SIMILARITY) / (1 + SIMILARITY). With the
-rarest shingles first, it is then enough to join prefixes of D(x) and D(y), and
-none need be longer than the shingles that two similar texts may differ by. That
-is exact, so it loses no link between members of a bucket, and pairs that can't
-be links don't arise.
+several hash functions picks the least few labelled shingles, and the sketch
+keeps them in text order, so that equal sketches tell of like words in like
+order. Texts with an equal sketch are candidates, and a banded alignment decides:
+with n and m shingles of which an alignment matches M, in order, the similarity
+is M / (n + m - M), the Jaccard measure of what is aligned. Texts of at least
+``SIMILARITY`` are linked, classes are the connected components of the links. A
+text whose halves are swapped has all its shingles, but aligns only half of them.
+
+How many shingles a sketch picks depends on a text's length (``KINDS``); ranges
+of length overlap by more than two similar texts can differ, so both have
+sketches of one kind. A pair at the least similarity in like order is missed with
+a chance of about 1e-5.
+
+Texts of equal words are one node, so copies never meet. A bucket of at most
+``FEW`` texts compares its texts with each other; a larger one compares all
+with a centre, the text whose buckets are largest together. Where larger buckets
+then hold several components, texts of different components that share a shingle
+which only ``FEW`` of these texts have meet by it. The others share common
+shingles alone, so they are compared within their bucket only if those are enough
+for the least similarity, and if their distances to the centre differ by no more
+than alike texts may: the share of unlike shingles is a metric. Signatures of a
+fixed size, whose unlike bits count unlike shingles, rule out most of the rest. So
+within buckets no link is lost, and pairs are listed only where texts are nearly
+alike.
 
 Defined cases: null and empty texts, and those of white space, are classes of
 their own, one for each row; a text of one to four words is one shingle; rows
 that repeat a doc_id are each classified; the class id is the least doc_id of
 the class, null if it has none; ties in a sketch can't occur but between equal
-labels; an empty table gives no rows; other columns are kept by ``classify`` and
+labels; an empty table gives no rows; other columns are kept by ``keep_one`` and
 not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,59 +44,81 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, free_name, table
+from ._common import cut, free_name, sieve, sift, table
 from ._components import components
 from ._words import U, Words, mix, slices, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 20
-PICKED = 3
-#: Classes of excess, by powers of two, for which prefixes of their own are joined.
-CLASSES = 8
+#: Kinds of sketches: for texts of these numbers of shingles, how many are picked, and how many sketches there are.
+KINDS = ((1, 40, 3, 20), (32, 1 << 62, 5, 32))
+#: Buckets of so many texts compare them with each other.
+FEW = 8
+#: Bits of a text's signature.
+BITS = 1024
+#: Numbers that a text's sketches are worked out on at a time.
+AT_ONCE = 2_000_000
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) | U(1)
 
 
-def sketches(data: np.ndarray, at: np.ndarray, n_sketches: int = SKETCHES, picked: int = PICKED) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(digest, number of words, sketches) of each text; a text without words has sketches of 0."""
-    w = Words(data, at)
-    h, doc = w.shingles(SHINGLE)
-    out = np.zeros((w.n_docs, n_sketches), U)
-    if len(h):
-        # Occurrence numbers: the rank among equal shingles of a text, in text order.
-        order = np.argsort(h ^ mix(doc.astype(U)), kind="stable")
-        hs, ds = h[order], doc[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
-        run = np.arange(len(h)) - np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-        label = np.empty(len(h), U)
-        label[order] = mix(hs + run.astype(U) * U(0xC2B2AE3D27D4EB4F))
-        times, plus = _odd(n_sketches, 1)[:, None], _odd(n_sketches, 2)[:, None]
-        first = np.searchsorted(doc, np.arange(w.n_docs + 1))
-        rows = np.arange(n_sketches)[:, None]
-        for d in np.flatnonzero(np.diff(first)):
-            own = label[first[d] : first[d + 1]]
-            k = min(picked, len(own))
-            v = own * times + plus
+def labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Shingles mixed with their occurrence number: the rank among equal shingles of a text, in text order."""
+    order = np.argsort(h ^ mix(doc.astype(U)), kind="stable")
+    hs, ds = h[order], doc[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
+    run = np.arange(len(h)) - np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+    label = np.empty(len(h), U)
+    label[order] = mix(hs + run.astype(U) * U(0xC2B2AE3D27D4EB4F))
+    return label
+
+
+def buckets(own: np.ndarray, kinds: tuple) -> np.ndarray:
+    """The sketches of one text with the labels ``own``, in text order, each mixed with what kind and number it is."""
+    out = []
+    for lo, hi, picked, many in kinds:
+        if not lo <= len(own) <= hi:
+            continue
+        k = min(picked, len(own))
+        times, plus = _odd(many, picked)[:, None], _odd(many, picked + 1000)[:, None]
+        step = max(1, AT_ONCE // len(own))
+        for a in range(0, many, step):
+            v = own * times[a : a + step] + plus[a : a + step]
             v ^= v >> U(32)
-            least = np.argpartition(v, k - 1, axis=1)[:, :k] if k < len(own) else np.tile(np.arange(k), (n_sketches, 1))
+            least = np.argpartition(v, k - 1, axis=1)[:, :k] if k < len(own) else np.tile(np.arange(k), (len(v), 1))
             chosen = own[np.sort(least, axis=1)]
-            s = rows[:, 0].astype(U) + U(k)
+            s = mix(np.arange(a, a + len(v), dtype=U) + U(picked << 32))
             for i in range(k):
                 s = mix((s ^ chosen[:, i]) * U(0x9E3779B97F4A7C15) + U(1))
-            out[d] = s
-    return w.digests(), np.diff(w.bounds), out
+            out.append(s)
+    return np.concatenate(out) if out else np.zeros(0, U)
+
+
+def sketches(data: np.ndarray, at: np.ndarray, kinds: tuple = KINDS) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """(digest, number of words, buckets) of each text."""
+    w = Words(data, at)
+    h, doc = w.shingles(SHINGLE)
+    label = labelled(h, doc)
+    first = np.searchsorted(doc, np.arange(w.n_docs + 1))
+    return w.digests(), np.diff(w.bounds), [buckets(label[a:b], kinds) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def align(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two word sequences, or ``most + 1`` if it is more.
+def _run(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements are equal from the start on."""
+    k = min(len(a), len(b))
+    differ = np.flatnonzero(a[:k] != b[:k])
+    return int(differ[0]) if len(differ) else k
 
-    Furthest-reaching points of each diagonal, one edit a round over all
-    diagonals of the band at once; matching runs are measured by binary search
-    on prefix hashes.
+
+def diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Fewest insertions and deletions that turn ``a`` into ``b``, or ``most + 1`` if they are more.
+
+    Furthest-reaching points of each diagonal of the band, one step a round over
+    all of them at once; matching runs are measured by binary search on prefix
+    hashes.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
@@ -107,10 +135,9 @@ def align(a: np.ndarray, b: np.ndarray, most: int) -> int:
         lo, hi = np.zeros_like(room), np.maximum(room, 0)
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            shift = d
             left, right = pa_[i + mid] - pa_[i], pb[j + mid] - pb[j]
-            up = np.abs(shift)
-            same = np.where(shift >= 0, left * powers[up] == right, left == right * powers[up])
+            up = np.abs(d)
+            same = np.where(d >= 0, left * powers[up] == right, left == right * powers[up])
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return i + lo
 
@@ -121,40 +148,64 @@ def align(a: np.ndarray, b: np.ndarray, most: int) -> int:
     for e in range(1, most + 1):
         d = np.arange(-e, e + 1)
         far = np.full(2 * e + 1, -1, np.int64)
-        far[1:-1] = reach + 1  # substitution
-        far[2:] = np.maximum(far[2:], reach)  # a word of b more
-        far[:-2] = np.maximum(far[:-2], reach + 1)  # a word of a more
+        far[2:] = reach  # a shingle of b more
+        far[:-2] = np.maximum(far[:-2], reach + 1)  # a shingle of a more
         far = np.minimum(far, np.minimum(n, m - d))
-        ok = (far >= 0) & (far + d >= 0) & (d >= -n) & (d <= m)
-        i = np.where(ok, far, 0)
-        j0 = np.where(ok, d, 0)
-        reach = np.where(ok, slide(i, j0), -(n + m))
+        ok = (far >= 0) & (far + d >= 0)
+        reach = np.where(ok, slide(np.where(ok, far, 0), np.where(ok, d, 0)), -(n + m))
         if -e <= goal <= e and reach[goal + e] == n:
             return e
     return most + 1
 
 
-def similar(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, least: float) -> bool:
-    """Jaccard similarity of the shingle sets of at least ``least``; word sequences ``a`` and ``b``, sorted sets ``sa`` and ``sb``."""
-    apart = (1 - least) / (1 + least) * (len(sa) + len(sb))
-    # An edit of a word changes up to SHINGLE shingles on either side.
-    band = int(apart / (2 * SHINGLE))
-    if min(len(a), len(b)) >= SHINGLE and align(a, b, band) <= band:
-        return True
-    both = len(np.intersect1d(sa, sb, assume_unique=True))
-    return both >= least * (len(sa) + len(sb) - both)
-
+def align(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether an alignment of two shingle sequences reaches the similarity ``least``.
 
-def _parts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(word hashes, shingle set) of each text."""
-    data, at = utf8(column)
-    out = []
-    for x, y in slices(at):
-        w = Words(data[at[x] : at[y]], at[x : y + 1] - at[x])
-        h, doc = w.shingles(SHINGLE)
-        first = np.searchsorted(doc, np.arange(w.n_docs + 1))
-        out += [(w.hash[w.bounds[i] : w.bounds[i + 1]], np.unique(h[first[i] : first[i + 1]])) for i in range(y - x)]
-    return out
+    Such an alignment skips no more than ``(n + m) (1 - least) / (1 + least)``
+    shingles, so it stays within that many diagonals of the main one. Equal ends
+    are taken off, shingles that the other text lacks can't match, and of the
+    matches within the band the longest rising chain is the best alignment. Where
+    shingles repeat so often that matches are many, the diagonals are followed.
+    """
+    n, m = len(a), len(b)
+    band = int((n + m) * (1 - least) / (1 + least) + 1e-9)
+    if abs(n - m) > band:
+        return False
+    head = _run(a, b)
+    a, b = a[head:], b[head:]
+    tail = _run(a[::-1], b[::-1])
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    short = (n + m - band + 1) // 2 - head - tail  # matches still wanted
+    if short <= 0:
+        return True
+    order = np.argsort(b, kind="stable")
+    sb = b[order]
+    lo, hi = np.searchsorted(sb, a, "left"), np.searchsorted(sb, a, "right")
+    count = hi - lo
+    if np.count_nonzero(count) < short or np.isin(b, a).sum() < short:
+        return False
+    if count.sum() > 8 * (n + m):
+        return diagonals(a, b, band) <= band
+    # Partners of one shingle from the last to the first, so that a chain takes one of them.
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    i, j = np.repeat(np.arange(len(a)), count), order[np.repeat(hi - 1, count) - nth]
+    best: list[int] = []
+    for x in j[np.abs(j - i) <= band].tolist():
+        k = bisect_left(best, x)
+        if k == len(best):
+            best.append(x)
+        else:
+            best[k] = x
+    return len(best) >= short
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of unlike shingles, repeats counted: a distance, and no more than one less the similarity."""
+    x, nx = np.unique(a, return_counts=True)
+    y, ny = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = int(np.minimum(nx[i], ny[j]).sum())
+    return 1 - both / max(1, len(a) + len(b) - both)
 
 
 def _small(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -164,74 +215,28 @@ def _small(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBa
         yield batch.slice(s, step)
 
 
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, U) for x in column.to_pylist()]
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that are similar."""
+    """(a, b) -> with ``alike`` and ``apart`` of the two texts (digest, seq)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _small(batch):
-                a, b = _parts(part.column(2)), _parts(part.column(3))
-                good = [similar(x[0], y[0], x[1], y[1], least) for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return _with_texts(pairs, texts).mapInArrow(check, "a binary, b binary")
-
+                x = list(zip(_sequences(part.column(2)), _sequences(part.column(3)), strict=True))
+                alike = [align(a, b, least) for a, b in x]
+                far = [apart(a, b) for a, b in x]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(alike, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "alike", "apart"])
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    t = texts.select("digest", "text")
-    with_a = pairs.select("a", "b").join(t.withColumnsRenamed({"digest": "a", "text": "ta"}), "a")
-    return with_a.join(t.withColumnsRenamed({"digest": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-
-
-def _apart(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(centre, member, u, tokens) of pairs (a: centre, b: member): the shingles not shared, and how many a partner must have too."""
-    r = (1 - least) / (1 + least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _small(batch):
-                a, b = _parts(part.column(2)), _parts(part.column(3))
-                d = [np.setxor1d(x[1], y[1], assume_unique=True) for x, y in zip(a, b, strict=True)]
-                u = [(len(t) - r * len(y[1])) / 2 for t, y in zip(d, b, strict=True)]
-                low = [-r * len(x[1]) / 2 for x in a]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(u, pa.float64()), pa.array(low, pa.float64()), pa.array([t.view(np.int64) for t in d], pa.list_(pa.int64()))], ["a", "b", "u", "low", "tokens"])
-
-    return _with_texts(pairs, texts).mapInArrow(run, "a binary, b binary, u double, low double, tokens array<long>")
-
-
-def _left_apart(groups: DataFrame, known: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs (a, b) of members of one centre's group (a: centre, b: member) that are in different components."""
-    d = cut(_apart(groups, texts, least))
-    count = d.select("a", F.explode("tokens").alias("token")).groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1")
-    each = d.select("a", "b", F.explode("tokens").alias("token")).join(count, ["a", "token"])
-    # Tokens of one member only come first in the order and meet nobody: their number is all that counts.
-    shared = each.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    m = d.select("a", "b", "u", "low", F.size("tokens").alias("size")).join(shared, ["a", "b"])
-    label = known.withColumnsRenamed({"node": "b", "component": "cb"})
-    centre = known.withColumnsRenamed({"node": "a", "component": "ca"})
-    m = m.join(label, "b", "left").join(centre, "a", "left").withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a"))
-    m = m.withColumn("alone", F.col("size") - F.size("shared"))
-
-    # A partner's set differs from this one by no more than the texts do: at most r |x| (1 + 1 / least) shingles.
-    own = F.col("size") - (F.col("size") - 2 * F.col("u")) * (1 + 1 / least) - 1e-6
-
-    def prefix(need: Column) -> Column:
-        """The shared tokens among the first size - need + 1, rarest first."""
-        need = F.greatest(F.lit(1), F.ceil(need).cast("int"), F.ceil(own).cast("int"))
-        n = F.least(F.size("shared"), F.greatest(F.lit(0), F.col("size") - need + 1 - F.col("alone")))
-        return F.slice("shared", F.lit(1), n.cast("int"))
-
-    excess = F.col("u") + F.col("low")
-    kind = F.when(excess < 1, 0).otherwise(F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(excess, F.lit(1.0)))) + 1)).cast("int")
-    # A rounding error must not shorten a prefix.
-    x = m.where(F.col("cb") != F.col("ca")).select("a", F.col("b").alias("x"), F.col("cb").alias("cx"), kind.alias("kind"), F.explode(prefix(excess - 1e-6)).alias("t")).select("a", "x", "cx", "kind", "t.token")
-    kinds = [F.struct(F.lit(k).alias("kind"), prefix(F.col("u") - F.col("low") + (0.0 if k == 0 else 2.0 ** (k - 1)) - 1e-6).alias("p")) for k in range(CLASSES)]
-    y = m.select("a", F.col("b").alias("y"), F.col("cb").alias("cy"), F.explode(F.array(*kinds)).alias("k")).select("a", "y", "cy", F.col("k.kind").alias("kind"), F.explode("k.p").alias("t")).select("a", "y", "cy", "kind", "t.token")
-    return x.join(y, ["a", "kind", "token"]).where(F.col("cx") != F.col("cy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    with_a = pairs.select("a", "b").join(texts.withColumnsRenamed({"digest": "a", "seq": "sa"}), "a")
+    both = with_a.join(texts.withColumnsRenamed({"digest": "b", "seq": "sb"}), "b").select("a", "b", "sa", "sb")
+    return both.mapInArrow(check, "a binary, b binary, alike boolean, apart double")
 
 
 def sketch_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, digest, words, sketches) of each row."""
+    """(doc_id, digest, words, buckets) of each row."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +244,9 @@ def sketch_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             data, at = utf8(batch.column(1))
             for a, b in slices(at):
                 digest, n, s = sketches(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                flat = pa.array(s.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, s.shape[1], dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "digest", "words", "sketches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], ["doc_id", "digest", "words", "buckets"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, words long, sketches array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, digest binary, words long, buckets array<long>")
 
 
 def digest_rows(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -264,59 +267,168 @@ def digest_rows(docs: DataFrame, text: str, name: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _sequence_rows(docs: DataFrame, text: str) -> DataFrame:
+    """(digest, seq): the shingles' hashes of each row with words, in text order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column(0))
+            for a, b in slices(at):
+                w = Words(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                h, doc = w.shingles(SHINGLE)
+                first = np.searchsorted(doc, np.arange(w.n_docs + 1))
+                rows = [(d, h[x:y].tobytes()) for d, x, y in zip(w.digests(), first[:-1], first[1:], strict=True) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary())], ["digest", "seq"])
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "digest binary, seq binary")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """(bucket, n) of the buckets with two components at least."""
+    held = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    return held.where(F.col("lo") != F.col("hi")).select("bucket", "n")
+
+
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(digest, seq) -> (digest, bits): ``BITS`` bits, of which each labelled shingle sets one. Bits that differ count shingles that only one of two texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _small(batch, 1_000_000):
+                out = []
+                for h in _sequences(part.column(1)):
+                    bits = np.zeros(BITS, np.uint8)
+                    bits[(labelled(h, np.zeros(len(h), np.int64)) % U(BITS)).astype(np.int64)] = 1
+                    out.append(np.packbits(bits).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["digest", "bits"])
+
+    return texts.select("digest", "seq").mapInArrow(run, "digest binary, bits array<long>")
+
+
+def _long_enough(a: Column, b: Column, least: float) -> Column:
+    """Whether texts of so many shingles can be alike: no more can match than the shorter has."""
+    return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
+
+
+def _labelled(members: DataFrame, known: DataFrame) -> DataFrame:
+    """``members`` with the component of each text, itself where it has no link."""
+    k = known.withColumnsRenamed({"node": "digest", "component": "_c"})
+    return members.drop("component").join(k, "digest", "left").withColumn("component", F.coalesce("_c", "digest")).drop("_c")
+
+
+def _compare(members: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, alike, apart) looked at in the buckets (bucket, digest, size, n), and the crowded buckets with their centres ``a``."""
+    few, crowd = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
+    fame = crowd.groupBy("digest").agg(F.sum("n").alias("fame"))
+    centre = crowd.join(fame, "digest").groupBy("bucket").agg(F.max_by(F.struct("digest", "size"), F.struct("fame", "digest")).alias("c"))
+    crowd = cut(crowd.select("bucket", "digest", "size").join(centre, "bucket").select("bucket", "digest", "size", F.col("c.digest").alias("a"), F.col("c.size").alias("a_size")))
+    stars = crowd.where((F.col("a") != F.col("digest")) & _long_enough(F.col("size"), F.col("a_size"), least)).select("a", F.col("digest").alias("b"))
+    pairs = _each_other(few.withColumn("component", F.col("digest")), "bucket", least).unionByName(stars).distinct()
+    return cut(_verify(pairs, texts, least)), crowd
+
+
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(digest, seq) -> (digest, token), a row a labelled shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _small(batch, 1_000_000):
+                own = [labelled(h, np.zeros(len(h), np.int64)).view(np.int64) for h in _sequences(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["digest", "tokens"])
+
+    made = texts.select("digest", "seq").mapInArrow(run, "digest binary, tokens array<long>")
+    return made.select("digest", F.explode("tokens").alias("token"))
+
+
+def _each_other(groups: DataFrame, key: str, least: float) -> DataFrame:
+    """Pairs (a, b) of different components and near lengths within groups (key, digest, component, size) of ``FEW`` rows at most."""
+    g = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("digest", "component", "size"))).alias("g"))
+    x = g.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y"))
+    return x.where((F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component")) & _long_enough(F.col("x.size"), F.col("y.size"), least)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+
+
+def _left_over(crowd: DataFrame, seen: DataFrame, known: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components in crowded buckets that may still be alike.
+
+    Those that share a rare shingle meet by it. The others have only common
+    shingles to share, which bounds their similarity, as do their distances from
+    the centre and the bits in which their signatures differ.
+    """
+    far = seen.select("a", F.col("b").alias("digest"), "apart")
+    m = _labelled(crowd, known)
+    m = m.join(_open(m).select("bucket"), "bucket")
+    of_centre = known.withColumnsRenamed({"node": "a", "component": "_ca"})
+    m = cut(m.join(far, ["a", "digest"], "left").join(of_centre, "a", "left").withColumn("centre", F.coalesce("_ca", "a")).drop("_ca"))
+
+    own = m.select("digest", "component", "size").distinct()
+    tokens = _shingle_rows(texts.join(own, "digest"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("f"))
+    tokens = cut(tokens.join(often, "token"))
+    by_rare = _each_other(tokens.where(F.col("f").between(2, FEW)).join(own, "digest"), "token", least)
+    common = tokens.groupBy("digest").agg(F.count_if(F.col("f") > FEW).alias("c"))
+
+    # The centre is no way from itself; one of another length wasn't compared with it.
+    m = m.join(common, "digest").join(_signatures(texts.join(own.select("digest"), "digest")), "digest")
+    m = m.withColumn("apart", F.when(F.col("digest") == F.col("a"), 0.0).otherwise(F.col("apart")))
+    cols = ("digest", "component", "apart", "size", "c", "bits")
+    x = m.where(F.col("component") != F.col("centre")).select("bucket", *[F.col(c).alias(f"x_{c}") for c in cols])
+    y = m.select("bucket", *[F.col(c).alias(f"y_{c}") for c in cols])
+    both = F.col("x_size") + F.col("y_size")
+    near = (F.col("x_component") != F.col("y_component")) & F.coalesce(F.abs(F.col("x_apart") - F.col("y_apart")) <= 1 - least + 1e-9, F.lit(True))
+    near &= F.least("x_c", "y_c") * (1 + least) >= least * both - 1e-6
+    differ = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    near &= differ <= both * ((1 - least) / (1 + least)) + 1e-6
+    by_bucket = x.join(y, "bucket").where(near).select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b"))
+    return by_rare.unionByName(by_bucket).distinct()
+
+
 def find_links(docs: DataFrame, rows: DataFrame, text: str, least: float = SIMILARITY) -> DataFrame:
     """(digest, component) of every word sequence that is linked to another one."""
-    nodes = rows.where(F.col("words") > 0).groupBy("digest").agg(F.first("sketches").alias("sketches"))
-    keys = nodes.select("digest", F.posexplode("sketches").alias("place", "sketch"))
-    # Buckets with two texts at least; a text's bucket is told by place and sketch.
-    shared = keys.groupBy("place", "sketch").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where(F.col("lo") != F.col("hi")).select("place", "sketch")
-    members = cut(keys.join(shared, ["place", "sketch"]).select("digest", F.xxhash64("place", "sketch").alias("bucket")))
-
+    nodes = rows.where(F.col("words") > 0).groupBy("digest").agg(F.first("buckets").alias("buckets"), F.greatest(F.first("words") - (SHINGLE - 1), F.lit(1)).alias("size"))
+    keys = nodes.select("digest", "size", F.explode("buckets").alias("bucket"), F.col("digest").alias("component"))
+    members = cut(keys.join(_open(keys), "bucket").drop("component"))
     needed = members.select("digest").distinct()
-    held = digest_rows(docs.select(F.col(text).cast("string").alias("text")), "text", "digest")
-    texts = cut(held.join(needed, "digest").groupBy("digest").agg(F.first("text").alias("text")))
-
-    # The centre of a bucket: the member whose buckets are largest together.
-    crowd = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    fame = members.join(crowd, "bucket").groupBy("digest").agg(F.sum("n").alias("fame"))
-    centred = members.join(fame, "digest")
-    centre = centred.groupBy("bucket").agg(F.max_by("digest", F.struct("fame", "digest")).alias("a"))
-    grouped = cut(members.join(centre, "bucket").select("bucket", "a", F.col("digest").alias("b")))
-    pairs = grouped.where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    links = cut(_verify(pairs, texts, least))
-    known = components(links)
-
-    at = grouped.join(known, F.col("b") == F.col("node"), "left").select("bucket", "a", "b", F.coalesce("component", "b").alias("component"))
-    opened = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-    groups = cut(grouped.join(opened, "bucket").where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    rest = cut(_left_apart(groups, known, texts, least))
-    more = _verify(rest, texts, least)
-    return components(links.unionByName(more)).select(F.col("node").alias("digest"), "component")
+    # A sieve of fixed size keeps most texts that no other is near out of the shuffle.
+    near = sift(_sequence_rows(docs, text), F.xxhash64("digest"), sieve(needed.select(F.xxhash64("digest").alias("key")), "key"))
+    texts = cut(near.join(needed, "digest").groupBy("digest").agg(F.first("seq").alias("seq")))
+
+    seen, crowd = _compare(members, texts, least)
+    links = seen.where("alike").select("a", "b")
+    rest = cut(_left_over(crowd, seen, components(links), texts, least))
+    links = links.unionByName(_verify(rest, texts, least).where("alike").select("a", "b"))
+    return components(links).select(F.col("node").alias("digest"), "component")
+
+
+def _classes(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """(digest, class_id, class_size, head) of every word sequence; ``head`` is the one whose row stays."""
+    # Rows of one text first, then texts of one component, so that neither copies nor a large class meet as rows.
+    own = rows.where(F.col("words") > 0).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("least"), F.count("*").alias("n"))
+    held = own.join(linked, "digest", "left")
+    by = held.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("least", "digest")).alias("m"), F.sum("n").alias("size"))
+    together = held.where(F.col("component").isNotNull()).join(by, "component").select("digest", F.col("m.least.id").alias("class_id"), F.col("size").alias("class_size"), F.col("m.digest").alias("head"))
+    alone = held.where(F.col("component").isNull()).select("digest", F.col("least.id").alias("class_id"), F.col("n").alias("class_size"), F.col("digest").alias("head"))
+    return together.unionByName(alone)
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size) of every row."""
     rows = cut(sketch_rows(docs, doc_id, text))
-    linked = find_links(docs, rows, text, least)
-    r = rows.where(F.col("words") > 0).select("doc_id", "digest").join(linked, "digest", "left").select("doc_id", F.coalesce("component", "digest").alias("component"))
-    heads = r.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = r.join(heads, "component").select("doc_id", "class_id", "class_size")
+    classes = _classes(rows, find_links(docs, rows, text, least))
+    out = rows.where(F.col("words") > 0).select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "class_size")
     empty = rows.where(F.col("words") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return out.unionByName(empty)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One document of each class: the one with the least id, and of rows that repeat that id one. Rows without words all stay."""
-    name = free_name(docs, "_digest")
+    name, id_, nth = (free_name(docs, x) for x in ("_digest", "_least", "_nth"))
     rows = cut(sketch_rows(docs, doc_id, text))
-    linked = find_links(docs, rows, text, least)
-    r = rows.where(F.col("words") > 0).select("doc_id", "digest").join(linked, "digest", "left").select("doc_id", "digest", F.coalesce("component", "digest").alias("component"))
-    heads = r.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("h")).select(F.col("h.doc_id").alias("_id"), F.col("h.digest").alias("_head"))
+    heads = _classes(rows, find_links(docs, rows, text, least)).where(F.col("digest") == F.col("head")).select(F.col("digest").alias("_head"), F.col("class_id").alias(id_))
     d = digest_rows(docs, text, name)
-    kept = d.where(F.col(name).isNotNull()).join(heads, (F.col(name) == F.col("_head")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+    kept = d.where(F.col(name).isNotNull()).join(heads.withColumnRenamed("_head", name), name).where(F.col(doc_id).eqNullSafe(F.col(id_))).drop(id_)
     if not rows.where(F.col("words") > 0).groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         # Rows alike in id and words: one of them, whichever.
-        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(name, doc_id).orderBy(F.lit(0)))).where(F.col("_n") == 1)
+        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(name, doc_id).orderBy(F.lit(0)))).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(d.where(F.col(name).isNull()).select(*docs.columns))
 
 

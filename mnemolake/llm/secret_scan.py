@@ -1,24 +1,26 @@
 r"""Secret scans through an incremental blob ledger (native).
 
 Every historical version of every path is content-addressed (SHA-256 of its
-text). Only pairs of blob and rule version that the ledger lacks are scanned;
-each blob once, whichever paths hold it. Findings are then joined back to all
-paths.
+text). Of each blob only the rules, in the version they have, that the ledger
+lacks are run, each blob once, whichever paths hold it. Findings are then joined
+back to all paths.
 
 Defined cases: a null text is the empty text; a null path is a path; repeated
 rows are repeated paths; overlapping findings of different kinds all stay;
 an empty table gives no rows; other columns pass by unread. Offsets count code
-points, ends are exclusive.
+points, ends are exclusive. Findings of a rule's older versions aren't reported.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import or_empty, table
+from ._common import let, or_empty, running_sums, shared_folder, table
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,12 @@ class Rule:
     kind: str
     pattern: str
     keep: str
+    version: str = "1"
+
+    @property
+    def id(self) -> str:
+        """What the ledger knows it by; a changed pattern needs a new version."""
+        return f"{self.kind}@{self.version}"
 
 
 #: Order is part of the format: findings with equal starts stand in this order.
@@ -41,7 +49,6 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"^"),
     Rule("live", r"[sr]k_live_[A-Za-z0-9]{16,}", r"^"),
 )
-RULE_VERSION = "1"
 BASE = ("assign", "access", "hex")
 #: A pattern whose runs are too common to list, and one with the same kept matches and fewer runs.
 FASTER = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}"}
@@ -52,66 +59,80 @@ def address(versions: DataFrame, text: str) -> DataFrame:
     return versions.withColumn("blob", F.sha2(or_empty(F.col(text)), 256))
 
 
+FOUND = "array<struct<start:bigint,place:int,kind:string,end:bigint,rule:string>>"
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, text) -> (blob, findings), findings an array of (start, place, kind, end), sorted.
+    """(blob, text, todo) -> (blob, findings) of the blobs with any, by the rules whose ids are in ``todo``: an array of (start, place, kind, end, rule), sorted.
 
     Spark tells no match offsets, but ``split`` and ``regexp_extract_all`` by one
     pattern cut a text into pieces and matches in turn, whose running lengths
     are the offsets.
     """
+    fields = ("start", "place", "kind", "end", "rule")
+
+    def spans(place: int, rule: Rule, pattern: str, runs: Column) -> Column:
+        gaps = F.transform(F.split("text", pattern, -1), lambda x: F.length(x))
+        ends = running_sums(F.zip_with(gaps, runs, lambda g, m: (g + F.coalesce(F.length(m), F.lit(0))).cast("long")))
+        each = F.zip_with(runs, F.slice(ends, F.lit(1), F.size(runs)), lambda m, to: F.struct((to - F.length(m)).alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), to.alias("end"), F.lit(rule.id).alias("rule"), m.rlike(rule.keep).alias("ok")))
+        return F.transform(F.filter(each, lambda x: x["ok"]), lambda x: F.struct(*[x[c].alias(c) for c in fields]))
+
     found = []
     for place, rule in enumerate(rules):
         pattern = FASTER.get(rule.kind, rule.pattern)
-        hit = F.col("text").rlike(pattern)
-        gaps = F.transform(F.split("text", pattern, -1), lambda x: F.length(x))
-        runs = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        pairs = F.zip_with(gaps, F.transform(runs, lambda m: F.struct(F.length(m).alias("n"), m.rlike(rule.keep).alias("ok"))), lambda g, m: F.struct(F.lit(place).alias("place"), g.alias("gap"), m["n"].alias("n"), m["ok"].alias("ok")))
-        found.append(F.when(hit, pairs).otherwise(F.array().cast("array<struct<place:int,gap:int,n:int,ok:boolean>>")))
-    cut = blobs.select("blob", F.explode(F.array(*found)).alias("pairs")).where(F.size("pairs") > 0).distinct()  # a repeated row of one path is scanned twice
-    runs = cut.select("blob", F.posexplode("pairs").alias("i", "p")).select("blob", "i", "p.*")
-    upto = Window.partitionBy("blob", "place").orderBy("i")
-    end = F.sum(F.col("gap") + F.coalesce("n", F.lit(0))).over(upto)
-    runs = runs.withColumn("end", end).where(F.col("ok"))
-    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("place") + 1)
-    return runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "place", kind.alias("kind"), "end"))).alias("findings"))
+        hit = F.array_contains("todo", rule.id) & F.col("text").rlike(pattern)
+        found.append(F.when(hit, let(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), partial(spans, place, rule, pattern))).otherwise(F.array().cast(FOUND)))
+    out = blobs.select("blob", F.array_sort(F.flatten(F.array(*found))).alias("findings")).where(F.size("findings") > 0)
+    return out.dropDuplicates(["blob"])  # a repeated row of one path is scanned twice
 
 
-def unseen(versions: DataFrame, path: str, text: str, ledger: DataFrame | None, rule_version: str) -> DataFrame:
-    """(blob, text) of one holder of each blob that the ledger has not seen under this rule version.
+def unseen(versions: DataFrame, path: str, text: str, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, text, todo) of one holder of each blob that some rule hasn't been run on.
 
     The holder is chosen on ids alone, so that copies of a text, however many,
     never meet in one task with their texts.
     """
+    every = F.array(*[F.lit(r.id) for r in rules])
     v = address(versions, text).select(F.col(path).alias("_path"), "blob", or_empty(F.col(text)).alias("text"))
     holders = v.groupBy("blob").agg(F.min("_path").alias("_path"))
-    if ledger is not None:
-        holders = holders.join(ledger.where(F.col("rule_version") == rule_version), "blob", "left_anti")
-    picked = v.join(holders.withColumnsRenamed({"blob": "b", "_path": "p"}), (F.col("blob") == F.col("b")) & F.col("_path").eqNullSafe(F.col("p")), "left_semi")
-    return picked.select("blob", "text")
-
+    if ledger is None:
+        holders = holders.withColumn("todo", every)
+    else:
+        done = ledger.select("blob", "rules")
+        holders = holders.join(done, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("rules", F.array().cast("array<string>")))).where(F.size("todo") > 0)
+    h = holders.select(F.col("blob").alias("_b"), F.col("_path").alias("_p"), "todo")
+    return v.join(h, (F.col("blob") == F.col("_b")) & F.col("_path").eqNullSafe(F.col("_p"))).select("blob", "text", "todo")
 
-def scan(versions: DataFrame, path: str, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Findings of every version, and the ledger with what this scan adds.
 
-    ``ledger`` has (blob, rule_version, findings). The first result has the
-    path, the blob and its findings (null when there are none).
-    """
-    fresh = unseen(versions, path, text, ledger, rule_version)
-    found = scan_blobs(fresh, rules)
-    scanned = address(versions, text).select("blob").distinct().join(found, "blob", "left").withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "findings")
+def scan(versions: DataFrame, path: str, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger after a scan of the versions: (blob, rules, findings), one row a blob, with what ``ledger`` had."""
+    none = F.array().cast(FOUND)
+    found = scan_blobs(unseen(versions, path, text, ledger, rules), rules)
+    here = address(versions, text).select("blob").distinct().join(found, "blob", "left").select("blob", F.array(*[F.lit(r.id) for r in rules]).alias("rules"), F.coalesce("findings", none).alias("findings"))
     if ledger is None:
-        known, after = found, scanned
-    else:
-        old = ledger.select("blob", "rule_version", "findings")
-        known = found.unionByName(old.where((F.col("rule_version") == rule_version) & F.col("findings").isNotNull()).select("blob", "findings"))
-        after = old.unionByName(scanned.join(old.where(F.col("rule_version") == rule_version), "blob", "left_anti"))
-    paths = address(versions, text).select(F.col(path), "blob")
-    return paths.join(known, "blob", "left"), after
+        return here
+    old = ledger.select("blob", F.col("rules").alias("_rules"), F.col("findings").alias("_findings"))
+    both = here.join(old, "blob", "full_outer")
+    no = F.array().cast("array<string>")
+    return both.select("blob", F.array_union(F.coalesce("_rules", no), F.coalesce("rules", no)).alias("rules"), F.array_sort(F.concat(F.coalesce("_findings", none), F.coalesce("findings", none))).alias("findings"))
+
+
+def report(versions: DataFrame, path: str, text: str, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, blob, findings) of every version, by the rules in their present versions."""
+    now = F.filter("findings", lambda x: x["rule"].isin(*[r.id for r in rules]))
+    known = ledger.select("blob", now.alias("findings")).where(F.size("findings") > 0)
+    return address(versions, text).select(F.col(path), "blob").join(known, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FOUND)))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    have = F.coalesce("findings", F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>"))
+    # Two scans as they follow each other in time: the second finds the ledger of the first, with half the documents in it.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    at = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    earlier = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0)
+    scan(earlier, "doc_id", "text").write.parquet(f"{at}/1")
+    scan(docs, "doc_id", "text", spark.read.parquet(f"{at}/1")).write.parquet(f"{at}/2")
+    found = report(docs, "doc_id", "text", spark.read.parquet(f"{at}/2"))
+    have = F.col("findings")
 
     def said(kinds=None):
         f = have if kinds is None else F.filter(have, lambda x: x["kind"].isin(*kinds))

@@ -4,7 +4,7 @@ import hashlib
 import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -93,7 +93,8 @@ def test_secrets_against_brute_force(spark):
     texts = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(120)] + [None, ""]
     rows = list(enumerate(texts)) + [(5, texts[5])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("findings", F.lit(1))
-    found, ledger = secret_scan.scan(df.drop("findings"), "doc_id", "text")
+    ledger = secret_scan.scan(df, "doc_id", "text")
+    found = secret_scan.report(df, "doc_id", "text", ledger)
     out = defaultdict(set)
     for x in found.collect():
         out[x["doc_id"]].add(",".join(f"{f['kind']}:{f['start']}:{f['end']}" for f in (x["findings"] or []) if f["kind"] in secret_scan.BASE))
@@ -103,13 +104,24 @@ def test_secrets_against_brute_force(spark):
 
 
 def test_ledger_scans_only_unseen(spark):
+    S = secret_scan
     a = spark.createDataFrame([(1, "password=abcdefg"), (2, "password=abcdefg")], "doc_id long, text string")
-    _, ledger = secret_scan.scan(a, "doc_id", "text")
-    b = a.unionByName(spark.createDataFrame([(3, "secret=hijklmn")], a.schema))
-    assert secret_scan.unseen(b, "doc_id", "text", ledger, secret_scan.RULE_VERSION).count() == 1
-    assert secret_scan.unseen(b, "doc_id", "text", ledger, "other").count() == 2
-    found, after = secret_scan.scan(b, "doc_id", "text", ledger)
-    assert [len(r["findings"]) for r in found.collect()] == [1, 1, 1] and after.count() == 2
+    ledger = S.scan(a, "doc_id", "text")
+    b = a.unionByName(spark.createDataFrame([(3, "secret=hijklmn " * 2), (None, None)], a.schema))
+    assert S.unseen(b, "doc_id", "text", ledger).count() == 2
+    newer = tuple(S.Rule(r.kind, "secret=hij", "^", "2") if r.kind == "assign" else r for r in S.RULES)
+    assert {tuple(r["todo"]) for r in S.unseen(a, "doc_id", "text", ledger, newer).collect()} == {("assign@2",)}
+    after = S.scan(b, "doc_id", "text", ledger)
+    found = S.report(b, "doc_id", "text", after).orderBy("doc_id").collect()
+    assert [[(f["start"], f["end"]) for f in r["findings"]] for r in found] == [[], [(0, 16)], [(0, 16)], [(0, 14), (15, 29)]] and after.count() == 3
+    again = S.report(b, "doc_id", "text", S.scan(b, "doc_id", "text", after, newer), newer).orderBy("doc_id").collect()
+    assert [[f["rule"] for f in r["findings"]] for r in again] == [[], [], [], ["assign@2"] * 2]
+    # What the ledger says of a blob is believed, not found out anew.
+    planted = ledger.withColumn("findings", F.filter("findings", lambda x: F.lit(False)))
+    assert [len(r["findings"]) for r in S.report(b, "doc_id", "text", S.scan(b, "doc_id", "text", planted)).orderBy("doc_id").collect()] == [0, 0, 0, 2]
+    long = spark.createDataFrame([(1, "x" * 999_990 + "é token=abcdefgh " + "y " * 500_000)], a.schema)
+    assert [(f["start"], f["end"]) for f in S.report(long, "doc_id", "text", S.scan(long, "doc_id", "text")).first()["findings"]] == [(999_992, 1_000_006)]
+    assert S.report(a.limit(0), "doc_id", "text", S.scan(a.limit(0), "doc_id", "text")).count() == 0
 
 
 # 3
@@ -127,6 +139,18 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d.limit(0), items).count() == 0
 
 
+def test_short_items_and_hot_windows(spark, monkeypatch):
+    items = spark.createDataFrame([("a", "Paris"), ("b", "in 1789"), ("c", "Bob has 5 of them now"), ("d", "1 2 3 4 5 6 7 8 9 10 11 12"), (None, "never found anywhere")], "item_id string, text string").withColumn("doc_id", F.lit(7))
+    d = docs(spark, [(1, "We saw Paris then"), (2, "We saw Rome in 1789"), (3, "it was in 1790"), (4, "so Ann has 7 of them now"), (5, " ".join(str(i % 97) for i in range(3000))), (6, "x " * 200_000 + "Paris")])
+    want = [(1, "a", "exact"), (2, "b", "exact"), (4, "c", "reparameterised"), (5, "d", "reparameterised"), (6, "a", "exact")]
+    assert got(decontaminate.find_leaks(d, items), "doc_id", "item_id", "kind") == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert got(decontaminate.find_leaks(d, items), "doc_id", "item_id", "kind") == want
+    none = decontaminate.find_leaks(d, items.limit(0))
+    assert none.count() == 0 and dict(none.dtypes)["item_id"] == "string"
+    assert decontaminate.drop_leaks(d.withColumn("_leak", F.lit(1)), items.limit(0).withColumn("item_id", F.lit(1))).count() == 6
+
+
 # 4
 
 def test_mix(spark):
@@ -206,19 +230,25 @@ def edit1(a, b):
 
 
 def gone_lines(rows):
-    """(doc, line) of the lines that go: those that equal an earlier one, or whose form first stands near an even earlier one."""
+    """{(doc, line): what stays for it} of the lines that go: those that equal an earlier one, or whose form first stands near an even earlier one."""
     def form(s):
-        return re.sub("[ \t\r\x0b\x0c]+", " ", re.sub("[1-9]", "0", s.lower())).strip(" ")
+        return re.sub("[ \t\r\x0b\x0c]+", " ", s.lower()).strip(" ")
 
     lines = [((i, n), form(x)) for i, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[1]) >= line_dedup.LEAST_CHARS]
+    lines = [x for x in lines if x[1]]
     first, by_length = {}, defaultdict(list)
     for p, f in sorted(lines):
         if f not in first:
             first[f] = p
             by_length[len(f)].append(f)
-    near = {f for f in first if any(first[g] < first[f] and edit1(f, g) for n in (-1, 0, 1) for g in by_length[len(f) + n] if g != f)}
-    return {p for p, f in lines if p != first[f] or f in near}
+    long = line_dedup.LEAST_CHARS
+    near = {f: [first[g] for n in (-1, 0, 1) if len(f) + n >= long for g in by_length[len(f) + n] if g != f and first[g] < first[f] and edit1(f, g)] for f in first if len(f) >= long}
+    parent = {first[f]: min(ps) for f, ps in near.items() if ps}
+
+    def root(p):
+        return root(parent[p]) if p in parent else p
+
+    return {p: root(first[f]) for p, f in lines if p != root(first[f])}
 
 
 def without(text, doc, gone):
@@ -229,7 +259,7 @@ def without(text, doc, gone):
 
 def test_lines_against_brute_force(spark):
     r = random.Random(5)
-    base = ["".join(r.choices("abcd ", k=r.randint(18, 40))) for _ in range(12)]
+    base = ["".join(r.choices("abcd ", k=r.randint(18, 40))) for _ in range(12)] + ["Read more", "ok"]
 
     def change(s):
         i, k = r.randrange(len(s)), r.choice("sdi-")
@@ -239,15 +269,24 @@ def test_lines_against_brute_force(spark):
     d = docs(spark, rows)
     want = gone_lines(rows)
     out = line_dedup.repeated_lines(d.withColumn("form", F.lit(1)))
-    assert {(x["doc"], x["no"]) for x in out.collect()} == want
+    assert {(x["doc"], x["no"]): (x["kept"]["doc"], x["kept"]["no"]) for x in out.collect()} == want
+    assert not set(want.values()) & set(want)  # what stays for a line stays
     kept = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(d.where("doc_id < 60")).collect()}
     assert all(kept.get(i) == without(t, i, want) for i, t in rows[:60])
 
 
 def test_lines_odd(spark):
     d = spark.createDataFrame(ODD, DOCS)
-    assert line_dedup.dedup_lines(d).count() == len(ODD)
+    assert line_dedup.dedup_lines(d).count() == len(ODD) - 1  # one of the two rows alike
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
+    chain = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxy1", "abcdefghijklmnopqrstuvwx11", "abcdefghijklmnopqrstuvw111"]
+    assert got(line_dedup.repeated_lines(docs(spark, list(enumerate(chain)))).select("doc", F.col("kept.doc").alias("kept")), "doc", "kept") == [(1, 0), (2, 0), (3, 0)]
+    numbers = [(1, "the total was 1234 in the year"), (2, "the total was 5678 in the year"), (3, "Next\nNEXT ")]
+    assert got(line_dedup.repeated_lines(docs(spark, numbers)), "doc", "no") == [(3, 1)]
+    twice = docs(spark, [(1, "a line\n\nb line"), (1, "a line\n\nb line"), (1, "c line"), (2, " "), (2, " ")])
+    twice = twice.select("*", *[F.lit("x").alias(c) for c in ("_key", "_doc", "_nth", "_gone", "kept")])
+    assert got(line_dedup.repeated_lines(twice), "doc", "no") == [(1, 0), (1, 2)]
+    assert got(line_dedup.dedup_lines(twice), "doc_id", "text", "_doc") == [(1, "a line\n\nb line", "x"), (1, "c line", "x"), (2, " ", "x"), (2, " ", "x")]
     long = "ab" * 50_000
     assert got(line_dedup.repeated_lines(docs(spark, [(1, long), (2, long[:-1] + "x")])), "doc", "no") == [(2, 0)]
 
@@ -308,33 +347,46 @@ def test_boundary_rules():
 # 8
 
 def shingles(t):
+    """Runs of five words in text order; fewer words are one run."""
     w = re.findall(r"[^\x20\x09-\x0d]+", t or "")
-    return frozenset(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+    return list(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else [tuple(w)] if w else []
+
+
+def aligned(a, b):
+    """Most matches, in order, of two sequences."""
+    code = {x: i for i, x in enumerate({*a, *b})}
+    b = np.array([code[x] for x in b])
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == code[x])))
+    return int(row[-1])
 
 
 def class_of(rows):
-    """{(doc, text): least doc of its class}."""
-    sets = {(k, t): shingles(t) for k, t in rows}
-    parent, holders = {x: x for x in sets}, defaultdict(list)
+    """{(doc, text): least doc of its class}: links are alignments of at least 0.8."""
+    runs = {(k, t): shingles(t) for k, t in rows}
+    count = {x: Counter(s) for x, s in runs.items()}
+    parent, holders = {x: x for x in runs}, defaultdict(list)
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for x, s in sets.items():
+    for x, s in runs.items():
         shared = defaultdict(int)
-        for g in s:
+        for g, n in count[x].items():
             for y in holders[g]:
-                shared[y] += 1
+                shared[y] += min(n, count[y][g])
             holders[g].append(x)
-        for y, n in shared.items():
-            if n >= 0.8 * (len(s) + len(sets[y]) - n):
+        for y, n in shared.items():  # what can be aligned at all
+            both = len(s) + len(runs[y])
+            if n >= 0.8 * (both - n) and root(x) != root(y) and (m := aligned(s, runs[y])) >= 0.8 * (both - m):
                 parent[root(y)] = root(x)
     least = {}
-    for x in sets:
+    for x in runs:
         least[root(x)] = min(least.get(root(x), x[0]), x[0])
-    return {x: least[root(x)] for x in sets}
+    return {x: least[root(x)] for x in runs}
 
 
 def test_near_dedup_against_brute_force(spark):
@@ -363,21 +415,57 @@ def test_near_dedup_odd(spark):
     assert near_dedup.keep_one(d).count() == len(ODD) - 1  # one of the two rows alike
 
 
-def test_align():
-    def dist(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            old, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-        return row[-1]
+def test_order_decides(spark):
+    # The halves swapped: nearly all shingles are shared, but no alignment has more than half of them.
+    w = words(400, 5)
+    rows = [(1, " ".join(w)), (2, " ".join(w[200:] + w[:200])), (3, " ".join(w[:396] + ["x", "y", "z", "v"])), (4, "a b c d e " * 300), (5, "a b c d e " * 310)]
+    assert got(near_dedup.classify(docs(spark, rows)), "doc_id", "class_id") == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 4)]
+
+
+def test_crowded_buckets_of_many_components(spark):
+    # A passage that all share, many variants of two texts that overlap, and pairs and chains of near copies among them.
+    r = random.Random(8)
+    passage, base = words(60, 1), words(200, 2)
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words(20, 100 + i) + passage + words(20, 200 + i))))
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randint(0, 14)):
+            w[r.randrange(len(w))] = f"v{r.randrange(60)}"
+        rows.append((100 + i, " ".join(w)))
+        if i % 5 == 0:
+            w[r.randrange(len(w))] = f"again{i}"
+            rows.append((300 + i, " ".join(w)))
+    rows += [(500 + i, " ".join(passage[:30] + words(3, 300 + i % 20) + ["end"] * (i // 20))) for i in range(60)]
+    least = class_of(rows)
+    assert len(set(least.values())) > 60
+    out = near_dedup.classify(docs(spark, rows))
+    assert got(out, "doc_id", "class_id") == sorted((k, least[k, t]) for k, t in rows)
+    sizes = Counter(least.values())
+    assert got(out, "doc_id", "class_size") == sorted((k, sizes[least[k, t]]) for k, t in rows)
+
 
+def test_align():
     r = random.Random(9)
-    for _ in range(300):
-        a, b = ([r.randrange(4) for _ in range(r.randint(0, 14))] for _ in range(2))
-        d = dist(a, b)
-        for most in (0, 3, 20):
-            assert near_dedup.align(np.array(a, np.uint64), np.array(b, np.uint64), most) == (d if d <= most else most + 1)
+    for _ in range(400):
+        few = r.choice([2, 4, 40])
+        a, b = (np.array([r.randrange(few) for _ in range(r.randint(0, 16))], np.uint64) for _ in range(2))
+        m = aligned(a.tolist(), b.tolist())
+        for most in (0, 3, 40):
+            d = len(a) + len(b) - 2 * m
+            assert near_dedup.diagonals(a, b, most) == (d if d <= most else most + 1)
+        for least in (0.3, 0.5, 0.8):
+            assert near_dedup.align(a, b, least) == (m >= least * (len(a) + len(b) - m) - 1e-9)
+
+
+def test_apart_is_a_bound():
+    r = random.Random(3)
+    for _ in range(100):
+        a, b, c = (np.array([r.randrange(6) for _ in range(r.randint(1, 12))], np.uint64) for _ in range(3))
+        m = aligned(a.tolist(), b.tolist())
+        assert near_dedup.apart(a, b) <= 1 - m / (len(a) + len(b) - m) + 1e-9
+        assert near_dedup.apart(a, b) <= near_dedup.apart(a, c) + near_dedup.apart(c, b) + 1e-9
 
 
 # 9
@@ -420,6 +508,8 @@ def test_quality(spark):
     s = {x["doc_id"]: x["_score"] for x in out.collect()}
     held = {x["doc_id"] for x in d.where(quality.held_out(F.col("doc_id"))).collect()}
     assert 50 < len(held) < 150 and np.mean([(s[i] >= 0.7) == bool(y) for i, y in labels if i in held]) > 0.95
+    many = docs(spark, [(1, "same text here")] * 3000 + [(2, "other ###"), (2, "another ###")])
+    assert quality.train(many, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), rows=2).p["mean"].shape == (quality.N_FEATURES,)
     odd = spark.createDataFrame(ODD, DOCS)
     assert all(0 <= x["score"] <= 1 for x in quality.score(odd, m).collect())
     assert quality.train(d, lab.limit(0)) == 0.5 and quality.train(d, lab.where("quality = 1")) == 1.0
@@ -438,6 +528,30 @@ def test_fold_and_render(spark):
     assert chat_format.format_chats(e.limit(0)).count() == 0
 
 
+def test_rows_become_a_log_that_folds_back(spark):
+    rows = [("c", 1, "user", "hello"), ("c", 1, "user", "hello"), ("c", 2, "assistant", "an answer"), ("c", None, "user", "first of all"), ("c", 2, "assistant", None)]
+    log = chat_format.as_events(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))
+    kinds = Counter(r["type"] for r in log.collect())
+    assert kinds["regenerate"] == 2 and kinds["edit"] == 2 and kinds["delta"] > kinds["message"]
+    x = chat_format.format_chats(log).select("loss_spans", "formatted", chat_format.read_back(F.col("formatted")).alias("t")).first()
+    assert [tuple(t) for t in x["t"]] == [("user", "first of all"), ("user", "hello"), ("user", "hello"), ("assistant", ""), ("assistant", "an answer")]
+    assert [x["formatted"][s["start"] : s["end"]] for s in x["loss_spans"]] == ["", "an answer"]
+
+
+def test_null_sequence_comes_first(spark):
+    log = [("c", 1, 5, "message", "user", "b"), ("c", 2, None, "message", "user", "a"), ("c", 2, 9, "delta", None, "!")]
+    e = spark.createDataFrame(log, "conv_id string, message int, seq int, type string, role string, text string")
+    assert chat_format.format_chats(e).first()["formatted"] == "<turn user>\na!</turn>\n<turn user>\nb</turn>\n"
+
+
+def test_running_sums(spark):
+    from mnemolake.llm._common import running_sums
+
+    n = [random.Random(1).randrange(9) for _ in range(1000)]
+    df = spark.createDataFrame([(n,), ([],), ([4],)], "a array<long>")
+    assert [r[0] for r in df.select(running_sums(F.col("a"))).collect()] == [list(itertools.accumulate(n)), [], [4]]
+
+
 def test_round_trip(spark):
     r = random.Random(6)
     parts = ["<turn user>\n", "</turn>\n", "\\", "\\l", "\\b", "<", ">", "é😀", "\n", "assistant", ""]
