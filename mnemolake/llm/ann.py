@@ -14,18 +14,19 @@ current k-th true distance, a nearer point is still unseen with a chance of at
 most ``1 - CONFIDENCE``.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
-nor do those of another length than the most frequent one (the shorter in a
-tie). Equal vectors are one point with its least ids, so that copies, however
-many, meet in no task. Ties go to the smaller id. Rows that repeat
-an id are one candidate for each vector they hold, and one query that gets the
-best of their answers; fewer candidates than k give all; an empty table gives no rows; other columns
-are not read.
+nor do rows without an id, which couldn't be named. Vectors of another length have
+no inner product with these: each length is searched by itself. Equal vectors are
+one point with its least ids, so that copies, however many, meet in no task. Ties
+go to the smaller id. Rows that repeat an id are one candidate for each vector
+they hold, and one query that gets the best of their answers; fewer candidates
+than k give all; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -160,7 +161,7 @@ class KdTree:
 
 
 def search_cell(points: np.ndarray, projected: np.ndarray, queries: np.ndarray, q_projected: np.ndarray, bound: np.ndarray, k: int, ratio: float, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, score) of up to k points a query, and more where scores tie.
+    """(query, point, score) of up to k points a query, those of equal score in the order of ``points``.
 
     ``bound`` is the squared true distance within which the k-th point is known to be.
     """
@@ -180,9 +181,8 @@ def search_cell(points: np.ndarray, projected: np.ndarray, queries: np.ndarray,
                     keep = score >= least
                     score, at = score[keep], at[keep]
                 kth = min(kth, max(0.0, base - 2 * float(-np.partition(-score, k - 1)[k - 1])))
-        if len(score) > k:
-            keep = score >= -np.partition(-score, k - 1)[k - 1]
-            score, at = score[keep], at[keep]
+        order = np.lexsort((at, -score))[:k]
+        score, at = score[order], at[order]
         qs.append(np.full(len(at), i)), ps.append(at), ss.append(score)
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((qs, np.int64), (ps, np.int64), (ss, np.float64)))
 
@@ -192,16 +192,27 @@ def neighbours(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id"
     spark = rows.sparkSession
     v = rows.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"))
     v = cut(v.where(F.col("id").isNotNull() & usable(F.col("v"))))
-    none = "query_id long, rank int, vec_id long, score double"
-    most = v.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if most is None:
-        return spark.createDataFrame([], none)
-    dim = most["dim"]
-    v = v.where(F.size("v") == dim).withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
+    lengths = sorted(r["dim"] for r in v.groupBy(F.size("v").alias("dim")).count().collect())  # a row a length
+    if not lengths:
+        kind = v.schema["id"].dataType.simpleString()
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    parts = [_of_one_length(v.where(F.size("v") == dim), dim, k, confidence, seed) for dim in lengths]
+    return best_of(reduce(DataFrame.unionByName, parts), k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best (query_id, vec_id, score) of every query with their rank, ties to the smaller id."""
+    out = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return out.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_one_length(v: DataFrame, dim: int, k: int, confidence: float, seed: int) -> DataFrame:
+    """(query_id, vec_id, score) of what may be among the k nearest of every query of (id, v, ask)."""
+    v = v.withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
     # k + 1 members of a point are all that any answer can hold; a query among them is left out at the end.
     rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     members = cut(v.select("key", "id").distinct().withColumn("n", rank).where(F.col("n") <= k + 1).select("key", "id"))
-    points = cut(v.groupBy("key").agg(F.any_value("v").alias("v"), F.max("ask").alias("ask")))
+    points = cut(v.groupBy("key").agg(F.any_value("v").alias("v"), F.max("ask").alias("ask"), F.min("id").alias("least")))
     n, top = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     r = np.random.default_rng(seed)
     lines = r.normal(size=(dim + 1, DIRECTIONS))
@@ -225,9 +236,9 @@ def neighbours(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id"
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"cell": cells_of(tree, project(matrix(b["v"]))), "key": b["key"], "v": b["v"]})
+                yield pd.DataFrame({"cell": cells_of(tree, project(matrix(b["v"]))), "key": b["key"], "v": b["v"], "least": b["least"]})
 
-    placed = cut(points.select("key", "v").mapInPandas(place, "cell long, key string, v array<double>"))
+    placed = cut(points.select("key", "v", "least").mapInPandas(place, f"cell long, key string, v array<double>, least {points.schema['least'].dataType.simpleString()}"))
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -255,11 +266,12 @@ def neighbours(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id"
         """Every query against the points of the cell it names, in blocks of queries."""
         load = q.groupBy("cell").count().select("cell", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("blocks"))
         q = q.join(load, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        p = placed.join(load, "cell").select("cell", "key", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        p = placed.join(load, "cell").select("cell", "key", "v", "least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
         def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             if not len(points) or not len(queries):
                 return pd.DataFrame({"query": [], "key": [], "score": []}).astype({"query": str, "key": str, "score": float})
+            points = points.sort_values("least")
             x, y = matrix(points["v"]), matrix(queries["v"])
             i, j, s = search_cell(x, project(x), y, project_query(y), queries["bound"].to_numpy(), k + 1, ratio, top)
             return pd.DataFrame({"query": queries["key"].to_numpy()[i], "key": points["key"].to_numpy()[j], "score": s})
@@ -274,7 +286,9 @@ def neighbours(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id"
     second = first.withColumnRenamed("cell", "home").drop("bound").join(kth, F.col("key") == F.col("query"), "left").withColumn("bound", F.coalesce(F.greatest(norm - 2 * F.col("kth"), F.lit(0.0)), F.lit(float("inf"))))
     second = cut(second.select("home", "key", "v", "bound").mapInPandas(rest, asked))
     near = found.unionByName(search(second))
-    best = near.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).select("query", "key")
+    # Of points that tie, the k + 1 with the least ids hold all that an answer may.
+    near = near.join(points.select("key", "least"), "key")
+    best = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k + 1).select("query", "key")
 
     # Exact scores of what was found, on the original vectors, and the members of equal vectors.
     exact = best.join(points.select("key", F.col("v").alias("pv")), "key").join(points.select(F.col("key").alias("query"), F.col("v").alias("qv")), "query")
@@ -282,9 +296,7 @@ def neighbours(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id"
     listed = exact.join(members, "key").select("query", F.col("id").alias("vec_id"), "score")
     short = cut(listed.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).select("query", "vec_id", "score"))
     queries = v.where("ask").select(F.col("key").alias("query"), F.col("id").alias("query_id")).distinct()
-    out = queries.join(short, "query").where(F.col("vec_id") != F.col("query_id"))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return out.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return queries.join(short, "query").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "score")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ target or one a word, and the seats are dealt to the others without it.
 
 Running positions within a source are sums over hash ranges first and within a
 range second, so that a source with a third of all rows is spread over many
-tasks.
+tasks; the hash covers id and text, so rows that repeat an id are spread too.
 
 Defined cases: a null text has size 0; documents of size 0 take 0; a null source
 is a source, last in order; sources of size 0 have target 0; rows that repeat a
@@ -70,14 +70,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def apportion(sources: DataFrame, seats: int, block: float, most: int = MOST_REPEATS) -> DataFrame:
     """Sainte-Lague quotas: (source, target, source_size, ...) -> with blocks and quota.
 
-    A source has at most ``most`` seats a block. Quotients below the share of
-    ``2 target / block + 3`` seats can't be among the highest, so no more are listed.
+    A source has at most ``most`` seats a block. As a source wins ``target / (2 q)``
+    seats by quotients of ``q`` or more, give or take a half, those above one bound are
+    won for certain and those below another are lost; only what lies between, a few
+    for each source, is put in order.
     """
     s = sources.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
-    listed = F.least(F.col("blocks") * most, F.floor(2 * F.col("target") / F.lit(block)).cast("long") + 3)
-    quotients = s.where((F.col("target") > 0) & (F.col("blocks") > 0)).select("source", "target", F.explode(F.sequence(F.lit(0), listed - 1)).alias("k"))
-    won = quotients.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), "k").limit(seats).groupBy("source").agg(F.count("*").alias("quota")).withColumnRenamed("source", "_s")
-    return s.join(won, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("quota", F.coalesce("quota", F.lit(0))).drop("_s")
+    able = s.where((F.col("target") > 0) & (F.col("blocks") > 0)).withColumn("all", F.col("blocks") * most)
+    n, total, every = able.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+    if not n:
+        return s.withColumn("quota", F.lit(0).cast("long"))
+
+    def upto(q: float) -> Column:
+        """How many of a source's quotients are at least ``q``."""
+        return F.least(F.col("all"), F.greatest(F.lit(0), F.floor((F.col("target") / F.lit(q) + 1) / 2)).cast("long"))
+
+    high = total / (2 * (seats - n / 2)) * (1 + 1e-9) if seats > n / 2 else float("inf")
+    low = total / (2 * (seats + n)) * (1 - 1e-9)
+    # Sources that have no more seats to win leave theirs to others, further down.
+    while (held := able.agg(F.sum(upto(low))).first()[0]) < min(seats, every):
+        low /= 2
+    sure = cut(able.select("source", "target", (upto(high) if high < float("inf") else F.lit(0).cast("long")).alias("sure"), upto(low).alias("end")))
+    left = max(0, min(seats, held) - (sure.agg(F.sum("sure")).first()[0] or 0))
+    open_ = sure.where(F.col("end") > F.col("sure")).select("source", "target", F.explode(F.sequence(F.col("sure"), F.col("end") - 1)).alias("k"))
+    won = open_.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), "k").limit(left).groupBy("source").agg(F.count("*").alias("more")).withColumnRenamed("source", "_t")
+    quota = sure.join(won, F.col("source").eqNullSafe(F.col("_t")), "left").select(F.col("source").alias("_s"), (F.col("sure") + F.coalesce("more", F.lit(0))).alias("quota"))
+    return s.join(quota, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("quota", F.coalesce("quota", F.lit(0))).drop("_s")
 
 
 def quotas_of(sources: DataFrame, seats: int, block: float, most: int = MOST_REPEATS) -> DataFrame:
@@ -95,8 +113,8 @@ def quotas_of(sources: DataFrame, seats: int, block: float, most: int = MOST_REP
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document, with its source and the order it has in the mix."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = cut(rows.withColumn("key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string")), 256), 1, 8), 16, 10).cast("long")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(or_empty(F.col(text))).alias("mark"))
+    rows = cut(rows.withColumn("key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string"), F.col("mark")), 256), 1, 8), 16, 10).cast("long")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     all_of = sums.agg(F.count("*").alias("sources"), F.sum("source_size").alias("size"), F.sum("n").alias("n")).first()
     total, n_sources, n = all_of["size"] or 0, all_of["sources"], all_of["n"] or 0
@@ -110,7 +128,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     held = rows.groupBy("source", "range").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
+    order = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "mark")
     rows = rows.withColumn("nth", F.row_number().over(order))
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.join(held, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn("start", F.col("start") + F.col("base")).drop("s", "r", "base")
@@ -142,8 +160,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Targets in closed form: sources in the order of how soon they are full; those before the first that isn't are full.
 OP4_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
-k AS (SELECT *, CAST('0x' || substr(sha256(concat_ws(':', '{SEED}', doc_id, size)), 1, 8) AS BIGINT) AS key FROM d),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(coalesce(text, '')) AS mark FROM documents),
+k AS (SELECT *, CAST('0x' || substr(sha256(concat_ws(':', '{SEED}', doc_id, size, mark)), 1, 8) AS BIGINT) AS key FROM d),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, ([{", ".join(map(str, WEIGHTS))}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight FROM d GROUP BY source),
 t AS (SELECT sum(source_size)::BIGINT AS total, sum(weight) FILTER (source_size > 0) AS w, least(greatest({SEATS}, {SEATS_PER_SOURCE} * count(*)), sum(source_size)) AS seats FROM s0),
 s1 AS (SELECT *, coalesce(sum({MOST_REPEATS} * source_size) OVER b, 0) AS full_before, coalesce(sum(weight) OVER b, 0) AS w_before FROM s0 WHERE source_size > 0 WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -156,7 +174,7 @@ q AS (SELECT source, target, unnest(range(0, least(blocks * {MOST_REPEATS}, floo
 won AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS n FROM q) WHERE n <= seats GROUP BY source),
 b0 AS (SELECT s4.source, s4.block, blocks, quota, unnest(range(0, blocks)) AS b FROM s4 JOIN won ON s4.source IS NOT DISTINCT FROM won.source),
 b1 AS (SELECT *, quota // blocks + (row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws(':', '{SEED}', coalesce(source, ''), b)), b) <= quota % blocks)::BIGINT AS times FROM b0),
-p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER () AS n FROM k),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER () AS n FROM k),
 h AS (SELECT p.n, sum((least(p.start + p.size, ceil((b + 1) * block)::BIGINT) - greatest(p.start, ceil(b * block)::BIGINT)) * times)::BIGINT AS taken FROM p JOIN b1 ON p.source IS NOT DISTINCT FROM b1.source AND b1.b >= floor(p.start / block) AND b1.b <= floor((p.start + p.size - 1) / block) WHERE p.size > 0 AND times > 0 GROUP BY p.n)
 SELECT p.doc_id, p.size, s4.source_size, s4.target, coalesce(h.taken, 0)::BIGINT AS taken FROM p JOIN s4 ON p.source IS NOT DISTINCT FROM s4.source LEFT JOIN h ON h.n = p.n
 """

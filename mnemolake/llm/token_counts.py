@@ -1,25 +1,27 @@
 """Token counts by offset-mapped attribution.
 
-Every document is encoded once, whole. The tokens' byte spans are then
-interval-joined to the spans of the document's sections, its lines (with their
-line ends), and each token counts for one section:
+Every document is encoded once, whole. The tokens' character spans are then
+interval-joined to the spans of the document's sections (its lines, or its
+paragraphs, each with what ends it), and each token counts for one section:
 
-* ``first``: the section that holds the token's first byte;
-* ``most``: the section that holds most of its bytes, the earlier one in a tie.
+* ``first``: the section that holds the token's first character;
+* ``most``: the section that holds most of its characters, the earlier one in a tie.
 
 So the counts of the sections add up to that of the document, which encoding
-section by section does not give.
-
-Defined cases: a null or empty text has no section and no row in
-``section_counts``, and one row with zeros in the query's per-document result;
-special tokens' strings are ordinary text; repeated rows are counted each; an
-empty table gives no rows; other columns are not read. The vocabulary's path is
-read on the driver and its bytes go with the code, so executors need no file.
+section by section does not give. A token that is part of a character's bytes
+spans that character.
+
+Defined cases: a null or empty text has no section and counts of 0; special
+tokens' strings are ordinary text; repeated rows are counted each; an empty table
+gives no rows; other columns are not read. The vocabulary is a file of ranks whose
+path is a parameter; it is read on the driver and its bytes go with the code, so
+executors need no file.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +34,14 @@ from ._words import slices, utf8
 
 #: The public pattern that splits text before the pairs are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Where the box keeps its public vocabularies.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("first", "most")
+#: What ends a section: a line break, or a run of them with a blank line between.
+SECTIONS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 _encoders: dict = {}
 
 
-def vocabulary_path(name: str = VOCABULARY) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _encoder(raw: bytes):
     import tiktoken
 
@@ -71,11 +70,22 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule:
     return np.bincount(owner, minlength=n), np.bincount(owner[crosses], minlength=n)
 
 
-def section_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: str = "first", vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, tokens, crossing, section_starts, section_tokens) of every document; starts are in UTF-8 bytes."""
+def spans(text: str, ids: list[int], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) character of every token."""
+    ends = np.cumsum(size[np.array(ids, dtype=np.int64)])
+    head = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+    at = np.cumsum(head) - 1  # the character that each byte belongs to
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    return at[starts], at[ends - 1] + 1
+
+
+def section_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: str = "first", vocabulary: str = VOCABULARY, section: str = "line") -> DataFrame:
+    """(doc_id, tokens, crossing, section_starts, section_tokens) of every document; starts are in characters."""
+    if section not in SECTIONS:
+        raise ValueError(f"section: one of {', '.join(SECTIONS)}")
     if rule not in RULES:
         raise ValueError(f"rule: one of {', '.join(RULES)}")
-    with open(vocabulary or vocabulary_path(), "rb") as f:
+    with open(vocabulary, "rb") as f:
         raw = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(raw)  # one vocabulary, under 2 MB
     kind = dict(docs.dtypes)[doc_id]
@@ -87,15 +97,14 @@ def section_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for a, b in slices(at):
                 rows = []
                 for d in range(a, b):
-                    text = data[at[d] : at[d + 1]]
-                    if not len(text):
+                    text = data[at[d] : at[d + 1]].tobytes().decode("utf-8", "replace")
+                    if not text:
                         rows.append((0, 0, [], []))
                         continue
-                    ids = np.array(encoder.encode_ordinary(text.tobytes().decode("utf-8", "replace")), dtype=np.int64)
-                    ends = np.cumsum(size[ids])
-                    breaks = np.flatnonzero(text[:-1] == 10) + 1
-                    sections = np.concatenate([[0], breaks])
-                    n, crossing = attribute(ends - size[ids], ends, sections, rule)
+                    ids = encoder.encode_ordinary(text)
+                    starts, ends = spans(text, ids, size)
+                    sections = np.array([0, *(m.end() for m in SECTIONS[section].finditer(text) if m.end() < len(text))])
+                    n, crossing = attribute(starts, ends, sections, rule)
                     rows.append((len(ids), int(crossing.sum()), sections, n))
                 n, crossing, sections, counts = zip(*rows, strict=True)
                 lists = pa.list_(pa.int64())

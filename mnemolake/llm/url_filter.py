@@ -3,23 +3,26 @@ r"""URL filters by a path-template tree (native).
 Paths are cut at ``/`` into segments; numbers and hexadecimal ids get typed
 wildcards at once. Per host a tree of prefixes is built level by level, each
 level below the generalised steps of those above, so that what lies under
-merged segments is counted together. A word that is rare among many siblings is
+merged segments is counted together. Segments that all paths of a branch share
+are passed in one step, so there are as many rounds as paths branch one below
+the other, however deep they are. A word that is rare among many siblings is
 variable and becomes ``*``; the other segments keep their word only where they
 have no sibling or where their labelled share differs from that of the rest of
-the branch by a two-proportion test, else they are merged into ``*`` too. Each template's purity, its smoothed share of blocked labels, then decides:
-the prior is the host's own smoothed share, the prior of that the share of blocked
-labels among all urls, so that a host nobody labelled isn't rejected. A template
-at or over the threshold is, if it has a label of its own. Rules and seed words
-that speak for a whole host label all its urls, so where a template has none, the
-host's labels come from path rules on other branches and say nothing about it.
+the branch by a two-proportion test, else they are merged into ``*`` too. Each
+template's purity, its smoothed share of blocked labels, then decides: the prior
+is the host's own smoothed share, the prior of that the share of blocked labels
+among all urls, so that a host nobody labelled isn't rejected. A template at or
+over the threshold is, if it has a label of its own: a host's labels may come from
+rules for other branches and say nothing about it.
 
-Labels come from the explicit rules and, where no rule speaks, from seed words
-in host names. A rule, where one fits, always has the last word.
+Labels are a table of pages known to be good or bad; without one, what the
+explicit rules say is learnt from. A rule, where one fits, always has the last
+word.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
-is a template of its own; repeated urls count as often as they occur; a path of
-more than ``DEPTH`` segments keeps the rest as one segment ``**``; equal rules
-are one rule; an empty table gives no rows; other columns are not read.
+is a template of its own; repeated urls count as often as they occur; a page with
+several labels is blocked if any says so; equal rules are one rule; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,6 @@ from pyspark.sql import functions as F
 
 from ._common import cut, or_empty, table
 
-DEPTH = 8
 #: In a branch of at least this many words, those on at most this share of its urls are variable.
 LEAST_WORDS = 8
 MEAN_SHARE = 0.125
@@ -41,8 +43,6 @@ DIFFERS = 1.96
 PRIOR_WEIGHT = 2.0
 REJECT = 0.5
 
-# Words in host names that seed the block label.
-SEED_WORDS = "casino|bets|betting|poker|adult|porn|xxx|pills|viagra|payday|ads|adserver|track|tracker|malware|phish|warez"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,17 +83,29 @@ def _fitting(rules: tuple[UrlRule, ...], value) -> Column:
 
 def _segments(path: Column) -> Column:
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
     number = r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$"
     hexed = r"^[0-9a-f-]*[0-9][0-9a-f-]*$"
     return F.transform(parts, lambda p: F.when(p.rlike(number), F.regexp_replace(p, r"^[0-9]+", "<n>")).when((F.length(p) >= 8) & p.rlike(hexed), "<h>").otherwise(p))
 
 
-def _step(paths: DataFrame, at: int) -> DataFrame:
-    """``paths`` with segment ``at`` (from 0), as it is or as ``*``, at the end of ``template``: the branch is the template so far."""
-    steps = paths.withColumn("word", F.get("typed", F.lit(at)))
+def _pass_shared(paths: DataFrame) -> DataFrame:
+    """Moves every branch on past the segments that all its paths share."""
+    rest = F.slice("typed", F.col("at") + 1, F.size("typed"))
+    ends = paths.groupBy("host", "template").agg(F.min(rest).alias("a"), F.max(rest).alias("b"))
+    least = F.least(F.size("a"), F.size("b"))
+    unlike = F.filter(F.sequence(F.lit(0), least), lambda i: (i < least) & (F.get("a", i) != F.get("b", i)))
+    ends = ends.select("host", "template", F.coalesce(F.array_min(unlike), least).alias("shared"))
+    x = paths.join(ends, ["host", "template"])
+    passed = F.slice("typed", F.col("at") + 1, F.col("shared"))
+    more = F.when(F.col("shared") > 0, F.concat(F.lit("/"), F.array_join(passed, "/"))).otherwise("")
+    return x.select("host", "typed", "n", "blocked", "labelled", (F.col("at") + F.col("shared")).alias("at"), F.concat("template", more).alias("template"))
+
+
+def _step(paths: DataFrame) -> DataFrame:
+    """``paths`` with their next segment, as it is or as ``*``, at the end of ``template``: the branch is the template so far."""
+    steps = paths.withColumn("word", F.get("typed", F.col("at")))
     nodes = steps.where(F.col("word").isNotNull()).groupBy("host", "template", "word").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
-    word = ~F.col("word").startswith("<") & (F.col("word") != "") & (F.col("word") != "**")
+    word = ~F.col("word").startswith("<") & (F.col("word") != "")
     branches = nodes.groupBy("host", "template").agg(F.sum(word.cast("long")).alias("words"), F.sum("n").alias("b_n"), F.sum("blocked").alias("b_blocked"), F.sum("labelled").alias("b_labelled"))
     nodes = nodes.join(branches, ["host", "template"])
     variable = (F.col("words") >= LEAST_WORDS) & (F.col("n") / F.col("b_n") <= MEAN_SHARE)
@@ -106,16 +118,16 @@ def _step(paths: DataFrame, at: int) -> DataFrame:
     alone = F.col("words") <= 1
     kept = nodes.select("host", "template", "word", F.when(word & (variable | ~(differs | alone)), "*").otherwise(F.col("word")).alias("step"))
     out = steps.join(kept, ["host", "template", "word"], "left")
-    return out.select(*[c for c in paths.columns if c != "template"], F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step")).alias("template"))
+    on = F.col("step").isNotNull()
+    return out.select("host", "typed", "n", "blocked", "labelled", (F.col("at") + on.cast("int")).alias("at"), F.when(on, F.concat("template", F.lit("/"), "step")).otherwise(F.col("template")).alias("template"))
 
 
 def learn_templates(urls: DataFrame) -> DataFrame:
     """(host, typed, n, blocked, labelled), counted, -> the template, its purity and number of labels (``own``) of each (host, typed) path."""
-    typed = cut(urls.groupBy("host", "typed").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
-    depth = typed.agg(F.max(F.size("typed"))).first()[0] or 0
-    paths = typed.withColumn("template", F.lit(""))
-    for at in range(depth):
-        paths = cut(_step(paths, at))
+    typed = urls.groupBy("host", "typed").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    paths = cut(_pass_shared(typed.withColumns({"at": F.lit(0), "template": F.lit("")})))
+    while not paths.where(F.col("at") < F.size("typed")).isEmpty():
+        paths = cut(_pass_shared(_step(paths)))
     templates = paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
     hosts = templates.groupBy("host").agg(F.sum("blocked").alias("h_blocked"), F.sum("labelled").alias("h_labelled"), F.sum("n").alias("h_n"))
     whole = hosts.agg(F.sum("h_blocked").alias("a_blocked"), F.sum("h_n").alias("a_n"))  # one row
@@ -125,17 +137,18 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     return paths.select("host", "typed", "template").join(templates, ["host", "template"])
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, template, purity) of every url."""
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, labels: DataFrame | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict, template, purity) of every url; ``labels`` has (page_id, blocked), blocked 0 or 1."""
     u = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    u = u.withColumn("rule", _fitting(rules, lambda r: r.text)).withColumn("said", _fitting(rules, lambda r: r.verdict))
-    seed = F.when(F.col("host").rlike(rf"(^|[.-])({SEED_WORDS})([.-]|$)"), "block")
-    label = F.coalesce("said", seed)
-    u = u.withColumn("typed", _segments(F.col("path"))).withColumn("label", label)
-    counted = u.groupBy("host", "typed", "label").agg(F.count("*").alias("n"))
+    u = u.withColumn("rule", _fitting(rules, lambda r: r.text)).withColumn("said", _fitting(rules, lambda r: r.verdict)).withColumn("typed", _segments(F.col("path")))
+    label = F.col("said")
+    if labels is not None:
+        known = labels.where(F.col("blocked").isNotNull()).groupBy(F.col(page_id).alias("_id")).agg(F.max("blocked").alias("_blocked"))
+        u = u.join(known, F.col("page_id") == F.col("_id"), "left")
+        label = F.when(F.col("_blocked") > 0, "block").when(F.col("_blocked").isNotNull(), "allow").otherwise(label)
+    counted = u.withColumn("label", label).groupBy("host", "typed", "label").agg(F.count("*").alias("n"))
     counted = counted.select("host", "typed", "n", F.when(F.col("label") == "block", F.col("n")).otherwise(0).alias("blocked"), F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("labelled"))
-    learned = learn_templates(counted)
-    out = u.join(learned, ["host", "typed"], "left")
+    out = u.join(learn_templates(counted), ["host", "typed"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when((F.col("own") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
 
@@ -149,24 +162,22 @@ def _rule_sql(value) -> str:
 
 
 OP1_SQL = rf"""
-WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u0 AS (SELECT page_id, translate(regexp_extract(rest, '\A([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) AS path FROM r),
 u1 AS (SELECT *, {_rule_sql(lambda r: r.text)} AS rule, {_rule_sql(lambda r: r.verdict)} AS said, string_split(regexp_replace(path, '^/', ''), '/') AS p0 FROM u0),
-u2 AS (SELECT *, CASE WHEN len(p0) > {DEPTH} THEN list_append(p0[1:{DEPTH}], '**') ELSE p0 END AS p1,
-       coalesce(said, CASE WHEN regexp_matches(host, '(^|[.-])({SEED_WORDS})([.-]|$)') THEN 'block' END) AS label FROM u1),
-u AS (SELECT page_id, host, path, rule, said, label, list_transform(p1, lambda p: CASE WHEN regexp_matches(p, '^[0-9]+(\.[A-Za-z0-9]{{1,5}})?$') THEN regexp_replace(p, '^[0-9]+', '<n>')
-       WHEN length(p) >= 8 AND regexp_matches(p, '^[0-9a-f-]*[0-9][0-9a-f-]*$') THEN '<h>' ELSE p END) AS typed FROM u2),
-t AS (SELECT host, typed, count(*) AS n, count(*) FILTER (label = 'block') AS blocked, count(label) AS labelled FROM u GROUP BY host, typed),
-s AS (SELECT *, typed[k] AS word, typed[1:k - 1] AS branch FROM (SELECT *, unnest(range(1, len(typed) + 1)) AS k FROM t)),
-n0 AS (SELECT host, branch, word, sum(blocked) AS blocked, sum(labelled) AS labelled, NOT (starts_with(word, '<') OR word IN ('', '**')) AS is_word FROM s GROUP BY host, branch, word),
-n1 AS (SELECT *, count(*) FILTER (is_word) OVER w AS words, sum(blocked) OVER w AS bb, sum(labelled) OVER w AS bl FROM n0 WINDOW w AS (PARTITION BY host, branch)),
-n2 AS (SELECT *, CASE WHEN labelled > 0 AND bl > labelled AND bb > 0 AND bb < bl THEN
-        abs(blocked / labelled - (bb - blocked) / (bl - labelled)) / sqrt((bb / bl) * (1 - bb / bl) * (1.0::DOUBLE / labelled + 1.0::DOUBLE / (bl - labelled))) > {DIFFERS} ELSE false END AS differs FROM n1),
-kept AS (SELECT host, branch, word, CASE WHEN NOT is_word OR differs OR (words <= 1 AND NOT (words >= {LEAST_WORDS} AND 1.0 / words <= {MEAN_SHARE})) THEN word ELSE '*' END AS step FROM n2),
-p AS (SELECT s.host, s.typed, s.n, s.blocked, s.labelled, '/' || string_agg(step, '/' ORDER BY k) AS template FROM s JOIN kept USING (host, branch, word) GROUP BY ALL),
+u AS (SELECT page_id, host, path, rule, said, list_transform(p0, lambda p: CASE WHEN regexp_matches(p, '^[0-9]+(\.[A-Za-z0-9]{{1,5}})?$') THEN regexp_replace(p, '^[0-9]+', '<n>')
+       WHEN length(p) >= 8 AND regexp_matches(p, '^[0-9a-f-]*[0-9][0-9a-f-]*$') THEN '<h>' ELSE p END) AS typed FROM u1),
+t AS (SELECT host, typed, count(*) AS n, count(*) FILTER (said = 'block') AS blocked, count(said) AS labelled FROM u GROUP BY host, typed),
+lv AS (SELECT host, typed, n, blocked, labelled, 0 AS k, '' AS template FROM t
+  UNION ALL SELECT host, typed, n, blocked, labelled, k + 1, template || '/' || CASE WHEN is_word AND ((words >= {LEAST_WORDS} AND wn / bn::DOUBLE <= {MEAN_SHARE}) OR NOT (words <= 1 OR
+       CASE WHEN wl > 0 AND bl > wl AND bb > 0 AND bb < bl THEN abs(wb / wl::DOUBLE - (bb - wb) / (bl - wl)::DOUBLE) / sqrt((bb / bl::DOUBLE) * (1 - bb / bl::DOUBLE) * (1.0::DOUBLE / wl + 1.0::DOUBLE / (bl - wl))) > {DIFFERS} ELSE false END)) THEN '*' ELSE word END
+  FROM (SELECT *, sum(n) OVER w AS wn, sum(blocked) OVER w AS wb, sum(labelled) OVER w AS wl, sum(n) OVER b AS bn, sum(blocked) OVER b AS bb, sum(labelled) OVER b AS bl,
+         count(DISTINCT CASE WHEN is_word THEN word END) OVER b AS words
+        FROM (SELECT *, typed[k + 1] AS word, NOT (starts_with(typed[k + 1], '<') OR typed[k + 1] = '') AS is_word FROM lv WHERE k < len(typed)) WINDOW w AS (PARTITION BY host, template, word), b AS (PARTITION BY host, template))),
+p AS (SELECT * FROM lv WHERE k = len(typed)),
 tp AS (SELECT host, template, sum(n) AS n, sum(blocked) AS blocked, sum(labelled) AS labelled FROM p GROUP BY ALL),
 h AS (SELECT host, (sum(blocked) + {PRIOR_WEIGHT} * coalesce((SELECT sum(blocked) / nullif(sum(n), 0) FROM tp), 0)) / (sum(labelled) + {PRIOR_WEIGHT}) AS prior FROM tp GROUP BY host),
-pu AS (SELECT host, template, (blocked + {PRIOR_WEIGHT} * prior) / (labelled + {PRIOR_WEIGHT}) AS purity FROM tp JOIN h USING (host))
-SELECT page_id, u.host, path, rule, coalesce(said, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, p.template, round(purity, 9) AS purity
+pu AS (SELECT host, template, labelled AS own, (blocked + {PRIOR_WEIGHT} * prior) / (labelled + {PRIOR_WEIGHT}) AS purity FROM tp JOIN h USING (host))
+SELECT page_id, u.host, path, rule, coalesce(said, CASE WHEN own > 0 AND purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, p.template, round(purity, 9) AS purity
 FROM u JOIN p USING (host, typed) JOIN pu ON pu.host = u.host AND pu.template = p.template
 """

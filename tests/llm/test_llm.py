@@ -32,13 +32,16 @@ def got(df, *cols):
 # 1
 
 def test_urls(spark):
-    rows = [(1, "https://WWW.Example.org/es/1?x"), (2, "http://a.example.org/en/12"), (3, "http://x.com/fr/1"), (4, "http://x.com/de/1"), (5, "http://org/a"), (6, "nothing"), (7, None), (8, "http://notorg/a"), (9, "http://x.org"), (10, "http://my-casino.net/a/1#z"), (10, "http://my-casino.net/a/1#z"), (11, "http://q.net/" + "a/" * 3000)]
+    rows = [(1, "https://WWW.Example.org/es/1?x"), (2, "http://a.example.org/en/12"), (3, "http://x.com/fr/1"), (4, "http://x.com/de/1"), (5, "http://org/a"), (6, "nothing"), (7, None), (8, "http://notorg/a"), (9, "http://x.org"), (10, "http://my.net/a/1#z"), (10, "http://my.net/a/1#z"), (12, "http://q.net/" + "a/" * 2999 + "b/"), (11, "http://q.net/" + "a/" * 3000)]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
     out = {r["page_id"]: r for r in url_filter.judge(df).collect()}
     assert (out[1]["host"], out[1]["path"], out[1]["rule"], out[1]["verdict"]) == ("www.example.org", "/es/1", "example.org/es/", "block")
     assert [out[i]["rule"] for i in (2, 3, 4, 5, 8, 9)] == ["example.org/en/1", "com/fr/", "com/de/", "org/", None, None]
     assert (out[6]["host"], out[7]["path"]) == ("", "")
-    assert (out[10]["verdict"], out[11]["verdict"]) == ("block", "allow")
+    assert (out[10]["verdict"], out[11]["verdict"]) == ("allow", "allow") and out[11]["template"] == out[12]["template"] == "/" + "a/" * 2999 + "*/"
+    labels = spark.createDataFrame([(10, 0), (10, 1), (11, 0), (99, 1), (5, None)], "page_id long, blocked int")
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, labels=labels).collect()}
+    assert (out[10], out[11], out[4], out[5]) == ("block", "allow", "block", "allow")
     assert url_filter.judge(df).count() == len(rows)
     assert url_filter.judge(df.limit(0)).count() == 0
 
@@ -74,7 +77,8 @@ def test_path_rules_do_not_judge_other_branches(spark):
     paths = [f"de/{i}" for i in range(40)] + [f"fr/{i}" for i in range(12)] + [f"en/{i}" for i in range(30)] + [f"es/{i}" for i in range(30)]
     urls = [f"http://clean.com/{p}" for p in paths] + [f"http://my-casino.com/en/{i}" for i in range(5)] + ["http://my-casino.com/fr/1"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    out = {(r["host"], r["path"].split("/")[1], r["verdict"]) for r in url_filter.judge(df).collect()}
+    labels = df.where("url LIKE '%casino.com/en/1' OR url LIKE '%casino.com/en/2'").select("page_id", F.lit(1).alias("blocked"))
+    out = {(r["host"], r["path"].split("/")[1], r["verdict"]) for r in url_filter.judge(df, labels=labels).collect()}
     assert out == {("clean.com", "de", "block"), ("clean.com", "fr", "allow"), ("clean.com", "en", "allow"), ("clean.com", "es", "allow"), ("my-casino.com", "en", "block"), ("my-casino.com", "fr", "allow")}
 
 
@@ -184,6 +188,14 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_joins_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(i % 5, "w " * (i % 40), "en", f"s{i % 7}", 0) for i in range(300)]
+    d = docs(spark, rows)
+    near = got(mixing.mix(d), "doc_id", "size", "source", "taken")
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert got(mixing.mix(d), "doc_id", "size", "source", "taken") == near
+
+
 def test_small_sources_beside_a_huge_one(spark):
     rows = [(i, "w " * 20_000, "en", "huge", 0) for i in range(100)] + [(1000 + i, "w " * n, "en", s, 0) for i, (s, n) in enumerate([("few", 5), ("few", 2), ("one", 1), ("some", 700), ("some", 801)])]
     taken, target = defaultdict(int), {}
@@ -216,6 +228,14 @@ def test_highest_quotients(spark):
     quota = {r["source"]: r["quota"] for r in mixing.apportion(s, 10, 100.0).collect()}
     best = sorted(((v / (2 * k + 1), n) for n, v in t.items() for k in range(20)), reverse=True)[:10]
     assert quota == {n: sum(1 for _, m in best if m == n) for n in t}
+    r = random.Random(4)
+    t = {f"s{i:03}": r.choice([1.0, 10.0, 10.0, r.uniform(0, 1000)]) for i in range(120)}
+    s = spark.createDataFrame([(k, v, 1 + int(v / r.choice([0.5, 1, 3]))) for k, v in t.items()], "source string, target double, source_size long")
+    size = {x["source"]: -(-x["source_size"] // 5) * 3 for x in s.collect()}
+    for seats in (40, 60, 500, 5000):
+        quota = {x["source"]: x["quota"] for x in mixing.apportion(s, seats, 5.0).collect()}
+        best = sorted((-v / (2 * k + 1), n) for n, v in t.items() for k in range(size[n]))[:seats]
+        assert quota == {n: sum(1 for _, m in best if m == n) for n in t}, seats
 
 
 # 5
@@ -315,6 +335,27 @@ def test_neighbours(spark):
     assert ann.neighbours(df.limit(0), F.lit(True), 3).count() == 0
 
 
+def test_neighbours_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 150)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 16)) * 3
+    v = centres[r.integers(0, 12, 1500)] + r.normal(size=(1500, 16))
+    rows = [(i, [float(x) for x in y]) for i, y in enumerate(v)] + [(5000 + i, [float(i), 1.0]) for i in range(4)] + [(None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for x in ann.neighbours(df, F.col("vec_id") % 20 == 0, 20).collect():
+        found[x["query_id"]].append((x["rank"], x["vec_id"]))
+    s = v @ v.T
+    hit = [len({i for _, i in found[q]} & set(sorted((i for i in range(1500) if i != q), key=lambda i: -s[q, i])[:20])) / 20 for q in range(0, 1500, 20)]
+    assert np.mean(hit) >= 0.9
+    assert sorted(found[5000]) == [(1, 5001), (2, 5002), (3, 5003)]  # all score 1, and only their own length is compared
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0, float(i)]) for i in range(60)] + [(100, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert got(ann.neighbours(df, F.col("vec_id") == 100, 5), "rank", "vec_id", "score") == [(i + 1, i, 1.0) for i in range(5)]
+
+
 def test_chi_square():
     assert ann.chi2_quantile(0.95, 1) == pytest.approx(3.841459, abs=1e-5)
     assert ann.chi2_quantile(0.95, 8) == pytest.approx(15.507313, abs=1e-5)
@@ -322,19 +363,38 @@ def test_chi_square():
 
 # 7
 
+def attributed(text, pieces, section, rule):
+    """Tokens of each section, token by token and character by character."""
+    cuts = [0] + [m.end() for m in re.finditer({"line": r"\n", "paragraph": r"\n[ \t\r]*\n\s*"}[section], text) if m.end() < len(text)]
+    owner = lambda c: max(i for i, a in enumerate(cuts) if a <= c)
+    of_byte = [i for i, c in enumerate(text) for _ in c.encode()]
+    counts, at, crossing = [0] * len(cuts), 0, 0
+    for n in pieces:
+        chars = sorted(set(of_byte[at : at + n]))
+        at += n
+        homes = Counter(owner(c) for c in chars)
+        crossing += len(homes) > 1
+        counts[min(homes) if rule == "first" else min(homes, key=lambda s: (-homes[s], s))] += 1
+    return counts, crossing
+
+
 def test_tokens(spark):
-    texts = ["Hello world\nand more\n\nlast", "é😀\nx", None, "", "<|endoftext|>", "a" * 5000 + "\nb"]
+    r = random.Random(2)
+    texts = ["Hello world\nand more\n\nlast", "é😀\nx", None, "", "<|endoftext|>", "a" * 5000 + "\nb", "\n\n\n", "x\n \n\n  y\n"] + ["".join(r.choices(["the ", "\n", "\n\n", "ü", "😀", "words", "  ", "1"], k=60)) for _ in range(20)]
     d = docs(spark, list(enumerate(texts)))
-    for rule in token_counts.RULES:
-        for x in token_counts.section_counts(d, rule=rule).collect():
+    with open(token_counts.VOCABULARY, "rb") as f:
+        enc, size = token_counts._encoder(f.read())
+    for rule, section in itertools.product(token_counts.RULES, token_counts.SECTIONS):
+        for x in token_counts.section_counts(d, rule=rule, section=section).collect():
             t = texts[x["doc_id"]] or ""
-            assert sum(x["section_tokens"]) == x["tokens"] and len(x["section_tokens"]) == len([s for s in t.splitlines(keepends=True) if s])
-    with open(token_counts.vocabulary_path(), "rb") as f:
-        enc, _ = token_counts._encoder(f.read())
-    n = {x["doc_id"]: x["tokens"] for x in token_counts.section_counts(d).collect()}
-    assert n == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+            ids = enc.encode_ordinary(t)
+            want = attributed(t, [int(size[i]) for i in ids], section, rule) if t else ([], 0)
+            assert (x["section_tokens"], x["crossing"], x["tokens"]) == (*want, len(ids))
+            assert len(x["section_starts"]) == len(want[0])
     with pytest.raises(ValueError):
         token_counts.section_counts(d, rule="none")
+    with pytest.raises(ValueError):
+        token_counts.section_counts(d, section="none")
 
 
 def test_boundary_rules():
