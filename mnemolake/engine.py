@@ -7,8 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.functions.text import code_terms, fragments
-from mnemolake.operators import chunking, evaluation, export, feedback, graph, insights, memory, search, sessions, transitions
+from mnemolake.operators import chunking, evaluation, export, feedback, graph, insights, memory, recall, search, sessions, transitions
 from mnemolake.schema import TABLES
 from mnemolake.sources import snapshot
 from mnemolake.streaming import pipelines
@@ -36,6 +35,7 @@ class Engine:
     as_of: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
     project: str | None = None
+    indexes: dict[str, search.TextIndex] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -52,22 +52,36 @@ class Engine:
         return snapshot.commit(self.spark, root, self.tables)
 
     def having(self, **tables: DataFrame) -> Engine:
-        return Engine(self.spark, self.as_of, {**self.tables, **tables}, self.project)
+        """The state with other tables; an index of a table that changes no longer holds."""
+        return Engine(self.spark, self.as_of, {**self.tables, **tables}, self.project, {n: i for n, i in self.indexes.items() if n not in tables})
 
     # memories
-    def recall(self, query: str, vector: list[float] | None = None, limit: int = 10, offset: int = 0, worktree: str | None = None) -> tuple[DataFrame, Engine]:
-        """Hits, and the state with the access bump and the logged recall."""
+    def recall(self, query: str, vector: list[float] | None = None, limit: int = 10, offset: int = 0, worktree: str | None = None, topic: str | None = None, keyword: str | None = None, session_id: str | None = None, code_context: bool = False, hours_since_decay: float = 0.0) -> tuple[DataFrame, Engine]:
+        """Hits (id, score, place), and the state with the day's decay, the access bump and the logged recall."""
         limit, offset = bounded("limit", limit), bounded("offset", offset)
-        m = self.table("memories")
-        if vector is not None:
-            hits = search.hybrid(m, required("query", query), vector, limit, offset, self.project, self.table("recall_effectiveness"), self.as_of, worktree)
-        else:
-            hits = search.fts_or_keywords(m, required("query", query), self.project, limit).select("id", F.col("weight").alias("score"))
-        ids = hits.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), lambda x: x["id"]).alias("memory_ids"))
-        event = ids.select(F.sha2(F.concat_ws("|", F.lit(query), F.lit(self.as_of)), 256).alias("id"), F.lit(query).alias("query"), memory.at(self.as_of).alias("recalled_at"), "memory_ids", F.size("memory_ids").cast("long").alias("memory_count"), F.lit(self.project).cast("string").alias("project"))
+        project = self.project
+        if session_id is not None:
+            of = sessions.get(self.table("sessions"), session_id).first()
+            if of is None or project not in (None, of["project"]):
+                raise ValueError("session_id: no such session in this project")
+            project = of["project"]
+        m = transitions.auto_decay(self.table("memories"), hours_since_decay)
+        hits = recall.recall(m, required("query", query), limit, offset, vector, self.table("concepts") if code_context else None, project, worktree, topic, keyword, self.table("recall_effectiveness"), self.as_of, self.indexes.get("memories"), self.indexes.get("concepts"))
+        event = recall.recall_event(hits, self.table("sessions"), query, self.as_of, project, session_id)
         after = self.having(memories=transitions.touch(m, hits, self.as_of), recall_events=self.table("recall_events").unionByName(event, allowMissingColumns=True))
         return hits, after
 
+    def build_indexes(self, root: str) -> Engine:
+        """Writes the full-text indexes of memories, concepts and chunks, and uses them for searches of this state."""
+        texts = {"memories": search.memory_text(), "concepts": search.concept_text(), "chunks": search.chunk_text()}
+        for name, text in texts.items():
+            search.TextIndex.write(self.table(name), "id", text, f"{root}/index/{name}")
+        return Engine(self.spark, self.as_of, self.tables, self.project, {n: search.TextIndex.open(self.spark, f"{root}/index/{n}") for n in texts})
+
+    def store_dedup(self, id: str, topic: str, summary: str, vector: list[float]) -> Engine:
+        """Stores a memory, or updates the one that already says as much under the topic."""
+        return self.having(memories=search.store_dedup(self.table("memories"), id, required("topic", topic), required("summary", summary), vector, self.as_of, self.project, self.table("recall_effectiveness"), self.indexes.get("memories")))
+
     def store(self, new: DataFrame) -> Engine:
         return self.having(memories=transitions.store(self.table("memories"), new))
 
@@ -131,17 +145,14 @@ class Engine:
     def search_docs(self, query: str, limit: int = 10) -> DataFrame:
         c = self.table("chunks")
         c = c if "project" in c.columns else c.join(self.table("documents").select(F.col("id").alias("document_id"), "project"), "document_id", "left")
-        return search.chunk_fts(c, query, self.project, bounded("limit", limit))
+        return search.chunk_fts(c, query, self.project, bounded("limit", limit), self.indexes.get("chunks"))
 
     def search_all(self, query: str, limit: int = 10, offset: int = 0) -> DataFrame:
         c = self.table("chunks").join(self.table("documents").select(F.col("id").alias("document_id"), "project"), "document_id", "left")
-        base = search.search_all(self.table("memories"), c, query, bounded("limit", limit), offset, self.project)
-        names = code_terms(query)
-        if not names:
-            return base
-        parts = [p for n in names for p in fragments(n)]
-        terms = [r["name"] for r in search.expand_code(self.table("concepts"), names, parts).collect()]  # five names at most
-        return search.search_expanded(self.table("memories"), base, terms, limit, self.project) if terms else base
+        index = self.indexes.get("memories")
+        base = search.search_all(self.table("memories"), c, query, bounded("limit", limit), offset, self.project, index=index, chunk_index=self.indexes.get("chunks"))
+        terms = recall.expansion(self.table("concepts"), query, self.indexes.get("concepts"))
+        return search.search_expanded(self.table("memories"), base, terms, limit, self.project, index) if terms else base
 
     # graph
     def code_query(self, kind: str, memoir: str, id: str | None = None, labels: tuple[str, ...] = (), depth: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,9 +125,13 @@ def stale_hints(memories: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return memories.where(active()).select("id", (F.col("last_accessed") <= days_before(as_of, days)).alias("stale"))
 
 
-def purge_counts(memories: DataFrame, sessions: DataFrame, documents: DataFrame, project: str) -> DataFrame:
+def purge_counts(memories: DataFrame, sessions: DataFrame, documents: DataFrame, project: str, chunks: DataFrame | None = None) -> DataFrame:
+    """How many rows of each table a purge of the project would take; chunks go with their documents."""
     counts = [t.where(in_project(project)).agg(F.count("*").alias("n")).select(F.lit(k).alias("entity"), "n") for k, t in (("memories", memories), ("sessions", sessions), ("documents", documents))]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    if chunks is not None:
+        gone = chunks.join(documents.where(in_project(project)).select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        counts.append(gone.agg(F.count("*").alias("n")).select(F.lit("chunks").alias("entity"), "n"))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def embed_backlog(memories: DataFrame) -> DataFrame:

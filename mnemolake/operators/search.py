@@ -144,9 +144,12 @@ def fts_or_keywords(memories: DataFrame, query: str, project: str | None = None,
     return keyword_search(memories, query.split(), project, limit) if found.isEmpty() else found.drop("rank")
 
 
+def concept_text() -> Column:
+    return F.concat_ws(" ", "id", "name", "definition", F.array_join(label_texts(F.col("labels")), " "))
+
+
 def concept_fts(concepts: DataFrame, query: str, memoir: str | None = None, limit: int = 20, index: TextIndex | None = None) -> DataFrame:
-    text = F.concat_ws(" ", "id", "name", "definition", F.array_join(label_texts(F.col("labels")), " "))
-    hits = bm25(concepts, text, fts_phrases(query), index=index)
+    hits = bm25(concepts, concept_text(), fts_phrases(query), index=index)
     if memoir is not None:
         hits = hits.where(F.col("memoir_id") == memoir)
     return hits.orderBy("rank", "name", "id").limit(limit)

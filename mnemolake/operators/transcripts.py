@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Limits of what a summary keeps.
+EDITS = ("Edit", "Write", "MultiEdit")
 COMMANDS, COMMAND_CHARS, ERRORS, ERROR_CHARS, HIGHLIGHTS, HIGHLIGHT_CHARS = 50, 100, 20, 200, 5, 160
 
 
@@ -24,6 +25,42 @@ def read(lines: DataFrame) -> DataFrame:
     return x.withColumn("runtime", F.first(kind).over(w)).drop("uuid")
 
 
+def normalise(lines: DataFrame) -> DataFrame:
+    """(path, n, line) of JSON lines -> one row a transcript: session, project, messages, files changed, commands, errors, highlights.
+
+    Tool calls stand in the content of a message: edits name a file, shells a
+    command; results that are marked as errors tell what went wrong.
+    """
+    block = "array<struct<type:string,text:string,name:string,input:struct<file_path:string,command:string>,is_error:boolean,content:string>>"
+    x = read(lines).join(lines.select("path", "n", "line"), ["path", "n"])
+    x = x.withColumn("b", F.from_json(F.get_json_object("line", "$.message.content"), block))
+    each = x.select("path", "n", F.posexplode("b").alias("i", "b")).select("path", "n", "i", "b.*")
+    cut = lambda c, most: F.substring(c, 1, most)
+    found = F.when((F.col("type") == "tool_use") & F.col("name").isin(*EDITS), F.struct(F.lit("file").alias("kind"), F.col("input.file_path").alias("v")))
+    found = found.when((F.col("type") == "tool_use") & F.col("input.command").isNotNull(), F.struct(F.lit("command").alias("kind"), cut(F.col("input.command"), COMMAND_CHARS).alias("v")))
+    found = found.when((F.col("type") == "tool_result") & F.col("is_error"), F.struct(F.lit("error").alias("kind"), cut(F.col("content"), ERROR_CHARS).alias("v")))
+    each = each.withColumn("f", found).where(F.col("f.v").isNotNull()).select("path", "f.kind", "f.v", "n", "i")
+    # What is kept of a transcript is bounded, so it is cut before it is gathered.
+    first = each.groupBy("path", "kind", "v").agg(F.min(F.struct("n", "i")).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("path", "kind").orderBy("at"))
+    top = first.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("kind") == "command", COMMANDS).when(F.col("kind") == "error", ERRORS).otherwise(F.col("nth")))
+    lists = top.groupBy("path").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("nth", "v")))), lambda s: s["v"]).alias(c) for k, c in (("file", "files"), ("command", "commands"), ("error", "errors"))])
+    said = x.where(F.col("text").isNotNull() & F.col("role").isin("user", "assistant"))
+    spoke = said.withColumn("nth", F.row_number().over(Window.partitionBy("path", "role").orderBy("n")))
+    base = x.groupBy("path").agg(F.min_by("runtime", "n").alias("runtime"), F.min_by("session", F.when(F.col("session").isNotNull(), F.col("n"))).alias("session"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("n"))).alias("cwd"))
+    talk = spoke.groupBy("path").agg(F.count("*").alias("messages"), F.transform(F.array_sort(F.collect_list(F.when((F.col("role") == "user") & (F.col("nth") <= HIGHLIGHTS), F.struct("n", cut(F.col("text"), HIGHLIGHT_CHARS).alias("s"))))), lambda s: s["s"]).alias("highlights"))
+    none = F.array().cast("array<string>")
+    out = base.join(talk, "path", "left").join(lists, "path", "left")
+    project = F.regexp_extract(F.coalesce("cwd", F.lit("")), r"([^/]+)/*$", 1)
+    return out.select("path", "runtime", "session", F.nullif(project, F.lit("")).alias("project"), F.coalesce("messages", F.lit(0)).alias("messages"), *[F.coalesce(c, none).alias(c) for c in ("files", "commands", "errors", "highlights")])
+
+
+def discovered(files: DataFrame, since: str) -> DataFrame:
+    """Transcripts (path, modificationTime, ...) changed at or after a time, newest first."""
+    keep = F.col("path").endswith(".jsonl") & (F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+    return files.where(keep).orderBy(F.desc("modificationTime"), "path")
+
+
 def summarise(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> one row a transcript with counts, highlights and a sentence."""
     nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text"))
@@ -92,4 +129,4 @@ def memory_files(files: DataFrame) -> DataFrame:
 
     kind = field("type")
     importance = F.when(kind.isin("feedback", "user"), "high").otherwise("medium")
-    return files.select("path", F.concat(F.lit("memory/"), F.when(kind == "", "note").otherwise(kind)).alias("topic"), importance.alias("importance"), field("name").alias("name"), F.trim(body).alias("summary"), F.concat(F.lit("hash:"), F.substring(F.sha2("content", 256), 1, 12)).alias("hash"))
+    return files.select("path", F.concat(F.lit("memory/"), F.when(kind == "", "note").otherwise(kind)).alias("topic"), importance.alias("importance"), field("name").alias("name"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("summary"), F.concat(F.lit("hash:"), F.substring(F.sha2("content", 256), 1, 12)).alias("hash"))

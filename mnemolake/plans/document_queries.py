@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemolake.functions.embedding import embed
+from mnemolake.functions.text import redact_fields
+from mnemolake.operators import chunking as C
 from mnemolake.operators import documents as D
 from mnemolake.operators import insights as I
 from mnemolake.operators import memory as M
+from mnemolake.operators import transcripts as TR
+from mnemolake.operators import transitions as T
+from mnemolake.sources import snapshot as SN
+from mnemolake.sources.adapters import AS_OF
 
 from .registry import query
 from .search_queries import CHUNKS_SQL, chunks
@@ -87,3 +93,95 @@ def _(t):
 def _(t):
     v = embed(M.embed_backlog(t.memories), lambda texts: [[float(len(x)), 1.0] for x in texts])
     return v.select("id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+@query("purge_counts_chunks", f"WITH {CHUNKS_SQL} SELECT 'memories' AS entity, count(*) AS n FROM memories WHERE project = 'en' UNION ALL SELECT 'sessions', count(*) FROM sessions WHERE project = 'en' UNION ALL SELECT 'documents', count(*) FROM rag_documents WHERE project = 'en' UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE project = 'en'")
+def _(t):
+    return M.purge_counts(t.memories, t.sessions, t.rag_documents, "en", chunks(t))
+
+
+@query("document_delete_state", f"WITH {CHUNKS_SQL} SELECT 'document' AS kind, id FROM rag_documents WHERE source_path <> '/src5/45.py' UNION ALL SELECT 'chunk', c.id FROM chunks c JOIN rag_documents d ON d.id = c.document_id WHERE d.source_path <> '/src5/45.py'")
+def _(t):
+    d, c = T.delete_document(t.rag_documents, chunks(t), "/src5/45.py")
+    return d.select(F.lit("document").alias("kind"), "id").unionByName(c.select(F.lit("chunk").alias("kind"), "id"))
+
+
+@query("reingest_chunks_state", f"WITH {CHUNKS_SQL} SELECT document_id, count(*) AS n FROM (SELECT document_id FROM chunks WHERE document_id NOT LIKE '%3' UNION ALL SELECT id || 'b' FROM rag_documents WHERE id LIKE '%3') GROUP BY 1")
+def _(t):
+    new = t.rag_documents.where(F.col("id").endswith("3")).withColumn("id", F.concat("id", F.lit("b")))
+    c = T.reingest(t.rag_documents, chunks(t).select("document_id"), new, new.select(F.col("id").alias("document_id")))[1]
+    return c.groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query("reingest_keep_state", "SELECT id FROM rag_documents UNION ALL SELECT 'new_' || id FROM rag_documents WHERE id LIKE '%4'")
+def _(t):
+    again = t.rag_documents.where(F.col("id").endswith("3")).withColumn("id", F.concat("id", F.lit("b")))
+    fresh = t.rag_documents.where(F.col("id").endswith("4")).withColumns({"id": F.concat(F.lit("new_"), "id"), "source_path": F.concat("source_path", F.lit(".new"))})
+    new = again.unionByName(fresh)
+    return T.reingest(t.rag_documents, t.rag_documents.select(F.col("id").alias("document_id")), new, new.select(F.col("id").alias("document_id")), force=False)[0].select("id")
+
+
+@query("artifact_store_state", "SELECT id AS artifact_id, operation AS artifact_type, CAST(NULL AS VARCHAR) AS payload FROM audit_log UNION ALL SELECT 'art', 'council', '{\"a\":[1,2]}'")
+def _(t):
+    a = D.add_artifact(_artifacts(t), "art", "council", '{ "a": [1, 2] }', AS_OF)
+    return a.select("artifact_id", "artifact_type", "payload")
+
+
+@query("store_state", "SELECT id, topic, weight FROM memories UNION ALL SELECT 'again_' || id, topic, weight FROM memories WHERE topic = 'notes'")
+def _(t):
+    new = t.memories.where("topic = 'notes'").withColumn("id", F.concat(F.lit("again_"), "id"))
+    return T.store(t.memories, new).select("id", "topic", "weight")
+
+
+@query("archive_round_trip", "SELECT id, topic, weight, created_at, array_to_string(keywords, '|') AS keywords FROM memories")
+def _(t):
+    m = t.memories.select("id", "topic", "weight", "created_at", "keywords")
+    rows, _ = SN.import_archive(SN.export_archive({"memory": m, "session": t.sessions}), "memory", m.schema)
+    return rows.select("id", "topic", "weight", "created_at", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query("redact_fields", "SELECT id, '[REDACTED]' AS token, CASE WHEN topic = 'notes' THEN '[REDACTED]' ELSE topic END AS note FROM memories")
+def _(t):
+    said = F.when(F.col("topic") == "notes", "password: abcdefghij").otherwise(F.col("topic"))
+    m = t.memories.select("id", redact_fields(F.create_map(F.lit("Auth_Token"), F.col("id"), F.lit("note"), said)).alias("m"))
+    return m.select("id", F.col("m")["Auth_Token"].alias("token"), F.col("m")["note"].alias("note"))
+
+
+def _lines(t):
+    """The conversations as a session's JSON lines, with a tool call and a failed result in each."""
+    v = t.turns.withColumn("path", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".jsonl")))
+    said = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<file_path:string,command:string>").alias("input"), F.lit(None).cast("boolean").alias("is_error"), F.lit(None).cast("string").alias("content"))
+    tool = lambda name, path, command: F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(name).alias("name"), F.struct(path.cast("string").alias("file_path"), command.cast("string").alias("command")).alias("input"), F.lit(None).cast("boolean").alias("is_error"), F.lit(None).cast("string").alias("content"))
+    failed = F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<file_path:string,command:string>").alias("input"), F.lit(True).alias("is_error"), F.concat(F.lit("failed at "), F.col("turn").cast("string")).alias("content"))
+    none = F.lit(None)
+    content = F.array(said, tool("Edit", F.concat(F.lit("/a/"), (F.col("turn") % 3).cast("string"), F.lit(".py")), none), tool("Bash", none, F.concat(F.lit("run "), F.col("turn").cast("string"))), failed)
+    body = F.struct(F.lit("u").alias("uuid"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("sessionId"), F.lit("/home/me/proj").alias("cwd"), F.struct("role", content.alias("content")).alias("message"))
+    return v.select("path", F.col("turn").cast("int").alias("n"), F.to_json(body).alias("line"))
+
+
+@query("transcript_normalise", """WITH v AS (SELECT conv_id, turn, any_value(role) AS role, any_value(text) AS text FROM turns GROUP BY conv_id, turn), f AS (SELECT conv_id, '/a/' || (turn % 3) || '.py' AS f, min(turn) AS fst FROM v GROUP BY 1, 2)
+SELECT 'c' || v.conv_id || '.jsonl' AS path, 'uuid' AS runtime, 's' || v.conv_id AS session, 'proj' AS project, (count(*) FILTER (role IN ('user', 'assistant') AND turn IS NOT NULL)) AS messages,
+ (SELECT string_agg(f, ',' ORDER BY fst) FROM f WHERE f.conv_id = v.conv_id) AS files, string_agg('run ' || turn, ',' ORDER BY turn) AS commands, string_agg('failed at ' || turn, ',' ORDER BY turn) FILTER (turn IN (SELECT turn FROM (SELECT turn, row_number() OVER (ORDER BY turn) AS k FROM v x WHERE x.conv_id = v.conv_id) WHERE k <= 20)) AS errors
+FROM v GROUP BY v.conv_id""")
+def _(t):
+    n = TR.normalise(_lines(t))
+    return n.select("path", "runtime", "session", "project", "messages", *[F.array_join(c, ",").alias(c) for c in ("files", "commands", "errors")])
+
+
+@query("notifications", "SELECT DISTINCT conv_id::VARCHAR AS thread, turn::VARCHAR AS turn, 0.75::DOUBLE AS weight, text AS summary FROM turns UNION ALL SELECT 'x', 'y', 0.35, NULL")
+def _(t):
+    x = t.turns.select(F.to_json(F.struct(F.lit("agent-turn-complete").alias("type"), F.col("conv_id").cast("string").alias("thread-id"), F.col("turn").cast("string").alias("turn-id"), F.col("text").alias("last-assistant-message"))).alias("line"))
+    start = t.spark.sql("""SELECT '{"type": "session-start", "thread-id": "x", "turn-id": "y"}' AS line UNION ALL SELECT 'no json'""")
+    return TR.notifications(x.unionByName(x).unionByName(start)).select("thread", "turn", F.col("weight").cast("double").alias("weight"), "summary")
+
+
+@query("memory_files", "SELECT id || '.md' AS path, CASE id LIKE '%1' WHEN true THEN 'memory/feedback' ELSE 'memory/note' END AS topic, CASE id LIKE '%1' WHEN true THEN 'high' ELSE 'medium' END AS importance, topic AS name, id AS summary FROM memories")
+def _(t):
+    head = F.concat(F.lit("---\nname: "), F.col("topic"), F.when(F.col("id").endswith("1"), "\ntype: feedback").otherwise(""), F.lit("\n---\n\n"), F.col("id"), F.lit("\n"))
+    return TR.memory_files(t.memories.select(F.concat("id", F.lit(".md")).alias("path"), head.alias("content"))).select("path", "topic", "importance", "name", "summary")
+
+
+@query("symbol_listing", "SELECT 'part_' || p_partkey AS name, 'function' AS kind, p_partkey::INT AS line_start, (p_partkey + 2)::INT AS line_end FROM part")
+def _(t):
+    x = t.raw("part").select(F.explode(F.array(F.concat(F.lit("function part_"), "p_partkey", F.lit(" ["), "p_partkey", F.lit(":0-"), F.col("p_partkey") + 2, F.lit(":9]")), F.lit("  field inner [1:0-1:5]"))).alias("line"))
+    return C.parse_symbols(x).select("name", "kind", "line_start", "line_end")

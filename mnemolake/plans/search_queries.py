@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions.text import TOKEN, code_terms, fragments, fts_phrases
 from mnemolake.operators import search as S
 from mnemolake.operators.chunking import window_chunks
+from mnemolake.operators.recall import recall
 from mnemolake.sources.adapters import AS_OF
 
 from .registry import Tables, query
@@ -230,7 +231,10 @@ def _(t):
     return S.search_all(t.memories, chunks(t), QUERY, 10, 0, "en", "alpha", "_shared", memory_index(t), chunk_index(t)).withColumn("score", F.round("score", 9))
 
 
-@query("shared_merge", "WITH o AS (" + _hybrid_sql("invalidated_at IS NULL AND project = 'en'", 15, 10, 0, False).replace("round(score, 6) AS score", "score") + "), sh AS (" + _hybrid_sql("invalidated_at IS NULL AND project = '_shared'", 15, 10, 0, False).replace("round(score, 6) AS score", "score") + ") SELECT id, round(score, 6) AS score FROM (SELECT id, score FROM o UNION ALL SELECT id, score * 0.7 FROM sh) x ORDER BY x.score DESC, id LIMIT 10")
+_MERGE = ("WITH o AS (" + _hybrid_sql("invalidated_at IS NULL AND project = 'en'", 15, 10, 0, False).replace("round(score, 6) AS score", "score") + "), sh AS (" + _hybrid_sql("invalidated_at IS NULL AND project = '_shared'", 15, 10, 0, False).replace("round(score, 6) AS score", "score") + ") SELECT id, round(score, 6) AS score FROM (SELECT id, score FROM o UNION ALL SELECT id, score * 0.7 FROM sh) x ORDER BY x.score DESC, id LIMIT 10")
+
+
+@query("shared_merge", _MERGE)
 def _(t):
     v = _vector(t)
     own, shared = (S.hybrid(t.memories, QUERY, v, 10, 0, p, index=memory_index(t)) for p in ("en", "_shared"))
@@ -252,6 +256,17 @@ def _(t):
     return S.context_recall(t.memories, QUERY, 8, "en", ["ered", "ntst"], True, memory_index(t))
 
 
+@query("recall_hybrid", f"WITH x AS ({_MERGE}) SELECT x.id, x.score, row_number() OVER (ORDER BY x.score DESC, x.id)::INT AS place FROM x JOIN memories m ON m.id = x.id WHERE len(list_filter(m.keywords, lambda k: contains(k, 'src1'))) > 0")
+def _(t):
+    hits = recall(t.memories, f"<b>{QUERY}</b>", 10, values=_vector(t), project="en", keyword="src1", as_of=AS_OF, index=memory_index(t))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("recall_context", f"WITH {_bm25('h', ' memories', TEXT, fts_phrases('previous thing'))}, {_CTX[_CTX.index('b0 AS'):_CTX.index('b1 AS')]} {_CTX[_CTX.index('b2 AS'):].replace('SELECT * FROM b0 UNION ALL SELECT * FROM b1', 'SELECT * FROM b0').split(' SELECT id, p[1]')[0].split(chr(10) + 'SELECT id, p[1]')[0]} SELECT m.id, row_number() OVER (ORDER BY p)::INT AS place FROM (SELECT * FROM m ORDER BY p LIMIT 8) m JOIN memories s ON s.id = m.id WHERE s.topic LIKE 'session/%'")
+def _(t):
+    return recall(t.memories, "previous thing", 8, project="en", topic="session/p", index=memory_index(t)).select("id", "place")
+
+
 _GATHER = """WITH s AS (SELECT * FROM (SELECT 0 AS section_no, 'memories' AS section, id, summary AS text, row_number() OVER (ORDER BY weight DESC, id) AS place FROM memories WHERE invalidated_at IS NULL AND project = 'en') WHERE place <= 6
  UNION ALL SELECT * FROM (SELECT 1, 'errors', id, summary, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM memories WHERE invalidated_at IS NULL AND project = 'en' AND topic LIKE 'errors/%') WHERE place <= 6
  UNION ALL SELECT * FROM (SELECT 2, 'sessions', id, coalesce(summary, ''), row_number() OVER (ORDER BY started_at DESC, id) AS place FROM sessions WHERE project = 'p1') WHERE place <= 6),

@@ -164,7 +164,7 @@ def _(t):
     return T.rollback(t.memories, t.audit_log, "aud_34").select("id", "invalidated_at")
 
 
-_FNV = "lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(strlen(summary)), lambda i: ('0x' || substr(hex(encode(summary)), 2 * i + 1, 2))::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT), 16, '0'))"
+_FNV = "lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode(summary)), '..'), lambda x: ('0x' || x)::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT), 16, '0'))"
 
 
 @query("audit_append", f"SELECT id, timestamp, operation, memory_id, topic, CAST(NULL AS VARCHAR) AS content_hash FROM audit_log UNION ALL SELECT 'aud_new_' || id, updated_at, 'update', id, topic, {_FNV} FROM memories")
@@ -456,11 +456,11 @@ def _(t):
 
 def _greedy(name: str, legacy: str, structured: str, seconds: int) -> str:
     """CTEs that end in ``name``: the ids of ``legacy`` (key, tm, id) that nothing of ``structured`` (key, tm) stands for, by a walk through both lists of a key."""
-    early, late = f"epoch_us(l[i]) - epoch_us(s[j]) >= {seconds + 1}000000", f"epoch_us(s[j]) - epoch_us(l[i]) < {seconds + 1}000000"
-    return f"""{name}_l AS (SELECT key, list(tm ORDER BY tm, id) AS l, list(id ORDER BY tm, id) AS ids FROM ({legacy}) GROUP BY key), {name}_s AS (SELECT key, list(tm ORDER BY tm) AS s FROM ({structured}) GROUP BY key),
-{name}_w AS (SELECT a.key, l, ids, s, 1 AS i, 1 AS j, CAST(NULL AS VARCHAR) AS id FROM {name}_l a LEFT JOIN {name}_s b ON a.key IS NOT DISTINCT FROM b.key
- UNION ALL SELECT key, l, ids, s, CASE WHEN s IS NULL OR j > len(s) THEN i + 1 WHEN {early} THEN i ELSE i + 1 END, CASE WHEN s IS NULL OR j > len(s) THEN j WHEN {early} OR {late} THEN j + 1 ELSE j END,
-  CASE WHEN s IS NULL OR j > len(s) THEN ids[i] WHEN {early} OR {late} THEN NULL ELSE ids[i] END FROM {name}_w WHERE i <= len(l)),
+    early, late = f"epoch_us(l.tm) - epoch_us(s.tm) >= {seconds + 1}000000", f"epoch_us(s.tm) - epoch_us(l.tm) < {seconds + 1}000000"
+    return f"""{name}_l AS MATERIALIZED (SELECT key, tm, id, row_number() OVER (PARTITION BY key ORDER BY tm, id) AS i FROM ({legacy})), {name}_s AS MATERIALIZED (SELECT key, tm, row_number() OVER (PARTITION BY key ORDER BY tm) AS j FROM ({structured})),
+{name}_w AS (SELECT DISTINCT key, 1::BIGINT AS i, 1::BIGINT AS j, CAST(NULL AS VARCHAR) AS id FROM {name}_l
+ UNION ALL SELECT w.key, CASE WHEN s.tm IS NOT NULL AND {early} THEN w.i ELSE w.i + 1 END, CASE WHEN s.tm IS NOT NULL AND ({early} OR {late}) THEN w.j + 1 ELSE w.j END, CASE WHEN s.tm IS NULL OR NOT ({early} OR {late}) THEN l.id END
+  FROM {name}_w w JOIN {name}_l l ON l.key IS NOT DISTINCT FROM w.key AND l.i = w.i LEFT JOIN {name}_s s ON s.key IS NOT DISTINCT FROM w.key AND s.j = w.j),
 {name} AS (SELECT id FROM {name}_w WHERE id IS NOT NULL)"""
 
 
