@@ -272,7 +272,7 @@ _GATHER = """WITH s AS (SELECT * FROM (SELECT 0 AS section_no, 'memories' AS sec
  UNION ALL SELECT * FROM (SELECT 2, 'sessions', id, coalesce(summary, ''), row_number() OVER (ORDER BY started_at DESC, id) AS place FROM sessions WHERE project = 'p1') WHERE place <= 6),
 r AS (SELECT *, greatest(0.1, 0.95 - 0.1 * (place - 1))::DOUBLE AS relevance FROM s),
 o AS (SELECT *, row_number() OVER w AS n, sum(strlen(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM r WINDOW w AS (ORDER BY relevance DESC, section_no, id)),
-b AS (SELECT *, bool_or(used > 2000 * 4 AND n > 1) OVER (ORDER BY n) AS broken FROM o)
+b AS (SELECT *, bool_or(used > 20000 * 4 AND n > 1) OVER (ORDER BY n) AS broken FROM o)
 SELECT section, id, relevance, n FROM b WHERE NOT broken"""
 
 
@@ -280,7 +280,7 @@ SELECT section, id, relevance, n FROM b WHERE NOT broken"""
 def _(t):
     m = t.memories.where("invalidated_at IS NULL AND project = 'en'").withColumn("text", F.col("summary"))
     s = t.sessions.where("project = 'p1'").withColumn("text", F.coalesce("summary", F.lit("")))
-    return S.gather_context([("memories", m, [F.desc("weight"), "id"]), ("errors", m.where(F.col("topic").startswith("errors/")), [F.desc("created_at"), "id"]), ("sessions", s, [F.desc("started_at"), "id"])], 2000, 6)
+    return S.gather_context([("memories", m, [F.desc("weight"), "id"]), ("errors", m.where(F.col("topic").startswith("errors/")), [F.desc("created_at"), "id"]), ("sessions", s, [F.desc("started_at"), "id"])], 20000, 6)
 
 
 @query("code_expand", """WITH c AS (SELECT name, CASE WHEN name = 'part_12' THEN -1000000 ELSE least(CASE WHEN lower(name) = 'part' THEN 0 WHEN starts_with(lower(name), 'part') THEN 1000 WHEN contains(lower(name), 'part') THEN 2000 END, CASE WHEN lower(name) = '12' THEN 1 WHEN starts_with(lower(name), '12') THEN 1001 WHEN contains(lower(name), '12') THEN 2001 END) END AS match FROM concepts WHERE memoir_id = 'mem_code')
