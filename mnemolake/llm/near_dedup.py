@@ -361,11 +361,14 @@ def _left_over(crowd: DataFrame, seen: DataFrame, known: DataFrame, texts: DataF
     m = cut(m.join(far, ["a", "digest"], "left").join(of_centre, "a", "left").withColumn("centre", F.coalesce("_ca", "a")).drop("_ca"))
 
     own = m.select("digest", "component", "size").distinct()
-    tokens = _shingle_rows(texts.join(own, "digest"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("f"))
-    tokens = cut(tokens.join(often, "token"))
-    by_rare = _each_other(tokens.where(F.col("f").between(2, FEW)).join(own, "digest"), "token", least)
-    common = tokens.groupBy("digest").agg(F.count_if(F.col("f") > FEW).alias("c"))
+    tokens = _shingle_rows(texts.join(own.select("digest"), "digest"))
+    seldom = cut(tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("digest").alias("one")).where(F.col("f") <= FEW))
+    rare = cut(tokens.join(seldom.where(F.col("f") > 1).select("token"), "token"))
+    by_rare = _each_other(rare.join(own, "digest"), "token", least)
+    # What a text doesn't have alone, or with few others, is common.
+    uncommon = seldom.where(F.col("f") == 1).groupBy(F.col("one").alias("digest")).agg(F.count("*").alias("k")).unionByName(rare.groupBy("digest").agg(F.count("*").alias("k")))
+    uncommon = uncommon.groupBy("digest").agg(F.sum("k").alias("k"))
+    common = own.join(uncommon, "digest", "left").select("digest", (F.col("size") - F.coalesce("k", F.lit(0))).alias("c"))
 
     # The centre is no way from itself; one of another length wasn't compared with it.
     m = m.join(common, "digest").join(_signatures(texts.join(own.select("digest"), "digest")), "digest")

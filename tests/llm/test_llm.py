@@ -686,6 +686,21 @@ def test_pipeline_against_brute_force(spark):
     assert sum(r["taken"] for r in out.values()) == pytest.approx(total, rel=0.02)
 
 
+def test_stages_with_odd_rows(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    rows = ODD + [(i, " ".join(words(50, i % 3)) + "\nRead more", "en", "s", 9) for i in range(10, 19)]
+    odd = spark.createDataFrame(rows, DOCS).select("*", *[F.lit("x").alias(c) for c in ("_key", "_digest", "_leak", "_nth", "_gone", "score", "k")])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and out.where("_key != 'x' OR _leak != 'x'").isEmpty(), name
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+    left = P.near_dedup(spark, P.line_dedup(spark, odd, sf), sf)
+    assert sorted(r["doc_id"] for r in left.where("doc_id >= 10").collect()) == [10, 11, 12]
+    assert P.mixture(spark, odd, sf).where("taken <= 0").isEmpty() and P.mixture(spark, odd.limit(0), sf).count() == 0
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as P
 
