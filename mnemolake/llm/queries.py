@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op13_align
 from .ann import op6_ann
 from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
@@ -9,6 +10,7 @@ from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .near_dedup import op8_near_dedup
 from .quality import op9_quality
+from .runs import OP12_SQL, op12_runs
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .token_counts import op7_token_counts
 from .url_filter import OP1_SQL, op1_url_filter
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
+    "op12_runs": op12_runs,
+    "op13_align": op13_align,
 }
-SQL = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_mixing": OP4_SQL, "op5_line_dedup": OP5_SQL, "op10_chat_format": OP10_SQL, "op12_runs": OP12_SQL}
