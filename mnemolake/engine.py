@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.operators import chunking, evaluation, export, feedback, graph, insights, memory, recall, search, sessions, transitions
+from mnemolake.operators.segments import SegmentedIndex
 from mnemolake.schema import TABLES
 from mnemolake.sources import snapshot
 from mnemolake.streaming import pipelines
@@ -16,6 +17,10 @@ from mnemolake.streaming import pipelines
 LIMITS = {"limit": (1, 50), "offset": (0, 10_000), "depth": (1, 10), "ttl_hours": (1, 168)}
 
 
+#: What the full-text index of a table holds.
+TEXTS = {"memories": search.memory_text, "concepts": search.concept_text, "chunks": search.chunk_text}
+
+
 def bounded(name: str, value: int) -> int:
     lo, hi = LIMITS[name]
     return max(lo, min(hi, value))
@@ -35,7 +40,7 @@ class Engine:
     as_of: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
     project: str | None = None
-    indexes: dict[str, search.TextIndex] = field(default_factory=dict)
+    indexes: dict[str, SegmentedIndex] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -46,14 +51,26 @@ class Engine:
     def open(cls, spark: SparkSession, root: str, as_of: str, project: str | None = None) -> Engine:
         name = snapshot.current(spark, root)
         names = [r["table"] for r in snapshot.snapshots(spark, root).where(F.col("snapshot") == name).collect()]  # a row a table
-        return cls(spark, as_of, {t: snapshot.load(spark, root, t, name) for t in names}, project)
+        found = {t: SegmentedIndex.open(spark, text(), f"{root}/index/{t}", name) for t, text in TEXTS.items() if t in names}
+        return cls(spark, as_of, {t: snapshot.load(spark, root, t, name) for t in names}, project, {t: i for t, i in found.items() if i is not None})
 
     def commit(self, root: str) -> str:
-        return snapshot.commit(self.spark, root, self.tables)
-
-    def having(self, **tables: DataFrame) -> Engine:
-        """The state with other tables; an index of a table that changes no longer holds."""
-        return Engine(self.spark, self.as_of, {**self.tables, **tables}, self.project, {n: i for n, i in self.indexes.items() if n not in tables})
+        """Writes a snapshot, and the segments that its indexes have gained, tagged with its name."""
+        name = snapshot.commit(self.spark, root, self.tables)
+        for t, i in self.indexes.items():
+            if i.folder == f"{root}/index/{t}":
+                i.flush(name).tidy(name)
+        return name
+
+    def having(self, changed: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, **tables: DataFrame) -> Engine:
+        """The state with other tables. ``changed`` has the rows of a table before and after whose texts change, none if no text does; an index of a table without it no longer holds."""
+        changed = changed or {}
+        kept = {n: i.apply(*changed[n]) if changed.get(n, (None, None)) != (None, None) else i for n, i in self.indexes.items() if n not in tables or n in changed}
+        return Engine(self.spark, self.as_of, {**self.tables, **tables}, self.project, kept)
+
+    def _memories(self, new: DataFrame, of: Column | None = None) -> Engine:
+        """The state with ``new`` memories, whose texts differ from the old ones' where ``of`` holds only (nowhere, if it isn't given)."""
+        return self.having({"memories": (None, None) if of is None else (self.table("memories").where(of), new.where(of))}, memories=new)
 
     # memories
     def recall(self, query: str, vector: list[float] | None = None, limit: int = 10, offset: int = 0, worktree: str | None = None, topic: str | None = None, keyword: str | None = None, session_id: str | None = None, code_context: bool = False, hours_since_decay: float = 0.0) -> tuple[DataFrame, Engine]:
@@ -68,43 +85,44 @@ class Engine:
         m = transitions.auto_decay(self.table("memories"), hours_since_decay)
         hits = recall.recall(m, required("query", query), limit, offset, vector, self.table("concepts") if code_context else None, project, worktree, topic, keyword, self.table("recall_effectiveness"), self.as_of, self.indexes.get("memories"), self.indexes.get("concepts"))
         event = recall.recall_event(hits, self.table("sessions"), query, self.as_of, project, session_id)
-        after = self.having(memories=transitions.touch(m, hits, self.as_of), recall_events=self.table("recall_events").unionByName(event, allowMissingColumns=True))
+        after = self.having({"memories": (None, None)}, memories=transitions.touch(m, hits, self.as_of), recall_events=self.table("recall_events").unionByName(event, allowMissingColumns=True))
         return hits, after
 
     def build_indexes(self, root: str) -> Engine:
         """Writes the full-text indexes of memories, concepts and chunks, and uses them for searches of this state."""
-        texts = {"memories": search.memory_text(), "concepts": search.concept_text(), "chunks": search.chunk_text()}
-        for name, text in texts.items():
-            search.TextIndex.write(self.table(name), "id", text, f"{root}/index/{name}")
-        return Engine(self.spark, self.as_of, self.tables, self.project, {n: search.TextIndex.open(self.spark, f"{root}/index/{n}") for n in texts})
+        made = {n: SegmentedIndex.create(self.table(n), text(), f"{root}/index/{n}") for n, text in TEXTS.items()}
+        return Engine(self.spark, self.as_of, self.tables, self.project, made)
 
     def store_dedup(self, id: str, topic: str, summary: str, vector: list[float]) -> Engine:
         """Stores a memory, or updates the one that already says as much under the topic."""
-        return self.having(memories=search.store_dedup(self.table("memories"), id, required("topic", topic), required("summary", summary), vector, self.as_of, self.project, self.table("recall_effectiveness"), self.indexes.get("memories")))
+        new = search.store_dedup(self.table("memories"), id, required("topic", topic), required("summary", summary), vector, self.as_of, self.project, self.table("recall_effectiveness"), self.indexes.get("memories"))
+        return self._memories(new, F.col("topic") == topic)
 
     def store(self, new: DataFrame) -> Engine:
-        return self.having(memories=transitions.store(self.table("memories"), new))
+        return self.having({"memories": (None, new)}, memories=transitions.store(self.table("memories"), new))
 
     def update(self, id: str, **change) -> Engine:
-        return self.having(memories=transitions.update(self.table("memories"), id, self.as_of, **change))
+        return self._memories(transitions.update(self.table("memories"), id, self.as_of, **change), F.col("id") == id)
 
     def forget(self, *ids: str) -> Engine:
-        return self.having(memories=transitions.forget(self.table("memories"), list(ids)))
+        return self._memories(transitions.forget(self.table("memories"), list(ids)), F.col("id").isin(*ids))
 
     def invalidate(self, id: str, reason: str | None = None) -> Engine:
-        return self.having(memories=transitions.invalidate(self.table("memories"), id, self.as_of, reason))
+        return self._memories(transitions.invalidate(self.table("memories"), id, self.as_of, reason))
 
     def list_invalidated(self, limit: int = 20, offset: int = 0) -> DataFrame:
         return memory.list_invalidated(self.table("memories"), self.project, limit, offset)
 
     def decay(self, hours_since_last: float | None = None) -> Engine:
-        return self.having(memories=transitions.auto_decay(self.table("memories"), hours_since_last))
+        return self._memories(transitions.auto_decay(self.table("memories"), hours_since_last))
 
     def prune(self, threshold: float = 0.1) -> Engine:
-        return self.having(memories=transitions.expire(transitions.prune(self.table("memories"), threshold), self.as_of))
+        old = self.table("memories")
+        new = transitions.expire(transitions.prune(old, threshold), self.as_of)
+        return self.having({"memories": (old.join(new, "id", "left_anti"), None)}, memories=new)
 
     def consolidate(self, topic: str) -> Engine:
-        return self.having(memories=transitions.consolidate(self.table("memories"), required("topic", topic), self.project))
+        return self._memories(transitions.consolidate(self.table("memories"), required("topic", topic), self.project), F.col("topic") == topic)
 
     def stats(self) -> DataFrame:
         return memory.stats(self.table("memories"), self.project)

@@ -1,14 +1,15 @@
 """Full text, vectors and their fusion.
 
-Full text is answered from a ``TextIndex``, written once: a query reads the
-postings of its own tokens, which sorted files and their statistics prune to, and
-rows are fetched by id without their texts. Where there is no index, frequencies
+Full text is answered from a ``TextIndex``: a query reads the postings of its own
+tokens, which folders by hash and sorted files prune to, and rows are fetched by id
+without their texts. ``segments`` has the form of it that takes changes. Where there is no index, frequencies
 are counted within each row of a scan. Corpus statistics are one aggregate row,
 and scores are expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -59,17 +60,30 @@ def _score(x: DataFrame, frequencies: list[Column], any_of: bool, keep: list[str
     return x.where(hit).select(*keep, (-reduce(lambda a, b: a + b, [part(i) for i in range(len(frequencies))])).alias("rank"))
 
 
+#: Folders that tokens are dealt to by hash, and files that the rows of a folder are spread over.
+BUCKETS, SPREAD = 32, 4
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(rows: DataFrame, folder: str) -> None:
+    """A folder a bucket of tokens, in files sorted by token; a common token is spread over ``SPREAD`` of them."""
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token", "id")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """An inverted index: (token, id, dl, places), sorted by token, and a row of totals (n, average length)."""
+    """An inverted index: (token, id, dl, places, bucket), and a row of totals (n, average length)."""
 
     postings: DataFrame
     totals: DataFrame
 
     @staticmethod
     def write(rows: DataFrame, id: str, text: Column, folder: str) -> None:
-        """Range partitions by token and id, so that a common token is spread over several files."""
-        postings(rows, id, text).repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        write_postings(postings(rows, id, text), f"{folder}/postings")
         rows.select(F.size(tokenize(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).write.mode("overwrite").parquet(f"{folder}/totals")
 
     @classmethod
@@ -79,7 +93,7 @@ class TextIndex:
     def hits(self, phrases: list[list[str]], any_of: bool = False) -> DataFrame:
         """(id, rank) of what holds all phrases, or any."""
         tokens = sorted({t for p in phrases for t in p})
-        found = self.postings.where(F.col("token").isin(*tokens))
+        found = self.postings.where(F.col("bucket").isin(*[_bucket(F.lit(t)) for t in tokens]) & F.col("token").isin(*tokens))
         rows = found.groupBy("id", "dl").agg(*[F.first(F.when(F.col("token") == t, F.col("places")), ignorenulls=True).alias(f"_p{i}") for i, t in enumerate(tokens)])
 
         def frequency(phrase: list[str]) -> Column:
@@ -107,10 +121,24 @@ def bm25(rows: DataFrame, text: Column, phrases: list[list[str]], any_of: bool =
     return _score(tf.crossJoin(F.broadcast(stats)), [F.col(f"_f{i}") for i in n], any_of, own)  # one row
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def postings(rows: DataFrame, id: str, text: Column) -> DataFrame:
-    """(token, id, dl, places): the inverted index as a table."""
-    t = rows.select(F.col(id).alias("id"), tokenize(text).alias("toks"))
-    return t.select("id", F.size("toks").alias("dl"), F.posexplode("toks").alias("place", "token")).groupBy("token", "id", "dl").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    """(token, id, dl, places, bucket): the inverted index as a table. A row's tokens are sorted and grouped within the row, so nothing is shuffled."""
+
+    def grouped(s: Column) -> Column:
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i)["token"] != F.get(s, i - 1)["token"]))
+        group = lambda a, b: F.struct(F.get(s, a)["token"].alias("token"), F.transform(F.slice(s, a + 1, b - a), lambda x: x["place"]).alias("places"))
+        return _once(F.when(n > 0, first).otherwise(F.array().cast("array<int>")), lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.when(n > 0, F.array(n)).otherwise(F.array().cast("array<int>"))), group))
+
+    toks = rows.select(F.col(id).alias("id"), tokenize(text).alias("toks"))
+    placed = F.array_sort(F.transform("toks", lambda t, i: F.struct(t.alias("token"), i.alias("place"))))
+    out = toks.select("id", F.size("toks").alias("dl"), F.explode(_once(placed, grouped)).alias("p"))
+    return out.select("p.token", "id", "dl", "p.places", _bucket(F.col("p.token")).alias("bucket"))
 
 
 def search_page(hits: DataFrame, limit: int, offset: int = 0) -> DataFrame:

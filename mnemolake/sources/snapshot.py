@@ -34,6 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system that Spark reads ``path`` from has it."""
+    p, files = _path(spark, path)
+    return files.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, files = _path(spark, path)
+    files.delete(p, True)
+
+
 def _manifest(spark: SparkSession, root: str, rows: list[tuple[str, int, str]], name: str) -> None:
     spark.createDataFrame(rows, "table string, rows long, checksum string").coalesce(1).write.mode("overwrite").json(f"{root}/_manifests/{name}")
 
