@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import string
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +88,33 @@ def redact_fields(fields: Column) -> Column:
     return F.transform_values(fields, lambda k, v: F.when(F.lower(k).rlike("|".join(SENSITIVE_FIELDS)), "[REDACTED]").otherwise(redact(v)))
 
 
+_SECRET = re.compile("|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in SECRETS.values()))
+
+
+def redacted(value):
+    """A JSON value of any depth without secrets: all that a field of a sensitive name holds, and strings that look like one."""
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if any(f in k.lower() for f in SENSITIVE_FIELDS) else redacted(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redacted(v) for v in value]
+    return "[REDACTED]" if isinstance(value, str) and _SECRET.search(value) else value
+
+
+@F.pandas_udf("string")
+def redact_json(texts: pd.Series) -> pd.Series:
+    """JSON texts with secrets hidden at any depth; what isn't JSON is hidden as a text would be. A walk over values of unknown depth has no column expression."""
+
+    def one(t):
+        if t is None:
+            return None
+        try:
+            return json.dumps(redacted(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return "[REDACTED]" if _SECRET.search(t) else t
+
+    return texts.map(one)
+
+
 def code_related(c: Column) -> Column:
     return c.rlike(CODE_RELATED)
 

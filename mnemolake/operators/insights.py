@@ -85,6 +85,37 @@ def top_keywords(memories: DataFrame, topic: str, limit: int = 10, project: str
     return rows.groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword").limit(limit)
 
 
+#: Memories that a topic needs before it is promoted, and concepts that are made of its keywords.
+PROMOTION_THRESHOLD, PROMOTED = 15, 10
+
+
+def promotions(memories: DataFrame, memoirs: DataFrame, project: str | None = None) -> DataFrame:
+    """(topic, memoir, n, keyword, uses, place): the commonest keywords of every topic with enough memories whose memoir's name, the topic with dashes, is free."""
+    m = memories.where(active() & in_project(project))
+    ready = m.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") >= PROMOTION_THRESHOLD).withColumn("memoir", F.replace("topic", F.lit("/"), F.lit("-")))
+    ready = ready.join(memoirs.select(F.col("name").alias("memoir")), "memoir", "left_anti")
+    used = m.select("topic", F.explode("keywords").alias("keyword")).groupBy("topic", "keyword").agg(F.count("*").alias("uses"))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("uses"), "keyword"))
+    top = used.withColumn("place", place).where(F.col("place") <= PROMOTED)
+    return ready.join(top, "topic", "left").select("topic", "memoir", "n", "keyword", "uses", "place")
+
+
+def promote(memories: DataFrame, memoirs: DataFrame, concepts: DataFrame, links: DataFrame, as_of: str, project: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memoirs, concepts, links) once every ready topic is a memoir: a concept for each of its commonest keywords, and a related_to link, weighed by the share of memories that have both, between two that stand in one memory. Done again, it changes nothing."""
+    p = promotions(memories, memoirs, project)
+    memoir_id = F.concat(F.lit("mem:"), "memoir")
+    concept_id = lambda k: F.concat(memoir_id, F.lit(":"), k)
+    new = p.select("topic", "memoir", "n").distinct()
+    made = new.select(memoir_id.alias("id"), F.col("memoir").alias("name"), F.concat(F.lit("promoted from "), "topic").alias("description"), at(as_of).alias("created_at"))
+    words = p.where(F.col("keyword").isNotNull())
+    nodes = words.select(concept_id(F.col("keyword")).alias("id"), memoir_id.alias("memoir_id"), F.col("keyword").alias("name"), F.concat(F.lit("in "), F.col("uses").cast("string"), F.lit(" memories of "), "topic").alias("definition"), (F.col("uses") / F.col("n")).alias("confidence"), F.lit(1).alias("revision"))
+    held = memories.where(active() & in_project(project)).select("topic", F.array_distinct("keywords").alias("k"))
+    mine = held.join(words.groupBy("topic", "memoir", "n").agg(F.collect_set("keyword").alias("top")), "topic").withColumn("k", F.array_sort(F.array_intersect("k", "top")))  # ten keywords a topic
+    pairs = mine.select("memoir", "n", F.explode("k").alias("a"), "k").select("memoir", "n", "a", F.explode("k").alias("b")).where(F.col("a") < F.col("b"))
+    edges = pairs.groupBy("memoir", "n", "a", "b").agg(F.count("*").alias("both")).select(concept_id(F.col("a")).alias("source_id"), concept_id(F.col("b")).alias("target_id"), F.lit("related_to").alias("relation"), (F.col("both") / F.col("n")).alias("weight"))
+    return tuple(old.unionByName(add, allowMissingColumns=True) for old, add in ((memoirs, made), (concepts, nodes), (links, edges)))
+
+
 def changelog(memories: DataFrame, sessions: DataFrame, since: str, project: str | None = None) -> DataFrame:
     """Counts since a cutoff: sessions, memories by topic, resolved errors, corrections."""
     m = memories.where(active() & in_project(project) & (F.col("created_at") >= at(since)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions.text import CODE_RELATED, SESSION_QUERY, code_terms, fragments, sanitize_query
 
 from . import search, sessions
-from .memory import at
+from .memory import active, at
 
 SHARED = "_shared"
 
@@ -65,6 +65,25 @@ def recall(
     return found.withColumn("place", F.row_number().over(Window.orderBy("o"))).drop("o")  # ``limit`` rows
 
 
+PREAMBLE = "Here is context from previous analysis of this project. Use it to answer efficiently without re-reading files.\n\n"
+
+
+def preamble_rows(memories: DataFrame, query: str, limit: int, index=None) -> DataFrame:
+    """(id, line, place): what full text finds, the heaviest first, or else the heaviest of all active memories."""
+    found = search.fts(memories, query, limit=limit, ranked=False, index=index).drop("rank")
+    heaviest = memories.where(active()).orderBy(F.desc("weight"), "id").limit(limit)
+    rows = search.otherwise(found, heaviest)
+    order = Window.orderBy(F.desc("weight"), F.desc("created_at"), "id")
+    line = F.concat(F.lit("- "), F.when(F.col("branch").isNotNull(), F.concat(F.lit("["), "branch", F.lit("] "))).otherwise(""), "summary")
+    return rows.select("id", line.alias("line"), F.row_number().over(order).alias("place"))  # ``limit`` rows
+
+
+def preamble(memories: DataFrame, query: str, limit: int, index=None) -> DataFrame:
+    """One row (text): the lines as a preamble for a prompt, empty if there is no memory."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return preamble_rows(memories, query, limit, index).agg(F.when(F.count("*") > 0, F.concat(F.lit(PREAMBLE), lines, F.lit("\n---\n\n"))).otherwise("").alias("text"))
+
+
 def recall_event(hits: DataFrame, all_sessions: DataFrame, query: str, as_of: str, project: str | None, session_id: str | None) -> DataFrame:
     """One row for the log: the ids in their order, and the session that asked, or the project's active one."""
     ids = hits.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("memory_ids"))

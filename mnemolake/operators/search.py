@@ -164,12 +164,19 @@ def fts(memories: DataFrame, query: str, project: str | None = None, limit: int
     return hits.orderBy(*order, "id").offset(offset).limit(limit)
 
 
+def otherwise(found: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of ``found`` or, if it has none, those of ``other``; which, is told as the plan runs."""
+    none = found.agg((F.count("*") == 0).alias("_none"))
+    rest = other.crossJoin(F.broadcast(none)).where("_none").drop("_none")  # one row
+    return found.unionByName(rest)
+
+
 def fts_or_keywords(memories: DataFrame, query: str, project: str | None = None, limit: int = 20, index: TextIndex | None = None) -> DataFrame:
-    """Full text, or, where that finds nothing, a substring search for the query's words. Whether it found anything is asked first, so one search runs."""
+    """Full text, or, where that finds nothing, a substring search for the query's words, both by weight."""
     from .memory import keyword_search
 
-    found = fts(memories, query, project, limit, ranked=False, index=index)
-    return keyword_search(memories, query.split(), project, limit) if found.isEmpty() else found.drop("rank")
+    found = fts(memories, query, project, limit, ranked=False, index=index).drop("rank")
+    return otherwise(found, keyword_search(memories, query.split(), project, limit)).orderBy(F.desc("weight"), F.desc("created_at"), "id")
 
 
 def concept_text() -> Column:

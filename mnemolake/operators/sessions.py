@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .memory import at
@@ -82,6 +82,24 @@ def timeline(sessions: DataFrame, recalls: DataFrame, signals: DataFrame, limit:
     return out.orderBy(F.desc("last_activity"), "id") if limit is not None else out
 
 
+# Titles of outcomes.
+OUTCOME_TITLES = {"build_passed": "Build passed", "correction": "Correction detected", "error_free_run": "Error-free run", "error_resolved": "Error resolved", "explicit_boost": "Manual boost recorded", "session_failure": "Session ended with failures", "session_success": "Session completed successfully", "test_pass": "Tests passed", "test_passed": "Tests passed", "tool_error": "Tool error captured"}
+
+
+def timeline_events(recalls: DataFrame, signals: DataFrame) -> DataFrame:
+    """Both logs' events with titles and details, newest first within a session. A signal's detail names what its recall asked and its source; the recall must be of the same session."""
+    asked = F.when(F.col("memory_count") == 1, "memory").otherwise("memories")
+    r = recalls.select("id", "session_id", F.lit("recall").alias("kind"), F.concat(F.lit("Recalled "), F.col("memory_count").cast("string"), F.lit(" "), asked).alias("title"), F.col("query").alias("detail"), F.col("recalled_at").alias("occurred_at"), F.col("id").alias("recall_event_id"), "memory_count")
+    known = recalls.select(F.col("id").alias("recall_event_id"), "session_id", F.col("query").alias("_query"), F.col("memory_count").alias("_count"))
+    s = signals.join(known, ["recall_event_id", "session_id"], "left")
+    plain = F.trim(F.replace("signal_type", F.lit("_"), F.lit(" ")))
+    title = F.coalesce(F.create_map(*[F.lit(x) for kv in OUTCOME_TITLES.items() for x in kv])[F.col("signal_type")], F.when(plain == "", "Outcome recorded").otherwise(F.concat(F.upper(F.left(plain, F.lit(1))), F.substring(plain, 2, 1 << 30))))
+    detail = F.nullif(F.concat_ws(" · ", "_query", "source"), F.lit(""))
+    s = s.select("id", "session_id", F.lit("outcome").alias("kind"), title.alias("title"), detail.alias("detail"), "occurred_at", "recall_event_id", F.col("_count").alias("memory_count"), "signal_type", "signal_value", "source")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("occurred_at"), "kind", "id"))
+    return r.unionByName(s, allowMissingColumns=True).withColumn("place", place)
+
+
 def context_query(files: list[str], errors: list[str], branch: str | None) -> str:
     """The search text of a session's signals: file stems, errors, and a telling branch name."""
     stems = [f.rpartition("/")[2].partition(".")[0] for f in files[:5]]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Limits of what a summary keeps.
@@ -61,6 +61,12 @@ def discovered(files: DataFrame, since: str) -> DataFrame:
     return files.where(keep).orderBy(F.desc("modificationTime"), "path")
 
 
+def read_discovered(spark: SparkSession, folder: str, since: str) -> DataFrame:
+    """(path, line) of the files under a folder that changed at or after a time (UTC). The time goes to the file listing, so older files aren't opened."""
+    files = spark.read.option("recursiveFileLookup", "true").option("modifiedAfter", since.replace(" ", "T")).option("timeZone", "UTC").text(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+
+
 def summarise(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> one row a transcript with counts, highlights and a sentence."""
     nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text"))

@@ -58,16 +58,22 @@ def _(t):
     return D.latest_artifact(_artifacts(t), "update").select("artifact_id")
 
 
-@query("linked_projects", "SELECT * FROM (VALUES ('de'), ('fr')) v(target_project)")
+LINKS_SQL = "links AS (SELECT DISTINCT a.lang AS source_project, b.lang AS target_project FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 16 = 3 AND a.lang <> b.lang)"
+
+
+@query("linked_projects", f"WITH {LINKS_SQL} SELECT target_project FROM links WHERE source_project = 'en'")
 def _(t):
     return D.linked(_links(t), "en")
 
 
 def _links(t):
-    return t.spark.sql("SELECT * FROM VALUES ('en', 'fr'), ('en', 'de'), ('fr', 'en') AS v(source_project, target_project)")
+    """Projects whose documents follow each other, at some places, are linked."""
+    d = t.raw("documents").select("doc_id", "lang")
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("target_project"))
+    return d.where("doc_id % 16 = 3").join(after, "doc_id").where("lang <> target_project").select(F.col("lang").alias("source_project"), "target_project").distinct()
 
 
-@query("related_memories", "SELECT id, project FROM memories WHERE invalidated_at IS NULL AND project IN ('fr', 'en')")
+@query("related_memories", f"WITH {LINKS_SQL} SELECT id, project FROM memories WHERE invalidated_at IS NULL AND (project = 'fr' OR project IN (SELECT target_project FROM links WHERE source_project = 'fr'))")
 def _(t):
     return D.shared_with(t.memories, _links(t), "fr").select("id", "project")
 

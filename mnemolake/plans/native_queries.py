@@ -126,7 +126,7 @@ def _(t):
     return t.raw("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("recursive_reach", "WITH RECURSIVE r AS (SELECT n_nationkey AS k, 0 AS d FROM nation WHERE n_nationkey = 0 UNION ALL SELECT (k * 7 + 3) % 25, d + 1 FROM r WHERE d < 6) SELECT k, d FROM r")
+@query("recursive_reach", "WITH RECURSIVE r AS (SELECT 's:' || s_suppkey AS node, 0 AS d FROM supplier UNION ALL SELECT l.target_id, d + 1 FROM r JOIN concept_links l ON l.source_id = r.node WHERE d < 4) SELECT node, d, count(*) AS n FROM r GROUP BY node, d")
 def _(t):
-    # No table is read by the step, so this is a sequence and no loop of jobs.
-    return t.spark.sql("WITH RECURSIVE r(k, d) AS (SELECT 0, 0 UNION ALL SELECT (k * 7 + 3) % 25, d + 1 FROM r WHERE d < 6) SELECT k, d FROM r")
+    """What suppliers reach over links, with the number of ways: at each depth one join with the links."""
+    return t.spark.sql("WITH RECURSIVE r(node, d) AS (SELECT concat('s:', s_suppkey), 0 FROM {supplier} UNION ALL SELECT l.target_id, d + 1 FROM r JOIN {links} l ON l.source_id = r.node WHERE d < 4) SELECT node, d, count(*) AS n FROM r GROUP BY node, d", supplier=t.raw("supplier"), links=t.concept_links)

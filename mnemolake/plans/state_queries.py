@@ -18,6 +18,8 @@ from mnemolake.operators import transitions as T
 from mnemolake.sources import snapshot as SN
 from mnemolake.sources.adapters import AS_OF
 
+from .document_queries import LINKS_SQL
+from .document_queries import _links as project_links
 from .registry import query
 from .search_queries import EFFECTS_SQL, effects
 
@@ -106,10 +108,9 @@ def _(t):
     return T.promote(t.memories, "00000010", "copy").select("id", "project", "topic", F.round("weight", 9).alias("weight"))
 
 
-@query("link_projects", "SELECT * FROM (VALUES ('a', 'b'), ('b', 'a'), ('c', 'd')) v(source_project, target_project)")
+@query("link_projects", f"WITH {LINKS_SQL} SELECT source_project, target_project FROM links UNION SELECT 'de', '_shared' UNION SELECT '_shared', 'de'")
 def _(t):
-    old = t.spark.sql("SELECT * FROM VALUES ('a', 'b'), ('c', 'd') AS v(source_project, target_project)")
-    return T.link_projects(old, "a", "b")
+    return T.link_projects(project_links(t), "de", "_shared")
 
 
 @query("purge_state", "SELECT 'memories' AS kind, id FROM memories WHERE project <> 'en' UNION ALL SELECT 'documents', id FROM rag_documents WHERE project <> 'en'")
@@ -371,10 +372,12 @@ def _(t):
     return G.understanding(t.concepts, "mem_code").select("name", "total")
 
 
-@query("relation_names", "SELECT * FROM (VALUES ('Contains', 'part_of'), ('uses', 'depends_on'), ('Implements', 'refines'), ('odd One', 'odd one')) v(relation, canonical)")
+_SPOKEN = "CASE p_partkey % 4 WHEN 0 THEN 'Contains' WHEN 1 THEN 'uses' WHEN 2 THEN 'Implements' ELSE 'odd One' END"
+
+
+@query("relation_names", f"SELECT p_partkey, {_SPOKEN} AS relation, CASE p_partkey % 4 WHEN 0 THEN 'part_of' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'refines' ELSE 'odd one' END AS canonical FROM part")
 def _(t):
-    x = t.spark.sql("SELECT * FROM VALUES ('Contains'), ('uses'), ('Implements'), ('odd One') AS v(relation)")
-    return x.withColumn("canonical", G.relation(F.col("relation")))
+    return t.raw("part").select("p_partkey", F.expr(_SPOKEN).alias("relation")).withColumn("canonical", G.relation(F.col("relation")))
 
 
 @query("sessions_recent", "SELECT id, started_at FROM sessions WHERE project = 'p2' AND scope = 'review' ORDER BY started_at DESC, id LIMIT 12")

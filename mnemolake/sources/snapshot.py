@@ -50,8 +50,11 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(p, True)
 
 
-def _manifest(spark: SparkSession, root: str, rows: list[tuple[str, int, str]], name: str) -> None:
-    spark.createDataFrame(rows, "table string, rows long, checksum string").coalesce(1).write.mode("overwrite").json(f"{root}/_manifests/{name}")
+_MANIFEST = "table string, rows long, checksum string, path string"
+
+
+def _manifest(spark: SparkSession, root: str, rows: list[tuple[str, int, str, str]], name: str) -> None:
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/_manifests/{name}")
 
 
 def checksum(df: DataFrame) -> tuple[int, str]:
@@ -61,20 +64,35 @@ def checksum(df: DataFrame) -> tuple[int, str]:
 
 
 def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], name: str | None = None) -> str:
-    """Writes a new snapshot, its manifest last, and returns its name. Readers take the newest manifest, so a broken write is never seen."""
+    """Writes a new snapshot, its manifest last, and returns its name. Readers take the newest manifest, so a broken write is never seen.
+
+    Files are addressed by what they hold: a table that is as in the newest snapshot
+    isn't kept again, the manifest names the files that are there.
+    """
     name = name or f"{uuid.uuid1().time:020d}"
+    old = {} if not exists(spark, f"{root}/_manifests") else {(r["table"], r["rows"], r["checksum"]): r["path"] for r in _rows(spark, root, current(spark, root))}
     rows = []
     for t, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/{t}")
-        rows.append((t, *checksum(spark.read.parquet(f"{root}/{name}/{t}"))))
+        held = (t, *checksum(spark.read.parquet(f"{root}/{name}/{t}")))
+        if old.get(held, f"{name}/{t}") != f"{name}/{t}":
+            delete(spark, f"{root}/{name}/{t}")
+        rows.append((*held, old.get(held, f"{name}/{t}")))
     _manifest(spark, root, rows, name)
     return name
 
 
 def snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """(snapshot, table, rows, checksum) of all finished snapshots."""
-    m = spark.read.schema("table string, rows long, checksum string").json(f"{root}/_manifests/*")
-    return m.select(F.regexp_extract(F.input_file_name(), r"/_manifests/([^/]+)/", 1).alias("snapshot"), "table", "rows", "checksum")
+    """(snapshot, table, rows, checksum, path) of all finished snapshots."""
+    m = spark.read.schema(_MANIFEST).json(f"{root}/_manifests/*")
+    return m.select(F.regexp_extract(F.input_file_name(), r"/_manifests/([^/]+)/", 1).alias("snapshot"), "table", "rows", "checksum", "path")
+
+
+def _rows(spark: SparkSession, root: str, name: str) -> list:
+    rows = snapshots(spark, root).where(F.col("snapshot") == name).collect()  # a row a table
+    if not rows:
+        raise ValueError(f"no snapshot {name}")
+    return rows
 
 
 def current(spark: SparkSession, root: str) -> str:
@@ -82,19 +100,35 @@ def current(spark: SparkSession, root: str) -> str:
 
 
 def load(spark: SparkSession, root: str, table: str, name: str | None = None) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name or current(spark, root)}/{table}")
+    """A table as it was in a snapshot, the newest if none is given."""
+    path = next(r["path"] for r in _rows(spark, root, name or current(spark, root)) if r["table"] == table)
+    return spark.read.parquet(f"{root}/{path}")
+
+
+def verify(spark: SparkSession, root: str, name: str) -> dict[str, DataFrame]:
+    """The snapshot's tables, if all are what the manifest says."""
+    tables = {}
+    for r in _rows(spark, root, name):
+        tables[r["table"]] = df = spark.read.parquet(f"{root}/{r['path']}")
+        if checksum(df) != (r["rows"], r["checksum"]):
+            raise ValueError(f"{r['table']} of {name} isn't what its manifest says")
+    return tables
 
 
 def restore(spark: SparkSession, root: str, name: str) -> str:
     """Makes an older snapshot the current one, after checking it against its manifest."""
-    rows = snapshots(spark, root).where(F.col("snapshot") == name).collect()  # a row a table
-    if not rows:
-        raise ValueError(f"no snapshot {name}")
-    tables = {r["table"]: load(spark, root, r["table"], name) for r in rows}
-    for r in rows:
-        if checksum(tables[r["table"]]) != (r["rows"], r["checksum"]):
-            raise ValueError(f"{r['table']} of {name} isn't what its manifest says")
-    return commit(spark, root, tables)
+    return commit(spark, root, verify(spark, root, name))
+
+
+def diff(spark: SparkSession, root: str, table: str, before: str, after: str, key: str = "id") -> DataFrame:
+    """(key, action): rows of a table that are added, removed or changed between two snapshots. Files that both share aren't read."""
+    paths = [next((r["path"] for r in _rows(spark, root, n) if r["table"] == table), None) for n in (before, after)]
+    hashed = lambda n: (lambda df: df.select(F.col(key), F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).alias("h")))(load(spark, root, table, n))
+    if paths[0] == paths[1]:
+        return hashed(before).limit(0).select(key, F.lit("changed").alias("action"))
+    a, b = hashed(before).withColumnRenamed("h", "_a"), hashed(after).withColumnRenamed("h", "_b")
+    action = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed")
+    return a.join(b, key, "full").select(key, action.alias("action")).where(F.col("action").isNotNull())
 
 
 def export_archive(tables: dict[str, DataFrame]) -> DataFrame:
