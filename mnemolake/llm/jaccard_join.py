@@ -7,9 +7,12 @@ alike set can miss all of them; fewer of the smaller set than of the larger).
 Candidates must do so under each of several orders. Filters are intersected, then
 sets are compared exactly.
 
-* First, both orders are hashes. A shingle that more than ``FEW`` texts have in their
+* The first two orders are hashes. A shingle that more than ``FEW`` texts have in their
   prefix is crowded there and lists no pairs. A pair that meets only in crowded
   shingles is left over, which takes two texts with crowded prefixes in each order.
+* Only texts that meet another under the first order are looked at under the second.
+  There, all shingles of the lowest ``1 / SPAN`` of hashes tell more: an alike text
+  misses no more of them than of all shingles, so texts that share fewer are out.
 * The texts with crowded prefixes in each order get two more orders: rare shingles
   first (their number of texts, up to ``FEW``), ties by either hash. So shared
   passages and lines leave the prefixes, and what stays crowded are groups of
@@ -20,8 +23,8 @@ sets are compared exactly.
   link (shingles that no other text has can't be shared).
 
 Links are found or ruled out exactly; pairs within a component are not listed. Equal
-sets are one node. A crowded shingle's rows are cut down where they arise
-(``FEW + 1`` a slice of texts say that it is crowded), so none is gathered.
+sets are one node. Of a crowded shingle, ``FEW + 1`` rows a slice of texts go to its
+task and say that it is crowded; the others go elsewhere, so none is gathered.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; with one or two words, the whole sequence is the one shingle; only A-Z
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import kept, table
 from ._components import components
 from ._words import U, Words, mix, slices, utf8
 
@@ -52,9 +55,13 @@ FEW = 8
 ORDERS = (0x51AFD7ED558CCD6D, 0x2545F4914F6CDD1D)
 #: Rows of keys that are broadcast at most, 16 bytes each.
 BROADCAST_KEYS = 1_000_000
+#: One in so many hashes of the second order is told of each text that is looked at.
+SPAN = 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-POSTING = "spread long, token long, r int, node binary, n int, own int, short boolean"
+#: ``spread`` is the token; ``meta`` holds the set's size, a number of its own, and the flags.
+POSTING = "spread long, meta long, node long"
+SHORT, PREFIX, ALONE = 1, 2, 4
 
 
 def longest(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +72,8 @@ def longest(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n - least + 1, n - both + 1
 
 
-def sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(shingles, text, first shingle of each text, digest of each set); a text's shingles are distinct and sorted."""
+def sets(data: np.ndarray, at: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, text, first shingle of each text, digest and node of each set); a text's shingles are distinct and sorted."""
     h, doc = Words(LOWER[data], at).shingles(SHINGLE)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -78,54 +85,63 @@ def sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     for i, c in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
         total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h * U(c) + U(i)), dtype=U)])
         key[:, i] = mix(total[first[1:]] - total[first[:-1]] + n * U(0x9E3779B97F4A7C15))
-    return h, doc, first, [k.tobytes() for k in key]
+    return h, doc, first, key, mix(key[:, 0] ^ mix(key[:, 1] + U(salt))).view(np.int64)
 
 
-def _each_slice(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
+def _each_slice(batches: Iterator[pa.RecordBatch], column: int, salt: int) -> Iterator[tuple]:
     for batch in batches:
         data, at = utf8(batch.column(column))
         for a, b in slices(at):
-            yield batch.slice(a, b - a), *sets(data[at[a] : at[b]], at[a : b + 1] - at[a])
+            yield batch.slice(a, b - a), *sets(data[at[a] : at[b]], at[a : b + 1] - at[a], salt)
 
 
-def _postings(token: np.ndarray, r: int, doc: np.ndarray, keys: list[bytes], n: np.ndarray, own: np.ndarray, short: np.ndarray) -> pa.RecordBatch:
-    """Rows to be dealt by ``spread``: the token, but a number of its own where ``FEW + 1`` rows of the slice go by the token already."""
-    order = np.argsort(token, kind="stable")
-    t = token[order]
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], t[1:] != t[:-1]]), np.arange(len(t)), 0)) if len(t) else np.zeros(0, np.int64)
-    rank = np.empty(len(t), np.int64)
-    rank[order] = np.arange(len(t)) - start
-    more = rank > FEW
-    spread = np.where(more, mix(token + doc.astype(U)), token)
-    at = pa.array(keys, pa.binary()).take(pa.array(doc))
-    return pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(token.view(np.int64)), pa.array(np.where(more, r + 10, r), pa.int32()), at, pa.array(n, pa.int32()), pa.array(own, pa.int32()), pa.array(short)], ["spread", "token", "r", "node", "n", "own", "short"])
+def _meta(n: np.ndarray, own: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    return n.astype(np.int64) << 36 | own.astype(np.int64) << 8 | flags
 
 
-def _within(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.arange(len(doc)) - first[doc]
+def _postings(token: np.ndarray, meta: np.ndarray, node: np.ndarray, spread: bool = True) -> pa.RecordBatch:
+    """Rows for the tasks of their tokens; if ``spread``, ``FEW + 1`` rows of a token, and the others for any task, each alone."""
+    if spread:
+        order = np.argsort(token, kind="stable")
+        t = token[order]
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], t[1:] != t[:-1]])[: len(t)], np.arange(len(t)), 0))
+        rank = np.empty(len(t), np.int64)
+        rank[order] = np.arange(len(t)) - start
+        more = rank > FEW
+        token, meta = np.where(more, mix(token ^ node.view(U)), token), np.where(more, meta | ALONE, meta)
+    return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(meta), pa.array(node)], ["spread", "meta", "node"])
 
 
-def hash_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of the prefixes under the hash orders."""
-    for _, h, doc, first, keys in _each_slice(batches, 0):
-        n = np.diff(first)
-        whole, small = longest(n)
-        for r, seed in enumerate(ORDERS):
+def hash_prefixes(seed: int, span: int | None, salt: int):
+    """Postings of the prefixes under a hash order and, with ``span``, of all shingles in the lowest part of the hashes; ``own`` is their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, doc, first, _, node in _each_slice(batches, 0, salt):
+            n = np.diff(first)
+            whole, small = longest(n)
             t = mix(h ^ U(seed))
             order = np.lexsort((t, doc))
-            t, place = t[order], _within(doc, first)
-            keep = place < whole[doc]
+            t, place = t[order], np.arange(len(doc)) - first[doc]
+            low = t < U((1 << 64) // span) if span else np.zeros(len(t), bool)
+            own = np.bincount(doc[low], minlength=len(n))
+            keep = (place < whole[doc]) | low
             t, d, place = t[keep], doc[keep], place[keep]
-            yield _postings(t, r, d, keys, n[d], np.zeros(len(d)), place < small[d])
+            flags = SHORT * (place < small[d]) + PREFIX * (place < whole[d])
+            yield _postings(t, _meta(n[d], own[d], flags), node[d])
+
+    return run
+
 
+def all_shingles(salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, doc, first, _, node in _each_slice(batches, 0, salt):
+            n = np.diff(first)[doc]
+            yield _postings(h, _meta(n, np.zeros(len(n), np.int64), PREFIX), node[doc], False)
 
-def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, h, doc, first, keys in _each_slice(batches, 0):
-        n = np.diff(first)
-        yield _postings(h, 0, doc, keys, n[doc], np.zeros(len(doc)), np.zeros(len(doc), bool))
+    return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: list[str], whole: bool) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch], key: str, whole: bool) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """(rows, number of the key's group, size of the group) of batches sorted by ``key``, a group in one piece.
 
     Unless ``whole``, only ``FEW + 1`` rows of a group wait for its end; of a larger one
@@ -134,21 +150,13 @@ def _runs(batches: Iterator[pa.RecordBatch], key: list[str], whole: bool) -> Ite
     kept, crowded = None, False  # rows of the last group; whether it has been told to be crowded
 
     def groups(t: pa.Table) -> np.ndarray:
-        change = np.zeros(len(t), bool)
-        for k in key:
-            c = t[k].combine_chunks()
-            c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-            v = np.frombuffer(c.buffers()[2], U)[2 * c.offset :][: 2 * len(c)].reshape(-1, 2) if pa.types.is_binary(c.type) else c.to_numpy()
-            differ = v[1:] != v[:-1]
-            change[1:] |= differ.any(axis=1) if differ.ndim > 1 else differ
-        return np.cumsum(change)
+        v = t[key].to_numpy()
+        return np.cumsum(np.concatenate([[False], v[1:] != v[:-1]]))
 
     def end(t: pa.Table, crowded: bool):
         g = groups(t)
-        size = np.bincount(g)[g] if len(g) else g
-        if crowded:
-            size = np.where(g == 0, FEW + 1, size)
-        return t, g, size
+        size = np.bincount(g)[g]
+        return t, g, np.where(g == 0, FEW + 1, size) if crowded else size
 
     for batch in batches:
         new = pa.Table.from_batches([batch])
@@ -170,60 +178,67 @@ def _runs(batches: Iterator[pa.RecordBatch], key: list[str], whole: bool) -> Ite
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of texts with a token in common, and the texts of crowded tokens (b is null). Rows come sorted by order, token, size and node."""
+    """What rows sorted by token, size and node tell: pairs (a, b) that share a token; texts ``a`` with a crowded one (n is null); how many tokens of a text are shared (n, of the number ``own``)."""
     up, down = ALIKE
-    for t, g, size in _runs(batches, ["r", "token"], False):
-        r, n, short = (t[c].to_numpy() for c in ("r", "n", "short"))
-        node, own = t["node"].combine_chunks(), t["own"].to_numpy()
-        crowd = np.flatnonzero((size > FEW) | (r >= 10))
-        out = [(r[crowd] % 10, crowd, None)]
+    for t, g, size in _runs(batches, "spread", False):
+        meta, node = t["meta"].to_numpy(), t["node"].to_numpy()
+        n, own, alone = meta >> 36, meta >> 8 & (1 << 28) - 1, meta & ALONE > 0
+        first = meta & PREFIX > 0
+        crowd = np.unique(node[((size > FEW) | alone) & first])
+        out = [(crowd, None, None, None)]
         for d in range(1, FEW):
-            i = np.arange(len(g) - d)
-            i = i[(g[i] == g[i + d]) & (size[i] <= FEW) & (r[i] < 10) & short[i]]
-            shared = np.minimum(n[i] - own[i], n[i + d] - own[i + d])
-            i = i[down * shared >= up * (n[i] + n[i + d] - shared)]
-            out.append((r[i], i, i + d))
-        for r_, i, j in out:
-            if len(i):
-                a = node.take(pa.array(i))
-                b = node.take(pa.array(j)) if j is not None else pa.nulls(len(i), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(r_, pa.int32()), *((x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in (a, b))], ["r", "a", "b"])
+            i = np.arange(max(0, len(g) - d))
+            i = i[(g[i] == g[i + d]) & (size[i] <= FEW) & first[i + d] & (meta[i] & SHORT > 0) & ~alone[i]]
+            i = i[(down * n[i] >= up * n[i + d]) & (node[i] != node[i + d])]
+            out.append((node[i], node[i + d], None, None))
+        shared, k, times = np.unique(node[(size > 1) | alone], return_index=True, return_counts=True)
+        k = np.flatnonzero((size > 1) | alone)[k]
+        out.append((shared, None, times, own[k]))
+        for a, b, times, own in out:
+            if len(a):
+                cols = (a, b, times, own)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in cols], ["a", "b", "n", "own"])
 
 
 def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, n, token, texts) of shingles that several texts have, with their number up to ``FEW + 1``. Rows come sorted by token."""
-    for t, _, size in _runs(batches, ["token"], False):
-        size = np.where(t["r"].to_numpy() >= 10, FEW + 1, np.minimum(size, FEW + 1))
-        t = t.select(["node", "n", "token"]).append_column("texts", pa.array(size, pa.int32())).filter(pa.array(size > 1))
-        yield from t.combine_chunks().to_batches()
+    for t, _, size in _runs(batches, "spread", False):
+        keep = size > 1
+        n, size = t["meta"].to_numpy()[keep] >> 36, np.minimum(size[keep], FEW + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(t["node"].to_numpy()[keep]), pa.array(n, pa.int32()), pa.array(t["spread"].to_numpy()[keep]), pa.array(size, pa.int32())], ["node", "n", "token", "texts"])
 
 
 def rare_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of the prefixes under the orders that put rare shingles first; crowded ones have an r from 20 on. Rows come sorted by node."""
-    for t, g, _ in _runs(batches, ["node"], True):
-        order = np.lexsort((t["token"].to_numpy(), g))
+    """The prefixes under the orders that put rare shingles first, with the number of texts of each. Rows come sorted by node."""
+    for t, g, _ in _runs(batches, "node", True):
+        token = t["token"].to_numpy()
+        order = np.lexsort((token, g))
         fresh = np.ones(len(t), bool)  # rows that repeat id and text tell their shingles again
-        fresh[1:] = (np.diff(g[order]) > 0) | (np.diff(t["token"].to_numpy()[order]) != 0)
+        fresh[1:] = (np.diff(g[order]) > 0) | (token[order][1:] != token[order][:-1])
         t, g = t.take(pa.array(order[fresh])), g[order[fresh]]
-        size = np.bincount(g)[g]
-        n, token, texts = t["n"].to_numpy().astype(np.int64), t["token"].to_numpy().view(U), t["texts"].to_numpy()
-        keys = t["node"].to_pylist()
+        n, token, texts, node = t["n"].to_numpy().astype(np.int64), t["token"].to_numpy().view(U), t["texts"].to_numpy(), t["node"].to_numpy()
         first = np.searchsorted(g, np.arange(g[-1] + 1))
-        own = n - size
+        own = n - np.bincount(g)[g]
         whole, small = longest(n)
         for r, seed in enumerate(ORDERS):
             order = np.lexsort((mix(token ^ U(seed)), texts, g))
             place = np.arange(len(g)) - first[g] + own
-            keep = place < whole
-            rows, place = order[keep], place[keep]
-            b = _postings(token[rows], 0, rows, keys, n[rows], own[rows], place < small[rows])
-            kind = np.where(texts[rows] > FEW, 20 + r, r)
-            yield b.set_column(2, "r", pa.array(kind, pa.int32())).set_column(0, "spread", b.column(1))
+            rows = order[place < whole]
+            place = place[place < whole]
+            flags = PREFIX + SHORT * (place < small[rows])
+            cols = (np.full(len(rows), r), token[rows].view(np.int64), node[rows], n[rows], own[rows], _meta(n[rows], own[rows], flags))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(flags & SHORT > 0), pa.array(texts[rows] > FEW)], ["r", "token", "node", "n", "own", "meta", "short", "crowded"])
+
+
+RARE = "r long, token long, node long, n long, own long, meta long, short boolean, crowded boolean"
+
 
+def whole_sets(salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, _, first, _, node in _each_slice(batches, 0, salt):
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.LargeListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
-def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, h, _, first, keys in _each_slice(batches, 0):
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.LargeListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "shingles"])
+    return run
 
 
 def _possible(x: str, y: str) -> Column:
@@ -233,20 +248,25 @@ def _possible(x: str, y: str) -> Column:
 
 
 class Join:
-    """One run over a table; ``rows`` are (doc_id, text, key, node, n)."""
+    """One run over a table; ``rows`` are (doc_id, key, node, n)."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
         kind = dict(docs.dtypes)[doc_id]
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+        self.salt = 0
+        while True:
 
-        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, _, _, first, keys in _each_slice(batches, 1):
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(keys, pa.binary()), pa.array(np.diff(first), pa.int64())], ["doc_id", "key", "node", "n"])
+            def describe(batches: Iterator[pa.RecordBatch], salt: int = self.salt) -> Iterator[pa.RecordBatch]:
+                for rows, _, _, first, digest, node in _each_slice(batches, 1, salt):
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(node), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array(np.diff(first), pa.int64())], ["doc_id", "key", "node", "digest", "n"])
 
-        self.rows = cut(self.docs.mapInArrow(describe, f"doc_id {kind}, key long, node binary, n long"))
-        self.nodes = self.rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.min("doc_id").alias("least"))
+            self.rows = kept(self.docs.mapInArrow(describe, f"doc_id {kind}, key long, node long, digest binary, n long"))
+            self.nodes = self.rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.min("doc_id").alias("least"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+            if self.nodes.where("lo != hi").isEmpty():
+                break
+            self.salt += 1  # two sets have one number: others, then
 
-    def texts(self, nodes: DataFrame) -> DataFrame:
+    def texts(self, nodes: DataFrame | None) -> DataFrame:
         """(text) of one row for each of the nodes; of more, if rows repeat id and text."""
         keys = self.nodes.join(nodes, "node", "left_semi") if nodes is not None else self.nodes
         keys = keys.select("rep.doc_id", "rep.key")
@@ -256,53 +276,67 @@ class Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are alike."""
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+        pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        own = cut(self.texts(ends).mapInArrow(whole_sets, "node binary, shingles array<long>").dropDuplicates(["node"]))
+        own = kept(self.texts(ends).mapInArrow(whole_sets(self.salt), "node long, shingles array<long>").dropDuplicates(["node"]))
         both = pairs.join(own.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(own.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared * ALIKE[1] >= (F.size("x") + F.size("y") - shared) * ALIKE[0]).select("a", "b")
 
     @staticmethod
-    def met(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs with the orders in which they meet, texts with the orders in which they are crowded), orders as bits."""
-        dealt = postings.repartition("spread").sortWithinPartitions("r", "token", "n", "node")
-        out = cut(dealt.select("r", "token", "node", "n", "own", "short").mapInArrow(meet, "r int, a binary, b binary"))
-        bits = F.bit_or(F.expr("shiftleft(1, r)")).alias("orders")
-        return out.where("b IS NOT NULL AND a != b").groupBy("a", "b").agg(bits), out.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(bits)
+    def met(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(pairs, nodes with crowded prefixes, nodes that share all but few of the shingles told)."""
+        dealt = postings.select("spread", "meta", "node").repartition("spread").sortWithinPartitions("spread", "meta", "node")
+        out = kept(dealt.mapInArrow(meet, "a long, b long, n long, own long"))
+        counts = out.where("own IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+        return out.where("b IS NOT NULL").select("a", "b").distinct(), out.where("b IS NULL AND own IS NULL").select(F.col("a").alias("node")).distinct(), counts
 
     def hashed(self) -> tuple[DataFrame, DataFrame]:
         """(candidate pairs, nodes that only other orders can tell)."""
-        pairs, crowded = self.met(self.texts(None).mapInArrow(hash_prefixes, POSTING))
-        all_orders = (1 << len(ORDERS)) - 1
-        sides = [crowded.withColumnsRenamed({"node": c, "orders": f"{c}_orders"}) for c in "ab"]
-        pairs = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
-        held = F.col("orders").bitwiseOR(F.coalesce(F.col("a_orders").bitwiseAND(F.col("b_orders")), F.lit(0)))
-        return pairs.where(held == all_orders).select("a", "b"), crowded.where(F.col("orders") == all_orders).select("node")
-
-    def rare(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs that meet, with orders; postings of crowded shingles) of these nodes, under the orders with rare shingles first."""
-        tokens = self.texts(nodes).mapInArrow(all_shingles, POSTING).repartition("spread").sortWithinPartitions("token", "r").select("r", "token", "node", "n")
-        shared = tokens.mapInArrow(common, "node binary, n int, token long, texts int").repartition("node").sortWithinPartitions("node")
-        postings = cut(shared.mapInArrow(rare_prefixes, POSTING))
-        return self.met(postings.where("r < 20"))[0], postings.where("r >= 20").withColumn("r", F.col("r") - 20).select("r", "token", "node", "n", "own", "short").distinct()
+        one, crowd, counts = self.met(self.texts(None).mapInArrow(hash_prefixes(ORDERS[0], None, self.salt), POSTING))
+        sizes = self.nodes.join(self.rows.groupBy("node").agg(F.first("n").alias("size")), "node").select("node", "size")
+        two, crowded, counts = self.met(self.texts(counts.select("node")).mapInArrow(hash_prefixes(ORDERS[1], SPAN, self.salt), POSTING))
+        up, down = ALIKE
+        # An alike set misses no more of the shingles told than of all.
+        alike = kept(counts.join(sizes, "node").where(F.col("n") >= F.col("own") - (F.col("size") - F.ceil(F.col("size") * up / down))).select("node"))
+        crowd, crowded = (c.join(alike, "node", "left_semi") for c in (crowd, crowded))
+        both = kept(crowd.join(crowded, "node", "left_semi"))
+
+        def held(pairs: DataFrame, crowd: DataFrame) -> DataFrame:
+            x, y = (alike.withColumnRenamed("node", c).join(crowd.select(F.col("node").alias(c), F.lit(True).alias(f"c{c}")), c, "left") for c in "ab")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            return pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("ca") & F.col("cb")).alias("crowded"))
+
+        one, two = held(one, crowded), held(two, crowd)  # each with whether the other order leaves it open
+        either = one.withColumn("k", F.lit(1)).unionByName(two.withColumn("k", F.lit(2))).groupBy("a", "b").agg(F.bit_or("k").alias("k"), F.bool_or("crowded").alias("crowded"))
+        return either.where((F.col("k") == 3) | F.col("crowded")).select("a", "b"), both
+
+    def rare(self, nodes: DataFrame) -> DataFrame:
+        """Prefixes of these nodes under the orders with rare shingles first."""
+        tokens = self.texts(nodes).mapInArrow(all_shingles(self.salt), POSTING).repartition("spread").sortWithinPartitions("spread")
+        shared = tokens.mapInArrow(common, "node long, n int, token long, texts int").repartition("node").sortWithinPartitions("node")
+        return kept(shared.mapInArrow(rare_prefixes, RARE))
 
     def components(self) -> DataFrame:
         """(node, component) of linked nodes."""
         first, nodes = self.hashed()
-        rare, hot = self.rare(nodes)
-        hot = cut(hot)
+        prefixes = self.rare(nodes)
+        rare = None
+        for r in range(len(ORDERS)):
+            met = self.met(prefixes.where(~F.col("crowded") & (F.col("r") == r)).withColumnRenamed("token", "spread"))[0].withColumn("orders", F.lit(1 << r))
+            rare = met if rare is None else rare.unionByName(met)
+        hot = prefixes.where("crowded").select("r", "token", "node", "n", "own", "short").distinct()
         head = hot.groupBy("r", "token").agg(F.min(F.struct("own", "node", "n")).alias("c")).select("r", "token", F.col("c.node").alias("b"), F.col("c.n").alias("cn"), F.col("c.own").alias("cown"))
         star = hot.join(head, ["r", "token"]).where(_possible("", "c")).select(F.col("node").alias("a"), "b")
-        links = cut(self.links(first.unionByName(rare.select("a", "b")).unionByName(star)))
+        links = kept(self.links(first.unionByName(rare.select("a", "b")).unionByName(star)))
         at = components(links)
         place = hot.join(at, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = place.groupBy("r", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("r", "token")
-        place = cut(place.join(mixed, ["r", "token"], "left_semi"))
+        place = kept(place.join(mixed, ["r", "token"], "left_semi"))
         x, y = (place.select("r", "token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "own", "short", "component"))) for p in "xy")
         order = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xnode") < F.col("ynode")))
         rest = x.join(y, ["r", "token"]).where(order & F.col("xshort") & (F.col("xcomponent") != F.col("ycomponent")) & _possible("x", "y"))
-        rest = rest.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"), F.expr("shiftleft(1, r)").alias("orders"))
+        rest = rest.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"), F.expr("shiftleft(1, CAST(r AS INT))").alias("orders"))
         sorted_pairs = rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "orders")
         rest = rest.distinct().unionByName(sorted_pairs).groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).where(F.col("orders") == (1 << len(ORDERS)) - 1)
         return components(links.unionByName(self.links(rest.join(links, ["a", "b"], "left_anti"))))
