@@ -25,25 +25,28 @@ the driver reads them (under 3 MB) and sends their contents.
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, or_empty, table
+from ._common import kept, or_empty, table
 
 #: Where the box keeps its public vocabularies.
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a block.
 BLOCK_CHARS = 8_000_000
-#: A text's bytes that are encoded together at most, for a worker's memory.
-BATCH_CHARS = 1_000_000
+#: Characters of texts that are encoded together: a tokenizer's own object of a short text takes a kilobyte and more.
+BATCH_CHARS = 50_000
 MARK = "▁"
 #: A space after what isn't white space begins a stretch; so the others are within one.
 INSIDE = re.compile(r"\s ")
@@ -58,6 +61,7 @@ class Coder:
         import sentencepiece
         import tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = tokenizers.Tokenizer.from_str(a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
@@ -110,28 +114,28 @@ def _partial_keys(spark: SparkSession):
 
 
 def align(encoded: DataFrame) -> DataFrame:
-    """(text, group, a_ids, b_ids) from (text, a, a_length, b, b_length), arrays of ids and of their lengths in bytes."""
-    dealt = encoded.where(F.col("a").isNotNull()).repartition("text")
+    """(id, group, a_ids, b_ids) from (id, a, a_length, b, b_length): a text's id, and arrays of its tokens' ids and of their lengths in bytes."""
+    dealt = encoded.where(F.col("a").isNotNull()).select("id", "a", "a_length", "b", "b_length").repartition("id")
 
     def side(x: str) -> DataFrame:
-        rows = dealt.select("text", F.posexplode(F.arrays_zip(F.col(x).alias("id"), F.col(f"{x}_length").alias("length"))).alias("pos", "token"))
-        upto = Window.partitionBy("text").orderBy("pos")
-        return rows.select("text", "pos", F.col("token.id").alias("id"), F.sum("token.length").over(upto).alias("end"))
+        rows = dealt.select("id", F.posexplode(F.arrays_zip(F.col(x).alias("token"), F.col(f"{x}_length").alias("length"))).alias("pos", "t"))
+        upto = Window.partitionBy("id").orderBy("pos")
+        return rows.select("id", "pos", F.col("t.token").alias("token"), F.sum("t.length").over(upto).alias("end"))
 
     def grouped(x: str, other: str) -> DataFrame:
-        ends = side(other).select("text", "end", F.lit(1).alias("cut"))
-        before = Window.partitionBy("text").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        rows = side(x).join(ends, ["text", "end"], "left").withColumn("group", F.count("cut").over(before))
-        ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"])
-        return rows.groupBy("text", "group").agg(ids.alias(f"{x}_ids"))
+        ends = side(other).select("id", "end", F.lit(1).alias("cut"))
+        before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        rows = side(x).join(ends, ["id", "end"], "left").withColumn("group", F.count("cut").over(before))
+        tokens = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"])
+        return rows.groupBy("id", "group").agg(tokens.alias(f"{x}_ids"))
 
-    return grouped("a", "b").join(grouped("b", "a"), ["text", "group"])
+    return grouped("a", "b").join(grouped("b", "a"), ["id", "group"])
 
 
 def _groups(aligned: DataFrame) -> DataFrame:
-    """(text, groups): the groups of each text, ``a1,a2|b1;a3|b2,b3``."""
+    """(id, groups): the groups of each text, ``a1,a2|b1;a3|b2,b3``."""
     one = F.concat_ws("|", F.array_join(F.col("a_ids").cast("array<string>"), ","), F.array_join(F.col("b_ids").cast("array<string>"), ","))
-    return aligned.select("text", F.struct("group", one.alias("s")).alias("g")).groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["s"]), ";").alias("groups"))
+    return aligned.select("id", F.struct("group", one.alias("s")).alias("g")).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["s"]), ";").alias("groups"))
 
 
 class _Block:
@@ -141,14 +145,14 @@ class _Block:
         self.spot = {s: i for i, s in enumerate(names)}
         self.groups = groups
         self.size = np.zeros((len(names), 4), np.int64)  # tokens of either, groups, links
-        pairs, self.at = [], np.zeros(len(names) + 1, np.int64)
+        pairs, self.at = array("q"), np.zeros(len(names) + 1, np.int64)
         for i, g in enumerate(groups):
             for part in g.split(";") if g is not None else ():
                 a, b = ([int(x) for x in ids.split(",")] for ids in part.split("|"))
                 self.size[i] += (len(a), len(b), 1, len(a) * len(b))
-                pairs += [x << 32 | y for x in a for y in b]
+                pairs.extend(x << 32 | y for x in a for y in b)
             self.at[i + 1] = len(pairs)
-        self.pairs = np.array(pairs, np.int64)
+        self.pairs = np.frombuffer(pairs, np.int64) if len(pairs) else np.zeros(0, np.int64)
 
     def of(self, text: str | None, split: bool) -> list[int] | None:
         """The numbers of a text's stretches, in order; None if it has no tokens."""
@@ -199,6 +203,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*sent.value)
         ints = pa.list_(pa.int32())
+        next_id = TaskContext.get().partitionId() << 33  # the rows are written before their ids are used
         for batch in batches:
             texts = batch.column(0).to_pylist()
             begin = 0
@@ -208,7 +213,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     size += len(texts[end])
                     end += 1
                 cols = zip(*coder.encode(texts[begin:end]), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(texts[begin:end], pa.string()), *(pa.array(c, ints) for c in cols)], ["text", "a", "a_length", "b", "b_length"])
+                ids = pa.array(np.arange(next_id, next_id + end - begin))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(texts[begin:end], pa.string()), *(pa.array(c, ints) for c in cols)], ["id", "stretch", "a", "a_length", "b", "b_length"])
+                next_id += end - begin
                 begin = end
 
     def count(docs: pa.Table, known: pa.Table) -> pa.Table:
@@ -238,10 +245,11 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"doc_id": docs["doc_id"], **{c: sums[:, k] for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))}, "groups": pa.array(groups, pa.string())})
 
     with _partial_keys(spark):
-        where = cut(rows.select("block", "text").mapInArrow(tell, "block long, stretch string").distinct())
-        encoded = cut(where.select(F.col("stretch").alias("text")).distinct().mapInArrow(encode, "text string, a array<int>, a_length array<int>, b array<int>, b_length array<int>"))
-        known = cut(where.join(_groups(align(encoded)).withColumnRenamed("text", "stretch"), "stretch", "left").select("block", "stretch", "groups"))
-        found = cut(rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(count, "block long, pair long, n long"))
+        where = kept(rows.select("block", "text").mapInArrow(tell, "block long, stretch string").distinct())
+        encoded = kept(where.select("stretch").distinct().mapInArrow(encode, "id long, stretch string, a array<int>, a_length array<int>, b array<int>, b_length array<int>"))
+        aligned = kept(_groups(align(encoded)))
+        known = kept(where.join(encoded.select("id", "stretch"), "stretch").join(aligned, "id", "left").select("block", "stretch", "groups"))
+        found = kept(rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(count, "block long, pair long, n long"))
     first = F.shiftright("pair", 32)
     counts = found.groupBy("pair").agg(F.sum("n").alias("n"))
     tops = counts.groupBy(first.alias("a")).agg(F.max("n").alias("top"))
