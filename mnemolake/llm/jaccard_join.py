@@ -274,14 +274,14 @@ class Join:
         on = self.docs["doc_id"].eqNullSafe(keys["doc_id"]) & (self.docs["key"] == keys["key"])
         return self.docs.join(F.broadcast(keys) if few else keys, on, "left_semi").select("text")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are alike."""
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, shared, alike) of the pairs: how many shingles both have, and whether they are linked."""
         pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         own = kept(self.texts(ends).mapInArrow(whole_sets(self.salt), "node long, shingles array<long>").dropDuplicates(["node"]))
         both = pairs.join(own.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(own.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared * ALIKE[1] >= (F.size("x") + F.size("y") - shared) * ALIKE[0]).select("a", "b")
+        rows = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("n"))
+        return kept(rows.select("a", "b", "shared", (F.col("shared") * ALIKE[1] >= (F.col("n") - F.col("shared")) * ALIKE[0]).alias("alike")))
 
     @staticmethod
     def met(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -326,20 +326,30 @@ class Join:
             met = self.met(prefixes.where(~F.col("crowded") & (F.col("r") == r)).withColumnRenamed("token", "spread"))[0].withColumn("orders", F.lit(1 << r))
             rare = met if rare is None else rare.unionByName(met)
         hot = prefixes.where("crowded").select("r", "token", "node", "n", "own", "short").distinct()
-        head = hot.groupBy("r", "token").agg(F.min(F.struct("own", "node", "n")).alias("c")).select("r", "token", F.col("c.node").alias("b"), F.col("c.n").alias("cn"), F.col("c.own").alias("cown"))
-        star = hot.join(head, ["r", "token"]).where(_possible("", "c")).select(F.col("node").alias("a"), "b")
-        links = kept(self.links(first.unionByName(rare.select("a", "b")).unionByName(star)))
+        head = hot.groupBy("r", "token").agg(F.min(F.struct("own", "node", "n")).alias("c")).select("r", "token", F.col("c.node").alias("c"), F.col("c.n").alias("cn"), F.col("c.own").alias("cown"))
+        star = hot.join(head, ["r", "token"])
+        seen = self.compared(first.unionByName(rare.select("a", "b")).unionByName(star.where(_possible("", "c")).select(F.col("node").alias("a"), F.col("c").alias("b"))))
+        links = seen.where("alike").select("a", "b")
         at = components(links)
-        place = hot.join(at, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = at.withColumnsRenamed({"node": "c", "component": "at_c"})
+        place = star.join(at, "node", "left").join(known, "c", "left").withColumns({"component": F.coalesce("component", "node"), "at_c": F.coalesce("at_c", "c")})
         mixed = place.groupBy("r", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("r", "token")
-        place = kept(place.join(mixed, ["r", "token"], "left_semi"))
-        x, y = (place.select("r", "token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "own", "short", "component"))) for p in "xy")
-        order = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xnode") < F.col("ynode")))
-        rest = x.join(y, ["r", "token"]).where(order & F.col("xshort") & (F.col("xcomponent") != F.col("ycomponent")) & _possible("x", "y"))
+        place = place.join(mixed, ["r", "token"], "left_semi").where("node != c").select("*", F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+        # What a text shares with the centre, and what else of it others have; all that others have, where the two weren't compared.
+        held = F.col("n") - F.col("own")
+        place = place.join(seen.select("a", "b", "shared"), ["a", "b"], "left").withColumns({"with": F.coalesce("shared", held), "other": F.coalesce(held - F.col("shared"), held)})
+        place = kept(place.select("r", "token", "node", "n", "own", "short", "component", "with", "other", (F.col("component") == F.col("at_c")).alias("central")))
+        x, y = (place.select("r", "token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "own", "short", "component", "with", "other", "central"))) for p in "xy")
+        least = F.least(F.least("xwith", "ywith") + F.least("xother", "yother"), F.col("xn") - F.col("xown"), F.col("yn") - F.col("yown"))
+        possible = least * ALIKE[1] >= (F.col("xn") + F.col("yn") - least) * ALIKE[0]
+        once = F.col("ycentral") | (F.col("xnode") < F.col("ynode"))
+        short = F.when((F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & F.col("xshort")), F.col("xshort")).otherwise(F.col("yshort"))
+        rest = x.where("NOT xcentral").join(y, ["r", "token"]).where((F.col("xcomponent") != F.col("ycomponent")) & once & short & possible)
         rest = rest.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"), F.expr("shiftleft(1, CAST(r AS INT))").alias("orders"))
         sorted_pairs = rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "orders")
         rest = rest.distinct().unionByName(sorted_pairs).groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).where(F.col("orders") == (1 << len(ORDERS)) - 1)
-        return components(links.unionByName(self.links(rest.join(links, ["a", "b"], "left_anti"))))
+        more = self.compared(rest.join(seen, ["a", "b"], "left_anti")).where("alike").select("a", "b")
+        return components(links.unionByName(more))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -86,13 +86,13 @@ def test_long_texts_and_empty_tables(spark):
 def test_shared_passages_are_not_compared(spark, monkeypatch):
     """Texts that share 300 words and have 40 of their own: no pair is listed, however many they are."""
     listed = []
-    links = jaccard_join.Join.links
+    links = jaccard_join.Join.compared
 
     def counted(self, pairs):
         listed.append(pairs.distinct().count())
         return links(self, pairs)
 
-    monkeypatch.setattr(jaccard_join.Join, "links", counted)
+    monkeypatch.setattr(jaccard_join.Join, "compared", counted)
     passage = [f"p{i}" for i in range(300)]
     for n in (100, 400):
         rows = [(i, " ".join(passage + [f"w{i}x{k}" for k in range(40)])) for i in range(n)]
