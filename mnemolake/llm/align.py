@@ -27,7 +27,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -78,13 +77,13 @@ class Coder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple]:
         """(ids, lengths) of both for each text, or four Nones where the bytes aren't those of a space and the text."""
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         b = [ids if text else [self.b.piece_to_id(MARK)] for text, ids in zip(texts, b, strict=True)]  # a lone space: the library adds none to nothing
         for text, x, y in zip(texts, a, b, strict=True):
-            x, want = x.ids, (" " + text).encode()
             p, q = [self.a_bytes[i] for i in x], [self.b_bytes[i] for i in y]
-            yield (x, list(map(len, p)), y, list(map(len, q))) if b"".join(p) == want == b"".join(q) else (None,) * 4
+            joined = b"".join(p)
+            yield (x, list(map(len, p)), y, list(map(len, q))) if joined == b"".join(q) and joined == (" " + text).encode() else (None,) * 4
 
 
 def _coder(a: str, b: bytes) -> Coder:
@@ -120,58 +119,55 @@ def align(encoded: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         rows = dealt.select("id", F.posexplode(F.arrays_zip(F.col(x).alias("token"), F.col(f"{x}_length").alias("length"))).alias("pos", "t"))
         upto = Window.partitionBy("id").orderBy("pos")
-        return rows.select("id", "pos", F.col("t.token").alias("token"), F.sum("t.length").over(upto).alias("end"))
+        return rows.select("id", F.col("t.token").alias("token"), F.sum("t.length").over(upto).alias("end"))
 
     def grouped(x: str, other: str) -> DataFrame:
         ends = side(other).select("id", "end", F.lit(1).alias("cut"))
-        before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)  # ends stand in the tokens' order
         rows = side(x).join(ends, ["id", "end"], "left").withColumn("group", F.count("cut").over(before))
-        tokens = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"])
+        tokens = F.transform(F.array_sort(F.collect_list(F.struct("end", "token"))), lambda t: t["token"])
         return rows.groupBy("id", "group").agg(tokens.alias(f"{x}_ids"))
 
     return grouped("a", "b").join(grouped("b", "a"), ["id", "group"])
 
 
 def _groups(aligned: DataFrame) -> DataFrame:
-    """(id, groups): the groups of each text, ``a1,a2|b1;a3|b2,b3``."""
-    one = F.concat_ws("|", F.array_join(F.col("a_ids").cast("array<string>"), ","), F.array_join(F.col("b_ids").cast("array<string>"), ","))
-    return aligned.select("id", F.struct("group", one.alias("s")).alias("g")).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["s"]), ";").alias("groups"))
+    """(id, groups, pairs, n_a, n_b, n_groups): the groups of each text, ``a1,a2|b1;a3|b2,b3``, its links as numbers of two ids, and its sizes."""
+    text = F.concat_ws("|", F.array_join(F.col("a_ids").cast("array<string>"), ","), F.array_join(F.col("b_ids").cast("array<string>"), ","))
+    pairs = F.flatten(F.transform("a_ids", lambda x: F.transform("b_ids", lambda y: F.shiftleft(x.cast("long"), 32) + y)))
+    g = aligned.select("id", F.struct("group", text.alias("s"), pairs.alias("p")).alias("g"), F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"))
+    g = g.groupBy("id").agg(F.array_sort(F.collect_list("g")).alias("g"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    return g.select("id", F.array_join(F.col("g.s"), ";").alias("groups"), F.flatten("g.p").alias("pairs"), "n_a", "n_b", F.size("g").cast("long").alias("n_groups"))
 
 
 class _Block:
-    """The stretches of a block: their groups, and all links as pairs of ids, those of stretch i at at[i]:at[i + 1]."""
-
-    def __init__(self, names: list[str], groups: list[str | None]):
-        self.spot = {s: i for i, s in enumerate(names)}
-        self.groups = groups
-        self.size = np.zeros((len(names), 4), np.int64)  # tokens of either, groups, links
-        pairs, self.at = array("q"), np.zeros(len(names) + 1, np.int64)
-        for i, g in enumerate(groups):
-            for part in g.split(";") if g is not None else ():
-                a, b = ([int(x) for x in ids.split(",")] for ids in part.split("|"))
-                self.size[i] += (len(a), len(b), 1, len(a) * len(b))
-                pairs.extend(x << 32 | y for x in a for y in b)
-            self.at[i + 1] = len(pairs)
-        self.pairs = np.frombuffer(pairs, np.int64) if len(pairs) else np.zeros(0, np.int64)
-
-    def of(self, text: str | None, split: bool) -> list[int] | None:
-        """The numbers of a text's stretches, in order; None if it has no tokens."""
+    """The stretches of a block: their groups and sizes, and all links as pairs of ids, those of stretch i at at[i]:at[i + 1]."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.filter(pc.is_valid(rows["stretch"])).combine_chunks()
+        self.spot = dict(zip(rows["stretch"].to_pylist(), range(len(rows)), strict=True))
+        self.groups = rows["groups"].to_pylist() if "groups" in rows.column_names else None
+        self.good = np.asarray(pc.is_valid(rows["n_a"]))
+        lists = pc.fill_null(rows["pairs"], pa.scalar([], pa.list_(pa.int64()))).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        self.pairs, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        self.at = at - at[0] if len(at) else np.zeros(1, np.int64)
+        sizes = [pc.fill_null(rows[c], 0).to_numpy() for c in ("n_a", "n_b", "n_groups")]
+        self.size = np.column_stack([*sizes, np.diff(self.at)]) if len(rows) else np.zeros((0, 4), np.int64)
+
+    def of(self, text: str | None, split: bool, once: bool = False) -> np.ndarray | None:
+        """The numbers of a text's stretches, in order, or ``once`` each; None if it has no tokens."""
         if not text:
             return None
-        spots = [self.spot[s] for s in stretches(text, split)]
-        return None if any(self.groups[i] is None for i in set(spots)) else spots
+        parts = stretches(text, split)
+        spots = np.fromiter(map(self.spot.__getitem__, set(parts) if once else parts), np.int64)
+        return spots if self.good[spots].all() else None
 
-    def distinct_pairs(self, spots: list[int]) -> np.ndarray:
-        k = np.unique(np.array(spots))
+    def distinct_pairs(self, k: np.ndarray) -> np.ndarray:
         n = self.at[k + 1] - self.at[k]
         return np.unique(self.pairs[np.repeat(self.at[k] - np.cumsum(n) + n, n) + np.arange(n.sum())])
 
 
-def _read(rows: pa.Table) -> _Block:
-    rows = rows.filter(pc.is_valid(rows["stretch"]))
-    return _Block(rows["stretch"].to_pylist(), rows["groups"].to_pylist())
-
-
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each row.
 
@@ -219,16 +215,16 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 begin = end
 
     def count(docs: pa.Table, known: pa.Table) -> pa.Table:
-        block, each = _read(known), []
+        block, each = _Block(known), []
         for t in docs["text"].to_pylist():
-            spots = block.of(t, split)
-            if spots:
+            spots = block.of(t, split, True)
+            if spots is not None:
                 each.append(block.distinct_pairs(spots))
         pairs, n = np.unique(np.concatenate(each) if each else np.zeros(0, np.int64), return_counts=True)
         return pa.table({"block": pa.array(np.full(len(pairs), docs["block"][0].as_py() if len(docs) else 0), pa.int64()), "pair": pa.array(pairs, pa.int64()), "n": pa.array(n, pa.int64())})
 
     def measure(docs: pa.Table, known: pa.Table) -> pa.Table:
-        block = _read(known)
+        block = _Block(known)
         counts = known.filter(pc.is_valid(known["pair"]))
         code, n, best = (counts[c].to_numpy() for c in ("pair", "n", "best"))
         order = np.argsort(code)
@@ -239,17 +235,17 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sums, groups = np.zeros((len(docs), 6), np.int64), []
         for i, t in enumerate(docs["text"].to_pylist()):
             spots = block.of(t, split)
-            if spots:
+            if spots is not None:
                 sums[i] = value[spots].sum(axis=0)
-            groups.append(";".join([block.groups[s] for s in spots]) if spots else "")
+            groups.append(";".join([block.groups[s] for s in spots.tolist()]) if spots is not None else "")
         return pa.table({"doc_id": docs["doc_id"], **{c: sums[:, k] for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))}, "groups": pa.array(groups, pa.string())})
 
     with _partial_keys(spark):
         where = kept(rows.select("block", "text").mapInArrow(tell, "block long, stretch string").distinct())
         encoded = kept(where.select("stretch").distinct().mapInArrow(encode, "id long, stretch string, a array<int>, a_length array<int>, b array<int>, b_length array<int>"))
         aligned = kept(_groups(align(encoded)))
-        known = kept(where.join(encoded.select("id", "stretch"), "stretch").join(aligned, "id", "left").select("block", "stretch", "groups"))
-        found = kept(rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(count, "block long, pair long, n long"))
+        known = kept(where.join(encoded.select("id", "stretch"), "stretch").join(aligned, "id", "left").select("block", "stretch", "groups", "pairs", "n_a", "n_b", "n_groups"))
+        found = kept(rows.groupBy("block").cogroup(known.drop("groups").groupBy("block")).applyInArrow(count, "block long, pair long, n long"))
     first = F.shiftright("pair", 32)
     counts = found.groupBy("pair").agg(F.sum("n").alias("n"))
     tops = counts.groupBy(first.alias("a")).agg(F.max("n").alias("top"))
