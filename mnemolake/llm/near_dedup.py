@@ -17,14 +17,11 @@ a chance of about 1e-5.
 Texts of equal words are one node, so copies never meet. A bucket of at most
 ``FEW`` texts compares its texts with each other; a larger one compares all
 with a centre, the text whose buckets are largest together. Where larger buckets
-then hold several components, texts of different components that share a shingle
-which only ``FEW`` of these texts have meet by it. The others share common
-shingles alone, so they are compared within their bucket only if those are enough
-for the least similarity, and if their distances to the centre differ by no more
-than alike texts may: the share of unlike shingles is a metric. Signatures of a
-fixed size, whose unlike bits count unlike shingles, rule out most of the rest. So
-within buckets no link is lost, and pairs are listed only where texts are nearly
-alike.
+then hold several components, what a text shares with the centre, and what else of
+it other texts have, bound what any two can share (``hopeful``). Texts for which that
+is too little for any partner are done, so a bucket of texts that have a passage in
+common and are not alike costs no more than its rows; the others are compared if the
+bound allows it for both. So within buckets no link is lost.
 
 Defined cases: null and empty texts, and those of white space, are classes of
 their own, one for each row; a text of one to four words is one shingle; rows
@@ -44,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, free_name, sieve, sift, table
+from ._common import cut, free_name, kept, sieve, sift, table
 from ._components import components
 from ._words import U, Words, mix, slices, utf8
 
@@ -54,8 +51,6 @@ SIMILARITY = 0.8
 KINDS = ((1, 40, 3, 20), (32, 1 << 62, 5, 32))
 #: Buckets of so many texts compare them with each other.
 FEW = 8
-#: Bits of a text's signature.
-BITS = 1024
 #: Numbers that a text's sketches are worked out on at a time.
 AT_ONCE = 2_000_000
 
@@ -289,22 +284,6 @@ def _open(members: DataFrame) -> DataFrame:
     return held.where(F.col("lo") != F.col("hi")).select("bucket", "n")
 
 
-def _signatures(texts: DataFrame) -> DataFrame:
-    """(digest, seq) -> (digest, bits): ``BITS`` bits, of which each labelled shingle sets one. Bits that differ count shingles that only one of two texts has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _small(batch, 1_000_000):
-                out = []
-                for h in _sequences(part.column(1)):
-                    bits = np.zeros(BITS, np.uint8)
-                    bits[(labelled(h, np.zeros(len(h), np.int64)) % U(BITS)).astype(np.int64)] = 1
-                    out.append(np.packbits(bits).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["digest", "bits"])
-
-    return texts.select("digest", "seq").mapInArrow(run, "digest binary, bits array<long>")
-
-
 def _long_enough(a: Column, b: Column, least: float) -> Column:
     """Whether texts of so many shingles can be alike: no more can match than the shorter has."""
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
@@ -327,19 +306,6 @@ def _compare(members: DataFrame, texts: DataFrame, least: float) -> tuple[DataFr
     return cut(_verify(pairs, texts, least)), crowd
 
 
-def _shingle_rows(texts: DataFrame) -> DataFrame:
-    """(digest, seq) -> (digest, token), a row a labelled shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _small(batch, 1_000_000):
-                own = [labelled(h, np.zeros(len(h), np.int64)).view(np.int64) for h in _sequences(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["digest", "tokens"])
-
-    made = texts.select("digest", "seq").mapInArrow(run, "digest binary, tokens array<long>")
-    return made.select("digest", F.explode("tokens").alias("token"))
-
-
 def _each_other(groups: DataFrame, key: str, least: float) -> DataFrame:
     """Pairs (a, b) of different components and near lengths within groups (key, digest, component, size) of ``FEW`` rows at most."""
     g = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("digest", "component", "size"))).alias("g"))
@@ -347,42 +313,53 @@ def _each_other(groups: DataFrame, key: str, least: float) -> DataFrame:
     return x.where((F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component")) & _long_enough(F.col("x.size"), F.col("y.size"), least)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
 
 
-def _left_over(crowd: DataFrame, seen: DataFrame, known: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components in crowded buckets that may still be alike.
+def _beyond(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, digest) -> (a, digest, shared, beyond): how many labelled shingles a text shares with its centre ``a``, and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lambda h: labelled(h, np.zeros(len(h), np.int64))
+        for batch in batches:
+            for part in _small(batch):
+                rest = [np.setdiff1d(own(x), own(c), assume_unique=True) for c, x in zip(_sequences(part.column(2)), _sequences(part.column(3)), strict=True)]
+                shared = [len(x) // 8 - len(r) for x, r in zip(part.column(3).to_pylist(), rest, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared, pa.int64()), pa.array([r.view(np.int64) for r in rest], pa.list_(pa.int64()))], ["a", "digest", "shared", "beyond"])
+
+    both = pairs.join(texts.withColumnsRenamed({"digest": "a", "seq": "sa"}), "a").join(texts, "digest").select("a", "digest", "sa", "seq")
+    return both.mapInArrow(run, "a binary, digest binary, shared long, beyond array<long>")
+
+
+def hopeful(crowd: DataFrame, known: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The members of crowded buckets with several components that may be alike to another one.
 
-    Those that share a rare shingle meet by it. The others have only common
-    shingles to share, which bounds their similarity, as do their distances from
-    the centre and the bits in which their signatures differ.
+    Two texts share no more shingles than the smaller of what each shares with the
+    centre, and the smaller of what else of each other texts of the centre have. So a
+    text whose part in the centre, with the most that any could add, is too small has
+    no partner at all, and isn't compared.
     """
-    far = seen.select("a", F.col("b").alias("digest"), "apart")
     m = _labelled(crowd, known)
-    m = m.join(_open(m).select("bucket"), "bucket")
+    m = m.join(_open(m).select("bucket"), "bucket").where(F.col("a") != F.col("digest"))  # the centre has been compared
     of_centre = known.withColumnsRenamed({"node": "a", "component": "_ca"})
-    m = cut(m.join(far, ["a", "digest"], "left").join(of_centre, "a", "left").withColumn("centre", F.coalesce("_ca", "a")).drop("_ca"))
-
-    own = m.select("digest", "component", "size").distinct()
-    tokens = _shingle_rows(texts.join(own.select("digest"), "digest"))
-    seldom = cut(tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("digest").alias("one")).where(F.col("f") <= FEW))
-    rare = cut(tokens.join(seldom.where(F.col("f") > 1).select("token"), "token"))
-    by_rare = _each_other(rare.join(own, "digest"), "token", least)
-    # What a text doesn't have alone, or with few others, is common.
-    uncommon = seldom.where(F.col("f") == 1).groupBy(F.col("one").alias("digest")).agg(F.count("*").alias("k")).unionByName(rare.groupBy("digest").agg(F.count("*").alias("k")))
-    uncommon = uncommon.groupBy("digest").agg(F.sum("k").alias("k"))
-    common = own.join(uncommon, "digest", "left").select("digest", (F.col("size") - F.coalesce("k", F.lit(0))).alias("c"))
-
-    # The centre is no way from itself; one of another length wasn't compared with it.
-    m = m.join(common, "digest").join(_signatures(texts.join(own.select("digest"), "digest")), "digest")
-    m = m.withColumn("apart", F.when(F.col("digest") == F.col("a"), 0.0).otherwise(F.col("apart")))
-    cols = ("digest", "component", "apart", "size", "c", "bits")
-    x = m.where(F.col("component") != F.col("centre")).select("bucket", *[F.col(c).alias(f"x_{c}") for c in cols])
-    y = m.select("bucket", *[F.col(c).alias(f"y_{c}") for c in cols])
-    both = F.col("x_size") + F.col("y_size")
-    near = (F.col("x_component") != F.col("y_component")) & F.coalesce(F.abs(F.col("x_apart") - F.col("y_apart")) <= 1 - least + 1e-9, F.lit(True))
-    near &= F.least("x_c", "y_c") * (1 + least) >= least * both - 1e-6
-    differ = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    near &= differ <= both * ((1 - least) / (1 + least)) + 1e-6
-    by_bucket = x.join(y, "bucket").where(near).select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b"))
-    return by_rare.unionByName(by_bucket).distinct()
+    m = cut(m.join(of_centre, "a", "left").withColumn("central", F.col("component") == F.coalesce("_ca", "a")).drop("_ca"))
+    far = kept(_beyond(m.select("a", "digest").distinct(), texts))
+    tokens = far.select("a", "digest", F.explode("beyond").alias("token")).groupBy("a", "token").agg(F.count("*").alias("f"), F.min("digest").alias("digest"))
+    alone = tokens.where("f = 1").groupBy("a", "digest").agg(F.count("*").alias("alone"))
+    far = far.join(alone, ["a", "digest"], "left").select("a", "digest", "shared", (F.size("beyond") - F.coalesce("alone", F.lit(0))).alias("others"))
+    m = m.join(far, ["a", "digest"])
+    most = m.groupBy("bucket").agg(F.max("others").alias("_most"), F.min("size").alias("_least"))
+    both = F.col("shared") + F.least("others", "_most")
+    return cut(m.join(most, "bucket").where(both >= least * (F.col("size") + F.greatest(F.col("_least"), both) - both) - 1e-6).drop("_most", "_least"))
+
+
+def _left_over(crowd: DataFrame, known: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components in crowded buckets that may still be alike, one of them not of the centre's component."""
+    m = hopeful(crowd, known, texts, least)
+    cols = ("digest", "component", "size", "shared", "others", "central")
+    x, y = (m.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "xy")
+    both = F.least("x_shared", "y_shared") + F.least("x_others", "y_others")
+    near = (F.col("x_component") != F.col("y_component")) & (F.col("y_central") | (F.col("x_digest") < F.col("y_digest")))
+    near &= both * (1 + least) >= least * (F.col("x_size") + F.col("y_size")) - 1e-6
+    pairs = x.where("NOT x_central").join(y, "bucket").where(near)
+    return pairs.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")).distinct()
 
 
 def find_links(docs: DataFrame, rows: DataFrame, text: str, least: float = SIMILARITY) -> DataFrame:
@@ -397,7 +374,7 @@ def find_links(docs: DataFrame, rows: DataFrame, text: str, least: float = SIMIL
 
     seen, crowd = _compare(members, texts, least)
     links = seen.where("alike").select("a", "b")
-    rest = cut(_left_over(crowd, seen, components(links), texts, least))
+    rest = cut(_left_over(crowd, components(links), texts, least))
     links = links.unionByName(_verify(rest, texts, least).where("alike").select("a", "b"))
     return components(links).select(F.col("node").alias("digest"), "component")
 

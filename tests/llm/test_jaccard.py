@@ -101,3 +101,24 @@ def test_shared_passages_are_not_compared(spark, monkeypatch):
     rows = [(i, " ".join([*passage, f"w{i}"])) for i in range(400)]  # copies, each with a word of its own: a star
     listed.clear()
     assert {k[2] for k in got(spark, rows)} == {0} and sum(listed) < 2 * 400 * 2
+
+
+def test_near_dedup_compares_no_texts_that_only_share_a_passage(spark, monkeypatch):
+    """Texts with 300 words in common and 40 of their own: crowded buckets, but none has a partner; with near copies among them, only those."""
+    from mnemolake.llm import near_dedup
+
+    rows = []
+    hopeful = near_dedup.hopeful
+
+    def counted(*args):
+        out = hopeful(*args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "hopeful", counted)
+    passage = [f"p{i}" for i in range(300)]
+    for n in (100, 400):
+        texts = [(i, " ".join(passage + [f"w{i}x{k}" for k in range(40)])) for i in range(n)]
+        out = near_dedup.classify(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert {r["class_id"] for r in out} == set(range(n))
+    assert rows == [0, 0]
