@@ -49,7 +49,17 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what ``cut`` does, for rows whose columns compress well."""
     at = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.kept_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` has written, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _SPOT = f"pmod(k, {SIEVE_WORDS})"

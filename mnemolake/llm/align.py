@@ -37,13 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import kept, or_empty, table
+from ._common import forget, kept, or_empty, table
 
 #: Where the box keeps its public vocabularies.
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 #: Characters of texts that are encoded together: a tokenizer's own object of a short text takes a kilobyte and more.
 BATCH_CHARS = 50_000
 MARK = "▁"
@@ -245,6 +245,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         encoded = kept(where.select("stretch").distinct().mapInArrow(encode, "id long, stretch string, a array<int>, a_length array<int>, b array<int>, b_length array<int>"))
         aligned = kept(_groups(align(encoded)))
         known = kept(where.join(encoded.select("id", "stretch"), "stretch").join(aligned, "id", "left").select("block", "stretch", "groups", "pairs", "n_a", "n_b", "n_groups"))
+        forget(where, encoded, aligned)
         found = kept(rows.groupBy("block").cogroup(known.drop("groups").groupBy("block")).applyInArrow(count, "block long, pair long, n long"))
     first = F.shiftright("pair", 32)
     counts = found.groupBy("pair").agg(F.sum("n").alias("n"))
