@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemolake.functions import embedding
 from mnemolake.operators import chunking, evaluation, export, feedback, graph, insights, memory, recall, search, sessions, transitions
 from mnemolake.operators.segments import SegmentedIndex
 from mnemolake.schema import TABLES
@@ -143,8 +144,13 @@ class Engine:
         return insights.changelog(self.table("memories"), self.table("sessions"), since, self.project)
 
     # documents
-    def ingest(self, folder: str, recursive: bool = True, force: bool = True) -> tuple[Engine, DataFrame]:
-        """Reads and chunks a folder's text files; the second result names files that can't be read."""
+    def ingest(self, folder: str, recursive: bool = True, force: bool = True, embedders: list[tuple[str, embedding.Embedder]] | None = None) -> tuple[Engine, DataFrame]:
+        """Reads and chunks a folder's text files; the second result names files that can't be read.
+
+        The first of ``embedders`` that answers gives the chunks vectors. They are kept by
+        the hash of the text, and only asked for where none is kept. If none answers,
+        chunks go without.
+        """
         docs, rejected = pipelines.read_folder(self.spark, folder, recursive)
         docs = docs.withColumn("id", F.sha2("source_path", 256)).withColumn("project", F.lit(self.project).cast("string"))
         kept = ["document_id", "chunk_index", "content", "heading", "chunk_strategy"]
@@ -154,7 +160,11 @@ class Engine:
         chunks = head.unionByName(code).unionByName(text).withColumn("id", F.concat_ws(":", "document_id", F.col("chunk_index").cast("string")))
         chunks = chunks.join(docs.select(F.col("id").alias("document_id"), "source_path", "source_type"), "document_id")
         d, c = transitions.reingest(self.table("documents"), self.table("chunks"), docs.drop("content", "at"), chunks, force)
-        return self.having(documents=d, chunks=c), rejected
+        chosen = embedding.choose(embedders or [])
+        if chosen is None:
+            return self.having(documents=d, chunks=c), rejected
+        vectors = self.table("vectors").unionByName(snapshot.cut(embedding.add_vectors(c, self.table("vectors"), chosen, "content")))
+        return self.having(documents=d, chunks=embedding.with_vectors(c, vectors, chosen[0], "content"), vectors=vectors), rejected
 
     def forget_source(self, path: str) -> Engine:
         d, c = transitions.delete_document(self.table("documents"), self.table("chunks"), path)

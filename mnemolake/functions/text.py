@@ -100,10 +100,7 @@ def redacted(value):
     return "[REDACTED]" if isinstance(value, str) and _SECRET.search(value) else value
 
 
-@F.pandas_udf("string")
-def redact_json(texts: pd.Series) -> pd.Series:
-    """JSON texts with secrets hidden at any depth; what isn't JSON is hidden as a text would be. A walk over values of unknown depth has no column expression."""
-
+def _redact_texts(texts: pd.Series) -> pd.Series:
     def one(t):
         if t is None:
             return None
@@ -115,6 +112,11 @@ def redact_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def redact_json(c: Column) -> Column:
+    """JSON texts with secrets hidden at any depth; what isn't JSON is hidden as a text would be. A walk over values of unknown depth has no column expression, so it runs in Arrow batches."""
+    return F.pandas_udf(_redact_texts, "string")(c)
+
+
 def code_related(c: Column) -> Column:
     return c.rlike(CODE_RELATED)
 

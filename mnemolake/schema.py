@@ -36,7 +36,9 @@ PROJECT_LINKS = _struct({"source_project": _s, "target_project": _s, "created_at
 ARTIFACTS = _struct({"artifact_id": _s, "artifact_type": _s, "project": _s, "source_id": _s, "payload": _s, "created_at": _t, "schema_version": _s})
 AUDIT = _struct({"id": _s, "timestamp": _t, "operation": _s, "memory_id": _s, "topic": _s, "content_hash": _s, "metadata_json": _s})
 
-TABLES = {"memories": MEMORIES, "memoirs": MEMOIRS, "concepts": CONCEPTS, "concept_links": LINKS, "sessions": SESSIONS, "recall_events": RECALLS, "outcome_signals": SIGNALS, "recall_effectiveness": EFFECTS, "documents": DOCUMENTS, "chunks": CHUNKS, "metadata": METADATA, "project_links": PROJECT_LINKS, "artifacts": ARTIFACTS, "audit_log": AUDIT}
+VECTORS = _struct({"hash": _s, "model": _s, "embedding": T.ArrayType(T.FloatType())})
+
+TABLES = {"memories": MEMORIES, "memoirs": MEMOIRS, "concepts": CONCEPTS, "concept_links": LINKS, "sessions": SESSIONS, "recall_events": RECALLS, "outcome_signals": SIGNALS, "recall_effectiveness": EFFECTS, "documents": DOCUMENTS, "chunks": CHUNKS, "metadata": METADATA, "project_links": PROJECT_LINKS, "artifacts": ARTIFACTS, "audit_log": AUDIT, "vectors": VECTORS}
 
 
 def unit(c: Column, default: float) -> Column:

@@ -9,7 +9,8 @@ changes of a file between two steps are one, which is what a debounce window doe
 Each step writes folders of its own number: the chunks of new content, tombstones
 of paths whose older chunks go, and the new manifest, last. A step that is run again
 overwrites its folders from the manifest before it, so a replayed batch gives the
-same. ``present`` reads what is left of all steps.
+same. ``present`` reads what is left of all steps. Spark doesn't list files without
+a byte, so a file that is emptied counts as deleted.
 """
 
 from __future__ import annotations
