@@ -13,7 +13,7 @@ executors. Language, source and ids are never inputs.
 
 Defined cases: a null or empty text is a bag of one passage of zeros; null
 labels are not learnt from; repeated labels of a document are averaged and a half
-counts as 0; of rows that repeat a doc_id one is learnt from; without
+counts as 1; of rows that repeat a doc_id one is learnt from; without
 labels of both kinds every score is the share of label 1 (0.5 with no labels);
 repeated rows get the same score each; an empty table gives no rows; other
 columns are not read.

@@ -13,7 +13,8 @@ spans that character.
 
 Defined cases: a null or empty text has no section and counts of 0; special
 tokens' strings are ordinary text; repeated rows are counted each; an empty table
-gives no rows; other columns are not read. The vocabulary is a file of ranks whose
+gives no rows; other columns are not read; texts may be of any length, white space
+alone included. The vocabulary is a file of ranks whose
 path is a parameter; it is read on the driver and its bytes go with the code, so
 executors need no file.
 """
@@ -39,6 +40,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("first", "most")
 #: What ends a section: a line break, or a run of them with a blank line between.
 SECTIONS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+#: White space, as the pattern has it, in runs that its lookahead is not trusted with: it goes back over them on a stack.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 _encoders: dict = {}
 
 
@@ -54,6 +57,16 @@ def _encoder(raw: bytes):
     return _encoders[raw]
 
 
+def ids_of(encoder, text: str) -> list[int]:
+    """The ids of a whole text. Of a long run of white space, all but the last character before a word is one piece to the pattern, so it is merged as such, and the rest goes on from that character."""
+    ids, begin = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoder.encode_ordinary(text[begin : run.start()]) + encoder._encode_single_piece(text[run.start() : end])
+        begin = end
+    return ids + encoder.encode_ordinary(text[begin:])
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, boundary-crossing tokens) of the sections that start at ``sections``; spans are sorted and within the text."""
     n = len(sections)
@@ -101,7 +114,7 @@ def section_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     if not text:
                         rows.append((0, 0, [], []))
                         continue
-                    ids = encoder.encode_ordinary(text)
+                    ids = ids_of(encoder, text)
                     starts, ends = spans(text, ids, size)
                     sections = np.array([0, *(m.end() for m in SECTIONS[section].finditer(text) if m.end() < len(text))])
                     n, crossing = attribute(starts, ends, sections, rule)

@@ -160,3 +160,25 @@ def test_op13(spark):
     want = [(i, *b[:-1], hashlib.sha256(b[-1].encode()).hexdigest() if b[-1] else "") for (i, _), b in zip(rows, brute_links([t for _, t in rows]))]
     out = align.op13_align(spark, os.path.dirname(SF)).collect()
     assert sorted((r["doc_id"], *(r[c] for c in (*COLUMNS[:-1], "groups_sha256"))) for r in out) == sorted(want)
+
+
+# 7
+
+def test_long_white_space_in_token_counts(spark, monkeypatch):
+    """Equal to the plain encoding where that works; 5 million blanks, which it can't do, are counted too."""
+    import re
+
+    from mnemolake.llm import token_counts as T
+
+    with open(T.VOCABULARY, "rb") as f:
+        encoder, _ = T._encoder(f.read())
+    r = random.Random(6)
+    monkeypatch.setattr(T, "LONG_SPACE", re.compile(T.LONG_SPACE.pattern.replace("10000", "5")))
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "'s", "1", ".", "é", " " * r.randint(1, 12), "\n" * r.randint(1, 9), "\t\x85　" * r.randint(1, 4), "\x1c" * 7]) for _ in range(r.randint(1, 12)))
+        assert T.ids_of(encoder, t) == encoder.encode_ordinary(t)
+    monkeypatch.undo()
+    big = "a b" + " " * 5_000_000 + "c\n" + "\n" * 1_000_000
+    out = T.section_counts(spark.createDataFrame([(1, big), (2, " " * 20_000 + "x")], "doc_id long, text string")).collect()
+    got = {x["doc_id"]: x["tokens"] for x in out}
+    assert got[2] == len(encoder.encode_ordinary(" " * 20_000 + "x")) and got[1] > 2_000_000
