@@ -45,7 +45,7 @@ def recall(
     names = expansion(concepts, asked, concept_index) if concepts is not None else []
     none = F.lit(None).cast("double").alias("score")
     if (session_like or names) and project is not None:
-        found = search.context_recall(memories, asked, limit, project, names, session_like, index).select("id", none, F.struct("branch", "place").alias("o"))
+        found = search.context_recall(memories, asked, limit, project, names, session_like, index, offset).select("id", none, F.struct("branch", "place").alias("o"))
     elif values is not None:
         hits = search.hybrid(memories, asked, values, limit, offset, project, effects, as_of, worktree, index)
         if project not in (None, SHARED):

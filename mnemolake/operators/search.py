@@ -298,7 +298,7 @@ def first_seen(branches: list[DataFrame], orders: list[list], limit: int) -> Dat
     return all_.select("id", "p.branch", "p.place").orderBy("branch", "place").limit(limit)
 
 
-def context_recall(memories: DataFrame, query: str, limit: int, project: str, expanded: list[str] = (), session_like: bool = False, index: TextIndex | None = None) -> DataFrame:
+def context_recall(memories: DataFrame, query: str, limit: int, project: str, expanded: list[str] = (), session_like: bool = False, index: TextIndex | None = None, offset: int = 0) -> DataFrame:
     """Ordered branches: session memories, hits of expanded code names, full text, shared hits."""
     by_weight = [F.desc("weight"), F.desc("created_at"), "id"]
     hits = bm25(memories, memory_text(), fts_phrases(query), index=index).where(active())
@@ -307,13 +307,13 @@ def context_recall(memories: DataFrame, query: str, limit: int, project: str, ex
         branches.append(memories.where(active() & in_project(project) & F.col("topic").startswith("session/")).orderBy(F.desc("created_at"), "id").limit(5))
         orders.append([F.desc("created_at"), "id"])
     if expanded:
-        code = bm25(memories, memory_text(), [p for e in expanded for p in fts_phrases(e)], any_of=True, index=index).where(active() & in_project(project)).orderBy(*by_weight).limit(4 * limit)
+        code = bm25(memories, memory_text(), [p for e in expanded for p in fts_phrases(e)], any_of=True, index=index).where(active() & in_project(project)).orderBy(*by_weight).offset(offset).limit(4 * limit)
         branches.append(code)
         orders.append(by_weight)
-    branches.append(hits.where(in_project(project)).orderBy(*by_weight).limit(limit))
+    branches.append(hits.where(in_project(project)).orderBy(*by_weight).offset(offset).limit(limit))
     orders.append(by_weight)
     if project != "_shared":
-        branches.append(hits.where(F.col("project") == "_shared").orderBy(*by_weight).limit(limit))
+        branches.append(hits.where(F.col("project") == "_shared").orderBy(*by_weight).offset(offset).limit(limit))
         orders.append(by_weight)
     return first_seen(branches, orders, limit)
 
@@ -359,7 +359,7 @@ def gather_context(sections: list[tuple[str, DataFrame, list]], budget_tokens: i
     all_ = all_.withColumn("n", F.row_number().over(run)).withColumn("used", F.sum(F.octet_length("text")).over(run.rowsBetween(Window.unboundedPreceding, 0)))
     over = (F.col("used") > budget_tokens * 4) & (F.col("n") > 1)
     broken = F.max(over).over(run.rowsBetween(Window.unboundedPreceding, 0))
-    return all_.withColumn("broken", broken).where(~F.col("broken")).select("section", "id", "relevance", "n")
+    return all_.withColumn("broken", broken).where(~F.col("broken")).select("section", "id", "text", "relevance", "n")
 
 
 def store_decision(new: DataFrame, best: DataFrame) -> DataFrame:

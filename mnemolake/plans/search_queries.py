@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemolake.functions.text import TOKEN, code_terms, fragments, fts_phrases
+from mnemolake.functions.text import SECRETS, TOKEN, code_terms, fragments, fts_phrases
 from mnemolake.operators import search as S
 from mnemolake.operators.chunking import window_chunks
 from mnemolake.operators.recall import recall
@@ -256,6 +256,11 @@ def _(t):
     return S.context_recall(t.memories, QUERY, 8, "en", ["ered", "ntst"], True, memory_index(t))
 
 
+@query("context_recall_offset", _CTX.replace("LIMIT 32)", "LIMIT 32 OFFSET 3)").replace("LIMIT 8))", "LIMIT 8 OFFSET 3))"))
+def _(t):
+    return S.context_recall(t.memories, QUERY, 8, "en", ["ered", "ntst"], True, memory_index(t), 3)
+
+
 @query("recall_hybrid", f"WITH x AS ({_MERGE}) SELECT x.id, x.score, row_number() OVER (ORDER BY x.score DESC, x.id)::INT AS place FROM x JOIN memories m ON m.id = x.id WHERE len(list_filter(m.keywords, lambda k: contains(k, 'src1'))) > 0")
 def _(t):
     hits = recall(t.memories, f"<b>{QUERY}</b>", 10, values=_vector(t), project="en", keyword="src1", as_of=AS_OF, index=memory_index(t))
@@ -280,7 +285,23 @@ SELECT section, id, relevance, n FROM b WHERE NOT broken"""
 def _(t):
     m = t.memories.where("invalidated_at IS NULL AND project = 'en'").withColumn("text", F.col("summary"))
     s = t.sessions.where("project = 'p1'").withColumn("text", F.coalesce("summary", F.lit("")))
-    return S.gather_context([("memories", m, [F.desc("weight"), "id"]), ("errors", m.where(F.col("topic").startswith("errors/")), [F.desc("created_at"), "id"]), ("sessions", s, [F.desc("started_at"), "id"])], 20000, 6)
+    return S.gather_context([("memories", m, [F.desc("weight"), "id"]), ("errors", m.where(F.col("topic").startswith("errors/")), [F.desc("created_at"), "id"]), ("sessions", s, [F.desc("started_at"), "id"])], 20000, 6).drop("text")
+
+
+_HIDDEN = " OR ".join(f"regexp_matches(text, '{p}')" for p in SECRETS.values())
+_CUT = _GATHER.replace("20000 * 4", "3000 * 4").replace("SELECT section, id, relevance, n FROM b", "SELECT section, id, text, round(relevance, 6) AS relevance, n FROM b").replace("r AS (SELECT *, greatest", f"z AS (SELECT * REPLACE (CASE WHEN {_HIDDEN} THEN '[REDACTED]' ELSE text END AS text) FROM s), r AS (SELECT *, greatest").replace("AS relevance FROM s)", "AS relevance FROM z)")
+_CUT = _CUT.replace("summary AS text, row_number() OVER (ORDER BY weight DESC, id)", "CASE WHEN CAST(id AS INT) % 3 = 0 THEN 'api_key = ' || id || id ELSE summary END AS text, row_number() OVER (ORDER BY weight DESC, id)")
+_CUT = _CUT.replace("FROM sessions WHERE project = 'p1') WHERE place <= 6)", "FROM sessions WHERE project = 'p1') WHERE place <= 6 UNION ALL SELECT * FROM (SELECT 3, 'code', id, name || ': ' || definition, row_number() OVER (ORDER BY confidence DESC, id) AS place FROM concepts WHERE memoir_id = 'mem_code' AND contains(lower(name), 'part_1')) WHERE place <= 6)")
+
+
+@query("gather_context_cut", _CUT)
+def _(t):
+    """A budget that ends the list, texts with secrets hidden, and concepts of the code among the sections."""
+    m = t.memories.where("invalidated_at IS NULL AND project = 'en'").withColumn("text", F.col("summary"))
+    shown = m.withColumn("text", F.when(F.col("id").cast("int") % 3 == 0, F.concat(F.lit("api_key = "), "id", "id")).otherwise(F.col("text")))
+    s = t.sessions.where("project = 'p1'").withColumn("text", F.coalesce("summary", F.lit("")))
+    c = t.concepts.where((F.col("memoir_id") == "mem_code") & F.lower("name").contains("part_1")).withColumn("text", F.concat("name", F.lit(": "), "definition"))
+    return S.gather_context([("memories", shown, [F.desc("weight"), "id"]), ("errors", m.where(F.col("topic").startswith("errors/")), [F.desc("created_at"), "id"]), ("sessions", s, [F.desc("started_at"), "id"]), ("code", c, [F.desc("confidence"), "id"])], 3000, 6).withColumn("relevance", F.round("relevance", 6))
 
 
 @query("code_expand", """WITH c AS (SELECT name, CASE WHEN name = 'part_12' THEN -1000000 ELSE least(CASE WHEN lower(name) = 'part' THEN 0 WHEN starts_with(lower(name), 'part') THEN 1000 WHEN contains(lower(name), 'part') THEN 2000 END, CASE WHEN lower(name) = '12' THEN 1 WHEN starts_with(lower(name), '12') THEN 1001 WHEN contains(lower(name), '12') THEN 2001 END) END AS match FROM concepts WHERE memoir_id = 'mem_code')
