@@ -134,6 +134,19 @@ def purge_counts(memories: DataFrame, sessions: DataFrame, documents: DataFrame,
     return reduce(DataFrame.unionByName, counts)
 
 
+def purge_counts_before(tables: dict[str, tuple[DataFrame, str]], cutoff: str) -> DataFrame:
+    """How many rows of each table, given with its time column, a purge of what is older than the cutoff would take."""
+    counts = [t.where(F.col(c) < at(cutoff)).agg(F.count("*").alias("n")).select(F.lit(k).alias("entity"), "n") for k, (t, c) in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def stale_memoirs(memoirs: DataFrame, concepts: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """(id, stale): whether neither a memoir nor one of its concepts has changed for so many days."""
+    last = concepts.groupBy(F.col("memoir_id").alias("id")).agg(F.max("updated_at").alias("_last"))
+    x = memoirs.join(last, "id", "left")
+    return x.select("id", (F.greatest("updated_at", "_last") <= days_before(as_of, days)).alias("stale"))
+
+
 def embed_backlog(memories: DataFrame) -> DataFrame:
     """Memories without a vector and the text that would be embedded."""
     return memories.where(F.col("embedding").isNull()).select("id", F.concat_ws(" ", "topic", "summary").alias("text"))

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from mnemolake.functions import embedding as EM
 from mnemolake.functions.text import fts_phrases, redact_json
 from mnemolake.operators import feedback as FB
+from mnemolake.operators import graph as G
 from mnemolake.operators import insights as I
+from mnemolake.operators import memory as M
 from mnemolake.operators import recall as R
+from mnemolake.operators import search as S
 from mnemolake.operators import sessions as SE
 from mnemolake.operators import transcripts as TR
 from mnemolake.operators import transitions as T
@@ -209,3 +212,36 @@ def _(t):
 def _(t):
     """The manifests: what didn't change is kept once."""
     return SN.snapshots(t.spark, _snapshots(t)[0]).select("snapshot", "table", "path", "rows")
+
+
+@query("archive_filtered", "SELECT id, topic, weight FROM memories WHERE topic = 'notes' AND created_at >= TIMESTAMP '2024-01-05' AND created_at <= TIMESTAMP '2024-01-20' AND weight >= 0.3")
+def _(t):
+    """An archive of some memories, written and read again."""
+    at = _folder(t, "archive")
+    m = t.memories.select("id", "topic", "weight", "created_at")
+    SN.versioned(SN.export_memories(m, "notes", "2024-01-05 00:00:00", "2024-01-20 00:00:00", 0.3), "1.0").write.json(at)
+    back = t.spark.read.schema("kind string, record string, schema_version string").json(at).where("schema_version = '1.0'")
+    return SN.import_archive(back, "memory", m.schema)[0].select("id", "topic", "weight")
+
+
+@query("purge_counts_before", "SELECT 'memories' AS entity, count(*) AS n FROM memories WHERE created_at < TIMESTAMP '2024-01-10' UNION ALL SELECT 'sessions', count(*) FROM sessions WHERE started_at < TIMESTAMP '2024-01-10' UNION ALL SELECT 'documents', count(*) FROM rag_documents WHERE created_at < TIMESTAMP '2024-01-10'")
+def _(t):
+    return M.purge_counts_before({"memories": (t.memories, "created_at"), "sessions": (t.sessions, "started_at"), "documents": (t.rag_documents, "created_at")}, "2024-01-10 00:00:00")
+
+
+_CHANGED_AT = "TIMESTAMP '2024-01-20' + to_days(CAST(length(name) % 12 AS INTEGER))"
+
+
+@query("stale_memoirs", f"WITH c AS (SELECT memoir_id, max({_CHANGED_AT}) AS at FROM concepts GROUP BY 1) SELECT m.id, greatest(TIMESTAMP '2024-01-02', c.at) <= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS stale FROM memoirs m LEFT JOIN c ON c.memoir_id = m.id")
+def _(t):
+    changed = t.concepts.withColumn("updated_at", F.expr("TIMESTAMP_NTZ'2024-01-20 00:00:00' + make_dt_interval(length(name) % 12)"))
+    return M.stale_memoirs(t.memoirs.withColumn("updated_at", F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'")), changed, AS_OF)
+
+
+_CONCEPT_TEXT = "concat_ws(' ', id, name, definition, array_to_string(list_transform(labels, lambda y: y.namespace || ':' || y.value), ' '))"
+
+
+@query("concepts_labelled", f"WITH {_bm25('h', ' concepts', _CONCEPT_TEXT, [['supplier']])} SELECT id, name FROM (SELECT * FROM h ORDER BY rank, name, id LIMIT 60) WHERE list_contains(list_transform(labels, lambda y: y.namespace || ':' || y.value), 'region:2') ORDER BY rank, name, id LIMIT 20")
+def _(t):
+    """Concepts that full text finds, with a label."""
+    return G.search_labelled(t.concepts, S.concept_fts(t.concepts, "supplier", None, 60), "region:2").select("id", "name")

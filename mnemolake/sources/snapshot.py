@@ -140,6 +140,21 @@ def export_archive(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def export_memories(memories: DataFrame, topic: str | None = None, since: str | None = None, until: str | None = None, weight: float | None = None) -> DataFrame:
+    """The archive of memories under a topic, made in a span of time (its end included), of a weight at least."""
+    keep = F.lit(True)
+    time = lambda t: F.lit(t).cast("timestamp_ntz")
+    if topic is not None:
+        keep &= F.col("topic") == topic
+    if since is not None:
+        keep &= F.col("created_at") >= time(since)
+    if until is not None:
+        keep &= F.col("created_at") <= time(until)
+    if weight is not None:
+        keep &= F.col("weight") >= weight
+    return export_archive({"memory": memories.where(keep)})
+
+
 def import_archive(archive: DataFrame, kind: str, schema) -> tuple[DataFrame, DataFrame]:
     """Rows of a kind, and the records that can't be read as such."""
     rows = archive.where(F.col("kind") == kind).withColumn("r", F.from_json("record", schema, {"mode": "PERMISSIVE"}))
