@@ -56,7 +56,7 @@ def _(t):
 
 # A folder over three rounds: every conversation is a file of its turns; then some change and some go; then some of those come back, others go.
 _FILES = {1: "true", 2: "conv_id % 5 <> 1", 3: "conv_id % 5 <> 2"}
-_TURNED = {1: "text", 2: "CASE WHEN conv_id % 3 = 0 THEN upper(text) ELSE text END", 3: "CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN text WHEN conv_id % 3 = 0 THEN upper(text) ELSE text END"}
+_TURNED = {1: "text", 2: "CASE WHEN conv_id % 3 = 0 THEN replace(text, 'e', 'E') ELSE text END", 3: "CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN text WHEN conv_id % 3 = 0 THEN replace(text, 'e', 'E') ELSE text END"}
 _LINE = "replace(replace({}, chr(10), ' '), chr(13), ' ')"
 
 
