@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,18 @@ def forget(*tables: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What runs within sends Python batches of about ``size``, not of 64 MB: the JVM and both ends of the pipe hold each once at least."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SPOT = f"pmod(k, {SIEVE_WORDS})"
 _BIT = f"shiftleft(1L, CAST(pmod(shiftright(k, {SIEVE_WORDS.bit_length() - 1}), 64) AS INT))"
 

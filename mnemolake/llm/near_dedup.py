@@ -35,13 +35,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, free_name, kept, sieve, sift, table
+from ._common import cut, free_name, kept, sieve, sift, small_batches, table
 from ._components import components
 from ._words import U, Words, mix, slices, utf8
 
@@ -53,6 +54,8 @@ KINDS = ((1, 40, 3, 20), (32, 1 << 62, 5, 32))
 FEW = 8
 #: Numbers that a text's sketches are worked out on at a time.
 AT_ONCE = 2_000_000
+#: Shingles that a lot of texts has beyond their centres.
+LOT = 100_000
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -328,6 +331,46 @@ def _beyond(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, digest binary, shared long, beyond array<long>")
 
 
+def _others(far: DataFrame, lot: int = LOT) -> DataFrame:
+    """(a, digest, shared, beyond) -> (a, digest, shared, others): how many shingles beyond the centre another text of that centre has, too.
+
+    Rows are dealt into lots of about ``lot`` shingles, or more where there are many. A lot tells which it has once
+    and which more often, in parts by hash; a part gathers all lots' shingles and
+    tells each lot those that it has once and another lot has, too. So rows are lots
+    times parts, not shingles, and one that many texts have comes once from each lot.
+    """
+    total = far.agg(F.sum(F.size("beyond"))).first()[0] or 0
+    n = 1 + total // max(lot, 30 * isqrt(total))  # so rows are fewer than shingles at any size
+    far = far.withColumn("lot", F.pmod(F.xxhash64("a", "digest"), F.lit(n)))
+    longs = pa.list_(pa.int64())
+
+    def keys(rows: pa.Table) -> list[np.ndarray]:
+        return [mix(x.values.to_numpy().view(U) ^ np.frombuffer(a[:8], U)) for a, x in zip(rows["a"].to_pylist(), rows["beyond"].combine_chunks(), strict=True)]
+
+    def tell(rows: pa.Table) -> pa.Table:
+        token, count = np.unique(np.concatenate(keys(rows)), return_counts=True)
+        part = (token % U(n)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        token, count, (parts, first) = token[order], count[order], np.unique(part[order], return_index=True)
+        of = [[x[c == 1] if once else x[c > 1] for x, c in zip(np.split(token.view(np.int64), first[1:]), np.split(count, first[1:]), strict=True)] for once in (True, False)]
+        return pa.table({"part": pa.array(parts), "lot": pa.array(np.full(len(parts), rows["lot"][0].as_py())), "once": pa.array(of[0], longs), "more": pa.array(of[1], longs)})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        once, more = ([x.values.to_numpy() for x in rows[c].combine_chunks()] for c in ("once", "more"))
+        token, count = np.unique(np.concatenate([*once, *more, *more]), return_counts=True)
+        several = token[count > 1]
+        return pa.table({"lot": rows["lot"], "tokens": pa.array([x[np.isin(x, several, assume_unique=True)] for x in map(np.concatenate, zip(once, more, strict=True))], longs)})
+
+    def count(rows: pa.Table, told: pa.Table) -> pa.Table:
+        several = np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in told["tokens"].combine_chunks())]).view(U)
+        others = [np.count_nonzero(np.isin(x, several)) for x in keys(rows)]
+        return pa.table({"a": rows["a"], "digest": rows["digest"], "shared": rows["shared"], "others": pa.array(others, pa.int64())})
+
+    told = far.groupBy("lot").applyInArrow(tell, "part long, lot long, once array<long>, more array<long>")
+    told = told.groupBy("part").applyInArrow(meet, "lot long, tokens array<long>")
+    return far.groupBy("lot").cogroup(told.groupBy("lot")).applyInArrow(count, "a binary, digest binary, shared long, others long")
+
+
 def hopeful(crowd: DataFrame, known: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The members of crowded buckets with several components that may be alike to another one.
 
@@ -340,10 +383,7 @@ def hopeful(crowd: DataFrame, known: DataFrame, texts: DataFrame, least: float)
     m = m.join(_open(m).select("bucket"), "bucket").where(F.col("a") != F.col("digest"))  # the centre has been compared
     of_centre = known.withColumnsRenamed({"node": "a", "component": "_ca"})
     m = cut(m.join(of_centre, "a", "left").withColumn("central", F.col("component") == F.coalesce("_ca", "a")).drop("_ca"))
-    far = kept(_beyond(m.select("a", "digest").distinct(), texts))
-    tokens = far.select("a", "digest", F.explode("beyond").alias("token")).groupBy("a", "token").agg(F.count("*").alias("f"), F.min("digest").alias("digest"))
-    alone = tokens.where("f = 1").groupBy("a", "digest").agg(F.count("*").alias("alone"))
-    far = far.join(alone, ["a", "digest"], "left").select("a", "digest", "shared", (F.size("beyond") - F.coalesce("alone", F.lit(0))).alias("others"))
+    far = _others(kept(_beyond(m.select("a", "digest").distinct(), texts)))
     m = m.join(far, ["a", "digest"])
     most = m.groupBy("bucket").agg(F.max("others").alias("_most"), F.min("size").alias("_least"))
     both = F.col("shared") + F.least("others", "_most")
@@ -372,10 +412,12 @@ def find_links(docs: DataFrame, rows: DataFrame, text: str, least: float = SIMIL
     near = sift(_sequence_rows(docs, text), F.xxhash64("digest"), sieve(needed.select(F.xxhash64("digest").alias("key")), "key"))
     texts = cut(near.join(needed, "digest").groupBy("digest").agg(F.first("seq").alias("seq")))
 
-    seen, crowd = _compare(members, texts, least)
-    links = seen.where("alike").select("a", "b")
-    rest = cut(_left_over(crowd, components(links), texts, least))
-    links = links.unionByName(_verify(rest, texts, least).where("alike").select("a", "b"))
+    # Pairs carry two texts' shingles each, so a batch of many rows would be large.
+    with small_batches(docs.sparkSession):
+        seen, crowd = _compare(members, texts, least)
+        links = seen.where("alike").select("a", "b")
+        rest = cut(_left_over(crowd, components(links), texts, least))
+        links = cut(links.unionByName(_verify(rest, texts, least).where("alike").select("a", "b")))
     return components(links).select(F.col("node").alias("digest"), "component")
 
 

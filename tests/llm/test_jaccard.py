@@ -122,3 +122,32 @@ def test_near_dedup_compares_no_texts_that_only_share_a_passage(spark, monkeypat
         out = near_dedup.classify(spark.createDataFrame(texts, "doc_id long, text string")).collect()
         assert {r["class_id"] for r in out} == set(range(n))
     assert rows == [0, 0]
+
+
+def test_near_dedup_counts_shared_shingles_in_lots(spark):
+    """What texts have beyond their centre comes in rows of lots, not of shingles; the counts are those of each shingle."""
+    from collections import Counter
+
+    from mnemolake.llm import near_dedup
+
+    r = random.Random(8)
+    rows = [(bytes([a]) * 16, i.to_bytes(16, "big"), i, r.sample(range(-300, 3000), r.randint(0, 60)) + [5000 + a]) for a in (1, 2, 3) for i in range(200)]
+    seen = Counter((a, t) for a, _, _, x in rows for t in x)
+    want = {(a, d): (s, sum(seen[a, t] > 1 for t in x)) for a, d, s, x in rows}
+    far = spark.createDataFrame(rows, "a binary, digest binary, shared long, beyond array<long>")
+    for lot in (near_dedup.LOT, 500):
+        out = near_dedup._others(far, lot)
+        assert {(bytes(x["a"]), bytes(x["digest"])): (x["shared"], x["others"]) for x in out.collect()} == want
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert near_dedup._others(far.limit(0)).count() == 0
+
+
+def test_near_dedup_sends_pairs_in_small_batches(spark, monkeypatch):
+    """Pairs carry both texts' shingles: they aren't sent to Python 64 MB at a time, which took 3 GB of an executor with crowded buckets."""
+    from mnemolake.llm import near_dedup
+
+    name, seen, verify = "spark.sql.execution.arrow.maxBytesPerBatch", [], near_dedup._verify
+    before = spark.conf.get(name)
+    monkeypatch.setattr(near_dedup, "_verify", lambda *args: (seen.append(spark.conf.get(name)), verify(*args))[1])
+    near_dedup.classify(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f g")])).collect()
+    assert set(seen) == {"8m"} and spark.conf.get(name) == before
