@@ -1,19 +1,22 @@
-"""Alignment of two tokenizers' tokens, in joins.
+"""Alignment of two tokenizers' tokens.
 
 Both encode the same bytes, a space and the text. Byte offsets where a token of
 either ends cut the tokens into groups; tokens of one group are linked, each of the
-one with each of the other. ``align`` finds groups relationally: tokens are
-exploded with their position, their ends are running sums of their lengths, an
-equi-join on the text and the end finds the cuts, running counts of cuts number the
-groups, and a join on text and group brings the two sides together.
+one with each of the other. Ends are running sums of the tokens' lengths, cuts are
+the ends of both, and a token's group is the first cut at or behind its end.
 
 A text is encoded and aligned stretch by stretch: a stretch begins at a space after
 a character that isn't white space. No token of either vocabulary goes across such
 a place (``stretches_end_tokens`` looks at that; where it doesn't hold, a text is
 one stretch), so the stretches' tokens are those of the whole text and each stretch
-ends a group. Every distinct stretch of the corpus is encoded and aligned once, and
-the groups are carried to the texts in blocks of about ``BLOCK_CHARS`` characters,
-each with the stretches that occur in it.
+ends a group. For the same reason stretches can be encoded many at once, with
+spaces between them, and their tokens told apart by their ends.
+
+Texts are taken in blocks of about ``BLOCK_CHARS`` characters, as they come. A block
+encodes and aligns each of its stretches once and tells how many of its texts link
+each pair of ids. Spark adds these counts up over the corpus, finds the highest of
+each first id, and joins the pairs back to the blocks that have them, where texts
+are rows of stretches' numbers and no text is needed any more.
 
 Defined cases: null and empty texts, and those whose joined bytes differ from a space
 and the text, have no tokens; rows that repeat are texts of their own; special
@@ -24,27 +27,29 @@ the driver reads them (under 3 MB) and sends their contents.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import forget, kept, or_empty, table
+from ._common import kept, or_empty, small_batches, table
 
 #: Where the box keeps its public vocabularies.
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a block.
-BLOCK_CHARS = 8_000_000
-#: Characters of texts that are encoded together: a tokenizer's own object of a short text takes a kilobyte and more.
+BLOCK_CHARS = 7_000_000
+#: Characters of stretches that are encoded together.
 BATCH_CHARS = 50_000
 MARK = "▁"
 #: A space after what isn't white space begins a stretch; so the others are within one.
@@ -68,7 +73,10 @@ class Coder:
         byte = {chr(c): c for c in own} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in own)}
         self.a_bytes = {i: bytes(byte[c] for c in piece) for piece, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte for c in piece)}
         self.pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.a_size = np.zeros(1 + max(self.a_bytes), np.int64)
+        self.a_size[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.b_size = np.array(list(map(len, self.b_bytes)))
 
     def stretches_end_tokens(self, a: str) -> bool:
         """Whether no token of either goes on at a space after something else."""
@@ -85,6 +93,33 @@ class Coder:
             joined = b"".join(p)
             yield (x, list(map(len, p)), y, list(map(len, q))) if joined == b"".join(q) and joined == (" " + text).encode() else (None,) * 4
 
+    def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(a, b, a_sizes, b_sizes, groups) of texts in order, of several at once: ids, how many of each a group has, and how many groups each text has.
+
+        Texts are encoded as one with spaces between them, so all but a last one must
+        end in what isn't white space. A text without tokens has no groups; it is found by halving.
+        """
+        text = " ".join(texts)
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text) if text else [self.b.piece_to_id(MARK)]
+        if b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) == (" " + text).encode():
+            a, b = np.array(a, np.int32), np.array(b, np.int32)
+            a_ends, b_ends = self.a_size[a].cumsum(), self.b_size[b].cumsum()
+            of_a = np.zeros(a_ends[-1] + 1, bool)
+            of_b = np.zeros_like(of_a)
+            of_a[a_ends] = of_b[b_ends] = True
+            a_cuts, b_cuts = np.flatnonzero(of_b[a_ends]), np.flatnonzero(of_a[b_ends])  # the tokens that end where one of the other does
+            cuts = a_ends[a_cuts]
+            ends = np.cumsum([1 + (len(t) if t.isascii() else len(t.encode())) for t in texts])
+            last = np.searchsorted(cuts, ends)
+            if (cuts[last] == ends).all():
+                yield a, b, *(np.diff(x, prepend=-1) for x in (a_cuts, b_cuts, last))
+                return
+        if len(texts) > 1:
+            yield from self.align(texts[: len(texts) // 2])
+            yield from self.align(texts[len(texts) // 2 :])
+        else:
+            yield *(np.zeros(0, np.int32),) * 4, np.zeros(1, np.int64)
+
 
 def _coder(a: str, b: bytes) -> Coder:
     key = (a, b)
@@ -100,72 +135,71 @@ def stretches(text: str, split: bool = True) -> list[str]:
     return BEGIN.split(text) if INSIDE.search(text) or text[:1] == " " else text.split(" ")
 
 
-@contextmanager
-def _partial_keys(spark: SparkSession):
-    """Joins on text and position take texts dealt by text alone."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def align(encoded: DataFrame) -> DataFrame:
-    """(id, group, a_ids, b_ids) from (id, a, a_length, b, b_length): a text's id, and arrays of its tokens' ids and of their lengths in bytes."""
-    dealt = encoded.where(F.col("a").isNotNull()).select("id", "a", "a_length", "b", "b_length").repartition("id")
-
-    def side(x: str) -> DataFrame:
-        rows = dealt.select("id", F.posexplode(F.arrays_zip(F.col(x).alias("token"), F.col(f"{x}_length").alias("length"))).alias("pos", "t"))
-        upto = Window.partitionBy("id").orderBy("pos")
-        return rows.select("id", F.col("t.token").alias("token"), F.sum("t.length").over(upto).alias("end"))
-
-    def grouped(x: str, other: str) -> DataFrame:
-        ends = side(other).select("id", "end", F.lit(1).alias("cut"))
-        before = Window.partitionBy("id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)  # ends stand in the tokens' order
-        rows = side(x).join(ends, ["id", "end"], "left").withColumn("group", F.count("cut").over(before))
-        tokens = F.transform(F.array_sort(F.collect_list(F.struct("end", "token"))), lambda t: t["token"])
-        return rows.groupBy("id", "group").agg(tokens.alias(f"{x}_ids"))
-
-    return grouped("a", "b").join(grouped("b", "a"), ["id", "group"])
-
-
-def _groups(aligned: DataFrame) -> DataFrame:
-    """(id, groups, pairs, n_a, n_b, n_groups): the groups of each text, ``a1,a2|b1;a3|b2,b3``, its links as numbers of two ids, and its sizes."""
-    text = F.concat_ws("|", F.array_join(F.col("a_ids").cast("array<string>"), ","), F.array_join(F.col("b_ids").cast("array<string>"), ","))
-    pairs = F.flatten(F.transform("a_ids", lambda x: F.transform("b_ids", lambda y: F.shiftleft(x.cast("long"), 32) + y)))
-    g = aligned.select("id", F.struct("group", text.alias("s"), pairs.alias("p")).alias("g"), F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"))
-    g = g.groupBy("id").agg(F.array_sort(F.collect_list("g")).alias("g"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-    return g.select("id", F.array_join(F.col("g.s"), ";").alias("groups"), F.flatten("g.p").alias("pairs"), "n_a", "n_b", F.size("g").cast("long").alias("n_groups"))
-
-
-class _Block:
-    """The stretches of a block: their groups and sizes, and all links as pairs of ids, those of stretch i at at[i]:at[i + 1]."""
-
-    def __init__(self, rows: pa.Table):
-        rows = rows.filter(pc.is_valid(rows["stretch"])).combine_chunks()
-        self.spot = dict(zip(rows["stretch"].to_pylist(), range(len(rows)), strict=True))
-        self.groups = rows["groups"].to_pylist() if "groups" in rows.column_names else None
-        self.good = np.asarray(pc.is_valid(rows["n_a"]))
-        lists = pc.fill_null(rows["pairs"], pa.scalar([], pa.list_(pa.int64()))).combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        self.pairs, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        self.at = at - at[0] if len(at) else np.zeros(1, np.int64)
-        sizes = [pc.fill_null(rows[c], 0).to_numpy() for c in ("n_a", "n_b", "n_groups")]
-        self.size = np.column_stack([*sizes, np.diff(self.at)]) if len(rows) else np.zeros((0, 4), np.int64)
-
-    def of(self, text: str | None, split: bool, once: bool = False) -> np.ndarray | None:
-        """The numbers of a text's stretches, in order, or ``once`` each; None if it has no tokens."""
-        if not text:
-            return None
-        parts = stretches(text, split)
-        spots = np.fromiter(map(self.spot.__getitem__, set(parts) if once else parts), np.int64)
-        return spots if self.good[spots].all() else None
-
-    def distinct_pairs(self, k: np.ndarray) -> np.ndarray:
-        n = self.at[k + 1] - self.at[k]
-        return np.unique(self.pairs[np.repeat(self.at[k] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Of those before each place, and of all."""
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(x, dtype=np.int64)])
+
+
+class _Aligned:
+    """What ``Coder.align`` has told of some stretches; of their links, ``pairs`` of ids, those of stretch i are at at[i]:at[i + 1]."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, groups: np.ndarray):
+        self.a, self.b, self.a_sizes, self.b_sizes, self.groups = a, b, a_sizes, b_sizes, groups
+        self.bounds = _sums(groups)
+        self.a_at, self.b_at = _sums(a_sizes), _sums(b_sizes)
+        self.at = _sums(np.int64(1) * a_sizes * b_sizes)[self.bounds]
+
+    def pairs(self) -> np.ndarray:
+        times = np.repeat(self.b_sizes, self.a_sizes)
+        out = np.repeat(self.a.astype(np.int64) << 32, times)
+        first = np.repeat(self.b_at[:-1], self.a_sizes) - _sums(times)[:-1]
+        out += self.b[np.arange(len(out)) + np.repeat(first, times)]
+        return out
+
+    def part(self, i: int, j: int) -> _Aligned:
+        """Stretches i to j."""
+        g, h = self.bounds[i], self.bounds[j]
+        return _Aligned(self.a[self.a_at[g] : self.a_at[h]], self.b[self.b_at[g] : self.b_at[h]], self.a_sizes[g:h], self.b_sizes[g:h], self.groups[i:j])
+
+    def strings(self, at_once: int = 20_000) -> list[str]:
+        """The groups of each stretch, ``a1,a2|b1;a3|b2,b3;``."""
+        if len(self.groups) > at_once:
+            return [s for i in range(0, len(self.groups), at_once) for s in self.part(i, min(i + at_once, len(self.groups))).strings()]
+        flat = np.empty(len(self.a) + len(self.b), object)
+        ends = self.a_at[1:] - 1, self.b_at[1:] - 1
+        before = np.repeat(self.b_at[:-1], self.a_sizes), np.repeat(self.a_at[1:], self.b_sizes)
+        for ids, last, more, mark in zip((self.a, self.b), ends, before, "|;", strict=True):
+            some, where = np.unique(ids, return_inverse=True)
+            names = np.array([f"{i}," for i in some.tolist()], object)[where]
+            names[last] = np.array([f"{i}{mark}" for i in some.tolist()], object)[where[last]]
+            flat[np.arange(len(ids)) + more] = names
+        flat, at = flat.tolist(), (self.a_at + self.b_at)[self.bounds].tolist()
+        return ["".join(flat[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
+
+
+def _release(coders: bool = False) -> None:
+    """Gives back what a block took, which a worker would else keep, and tokenizers that it needs no more."""
+    if coders:
+        _coders.clear()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Rows of a block: texts (``spots`` are null if they have no tokens), stretches from number ``first`` on, and pairs with the number of texts.
+_ROWS = "block long, is_text boolean, doc_id {kind}, spots array<int>, first int, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>, groups array<int>, pairs array<long>, n array<int>"
+
+
+def _by_length(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Slices of about ``most`` characters."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > most:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield texts[begin:]
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -184,76 +218,91 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     split = Coder(a_raw, b_raw).stretches_end_tokens(a_raw)
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 + chars // block_chars)))
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    id_type = rows.limit(0).toArrow().schema.field("doc_id").type
+    types = {"block": pa.int64(), "is_text": pa.bool_(), "doc_id": id_type, "first": pa.int32(), "pairs": pa.list_(pa.int64())}
+    fields = [(c.split()[0], types.get(c.split()[0], pa.list_(pa.int32()))) for c in _ROWS.split(", ")]
+
+    def block(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
+        coder, spot = _coder(*sent.value), defaultdict()
+        spot.default_factory = spot.__len__
+        parts = (stretches(t, split) if t else [] for t in rows["text"].to_pylist())
+        spots = [np.fromiter(map(spot.__getitem__, p), np.int32) for p in parts]
+        # Those that nothing may follow in one encoding come last, one by one.
+        names = list(spot)
+        alone = np.array([not split or not t or t[-1].isspace() for t in names], bool)
+        order = np.argsort(alone, kind="stable")
+        many, single = [names[i] for i in order[: len(names) - alone.sum()]], [names[i] for i in order[len(names) - alone.sum() :]]
+        place = np.argsort(order).astype(np.int32)
+        told, first = [], 0
+
+        def batch(length: int, /, **cols) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(length, number), pa.int64()), *(cols[c].cast(t) if c in cols else pa.nulls(length, t) for c, t in fields[1:])], [c for c, _ in fields])
+
+        for texts, each in ((many, False), (single, True)):
+            for some in _by_length(texts, BATCH_CHARS):
+                got = (x for t in some for x in coder.align([t])) if each else coder.align(some)
+                got = [np.concatenate(x).astype(np.int32) for x in zip(*got, strict=True)]
+                told.append(got)
+                yield batch(1, first=pa.array([first]), **{c: pa.array([x]) for c, x in zip(("a", "b", "a_sizes", "b_sizes", "groups"), got, strict=True)})
+                first += len(some)
+        known = _Aligned(*(np.concatenate(x) for x in zip(*told, strict=True))) if told else None
+        spots = [place[x] for x in spots]
+        has = [len(x) > 0 and bool((known.groups[x] > 0).all()) for x in spots]
+        yield batch(len(spots), is_text=pa.array([True] * len(spots)), doc_id=rows["doc_id"].combine_chunks(), spots=pa.array([x if y else None for x, y in zip(spots, has, strict=True)], pa.list_(pa.int32())))
+        if any(has):
+            codes = pa.array(known.pairs()).dictionary_encode()
+            codes, pairs = codes.indices.to_numpy(), codes.dictionary.to_numpy()
+            n = np.zeros(len(pairs), np.int32)
+            for x in (x for x, y in zip(spots, has, strict=True) if y):
+                k = np.unique(x)
+                m = known.at[k + 1] - known.at[k]
+                n[np.unique(codes[np.repeat(known.at[k] - _sums(m)[:-1], m) + np.arange(m.sum())])] += 1
+            yield batch(1, pairs=pa.array([pairs[n > 0]]), n=pa.array([n[n > 0]]))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 33, [], 0  # the rows are written before their numbers are used
         for batch in batches:
-            found: dict[int, set] = {}
-            for block, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if t:
-                    found.setdefault(block, set()).update(stretches(t, split))
-            for block, names in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(names), pa.int64()), pa.array(list(names), pa.string())], ["block", "stretch"])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(*sent.value)
-        ints = pa.list_(pa.int32())
-        next_id = TaskContext.get().partitionId() << 33  # the rows are written before their ids are used
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+            upto = _sums(np.asarray(pc.fill_null(pc.utf8_length(batch.column(1)), 0)))
             begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size + len(texts[end]) <= BATCH_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                cols = zip(*coder.encode(texts[begin:end]), strict=True)
-                ids = pa.array(np.arange(next_id, next_id + end - begin))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(texts[begin:end], pa.string()), *(pa.array(c, ints) for c in cols)], ["id", "stretch", "a", "a_length", "b", "b_length"])
-                next_id += end - begin
+            while begin < len(batch):
+                end = min(len(batch), max(begin + 1, int(np.searchsorted(upto, upto[begin] + block_chars - size, "right")) - 1))
+                held.append(batch.slice(begin, end - begin))
+                size += int(upto[end] - upto[begin])
+                if end < len(batch) or size >= block_chars:
+                    yield from block(pa.Table.from_batches(held), number)
+                    number, held, size = number + 1, [], 0
+                    _release()
                 begin = end
-
-    def count(docs: pa.Table, known: pa.Table) -> pa.Table:
-        block, each = _Block(known), []
-        for t in docs["text"].to_pylist():
-            spots = block.of(t, split, True)
-            if spots is not None:
-                each.append(block.distinct_pairs(spots))
-        pairs, n = np.unique(np.concatenate(each) if each else np.zeros(0, np.int64), return_counts=True)
-        return pa.table({"block": pa.array(np.full(len(pairs), docs["block"][0].as_py() if len(docs) else 0), pa.int64()), "pair": pa.array(pairs, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    def measure(docs: pa.Table, known: pa.Table) -> pa.Table:
-        block = _Block(known)
-        counts = known.filter(pc.is_valid(known["pair"]))
-        code, n, best = (counts[c].to_numpy() for c in ("pair", "n", "best"))
-        order = np.argsort(code)
-        here = np.minimum(np.searchsorted(code, block.pairs, sorter=order), len(code) - 1)  # pairs that only texts without tokens hold aren't counted, nor used
-        here = order[here] if len(code) else np.zeros(0, np.int64)
-        total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v[here])])[block.at]) if len(here) else np.zeros(len(block.at) - 1, np.int64)
-        value = np.column_stack([block.size, total(best.astype(np.int64)), total(n)])
-        sums, groups = np.zeros((len(docs), 6), np.int64), []
-        for i, t in enumerate(docs["text"].to_pylist()):
-            spots = block.of(t, split)
-            if spots is not None:
-                sums[i] = value[spots].sum(axis=0)
-            groups.append(";".join([block.groups[s] for s in spots.tolist()]) if spots is not None else "")
-        return pa.table({"doc_id": docs["doc_id"], **{c: sums[:, k] for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))}, "groups": pa.array(groups, pa.string())})
-
-    with _partial_keys(spark):
-        where = kept(rows.select("block", "text").mapInArrow(tell, "block long, stretch string").distinct())
-        encoded = kept(where.select("stretch").distinct().mapInArrow(encode, "id long, stretch string, a array<int>, a_length array<int>, b array<int>, b_length array<int>"))
-        aligned = kept(_groups(align(encoded)))
-        known = kept(where.join(encoded.select("id", "stretch"), "stretch").join(aligned, "id", "left").select("block", "stretch", "groups", "pairs", "n_a", "n_b", "n_groups"))
-        forget(where, encoded, aligned)
-        found = kept(rows.groupBy("block").cogroup(known.drop("groups").groupBy("block")).applyInArrow(count, "block long, pair long, n long"))
+        if held:
+            yield from block(pa.Table.from_batches(held), number)
+        _release()
+
+    def measure(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        _release(True)
+        texts, parts = rows.filter(pc.is_valid(rows["is_text"])), rows.filter(pc.is_valid(rows["first"])).sort_by("first")
+        known = _Aligned(*(pc.list_flatten(parts[c]).to_numpy() for c in ("a", "b", "a_sizes", "b_sizes", "groups")))
+        here = pc.fill_null(pc.index_in(pa.array(known.pairs()), value_set=counts["pair"].combine_chunks()), len(counts)).to_numpy()  # pairs that only texts without tokens hold aren't counted, nor used
+        of_links = [_sums(np.append(counts[c].to_numpy(), 0).astype(np.int64)[here])[known.at] for c in ("best", "n")]
+        upto = [known.a_at[known.bounds], known.b_at[known.bounds], known.bounds, known.at, *of_links]
+        spots = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in texts["spots"].combine_chunks()]
+        at, flat = _sums([len(x) for x in spots]), np.concatenate([np.zeros(0, np.int32), *spots])
+        sums = {c: np.diff(_sums(np.diff(x)[flat])[at]) for c, x in zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), upto, strict=True)}
+        del here, of_links, upto, flat
+        strings = known.strings()
+        # A chunk becomes a batch, and the JVM holds one at a time.
+        groups = pa.chunked_array([pa.array(["".join(map(strings.__getitem__, x.tolist()))[:-1] for x in spots[i : i + 200]], pa.string()) for i in range(0, len(spots), 200)], pa.string())
+        return pa.table({"doc_id": texts["doc_id"], **sums, "groups": groups})
+
+    with small_batches(spark):
+        known = kept(rows.mapInArrow(blocks, _ROWS.format(kind=kind)))
+    found = known.where(F.col("pairs").isNotNull()).select("block", F.explode(F.arrays_zip(F.col("pairs").alias("pair"), "n")).alias("x")).select("block", "x.pair", F.col("x.n").cast("long").alias("n"))
     first = F.shiftright("pair", 32)
     counts = found.groupBy("pair").agg(F.sum("n").alias("n"))
     tops = counts.groupBy(first.alias("a")).agg(F.max("n").alias("top"))
     counts = counts.withColumn("a", first).join(tops, "a").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
-    told = found.select("block", "pair").join(counts, "pair")
-    known = known.unionByName(told, allowMissingColumns=True)
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(measure, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+    told = found.select(F.col("block").alias("of"), "pair").join(counts, "pair")
+    texts = known.where(F.col("pairs").isNull()).drop("pairs", "n")
+    return texts.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(measure, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
 
 def _digest(groups: Column) -> Column:

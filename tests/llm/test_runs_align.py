@@ -132,6 +132,24 @@ def test_stretches_give_the_tokens_of_whole_texts():
             assert list(whole) == [sum((p[k] for p in parts), []) for k in range(4)]
 
 
+def test_stretches_aligned_at_once():
+    """Many stretches encoded as one text have the groups of each alone; those without tokens are found among them."""
+    with open(align.A_FILE, encoding="utf-8") as f, open(align.B_FILE, "rb") as g:
+        coder = align.Coder(f.read(), g.read())
+    r = random.Random(4)
+    pool = [*"abz'sé1,.<>|　\x85​😀", "<|endoftext|>", "the", "tion", " \n", "  "]
+    texts = ["".join(r.choices(pool, k=r.randint(1, 12))) + "x" for _ in range(2000)]
+    texts = [*dict.fromkeys(s for t in texts for s in align.stretches(t) if s and not s[-1].isspace()), "ﬁ", "▁", "end\n"]
+    got = [np.concatenate(x) for x in zip(*coder.align(texts), strict=True)]
+    known = align._Aligned(*got)
+    assert len(known.groups) == len(texts)
+    want = brute_links(texts)
+    assert known.strings() == [b[-1] + ";" * bool(b[-1]) for b in want]
+    sizes = (known.a_at[known.bounds], known.b_at[known.bounds], known.bounds, known.at)
+    assert list(zip(*(np.diff(x).tolist() for x in sizes), strict=True)) == [b[:4] for b in want]
+    assert sum(n == 0 for n in known.groups) == sum(not b[-1] for b in want) > 0
+
+
 def test_links_against_brute_force(spark):
     r = random.Random(3)
     pool = [*"abé ,\n1", "the ", " of", "tion ", "<|endoftext|>", "😀", "é", " ▁"]
