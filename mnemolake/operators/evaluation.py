@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,65 +19,78 @@ SLOT = 64
 METRICS = {"error_rate": True, "correction_rate": True, "resolution_rate": False, "test_fix_rate": False, "memory_utilization": False}
 
 
-def _same(keys: list[str], *more: str) -> Column:
-    """Equality of the keys with their copies, named with a bar before, nulls alike."""
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, *more)])
-
-
-def _copy(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
-    return df.select(*[F.col(k).alias(f"_{k}") for k in keys], *more)
-
-
 def islands(rows: DataFrame, keys: list[str], pause: int) -> DataFrame:
     """``rows`` with ``island``, the number of the run within its key: runs end at pauses of more than ``pause`` seconds.
 
     Time is cut into slots. Rows are put in order within their key and slot only;
     what goes on across slots is told by the last moment of the slot before,
-    from a table with a row a key and slot.
+    from a table with a row a key and slot. Key and slot are one column, whose
+    nulls are alike, so rows are dealt out once for the order, the table and the join.
     """
     micros = F.unix_micros(F.col("at").cast("timestamp"))
-    x = rows.withColumn("_t", micros).withColumn("slot", F.floor(micros / (SLOT * pause * 1_000_000)).cast("long"))
-    edges = x.groupBy(*keys, "slot").agg(F.max("_t").alias("hi"))
-    slots = Window.partitionBy(*keys).orderBy("slot")
-    edges = _copy(edges.withColumn("_last", F.lag("hi").over(slots)), keys, F.col("slot").alias("_slot"), "_last")
-    inside = Window.partitionBy(*keys, "slot").orderBy("_t", "old", "id")
-    x = x.withColumn("_before", F.lag("_t").over(inside)).join(edges, _same(keys, "slot")).drop(*[f"_{k}" for k in keys], "_slot")
-    x = x.withColumn("_cut", F.coalesce(F.col("_t") - F.coalesce("_before", "_last") > pause * 1_000_000, F.lit(False)).cast("int"))
+    unit = F.struct(F.struct(*keys).alias("key"), F.floor(micros / (SLOT * pause * 1_000_000)).cast("long").alias("slot"))
+    x = rows.select(unit.alias("_unit"), *[c for c in rows.columns if c not in keys])
+    inside = Window.partitionBy("_unit").orderBy("at", "old", "id")
+    late = lambda gap: F.coalesce(gap > pause * 1_000_000, F.lit(False)).cast("int")
+    x = x.withColumn("_cut", late(micros - F.unix_micros(F.lag("at").over(inside).cast("timestamp"))))
     x = x.withColumn("_own", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    held = x.groupBy(*keys, "slot").agg(F.sum("_cut").alias("cuts"))
-    held = _copy(held.withColumn("_base", F.coalesce(F.sum("cuts").over(slots.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), keys, F.col("slot").alias("_slot"), "_base")
-    return x.join(held, _same(keys, "slot")).select(*rows.columns, (F.col("_base") + F.col("_own")).alias("island"))
+    edges = x.groupBy("_unit").agg(F.min(micros).alias("lo"), F.max(micros).alias("hi"), F.sum("_cut").alias("cuts"))
+    slots = Window.partitionBy("_unit.key").orderBy("_unit.slot")
+    edges = edges.withColumn("_new", late(F.col("lo") - F.lag("hi").over(slots)))
+    base = F.sum(F.col("_new") + F.col("cuts")).over(slots.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cuts")
+    x = x.join(edges.select("_unit", base.alias("_base")), "_unit")
+    return x.select(*[F.col(f"_unit.key.{c}").alias(c) if c in keys else F.col(c) for c in rows.columns], (F.col("_base") + F.col("_own")).alias("island"))
+
+
+def _walk(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ids of what finds no partner among rows (first of its island, micros, old, id) that stand together by island and in order of time. Held are only rows that wait, of one kind, for less than ``span``."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        olds, news = deque(), deque()
+        found = lambda ids: pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], ["id"])
+        for batch in batches:
+            left = []
+            for first, t, old, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first:
+                    left += [x for _, x in olds]
+                    olds.clear()
+                    news.clear()
+                while olds and t - olds[0][0] >= span:
+                    left.append(olds.popleft()[1])
+                while news and t - news[0] >= span:
+                    news.popleft()
+                if old:
+                    if news:
+                        news.popleft()
+                    else:
+                        olds.append((t, i))
+                elif olds:
+                    olds.popleft()
+                else:
+                    news.append(t)
+            yield found(left)
+        yield found([x for _, x in olds])
+
+    return walk
 
 
 def unmatched(legacy: DataFrame, structured: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """Legacy rows (keys, at, id) that no structured row (keys, at) within the tolerance, in whole seconds, stands for, one for one.
 
     Greedy in the order of time: each legacy row takes the earliest unused
-    structured row. A key's rows are cut into islands at pauses longer than the
-    tolerance, across which nothing can match, and only islands with rows of both
-    kinds are walked through, both kinds once.
+    structured row; nothing stands for a row without a time. A key's rows are cut into
+    islands at pauses longer than the tolerance, across which nothing can match. A task
+    walks through many islands, one after the other, both kinds once, and keeps what
+    the tolerance spans.
     """
     both = legacy.select(*keys, "at", "id", F.lit(1).alias("old")).unionByName(structured.select(*keys, "at", F.lit("").alias("id"), F.lit(0).alias("old")))
-    both = islands(both, keys, tolerance + 1)
-
-    def match(g: pd.DataFrame) -> pd.DataFrame:
-        span, left, j = pd.Timedelta(seconds=tolerance + 1), [], 0
-        olds, news = g[g.old == 1].sort_values(["at", "id"]), g[g.old == 0]["at"].sort_values().tolist()
-        for t, i in zip(olds["at"], olds["id"], strict=True):
-            while j < len(news) and t - news[j] >= span:
-                j += 1
-            if j < len(news) and news[j] - t < span:
-                j += 1
-            else:
-                left.append(i)
-        return pd.DataFrame({"id": pd.Series(left, dtype=object)})
-
-    kinds = both.groupBy(*keys, "island").agg(F.min("old").alias("lo"), F.max("old").alias("hi"))
-    kinds = _copy(kinds, keys, F.col("island").alias("_island"), "lo", "hi")
-    x = both.join(kinds, _same(keys, "island"))
-    alone = x.where((F.col("lo") == 1) & (F.col("hi") == 1)).select("id")
-    met = x.where((F.col("lo") == 0) & (F.col("hi") == 1)).select(*keys, "island", "at", "id", "old")
-    return alone.unionByName(met.groupBy(*keys, "island").applyInPandas(match, "id string"))
+    x = islands(both.where(F.col("at").isNotNull()), keys, tolerance + 1)
+    order = ["at", "old", "id"]
+    first = F.row_number().over(Window.partitionBy(*keys, "island").orderBy(*order)) == 1
+    x = x.repartition(*keys, "island").withColumn("first", first).sortWithinPartitions(*keys, "island", *order)
+    x = x.select("first", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "old", "id")
+    timeless = legacy.where(F.col("at").isNull()).select("id")
+    return timeless.unionByName(x.mapInArrow(_walk((tolerance + 1) * 1_000_000), "id string"))
 
 
 def session_record(task: Column, summary: Column) -> Column:
